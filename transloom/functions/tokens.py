@@ -83,3 +83,24 @@ def collapse_repetition(ids, source_count, min_repeats: int = K.REPEAT_MIN) -> C
     collapsed = F.concat(F.slice(a, 1, F.greatest(keep, F.lit(0))), F.slice(a, n - p + 1, p))
     guarded = (n >= F.greatest(F.lit(4), _col(source_count) * 4)) & (F.size(candidates) > 0)
     return F.when(guarded, collapsed).otherwise(a)
+
+
+def collapse_repetition_df(df, ids: str, source_count, out: str, min_repeats: int = K.REPEAT_MIN):
+    """``collapse_repetition`` staged over projections, so the period search runs once per row."""
+    a = F.col(ids)
+    n = F.size(a)
+    need = min_repeats - 1
+
+    def periodic(p):
+        return F.forall(F.sequence(n - p * need + 1, n), lambda i: F.element_at(a, i) == F.element_at(a, i - p))
+
+    d = df.withColumn("_p", F.try_element_at(F.filter(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(n / min_repeats).cast("int"))),
+        lambda p: (p * min_repeats <= n) & periodic(p)), F.lit(1)))
+    p = F.col("_p")
+    d = d.withColumn("_bad", F.coalesce(F.array_max(F.filter(
+        F.sequence(p + 1, n), lambda i: F.element_at(a, i) != F.element_at(a, i - p))), p))
+    keep = n - (F.floor((n - F.col("_bad")) / p).cast("int") + 1) * p
+    collapsed = F.concat(F.slice(a, 1, F.greatest(keep, F.lit(0))), F.slice(a, n - p + 1, p))
+    guarded = (n >= F.greatest(F.lit(4), _col(source_count) * 4)) & p.isNotNull()
+    return d.withColumn(out, F.when(guarded, collapsed).otherwise(a)).drop("_p", "_bad")

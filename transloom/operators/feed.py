@@ -80,10 +80,10 @@ def delta_batches(deltas: DataFrame, interval_ms: int = K.DELTA_INTERVAL_MS) ->
                         F.when(emit, F.concat(acc["at"], F.array(i))).otherwise(acc["at"]).alias("at"))
 
     init = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<int>").alias("at"))
-    emitted = F.aggregate(idx, init, step)["at"]
+    emitted = g.withColumn("_at", F.aggregate(idx, init, step)["at"])
     # batch k covers the deltas after emission k-1 up to emission k; a trailing flush covers the rest
-    ends = F.when(F.element_at(emitted, -1) < n, F.concat(emitted, F.array(n))).otherwise(emitted)
-    with_ends = g.select("request_id", "d", ends.alias("ends"))
+    ends = F.when(F.element_at("_at", -1) < n, F.concat("_at", F.array(n))).otherwise(F.col("_at"))
+    with_ends = emitted.select("request_id", "d", ends.alias("ends"))
     batches = with_ends.select("request_id", "d", F.posexplode("ends").alias("k", "end"),
                                F.col("ends"))
     start = F.when(F.col("k") == 0, F.lit(1)).otherwise(F.element_at("ends", F.col("k").cast("int")) + 1)

@@ -79,18 +79,36 @@ def _str(v, path) -> Column:
 # ---------------------------------------------------------------------------
 # JSON completion
 # ---------------------------------------------------------------------------
-def _completion(body: Column) -> Column:
-    """struct(status, text) for a JSON completion body."""
-    v = F.try_parse_json(body)
+# The decoders below are staged as successive projections: each parsed value or
+# event array is a column computed once, and later steps read it by name. (An
+# expression tree that repeats a heavy subtree inside a conditional branch is
+# evaluated once per repetition.)
+
+def _completion_fields(v: Column) -> Column:
+    """struct(status, text) from a parsed completion body."""
     choices = _kind(v, "$.choices")
     well_typed = (v.isNotNull() & _object_or_absent(v, "$")
                   & (_absent(choices) | _is(choices, "ARRAY"))
                   & _object_or_absent(v, "$.choices[0]") & _object_or_absent(v, "$.choices[0].message")
                   & _string_or_absent(v, "$.choices[0].message.content"))
-    content = go_trim(_str(v, "$.choices[0].message.content"))
-    status = (F.when(~well_typed, F.lit(PARSE_ERROR))
-              .when(content == "", F.lit(NO_TRANSLATION)).otherwise(F.lit(OK)))
-    return F.struct(status.alias("status"), F.when(status == OK, content).otherwise(F.lit("")).alias("text"))
+    return F.struct(well_typed.alias("ok"), go_trim(_str(v, "$.choices[0].message.content")).alias("content"))
+
+
+def _completion_status(c: Column) -> Column:
+    status = (F.when(~c["ok"], F.lit(PARSE_ERROR))
+              .when(c["content"] == "", F.lit(NO_TRANSLATION)).otherwise(F.lit(OK)))
+    return F.struct(status.alias("status"), F.when(status == OK, c["content"]).otherwise(F.lit("")).alias("text"))
+
+
+def decode_completions(df: DataFrame, body: str = "body", out: str = "completion", where: Column | None = None):
+    """Adds ``out`` = struct(status, text) for JSON completion bodies (NULL where ``where`` is false)."""
+    parsed = F.try_parse_json(body) if where is None else F.when(where, F.try_parse_json(body))
+    d = df.withColumn("_v", parsed)
+    d = d.withColumn("_c", _completion_fields(F.col("_v")))
+    d = d.withColumn(out, _completion_status(F.col("_c")))
+    if where is not None:
+        d = d.withColumn(out, F.when(where, F.col(out)))
+    return d.drop("_v", "_c")
 
 
 # ---------------------------------------------------------------------------
@@ -106,20 +124,26 @@ def sse_event_data(body: Column) -> Column:
     event has no data line. Comment lines and other fields are ignored."""
     events = F.split(_normalise_lines(body), "\n\n")
 
-    def data_of(ev):
-        lines = F.filter(F.split(ev, "\n"), lambda ln: ln.startswith("data:"))
+    def data_lines(ev):
+        return F.filter(F.split(ev, "\n"), lambda ln: ln.startswith("data:"))
+
+    def joined(lines):
         values = F.transform(lines, lambda ln: F.regexp_replace(F.substring(ln, 6, 1 << 30), "^ ", ""))
         return F.when(F.size(lines) > 0, F.array_join(values, "\n"))
-    return F.transform(events, data_of)
+    return F.transform(F.transform(events, data_lines), joined)
 
 
 # ---------------------------------------------------------------------------
 # Event fold
 # ---------------------------------------------------------------------------
-def _event(data: Column) -> Column:
-    """struct(kind, text) for one event: SKIP, DONE, PARSE_ERROR, STREAM_ERROR or DELTA."""
-    d = go_trim(data)
-    v = F.try_parse_json(d)
+def _event_parsed(data: Column) -> Column:
+    return F.transform(F.transform(data, lambda e: F.struct(e.alias("data"), go_trim(e).alias("d"))),
+                       lambda x: F.struct(x["data"].alias("data"), x["d"].alias("d"),
+                                          F.try_parse_json(x["d"]).alias("v")))
+
+
+def _event_facts(x: Column) -> Column:
+    v = x["v"]
     err = _kind(v, "$.error")
     choices = _kind(v, "$.choices")
     well_typed = (v.isNotNull() & _object_or_absent(v, "$")
@@ -128,45 +152,68 @@ def _event(data: Column) -> Column:
                   & _object_or_absent(v, "$.choices[0].delta") & _object_or_absent(v, "$.choices[0].message")
                   & _string_or_absent(v, "$.choices[0].delta.content")
                   & _string_or_absent(v, "$.choices[0].message.content"))
-    message = go_trim(_str(v, "$.error.message"))
-    delta = _str(v, "$.choices[0].delta.content")
-    piece = F.when(delta != "", delta).otherwise(_str(v, "$.choices[0].message.content"))
-    kind = (F.when(data.isNull() | (d == ""), F.lit("SKIP"))
-            .when(d == "[DONE]", F.lit("DONE"))
-            .when(~well_typed, F.lit(PARSE_ERROR))
-            .when(~_absent(err), F.lit(STREAM_ERROR))
+    return F.struct(x["data"].isNull().alias("none"), x["d"].alias("d"), well_typed.alias("ok"),
+                    _absent(err).alias("no_error"), go_trim(_str(v, "$.error.message")).alias("msg"),
+                    _str(v, "$.choices[0].delta.content").alias("delta"),
+                    _str(v, "$.choices[0].message.content").alias("message"))
+
+
+def _event_kind(f: Column) -> Column:
+    kind = (F.when(f["none"] | (f["d"] == ""), F.lit("SKIP"))
+            .when(f["d"] == "[DONE]", F.lit("DONE"))
+            .when(~f["ok"], F.lit(PARSE_ERROR))
+            .when(~f["no_error"], F.lit(STREAM_ERROR))
             .otherwise(F.lit("DELTA")))
+    return F.struct(kind.alias("kind"), f.alias("f"))
+
+
+def _event_text(k: Column) -> Column:
+    kind, f = k["kind"], k["f"]
     text = (F.when(kind == STREAM_ERROR, F.concat(F.lit(K.MSG_STREAM_ERROR),
-                                                  F.when(message == "", F.lit(K.MSG_UNKNOWN_ERROR)).otherwise(message)))
+                                                  F.when(f["msg"] == "", F.lit(K.MSG_UNKNOWN_ERROR)).otherwise(f["msg"])))
             .when(kind == PARSE_ERROR, F.lit(K.MSG_STREAM_PARSE_ERROR))
-            .when(kind == "DELTA", piece).otherwise(F.lit("")))
+            .when(kind == "DELTA", F.when(f["delta"] != "", f["delta"]).otherwise(f["message"]))
+            .otherwise(F.lit("")))
     return F.struct(kind.alias("kind"), text.alias("text"))
 
 
-def _fold_stream(body: Column) -> Column:
-    """struct(status, text): stop at the first [DONE]; the first failure before it fails the
-    reply even after deltas; the deltas are concatenated, trimmed; blank = NO_TRANSLATION."""
-    events = F.transform(sse_event_data(body), _event)
-    done_at = F.array_position(F.transform(events, lambda e: e["kind"] == "DONE"), True)
-    live = F.when(done_at > 0, F.slice(events, 1, (done_at - 1).cast("int"))).otherwise(events)
-    failures = F.filter(live, lambda e: e["kind"].isin(PARSE_ERROR, STREAM_ERROR))
-    first_failure = F.try_element_at(failures, F.lit(1))
-    text = go_trim(F.array_join(F.transform(F.filter(live, lambda e: e["kind"] == "DELTA"), lambda e: e["text"]), ""))
-    status = (F.when(F.size(failures) > 0, first_failure["kind"])
-              .when(text == "", F.lit(NO_TRANSLATION)).otherwise(F.lit(OK)))
-    return F.struct(status.alias("status"), F.when(status == OK, text).otherwise(F.lit("")).alias("text"),
-                    F.when(F.size(failures) > 0, first_failure["text"]).otherwise(F.lit("")).alias("error"))
+def fold_streams(df: DataFrame, body: str = "body", out: str = "stream", where: Column | None = None):
+    """Adds ``out`` = struct(status, text, error) for event-stream bodies: stop at the first
+    [DONE]; the first failure before it fails the reply even after deltas; deltas are
+    concatenated and trimmed; blank is NO_TRANSLATION."""
+    data = sse_event_data(F.col(body))
+    d = df.withColumn("_evd", data if where is None else F.when(where, data))
+    d = d.withColumn("_evp", _event_parsed(F.col("_evd")))
+    d = d.withColumn("_evf", F.transform("_evp", lambda x: _event_kind(_event_facts(x))))
+    d = d.withColumn("_ev", F.transform("_evf", _event_text))
+    d = d.withColumn("_done", F.array_position(F.transform("_ev", lambda e: e["kind"] == "DONE"), True))
+    d = d.withColumn("_live", F.when(F.col("_done") > 0, F.slice("_ev", 1, (F.col("_done") - 1).cast("int")))
+                     .otherwise(F.col("_ev")))
+    d = d.withColumn("_fail", F.try_element_at(F.filter("_live", lambda e: e["kind"].isin(PARSE_ERROR, STREAM_ERROR)),
+                                               F.lit(1)))
+    d = d.withColumn("_txt", go_trim(F.array_join(F.transform(F.filter("_live", lambda e: e["kind"] == "DELTA"),
+                                                              lambda e: e["text"]), "")))
+    status = (F.when(F.col("_fail").isNotNull(), F.col("_fail.kind"))
+              .when(F.col("_txt") == "", F.lit(NO_TRANSLATION)).otherwise(F.lit(OK)))
+    res = F.struct(status.alias("status"), F.when(status == OK, F.col("_txt")).otherwise(F.lit("")).alias("text"),
+                   F.coalesce(F.col("_fail.text"), F.lit("")).alias("error"))
+    d = d.withColumn(out, res if where is None else F.when(where, res))
+    return d.drop("_evd", "_evp", "_evf", "_ev", "_done", "_live", "_fail", "_txt")
 
 
 # ---------------------------------------------------------------------------
 # C4: HTTP error
 # ---------------------------------------------------------------------------
-def http_error_message(status: Column, body: Column) -> Column:
+def http_error_messages(df: DataFrame, status: str = "http_status", body: str = "body", out: str = "http_error",
+                        where: Column | None = None):
     v = F.try_parse_json(body)
-    from_json = F.when(_kind(v, "$.error.message") == "STRING", go_trim(_str(v, "$.error.message"))) \
-        .otherwise(F.lit(""))
-    message = byte_cut(F.when(from_json == "", go_trim(body)).otherwise(from_json), K.ERROR_BYTES)
-    return F.concat(F.lit(K.MSG_HTTP_ERROR_HEAD), status.cast("string"), F.lit(K.MSG_HTTP_ERROR_MID), message)
+    d = df.withColumn("_ev", v if where is None else F.when(where, v))
+    d = d.withColumn("_em", F.when(_kind(F.col("_ev"), "$.error.message") == "STRING",
+                                   go_trim(_str(F.col("_ev"), "$.error.message"))).otherwise(F.lit("")))
+    msg = byte_cut(F.when(F.col("_em") == "", go_trim(body)).otherwise(F.col("_em")), K.ERROR_BYTES)
+    res = F.concat(F.lit(K.MSG_HTTP_ERROR_HEAD), F.col(status).cast("string"), F.lit(K.MSG_HTTP_ERROR_MID), msg)
+    d = d.withColumn(out, res if where is None else F.when(where, res))
+    return d.drop("_ev", "_em")
 
 
 def is_event_stream(content_type: Column) -> Column:
@@ -193,33 +240,32 @@ def reply_guard(replies: DataFrame, cap: int = K.REPLY_BODY_CAP, line_cap: int =
 def decode_replies(replies: DataFrame, cap: int = K.REPLY_BODY_CAP, line_cap: int = K.SSE_LINE_CAP) -> DataFrame:
     """Status first, then content type; ``(request_id, route, status, text, error)``."""
     st = F.col("http_status")
-    sse = is_event_stream(F.col("content_type"))
-    failed_http = (st < 200) | (st >= 300)
-    df = replies.select("*", _too_large(cap, line_cap).alias("_too_large"))
-    decoded = (F.when(failed_http, F.struct(F.lit(HTTP_ERROR).alias("status"), F.lit("").alias("text"),
-                                            http_error_message(st, F.col("body")).alias("error")))
-               .when(F.col("_too_large"), F.struct(F.lit(REPLY_TOO_LARGE).alias("status"), F.lit("").alias("text"),
-                                                   F.lit(K.MSG_PARSE_ERROR).alias("error")))
-               .when(sse, _fold_stream(F.col("body")))
-               .otherwise(_with_error(_completion(F.col("body")))))
-    route = F.when(failed_http, F.lit("error")).when(sse, F.lit("stream")).otherwise(F.lit("json"))
-    return df.select("request_id", route.alias("route"), decoded.alias("d")).select(
-        "request_id", "route", F.col("d.status").alias("status"), F.col("d.text").alias("text"),
-        F.col("d.error").alias("error"))
-
-
-def _with_error(c: Column) -> Column:
-    err = (F.when(c["status"] == PARSE_ERROR, F.lit(K.MSG_PARSE_ERROR))
-           .when(c["status"] == NO_TRANSLATION, F.lit(K.MSG_NO_TRANSLATION)).otherwise(F.lit("")))
-    return F.struct(c["status"].alias("status"), c["text"].alias("text"), err.alias("error"))
+    d = replies.withColumn("_http_fail", (st < 200) | (st >= 300)) \
+        .withColumn("_sse", is_event_stream(F.col("content_type"))) \
+        .withColumn("_big", _too_large(cap, line_cap))
+    ok_path = ~F.col("_http_fail") & ~F.col("_big")
+    d = http_error_messages(d, where=F.col("_http_fail"))
+    d = fold_streams(d, where=ok_path & F.col("_sse"))
+    d = decode_completions(d, where=ok_path & ~F.col("_sse"))
+    comp_err = (F.when(F.col("completion.status") == PARSE_ERROR, F.lit(K.MSG_PARSE_ERROR))
+                .when(F.col("completion.status") == NO_TRANSLATION, F.lit(K.MSG_NO_TRANSLATION)).otherwise(F.lit("")))
+    status = (F.when(F.col("_http_fail"), F.lit(HTTP_ERROR)).when(F.col("_big"), F.lit(REPLY_TOO_LARGE))
+              .when(F.col("_sse"), F.col("stream.status")).otherwise(F.col("completion.status")))
+    text = (F.when(F.col("_http_fail") | F.col("_big"), F.lit(""))
+            .when(F.col("_sse"), F.col("stream.text")).otherwise(F.col("completion.text")))
+    error = (F.when(F.col("_http_fail"), F.col("http_error")).when(F.col("_big"), F.lit(K.MSG_PARSE_ERROR))
+             .when(F.col("_sse"), F.col("stream.error")).otherwise(comp_err))
+    route = F.when(F.col("_http_fail"), F.lit("error")).when(F.col("_sse"), F.lit("stream")).otherwise(F.lit("json"))
+    return d.select("request_id", route.alias("route"), status.alias("status"), text.alias("text"),
+                    error.alias("error"))
 
 
 def completion_decode(replies: DataFrame) -> DataFrame:
     """C3 on every non-stream 2xx reply."""
     st = F.col("http_status")
     rows = replies.where((st >= 200) & (st < 300) & ~is_event_stream(F.col("content_type")))
-    return rows.select("request_id", _completion(F.col("body")).alias("d")).select(
-        "request_id", F.col("d.status").alias("status"), F.col("d.text").alias("text"))
+    return decode_completions(rows).select("request_id", F.col("completion.status").alias("status"),
+                                           F.col("completion.text").alias("text"))
 
 
 def sse_events(replies: DataFrame) -> DataFrame:
@@ -233,16 +279,15 @@ def sse_text(replies: DataFrame) -> DataFrame:
     """Folded text and status of every event-stream reply (2xx)."""
     st = F.col("http_status")
     rows = replies.where((st >= 200) & (st < 300) & is_event_stream(F.col("content_type")))
-    return rows.select("request_id", _fold_stream(F.col("body")).alias("d")).select(
-        "request_id", F.col("d.status").alias("status"), F.col("d.text").alias("text"),
-        F.col("d.error").alias("error"))
+    return fold_streams(rows).select("request_id", F.col("stream.status").alias("status"),
+                                     F.col("stream.text").alias("text"), F.col("stream.error").alias("error"))
 
 
 def error_messages(replies: DataFrame) -> DataFrame:
     """C4/F4/F18 on every non-2xx reply."""
     st = F.col("http_status")
     rows = replies.where((st < 200) | (st >= 300))
-    return rows.select("request_id", "http_status", http_error_message(st, F.col("body")).alias("error"))
+    return http_error_messages(rows).select("request_id", "http_status", F.col("http_error").alias("error"))
 
 
 def correlate(resolved_llm: DataFrame, replies: DataFrame) -> DataFrame:

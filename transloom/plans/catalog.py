@@ -202,10 +202,9 @@ def strip_special(spark, d):
 
 @query
 def repetition_collapse(spark, d):
-    ids = _word_ids(spark, d)
-    out = TK.collapse_repetition("ids", F.lit(1))
+    ids = TK.collapse_repetition_df(_word_ids(spark, d), "ids", F.lit(1), "out")
     return ids.select("request_id", "part_no", "chunk_no", F.size("ids").alias("n_in"),
-                      F.size(out).alias("n_out"), F.array_join(out.cast("array<string>"), ",").alias("ids"))
+                      F.size("out").alias("n_out"), F.array_join(F.col("out").cast("array<string>"), ",").alias("ids"))
 
 
 @query
@@ -368,5 +367,19 @@ def audit_log_parse(spark, d):
 ALIASES = {"model_catalog_query": "model_catalog", "round_trip_query": "round_trip"}
 
 
+def _widen(df: DataFrame) -> DataFrame:
+    """Integral result columns are reported as bigint (the oracle's integer type)."""
+    narrow = {"int", "smallint", "tinyint"}
+    return df.select(*[F.col(n).cast("bigint").alias(n) if t in narrow else F.col(n) for n, t in df.dtypes])
+
+
+def _wrapped(fn: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _widen(fn(spark, sf_dir))
+    run.__name__ = fn.__name__
+    run.__doc__ = fn.__doc__
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return {ALIASES.get(k, k): v for k, v in REGISTRY.items()}
+    return {ALIASES.get(k, k): _wrapped(v) for k, v in REGISTRY.items()}
