@@ -119,31 +119,38 @@ def _normalise_lines(body: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(body, "\r(\n)", "$1"), "\r\\z", "")
 
 
-def sse_event_data(body: Column) -> Column:
-    """Array of events (blank lines close them) as the joined ``data`` value, NULL when an
-    event has no data line. Comment lines and other fields are ignored."""
-    events = F.split(_normalise_lines(body), "\n\n")
+# Data lines of one event: "data:" and at most one space, then the value to the
+# line end ((?d): only LF ends a line; the CR of CRLF was removed before).
+_DATA_LINE = "(?dm)^data: ?(.*)$"
+
 
-    def data_lines(ev):
-        return F.filter(F.split(ev, "\n"), lambda ln: ln.startswith("data:"))
+def sse_events_of(body: Column) -> Column:
+    """Events of a stream body: blank lines close them (each line lost one trailing CR)."""
+    return F.split(_normalise_lines(body), "\n\n")
 
-    def joined(lines):
-        values = F.transform(lines, lambda ln: F.regexp_replace(F.substring(ln, 6, 1 << 30), "^ ", ""))
-        return F.when(F.size(lines) > 0, F.array_join(values, "\n"))
-    return F.transform(F.transform(events, data_lines), joined)
+
+def event_data(event: Column) -> Column:
+    """The ``data`` value of one event (its data lines joined by LF), NULL without data
+    lines. Comment lines and other fields are ignored."""
+    values = F.regexp_extract_all(event, F.lit(_DATA_LINE), 1)
+    return F.when(F.size(values) > 0, F.array_join(values, "\n"))
+
+
+def sse_event_data(body: Column) -> Column:
+    """Array of the events' data values (kept for callers that stay inside one row)."""
+    return F.transform(sse_events_of(body), event_data)
 
 
 # ---------------------------------------------------------------------------
 # Event fold
 # ---------------------------------------------------------------------------
-def _event_parsed(data: Column) -> Column:
-    return F.transform(F.transform(data, lambda e: F.struct(e.alias("data"), go_trim(e).alias("d"))),
-                       lambda x: F.struct(x["data"].alias("data"), x["d"].alias("d"),
-                                          F.try_parse_json(x["d"]).alias("v")))
-
-
-def _event_facts(x: Column) -> Column:
-    v = x["v"]
+def _event_rows(rows: DataFrame, body: str = "body") -> DataFrame:
+    """One row per event with its kind and text. Exploding keeps the per-event JSON work
+    in whole-stage codegen (higher-order lambdas are interpreted)."""
+    ev = rows.select("request_id", F.posexplode(sse_events_of(F.col(body))).alias("ev", "raw"))
+    ev = ev.select("request_id", "ev", event_data(F.col("raw")).alias("data"))
+    ev = ev.withColumn("d", go_trim("data")).withColumn("v", F.try_parse_json("d"))
+    v = F.col("v")
     err = _kind(v, "$.error")
     choices = _kind(v, "$.choices")
     well_typed = (v.isNotNull() & _object_or_absent(v, "$")
@@ -152,40 +159,33 @@ def _event_facts(x: Column) -> Column:
                   & _object_or_absent(v, "$.choices[0].delta") & _object_or_absent(v, "$.choices[0].message")
                   & _string_or_absent(v, "$.choices[0].delta.content")
                   & _string_or_absent(v, "$.choices[0].message.content"))
-    return F.struct(x["data"].isNull().alias("none"), x["d"].alias("d"), well_typed.alias("ok"),
-                    _absent(err).alias("no_error"), go_trim(_str(v, "$.error.message")).alias("msg"),
-                    _str(v, "$.choices[0].delta.content").alias("delta"),
-                    _str(v, "$.choices[0].message.content").alias("message"))
-
-
-def _event_kind(f: Column) -> Column:
-    kind = (F.when(f["none"] | (f["d"] == ""), F.lit("SKIP"))
-            .when(f["d"] == "[DONE]", F.lit("DONE"))
-            .when(~f["ok"], F.lit(PARSE_ERROR))
-            .when(~f["no_error"], F.lit(STREAM_ERROR))
+    kind = (F.when(F.col("data").isNull() | (F.col("d") == ""), F.lit("SKIP"))
+            .when(F.col("d") == "[DONE]", F.lit("DONE"))
+            .when(~well_typed, F.lit(PARSE_ERROR))
+            .when(~_absent(err), F.lit(STREAM_ERROR))
             .otherwise(F.lit("DELTA")))
-    return F.struct(kind.alias("kind"), f.alias("f"))
+    ev = ev.withColumn("kind", kind)
+    msg = go_trim(_str(v, "$.error.message"))
+    delta = _str(v, "$.choices[0].delta.content")
+    text = (F.when(F.col("kind") == STREAM_ERROR,
+                   F.concat(F.lit(K.MSG_STREAM_ERROR), F.when(msg == "", F.lit(K.MSG_UNKNOWN_ERROR)).otherwise(msg)))
+            .when(F.col("kind") == PARSE_ERROR, F.lit(K.MSG_STREAM_PARSE_ERROR))
+            .when(F.col("kind") == "DELTA", F.when(delta != "", delta).otherwise(_str(v, "$.choices[0].message.content")))
+            .otherwise(F.lit("")))
+    return ev.select("request_id", F.col("ev").cast("bigint").alias("ev"), "data", "kind", text.alias("text"))
 
 
-def _event_text(k: Column) -> Column:
-    kind, f = k["kind"], k["f"]
-    text = (F.when(kind == STREAM_ERROR, F.concat(F.lit(K.MSG_STREAM_ERROR),
-                                                  F.when(f["msg"] == "", F.lit(K.MSG_UNKNOWN_ERROR)).otherwise(f["msg"])))
-            .when(kind == PARSE_ERROR, F.lit(K.MSG_STREAM_PARSE_ERROR))
-            .when(kind == "DELTA", F.when(f["delta"] != "", f["delta"]).otherwise(f["message"]))
-            .otherwise(F.lit("")))
-    return F.struct(kind.alias("kind"), text.alias("text"))
-
-
-def fold_streams(df: DataFrame, body: str = "body", out: str = "stream", where: Column | None = None):
-    """Adds ``out`` = struct(status, text, error) for event-stream bodies: stop at the first
-    [DONE]; the first failure before it fails the reply even after deltas; deltas are
-    concatenated and trimmed; blank is NO_TRANSLATION."""
-    data = sse_event_data(F.col(body))
-    d = df.withColumn("_evd", data if where is None else F.when(where, data))
-    d = d.withColumn("_evp", _event_parsed(F.col("_evd")))
-    d = d.withColumn("_evf", F.transform("_evp", lambda x: _event_kind(_event_facts(x))))
-    d = d.withColumn("_ev", F.transform("_evf", _event_text))
+def fold_streams(rows: DataFrame, body: str = "body") -> DataFrame:
+    """``(request_id, status, text, error)`` per event-stream reply: stop at the first [DONE];
+    the first failure before it fails the reply even after deltas; deltas are concatenated
+    and trimmed; blank is NO_TRANSLATION.
+
+    Events are regrouped by reply; only their kind and text cross the shuffle, and one
+    reply's events are bounded by the body (one cell, size-guarded by K1).
+    """
+    ev = _event_rows(rows, body)
+    keep = F.when(F.col("kind") != "SKIP", F.struct("ev", "kind", "text"))
+    d = ev.groupBy("request_id").agg(F.array_sort(F.collect_list(keep)).alias("_ev"))
     d = d.withColumn("_done", F.array_position(F.transform("_ev", lambda e: e["kind"] == "DONE"), True))
     d = d.withColumn("_live", F.when(F.col("_done") > 0, F.slice("_ev", 1, (F.col("_done") - 1).cast("int")))
                      .otherwise(F.col("_ev")))
@@ -195,10 +195,9 @@ def fold_streams(df: DataFrame, body: str = "body", out: str = "stream", where:
                                                               lambda e: e["text"]), "")))
     status = (F.when(F.col("_fail").isNotNull(), F.col("_fail.kind"))
               .when(F.col("_txt") == "", F.lit(NO_TRANSLATION)).otherwise(F.lit(OK)))
-    res = F.struct(status.alias("status"), F.when(status == OK, F.col("_txt")).otherwise(F.lit("")).alias("text"),
-                   F.coalesce(F.col("_fail.text"), F.lit("")).alias("error"))
-    d = d.withColumn(out, res if where is None else F.when(where, res))
-    return d.drop("_evd", "_evp", "_evf", "_ev", "_done", "_live", "_fail", "_txt")
+    return d.select("request_id", status.alias("status"),
+                    F.when(status == OK, F.col("_txt")).otherwise(F.lit("")).alias("text"),
+                    F.coalesce(F.col("_fail.text"), F.lit("")).alias("error"))
 
 
 # ---------------------------------------------------------------------------
@@ -226,7 +225,10 @@ def is_event_stream(content_type: Column) -> Column:
 def _too_large(cap: int, line_cap: int) -> Column:
     sse = is_event_stream(F.col("content_type"))
     longest_line = F.array_max(F.transform(F.split("body", "\n"), lambda ln: F.octet_length(ln)))
-    return F.when(sse, F.coalesce(longest_line, F.lit(0)) > line_cap).otherwise(F.octet_length("body") > cap)
+    size = F.octet_length("body")
+    # no line can exceed the cap when the whole body does not: split only the rare large bodies
+    return F.when(sse, F.when(size <= line_cap, F.lit(False)).otherwise(F.coalesce(longest_line, F.lit(0)) > line_cap)) \
+        .otherwise(size > cap)
 
 
 def reply_guard(replies: DataFrame, cap: int = K.REPLY_BODY_CAP, line_cap: int = K.SSE_LINE_CAP) -> DataFrame:
@@ -238,26 +240,28 @@ def reply_guard(replies: DataFrame, cap: int = K.REPLY_BODY_CAP, line_cap: int =
 
 
 def decode_replies(replies: DataFrame, cap: int = K.REPLY_BODY_CAP, line_cap: int = K.SSE_LINE_CAP) -> DataFrame:
-    """Status first, then content type; ``(request_id, route, status, text, error)``."""
+    """Status first, then content type; ``(request_id, route, status, text, error)``.
+    The three routes are decoded separately and unioned."""
     st = F.col("http_status")
     d = replies.withColumn("_http_fail", (st < 200) | (st >= 300)) \
         .withColumn("_sse", is_event_stream(F.col("content_type"))) \
         .withColumn("_big", _too_large(cap, line_cap))
-    ok_path = ~F.col("_http_fail") & ~F.col("_big")
-    d = http_error_messages(d, where=F.col("_http_fail"))
-    d = fold_streams(d, where=ok_path & F.col("_sse"))
-    d = decode_completions(d, where=ok_path & ~F.col("_sse"))
-    comp_err = (F.when(F.col("completion.status") == PARSE_ERROR, F.lit(K.MSG_PARSE_ERROR))
-                .when(F.col("completion.status") == NO_TRANSLATION, F.lit(K.MSG_NO_TRANSLATION)).otherwise(F.lit("")))
-    status = (F.when(F.col("_http_fail"), F.lit(HTTP_ERROR)).when(F.col("_big"), F.lit(REPLY_TOO_LARGE))
-              .when(F.col("_sse"), F.col("stream.status")).otherwise(F.col("completion.status")))
-    text = (F.when(F.col("_http_fail") | F.col("_big"), F.lit(""))
-            .when(F.col("_sse"), F.col("stream.text")).otherwise(F.col("completion.text")))
-    error = (F.when(F.col("_http_fail"), F.col("http_error")).when(F.col("_big"), F.lit(K.MSG_PARSE_ERROR))
-             .when(F.col("_sse"), F.col("stream.error")).otherwise(comp_err))
-    route = F.when(F.col("_http_fail"), F.lit("error")).when(F.col("_sse"), F.lit("stream")).otherwise(F.lit("json"))
-    return d.select("request_id", route.alias("route"), status.alias("status"), text.alias("text"),
-                    error.alias("error"))
+    failed = http_error_messages(d.where(F.col("_http_fail"))).select(
+        "request_id", F.lit("error").alias("route"), F.lit(HTTP_ERROR).alias("status"), F.lit("").alias("text"),
+        F.col("http_error").alias("error"))
+    ok = d.where(~F.col("_http_fail"))
+    big = ok.where(F.col("_big")).select(
+        "request_id", F.when(F.col("_sse"), F.lit("stream")).otherwise(F.lit("json")).alias("route"),
+        F.lit(REPLY_TOO_LARGE).alias("status"), F.lit("").alias("text"), F.lit(K.MSG_PARSE_ERROR).alias("error"))
+    streams = fold_streams(ok.where(~F.col("_big") & F.col("_sse"))).select(
+        "request_id", F.lit("stream").alias("route"), "status", "text", "error")
+    comp = decode_completions(ok.where(~F.col("_big") & ~F.col("_sse")))
+    cs = F.col("completion.status")
+    comp_err = (F.when(cs == PARSE_ERROR, F.lit(K.MSG_PARSE_ERROR))
+                .when(cs == NO_TRANSLATION, F.lit(K.MSG_NO_TRANSLATION)).otherwise(F.lit("")))
+    json_rows = comp.select("request_id", F.lit("json").alias("route"), cs.alias("status"),
+                            F.col("completion.text").alias("text"), comp_err.alias("error"))
+    return failed.unionByName(big).unionByName(streams).unionByName(json_rows)
 
 
 def completion_decode(replies: DataFrame) -> DataFrame:
@@ -271,16 +275,16 @@ def completion_decode(replies: DataFrame) -> DataFrame:
 def sse_events(replies: DataFrame) -> DataFrame:
     """One row per event that carries data, in order."""
     rows = replies.where(is_event_stream(F.col("content_type")))
-    ev = rows.select("request_id", F.posexplode(sse_event_data(F.col("body"))).alias("ev", "data"))
-    return ev.where(F.col("data").isNotNull()).select("request_id", F.col("ev").cast("bigint").alias("ev"), "data")
+    ev = rows.select("request_id", F.posexplode(sse_events_of(F.col("body"))).alias("ev", "raw"))
+    ev = ev.select("request_id", F.col("ev").cast("bigint").alias("ev"), event_data(F.col("raw")).alias("data"))
+    return ev.where(F.col("data").isNotNull())
 
 
 def sse_text(replies: DataFrame) -> DataFrame:
     """Folded text and status of every event-stream reply (2xx)."""
     st = F.col("http_status")
     rows = replies.where((st >= 200) & (st < 300) & is_event_stream(F.col("content_type")))
-    return fold_streams(rows).select("request_id", F.col("stream.status").alias("status"),
-                                     F.col("stream.text").alias("text"), F.col("stream.error").alias("error"))
+    return fold_streams(rows)
 
 
 def error_messages(replies: DataFrame) -> DataFrame:

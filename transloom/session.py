@@ -76,3 +76,16 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that has fewer partitions than the cluster has cores.
+
+    Small inputs (one Parquet file, one row group) would otherwise run every
+    per-row stage in a single task. On a large input the scan already has more
+    partitions than cores and this is a no-op, so no shuffle is added.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

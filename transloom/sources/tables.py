@@ -6,10 +6,12 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from transloom.session import spread
+
 TABLES = ("documents", "conversations", "events", "pages", "benchmark", "labels")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet scan; Catalyst prunes columns and pushes filters into it."""
     path = os.path.join(sf_dir, f"{name}.parquet")
-    return spark.read.parquet(path)
+    return spread(spark.read.parquet(path))
