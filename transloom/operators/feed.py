@@ -115,6 +115,9 @@ def paired_events(taps: DataFrame, min_gap: int = K.TAP_MIN_GAP_MS, max_gap: int
     A clean tap is held at most ``max_hold`` ms with no other key pressed meanwhile; another
     key clears a pending tap; fires are at least ``refractory`` ms apart.
 
+    Input contract: taps of one key of one user do not overlap (a key cannot go down again
+    while it is held).
+
     Any gap above ``max_gap`` between consecutive key events resets every piece of state
     (a pending tap expires, the refractory period is shorter, a held key becomes too long a
     hold), so runs split there are folded independently.

@@ -271,12 +271,18 @@ def typed_input(events: DataFrame) -> DataFrame:
 
 
 def taps(events: DataFrame) -> DataFrame:
-    """Key taps: clicks are another key, everything else the modifier; 3 ms per event id."""
+    """Key taps: clicks are another key, everything else the modifier; 3 ms per event id.
+    A key cannot go down again while it is held, so each hold ends before the user's next press."""
+    from transloom.operators.ordering import keyed_lag
     e = F.col("event_id")
-    hold = (F.floor(F.col("value")).cast("bigint") % 7) * 90
-    return events.select(
-        F.col("user_id"),
+    base = events.select("user_id", "event_type", (e * 3).alias("press_ms"),
+                         ((F.floor(F.col("value")).cast("bigint") % 7) * 90).alias("hold"),
+                         (-e * 3).alias("_rev"))
+    nxt = keyed_lag(base, ["user_id"], "_rev", ["press_ms"], 1 << 22, prefix="next_")
+    hold = F.when(F.col("next_press_ms").isNull(), F.col("hold")).otherwise(
+        F.least(F.col("hold"), F.col("next_press_ms") - F.col("press_ms") - 1))
+    return nxt.select(
+        "user_id",
         F.when(F.col("event_type") == "click", F.lit("other")).otherwise(F.lit("ctrl")).alias("key"),
-        (e * 3).alias("press_ms"),
-        (e * 3 + hold).alias("release_ms"),
+        "press_ms", (F.col("press_ms") + hold).alias("release_ms"),
     )
