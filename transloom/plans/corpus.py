@@ -48,7 +48,12 @@ def translate_corpus(requests: DataFrame, settings_raw: DataFrame, memory: DataF
         F.when(F.col("error") == "", F.lit("OK")).otherwise(F.lit("FAILED")).alias("status"), "text", "error")
 
     branches = [rejected, direct, local]
-    if replies is not None:
+    if replies is None:
+        # no landed replies yet: LLM-routed requests are reported as waiting, never dropped
+        branches.append(resolved.where((status == adm.READY) & (F.col("provider") == "llm")).select(
+            "request_id", F.lit("llm").alias("provider"), "model", F.lit("AWAITING_REPLY").alias("status"),
+            F.lit("").alias("text"), F.lit("").alias("error")))
+    else:
         ready_llm = resolved.where((status == adm.READY) & (F.col("provider") == "llm"))
         decoded = reply.decode_replies(reply.correlate(ready_llm, replies).drop("model"))
         llm = ready_llm.select("request_id", "model").join(decoded, "request_id", "left").select(
