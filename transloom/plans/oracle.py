@@ -4,7 +4,8 @@ Each string is standalone SQL over the pre-registered views (documents,
 events, pages, benchmark, conversations, ...). Derived tables are rebuilt as
 CTEs by the same rules ``transloom.sources.fixtures`` uses in Spark. Queries
 whose semantics SQL cannot state without a sequential fold (``delta_batches``,
-``paired_events``) or that cut UTF-8 bytes (``error_message``) have no twin.
+``paired_events``) have no twin; ``error_message`` (UTF-8 byte cut plus the UI's
+error clean-up) is checked through ``all_results`` and unit tests instead.
 """
 
 from __future__ import annotations
@@ -569,6 +570,14 @@ SELECT request_id, part_no, chunk_no, n AS n_in, len(out) AS n_out, array_to_str
 SELECT source, target, model, segment, {pseudo("segment", "target")} AS translation, '' AS error
 FROM (SELECT u.* FROM uniq u ANTI JOIN mem m USING (source, target, model, segment)) x"""
     q["reassembled"] = f"{BASE},{LOCAL_PARTS},{REASSEMBLED} SELECT * FROM reassembled"
+    q["round_trip"] = f"""{BASE},{LOCAL_PARTS},{REASSEMBLED},
+fw AS (SELECT r.request_id, r.text AS original, r.source, a.text AS forward FROM rl r JOIN reassembled a USING (request_id)),
+bp AS (SELECT request_id, source, unnest({parts("forward")}) AS part, generate_subscripts({parts("forward")}, 1) AS part_no
+       FROM fw),
+bk AS (SELECT request_id, {trim("string_agg(CASE WHEN starts_with(part, chr(10)) THEN part ELSE " + pseudo("part", "source") + " END, '' ORDER BY part_no)")} AS back
+       FROM bp GROUP BY request_id)
+SELECT fw.request_id, fw.original, fw.forward, coalesce(bk.back, '') AS back, '' AS error
+FROM fw LEFT JOIN bk USING (request_id)"""
     q["all_results"] = f"{ALL_RESULTS} SELECT * FROM all_results"
     q["llm_payload"] = f"""{BASE}, langs AS (SELECT * FROM (VALUES {LANG_VALUES}) l(code, name_zh, nllb_code))
 SELECT r.request_id, {endpoint("r.llm_base_url")} AS endpoint, r.model,
