@@ -21,20 +21,24 @@ def _block(order: str, block: int):
 
 def keyed_lag(df: DataFrame, keys: list[str], order: str, cols: list[str], block: int = DEFAULT_BLOCK,
               prefix: str = "prev_") -> DataFrame:
-    """Add ``prev_<c>``: the value of ``c`` on the previous row (by ``order``) of the same key."""
+    """Add ``prev_<c>``: the value of ``c`` on the previous row (by ``order``) of the same key.
+
+    The block summaries are read off the windowed rows (the last row of each block), so
+    both uses of the input share one exchange and the input is evaluated once.
+    """
     blk = "_blk"
     d = df.withColumn(blk, _block(order, block))
     w = Window.partitionBy(*keys, blk).orderBy(order)
+    whole = Window.partitionBy(*keys, blk)
     d = d.select("*", *[F.lag(c).over(w).alias(f"_in_{c}") for c in cols],
-                 (F.row_number().over(w) == 1).alias("_first_in_blk"))
-    last = d.groupBy(*keys, blk).agg(F.max_by(F.struct(*cols), F.col(order)).alias("_last"))
+                 F.row_number().over(w).alias("_rn"), F.count(F.lit(1)).over(whole).alias("_cnt"))
+    last = d.where(F.col("_rn") == F.col("_cnt")).select(*keys, blk, F.struct(*cols).alias("_last"))
     wb = Window.partitionBy(*keys).orderBy(blk)
     carry = last.select(*keys, blk, F.lag("_last").over(wb).alias("_carry"))
     d = d.join(carry, [*keys, blk], "left")
-    out = d.select(*df.columns, *[
-        F.when(F.col("_first_in_blk"), F.col("_carry")[c]).otherwise(F.col(f"_in_{c}")).alias(prefix + c)
+    return d.select(*df.columns, *[
+        F.when(F.col("_rn") == 1, F.col("_carry")[c]).otherwise(F.col(f"_in_{c}")).alias(prefix + c)
         for c in cols])
-    return out
 
 
 def keyed_last_non_null(df: DataFrame, keys: list[str], order: str, col: str, name: str,
@@ -43,9 +47,11 @@ def keyed_last_non_null(df: DataFrame, keys: list[str], order: str, col: str, na
     blk = "_blk"
     d = df.withColumn(blk, _block(order, block))
     w = Window.partitionBy(*keys, blk).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("_run", F.last(col, ignorenulls=True).over(w))
-    last = d.groupBy(*keys, blk).agg(F.max_by(F.col(col), F.when(F.col(col).isNotNull(), F.col(order)))
-                                     .alias("_blk_last"))
+    whole = Window.partitionBy(*keys, blk)
+    d = d.select("*", F.last(col, ignorenulls=True).over(w).alias("_run"),
+                 F.row_number().over(Window.partitionBy(*keys, blk).orderBy(order)).alias("_rn"),
+                 F.count(F.lit(1)).over(whole).alias("_cnt"))
+    last = d.where(F.col("_rn") == F.col("_cnt")).select(*keys, blk, F.col("_run").alias("_blk_last"))
     wb = Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
     carry = last.select(*keys, blk, F.last("_blk_last", ignorenulls=True).over(wb).alias("_carry"))
     d = d.join(carry, [*keys, blk], "left")
