@@ -56,7 +56,7 @@ def unique_segments(parts: DataFrame) -> DataFrame:
                                                 F.col("part").alias("segment")).distinct()
 
 
-def fan_out(parts: DataFrame, translated: DataFrame) -> DataFrame:
+def fan_out(parts: DataFrame, translated: DataFrame, carry: tuple = ()) -> DataFrame:
     """Every part gets its translation; separators pass through.
 
     Hot segments make the part side skewed; AQE's skew-join split handles it
@@ -66,19 +66,20 @@ def fan_out(parts: DataFrame, translated: DataFrame) -> DataFrame:
     joined = segs.join(translated, SEGMENT_KEYS, "left").select(
         "request_id", "model", "part_no",
         F.coalesce("translation", F.lit("")).alias("out"),
-        F.coalesce("error", F.lit("")).alias("error"))
+        F.coalesce("error", F.lit("")).alias("error"), *carry)
     seps = parts.where(F.col("is_sep")).select("request_id", "model", "part_no", F.col("part").alias("out"),
-                                               F.lit("").alias("error"))
+                                               F.lit("").alias("error"), *carry)
     return joined.unionByName(seps)
 
 
-def reassemble(translated_parts: DataFrame) -> DataFrame:
-    """Parts concatenated in order, then trimmed; any failed part fails the request."""
+def reassemble(translated_parts: DataFrame, carry: tuple = ()) -> DataFrame:
+    """Parts concatenated in order, then trimmed; any failed part fails the request.
+    ``carry`` names per-request columns that ride along (constant within a request)."""
     ordered = F.array_sort(F.collect_list(F.struct("part_no", "out", "error")))
-    g = translated_parts.groupBy("request_id", "model").agg(ordered.alias("parts"))
+    g = translated_parts.groupBy("request_id", "model", *carry).agg(ordered.alias("parts"))
     errors = F.filter("parts", lambda p: p["error"] != "")
     return g.select(
-        "request_id", "model",
+        "request_id", "model", *carry,
         F.when(F.size(errors) > 0, F.lit("")).otherwise(
             go_trim(F.array_join(F.transform("parts", lambda p: p["out"]), ""))).alias("text"),
         F.coalesce(F.try_element_at(errors, F.lit(1))["error"], F.lit("")).alias("error"),

@@ -51,7 +51,7 @@ def translate_segments(unique: DataFrame, kind: str = "pseudo", options: dict |
 
 
 def translate_parts(parts: DataFrame, memory: DataFrame | None = None, kind: str = "pseudo",
-                    options: dict | None = None, memory_path: str | None = None) -> DataFrame:
+                    options: dict | None = None, memory_path: str | None = None, carry: tuple = ()) -> DataFrame:
     """B3 + B4 + J6: translated parts ``(request_id, part_no, out, error)``.
 
     With ``memory_path`` the fresh translations are appended to the memory table
@@ -70,7 +70,7 @@ def translate_parts(parts: DataFrame, memory: DataFrame | None = None, kind: str
         fresh = materialize(fresh)
         tm.remember(fresh, memory_path)
     translated = fresh if found is None else fresh.unionByName(found)
-    return fan_out(parts, translated)
+    return fan_out(parts, translated, carry)
 
 
 def translate_requests(ready_local: DataFrame, memory: DataFrame | None = None, kind: str = "pseudo",

@@ -22,7 +22,9 @@ from transloom import constants as K
 from transloom.functions.text import go_trim
 from transloom.operators import admission as adm
 from transloom.operators import reply
-from transloom.operators.translate import translate_requests
+from transloom.functions.text import paragraph_parts
+from transloom.operators.segment import reassemble
+from transloom.operators.translate import translate_parts
 
 RESULT_COLUMNS = ["request_id", "provider", "model", "status", "text", "error"]
 
@@ -30,41 +32,56 @@ RESULT_COLUMNS = ["request_id", "provider", "model", "status", "text", "error"]
 def translate_corpus(requests: DataFrame, settings_raw: DataFrame, memory: DataFrame | None = None,
                      replies: DataFrame | None = None, kind: str = "pseudo", options: dict | None = None,
                      memory_path: str | None = None) -> DataFrame:
+    """One pass over the requests: every request becomes parts (local requests their
+    paragraphs, all others one pass-through part carrying their ready result), one
+    reassembly shuffle by request yields every result row, and landed replies are joined
+    to the LLM rows only. The input is scanned and admitted once."""
     resolved = adm.resolve(requests, settings_raw)
-    status = F.col("status")
+    status, provider = F.col("status"), F.col("provider")
+    is_local = (status == adm.READY) & (provider == "local")
+    is_llm = (status == adm.READY) & (provider == "llm")
+    base = resolved.select(
+        "request_id", "source", "target", "text",
+        F.when(status == adm.DIRECT, F.lit(K.DIRECT_PROVIDER)).otherwise(provider).alias("provider"),
+        F.when(status == adm.DIRECT, F.lit(K.DIRECT_MODEL)).otherwise(F.col("model")).alias("model"),
+        status.alias("route_status"),
+        is_local.alias("_local"),
+        F.when(status == adm.DIRECT, go_trim("text")).otherwise(F.lit("")).alias("pre_text"),
+        adm.status_message(status).alias("pre_error"))
+    carry = ("provider", "route_status", "pre_error")
+    parts = base.select(
+        "request_id", "source", "target", "model", *carry, "pre_text",
+        F.posexplode_outer(F.when(F.col("_local"), paragraph_parts("text"))).alias("part_no", "part"))
+    parts = parts.withColumn("is_sep", F.col("part").startswith("\n"))
+    local = translate_parts(parts, memory, kind, options, memory_path, carry)
+    passthrough = parts.where(F.col("part").isNull()).select(
+        "request_id", "model", F.lit(0).alias("part_no"), F.col("pre_text").alias("out"), F.lit("").alias("error"),
+        *carry)
+    assembled = reassemble(local.unionByName(passthrough), carry)
 
-    rejected = resolved.where(~status.isin(adm.DIRECT, adm.READY)).select(
-        "request_id", "provider", "model", "status", F.lit("").alias("text"),
-        adm.status_message(status).alias("error"))
-
-    direct = resolved.where(status == adm.DIRECT).select(
-        "request_id", F.lit(K.DIRECT_PROVIDER).alias("provider"), F.lit(K.DIRECT_MODEL).alias("model"),
-        status, go_trim("text").alias("text"), F.lit("").alias("error"))
-
-    ready_local = resolved.where((status == adm.READY) & (F.col("provider") == "local")) \
-        .select("request_id", "text", "source", "target", "model")
-    local = translate_requests(ready_local, memory, kind, options, memory_path).select(
-        "request_id", F.lit("local").alias("provider"), "model",
-        F.when(F.col("error") == "", F.lit("OK")).otherwise(F.lit("FAILED")).alias("status"), "text", "error")
-
-    branches = [rejected, direct, local]
+    rs = F.col("route_status")
+    done = assembled.select(
+        "request_id", "provider", "model",
+        F.when((rs == adm.READY) & (F.col("provider") == "local"),
+               F.when(F.col("error") == "", F.lit("OK")).otherwise(F.lit("FAILED")))
+        .when((rs == adm.READY) & (F.col("provider") == "llm"),
+              F.lit("NO_REPLY" if replies is not None else "AWAITING_REPLY"))
+        .otherwise(rs).alias("status"),
+        "text",
+        F.when(rs == adm.READY, F.col("error")).otherwise(F.col("pre_error")).alias("error"))
     if replies is None:
-        # no landed replies yet: LLM-routed requests are reported as waiting, never dropped
-        branches.append(resolved.where((status == adm.READY) & (F.col("provider") == "llm")).select(
-            "request_id", F.lit("llm").alias("provider"), "model", F.lit("AWAITING_REPLY").alias("status"),
-            F.lit("").alias("text"), F.lit("").alias("error")))
-    else:
-        ready_llm = resolved.where((status == adm.READY) & (F.col("provider") == "llm"))
-        decoded = reply.decode_replies(reply.correlate(ready_llm, replies).drop("model"))
-        llm = ready_llm.select("request_id", "model").join(decoded, "request_id", "left").select(
-            "request_id", F.lit("llm").alias("provider"), "model",
-            F.coalesce("status", F.lit("NO_REPLY")).alias("status"),
-            F.coalesce("text", F.lit("")).alias("text"), F.coalesce("error", F.lit("")).alias("error"))
-        branches.append(llm)
-    out = branches[0]
-    for b in branches[1:]:
-        out = out.unionByName(b)
-    return out.select(*RESULT_COLUMNS)
+        return done.select(*RESULT_COLUMNS)
+    # The result rows are already hash-partitioned by request id, so the join shuffles only replies.
+    llm_ids = done.where(F.col("status") == "NO_REPLY").select("request_id")
+    decoded = reply.decode_replies(llm_ids.join(replies, "request_id", "inner"))
+    out = done.join(decoded.select("request_id", F.col("status").alias("r_status"), F.col("text").alias("r_text"),
+                                   F.col("error").alias("r_error")), "request_id", "left")
+    got = F.col("r_status").isNotNull()
+    return out.select(
+        "request_id", "provider", "model",
+        F.when(got, F.col("r_status")).otherwise(F.col("status")).alias("status"),
+        F.when(got, F.col("r_text")).otherwise(F.col("text")).alias("text"),
+        F.when(got, F.col("r_error")).otherwise(F.col("error")).alias("error"))
 
 
 def audit_rows(requests: DataFrame, settings_raw: DataFrame, results: DataFrame) -> DataFrame:
