@@ -1,10 +1,10 @@
 """Chat-completion requests and replies.
 
 A landed reply is one row ``(request_id, http_status, content_type, body)``.
-Everything is decoded inside that row with higher-order functions and
-VARIANT reads: an event stream is split into events and folded without an
-explode, a window or a shuffle, so the work is linear in the body and runs
-in the scan's stage. The body size guard (K1) bounds every row.
+JSON completions are decoded inside their row. An event stream is exploded
+into one row per event (a narrow step), each event is parsed and type-checked
+with codegen'd VARIANT reads, and only the events' kind and text are shuffled
+to the per-reply fold. The body size guard (K1) bounds every reply.
 """
 
 from __future__ import annotations
@@ -72,6 +72,36 @@ def _object_or_absent(v, path):
     return _absent(k) | _is(k, "OBJECT")
 
 
+def _exists(v: Column, path: str) -> Column:
+    return F.variant_get(v, path, "variant").isNotNull()
+
+
+def _kind_or(v: Column, path: str, implied: Column, kind: str) -> Column:
+    """The kind at ``path``, answered without walking the value when ``implied`` proves it
+    (a successful deeper lookup proves every container on the way); exact either way."""
+    return F.when(implied, F.lit(kind)).otherwise(_kind(v, path))
+
+
+def _fast_kinds(v: Column, head: Column) -> dict:
+    """Kinds of the paths the decoders check, using cheap proofs first. ``head`` is a
+    prefix of the JSON text (to see a leading '{')."""
+    c0 = "$.choices[0]"
+    has_dc, has_mc = _exists(v, c0 + ".delta.content"), _exists(v, c0 + ".message.content")
+    has_d, has_m = _exists(v, c0 + ".delta"), _exists(v, c0 + ".message")
+    has_c0 = _exists(v, c0)
+    return {
+        "$": _kind_or(v, "$", F.regexp_like(head, F.lit(r"^[ \t\r\n]*\{")), "OBJECT"),
+        "$.choices": _kind_or(v, "$.choices", has_c0, "ARRAY"),
+        c0: _kind_or(v, c0, has_d | has_m, "OBJECT"),
+        c0 + ".delta": _kind_or(v, c0 + ".delta", has_dc, "OBJECT"),
+        c0 + ".message": _kind_or(v, c0 + ".message", has_mc, "OBJECT"),
+        c0 + ".delta.content": _kind(v, c0 + ".delta.content"),
+        c0 + ".message.content": _kind(v, c0 + ".message.content"),
+        "$.error": _kind(v, "$.error"),
+        "$.error.message": _kind(v, "$.error.message"),
+    }
+
+
 def _str(v, path) -> Column:
     return F.coalesce(F.variant_get(v, path, "string"), F.lit(""))
 
@@ -84,13 +114,14 @@ def _str(v, path) -> Column:
 # expression tree that repeats a heavy subtree inside a conditional branch is
 # evaluated once per repetition.)
 
-def _completion_fields(v: Column) -> Column:
+def _completion_fields(v: Column, head: Column) -> Column:
     """struct(status, text) from a parsed completion body."""
-    choices = _kind(v, "$.choices")
-    well_typed = (v.isNotNull() & _object_or_absent(v, "$")
-                  & (_absent(choices) | _is(choices, "ARRAY"))
-                  & _object_or_absent(v, "$.choices[0]") & _object_or_absent(v, "$.choices[0].message")
-                  & _string_or_absent(v, "$.choices[0].message.content"))
+    k = _fast_kinds(v, head)
+    obj = lambda p: _absent(k[p]) | _is(k[p], "OBJECT")
+    well_typed = (v.isNotNull() & obj("$")
+                  & (_absent(k["$.choices"]) | _is(k["$.choices"], "ARRAY"))
+                  & obj("$.choices[0]") & obj("$.choices[0].message")
+                  & (_absent(k["$.choices[0].message.content"]) | (k["$.choices[0].message.content"] == "STRING")))
     return F.struct(well_typed.alias("ok"), go_trim(_str(v, "$.choices[0].message.content")).alias("content"))
 
 
@@ -104,7 +135,7 @@ def decode_completions(df: DataFrame, body: str = "body", out: str = "completion
     """Adds ``out`` = struct(status, text) for JSON completion bodies (NULL where ``where`` is false)."""
     parsed = F.try_parse_json(body) if where is None else F.when(where, F.try_parse_json(body))
     d = df.withColumn("_v", parsed)
-    d = d.withColumn("_c", _completion_fields(F.col("_v")))
+    d = d.withColumn("_c", _completion_fields(F.col("_v"), F.substring(body, 1, 64)))
     d = d.withColumn(out, _completion_status(F.col("_c")))
     if where is not None:
         d = d.withColumn(out, F.when(where, F.col(out)))
@@ -151,14 +182,16 @@ def _event_rows(rows: DataFrame, body: str = "body") -> DataFrame:
     ev = ev.select("request_id", "ev", event_data(F.col("raw")).alias("data"))
     ev = ev.withColumn("d", go_trim("data")).withColumn("v", F.try_parse_json("d"))
     v = F.col("v")
-    err = _kind(v, "$.error")
-    choices = _kind(v, "$.choices")
-    well_typed = (v.isNotNull() & _object_or_absent(v, "$")
-                  & (_absent(err) | _is(err, "OBJECT")) & _string_or_absent(v, "$.error.message")
-                  & (_absent(choices) | _is(choices, "ARRAY")) & _object_or_absent(v, "$.choices[0]")
-                  & _object_or_absent(v, "$.choices[0].delta") & _object_or_absent(v, "$.choices[0].message")
-                  & _string_or_absent(v, "$.choices[0].delta.content")
-                  & _string_or_absent(v, "$.choices[0].message.content"))
+    kinds = _fast_kinds(v, F.substring("d", 1, 64))
+    ev = ev.select("*", *[c.alias(f"_k{i}") for i, c in enumerate(kinds.values())])
+    k = {p: F.col(f"_k{i}") for i, p in enumerate(kinds)}
+    obj = lambda p: _absent(k[p]) | _is(k[p], "OBJECT")
+    text_ok = lambda p: _absent(k[p]) | (k[p] == "STRING")
+    err = k["$.error"]
+    well_typed = (v.isNotNull() & obj("$") & obj("$.error") & text_ok("$.error.message")
+                  & (_absent(k["$.choices"]) | _is(k["$.choices"], "ARRAY")) & obj("$.choices[0]")
+                  & obj("$.choices[0].delta") & obj("$.choices[0].message")
+                  & text_ok("$.choices[0].delta.content") & text_ok("$.choices[0].message.content"))
     kind = (F.when(F.col("data").isNull() | (F.col("d") == ""), F.lit("SKIP"))
             .when(F.col("d") == "[DONE]", F.lit("DONE"))
             .when(~well_typed, F.lit(PARSE_ERROR))
