@@ -85,7 +85,9 @@ def spread(df: DataFrame) -> DataFrame:
     per-row stage in a single task. On a large input the scan already has more
     partitions than cores and this is a no-op, so no shuffle is added.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        few = df.rdd.getNumPartitions() < target
+    except Exception:  # sessions without RDD access (Spark Connect): leave the scan as it is
+        return df
+    return df.repartition(target) if few else df
