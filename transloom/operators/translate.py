@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from transloom.operators import memory as tm
-from transloom.session import materialize
+from transloom.session import materialize, ship_package
 from transloom.operators.segment import SEGMENT_KEYS, fan_out, paragraphs, reassemble, unique_segments
 
 TRANSLATED_SCHEMA = "source string, target string, model string, segment string, translation string, error string"
@@ -46,6 +46,7 @@ def _translate_batches(kind: str, options: dict | None):
 def translate_segments(unique: DataFrame, kind: str = "pseudo", options: dict | None = None) -> DataFrame:
     """Model call per Arrow batch. Sorting inside each partition by pair and length
     keeps one pair per backend call and similar lengths together (less padding)."""
+    ship_package(unique.sparkSession)
     ordered = unique.sortWithinPartitions("model", "source", "target", F.length("segment"))
     return ordered.select(*SEGMENT_KEYS).mapInPandas(_translate_batches(kind, options), TRANSLATED_SCHEMA)
 

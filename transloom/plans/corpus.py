@@ -71,8 +71,10 @@ def translate_corpus(requests: DataFrame, settings_raw: DataFrame, memory: DataF
         F.when(rs == adm.READY, F.col("error")).otherwise(F.col("pre_error")).alias("error"))
     if replies is None:
         return done.select(*RESULT_COLUMNS)
+    # LLM ids come from the resolved requests, not from ``done``: a second use of ``done``
+    # would get its filter pushed below the reassembly and re-run the whole translation.
     # The result rows are already hash-partitioned by request id, so the join shuffles only replies.
-    llm_ids = done.where(F.col("status") == "NO_REPLY").select("request_id")
+    llm_ids = resolved.where(is_llm).select("request_id")
     decoded = reply.decode_replies(llm_ids.join(replies, "request_id", "inner"))
     out = done.join(decoded.select("request_id", F.col("status").alias("r_status"), F.col("text").alias("r_text"),
                                    F.col("error").alias("r_error")), "request_id", "left")

@@ -91,3 +91,34 @@ def spread(df: DataFrame) -> DataFrame:
     except Exception:  # sessions without RDD access (Spark Connect): leave the scan as it is
         return df
     return df.repartition(target) if few else df
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``transloom`` importable in the Python workers before a Python stage runs.
+
+    On a cluster the package is normally installed on the executors or passed with
+    ``--py-files``; this covers sessions where it is only on the driver's path. The zip is
+    staged on the driver and Spark's file server distributes it (no executor reads a
+    driver-local path). Done once per SparkContext.
+    """
+    sc = spark.sparkContext
+    key = id(sc)
+    if key in _SHIPPED:
+        return
+    _SHIPPED.add(key)
+    import zipfile
+
+    import transloom
+    root = os.path.dirname(os.path.abspath(transloom.__file__))
+    stage = tempfile.mkdtemp(prefix="transloom-pkg-")
+    path = os.path.join(stage, "transloom.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for dirpath, _dirs, files in os.walk(root):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(dirpath, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from transloom import constants as K
+from transloom.session import ship_package
 
 # The Unicode White_Space set of the trim rule (transloom.constants.WHITE_SPACE_CLASS).
 _GO_SPACE = ("\t\n\x0b\f\r \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
@@ -71,6 +72,7 @@ def coalesce_deltas(stream: DataFrame, interval_ms: int = K.DELTA_INTERVAL_MS, t
     With ``timeout`` a reply that stays silent for ten minutes is dropped with its
     state (the query then runs empty batches to fire timeouts, so it never idles).
     """
+    ship_package(stream.sparkSession)
     conf = GroupStateTimeout.ProcessingTimeTimeout if timeout else GroupStateTimeout.NoTimeout
     return stream.groupBy("request_id").applyInPandasWithState(
         _coalesce_fn(interval_ms, timeout), COALESCE_OUT, COALESCE_STATE, "append", conf)
@@ -106,5 +108,6 @@ def _feed_fn(key, batches: Iterator[pd.DataFrame], state):
 
 def change_feed(stream: DataFrame) -> DataFrame:
     """The stream twin of ``operators.feed.change_feed`` (same rules, state per device)."""
+    ship_package(stream.sparkSession)
     return stream.groupBy("device").applyInPandasWithState(
         _feed_fn, FEED_OUT, FEED_STATE, "append", GroupStateTimeout.NoTimeout)
