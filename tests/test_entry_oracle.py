@@ -44,3 +44,16 @@ def test_oracle_agrees(spark, name):
     assert cols == sorted(want.column_names)
     rows = lambda t: sorted("\x1f".join(_canon(r[c]) for c in cols) for r in t.select(cols).to_pylist())
     assert rows(got) == rows(want)
+
+
+def test_flagship_runs_the_model_stage_once(spark):
+    import contextlib
+    import io
+    df = E.entry(spark)
+    df.collect()
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain()
+    final = buf.getvalue().split("Initial Plan")[0]
+    assert "isFinalPlan=true" in final
+    assert final.count("MapInPandas") == 1
