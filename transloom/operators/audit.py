@@ -60,3 +60,10 @@ def parse_log_lines(lines: DataFrame) -> DataFrame:
         kv_field(line, "characters").try_cast("bigint").alias("characters"),
         kv_field(line, "model").alias("model"),
         kv_field(line, "error").alias("error"))
+
+
+def append_audit(audit_rows: DataFrame, path: str, run_id: str) -> None:
+    """Durable audit table, one partition per run. Re-running a run id replaces only
+    that run's partition (dynamic overwrite), so a retried job does not duplicate rows."""
+    (audit_rows.withColumn("run_id", F.lit(run_id)).write
+     .option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("run_id").parquet(path))

@@ -67,3 +67,11 @@ def response_rows(results: DataFrame) -> DataFrame:
 def write_response_lines(responses: DataFrame, path: str, mode: str = "overwrite") -> None:
     """S2 sink: JSON lines, non-ASCII written literally (Spark's JSON writer does)."""
     responses.select(*RESPONSE_COLUMNS).write.mode(mode).json(path)
+
+
+def read_settings_files(spark: SparkSession, path: str) -> DataFrame:
+    """S3: one settings JSON document per file; the file name (without extension) is the tenant.
+    The raw text is kept; ``operators.settings.normalize_settings`` parses it."""
+    raw = spark.read.text(path, wholetext=True)
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.json)?$", 1)
+    return raw.select(name.alias("tenant"), F.col("value").alias("raw"))
