@@ -4,8 +4,7 @@ Each string is standalone SQL over the pre-registered views (documents,
 events, pages, benchmark, conversations, ...). Derived tables are rebuilt as
 CTEs by the same rules ``transloom.sources.fixtures`` uses in Spark. Queries
 whose semantics SQL cannot state without a sequential fold (``delta_batches``,
-``paired_events``) have no twin; ``error_message`` (UTF-8 byte cut plus the UI's
-error clean-up) is checked through ``all_results`` and unit tests instead.
+``paired_events``) have no twin; they are checked against sequential loops in tests.
 """
 
 from __future__ import annotations
@@ -570,6 +569,13 @@ SELECT request_id, part_no, chunk_no, n AS n_in, len(out) AS n_out, array_to_str
 SELECT source, target, model, segment, {pseudo("segment", "target")} AS translation, '' AS error
 FROM (SELECT u.* FROM uniq u ANTI JOIN mem m USING (source, target, model, segment)) x"""
     q["reassembled"] = f"{BASE},{LOCAL_PARTS},{REASSEMBLED} SELECT * FROM reassembled"
+    q["error_message"] = f"""WITH {REPLIES.lstrip()},
+e AS (SELECT *, {_http_message("body")} AS hm FROM replies WHERE http_status < 200 OR http_status >= 300),
+c AS (SELECT *, {_byte_cut("hm")} AS cut FROM e)
+SELECT request_id, CAST(http_status AS BIGINT) AS http_status,
+  regexp_replace({lit(K.MSG_HTTP_ERROR_HEAD)} || CAST(http_status AS VARCHAR) || {lit(K.MSG_HTTP_ERROR_MID)} || cut,
+                 '(?i)^Error:\s*', '') AS error
+FROM c"""
     q["round_trip"] = f"""{BASE},{LOCAL_PARTS},{REASSEMBLED},
 fw AS (SELECT r.request_id, r.text AS original, r.source, a.text AS forward FROM rl r JOIN reassembled a USING (request_id)),
 bp AS (SELECT request_id, source, unnest({parts("forward")}) AS part, generate_subscripts({parts("forward")}, 1) AS part_no
