@@ -28,7 +28,8 @@ def lower_ascii(col: Column) -> Column:
 
 def words(col: Column) -> Column:
     """Words of a text (maximal runs outside ASCII white space); none for null or blank text."""
-    return F.filter(F.split(F.coalesce(col, F.lit("")), WHITE + "+"), lambda w: w != "")
+    inner = F.btrim(F.coalesce(col, F.lit("")), F.lit(WHITE_CHARS))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, WHITE + "+", -1))
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:

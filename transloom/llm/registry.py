@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transloom.llm import language_id, line_dedup, quality, simhash, url_filters
+from transloom.llm import (decontaminate, language_id, line_dedup, lm_scoring, packing, pii, quality, sharding, simhash,
+                           url_filters)
 from transloom.llm.common import crc_mod, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +18,23 @@ URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.exam
              ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = crc_mod(F.col("doc_id"), 7)
+    return lm_scoring.score_documents(read_table(spark, sf_dir, "documents"), held_out=fold == 2, deleted=fold == 6)
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(read_table(spark, sf_dir, "documents"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_out = crc_mod(F.col("doc_id"), 3) == 1
@@ -41,8 +59,15 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard_documents(read_table(spark, sf_dir, "documents"))
+    return found.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")}).select(
+        "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_language_id, op6_url_filters, op7_line_dedup, op8_quality_rules, op9_simhash)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_pii, op3_packing, op4_decontamination, op5_language_id, op6_url_filters, op7_line_dedup, op8_quality_rules,
+                                   op9_simhash, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
