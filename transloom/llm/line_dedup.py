@@ -103,7 +103,7 @@ def dropped_records(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 @F.pandas_udf(T.BinaryType())
 def _bitmap(dropped: pd.Series) -> pd.Series:
     def one(places: np.ndarray) -> bytes:
-        keep = np.ones(int(max(places)) + 1, np.uint8)
+        keep = np.ones((int(max(places)) // 8 + 1) * 8, np.uint8)
         keep[np.asarray(places)] = 0
         return zlib.compress(np.packbits(keep).tobytes())
     return dropped.map(one)
@@ -111,8 +111,8 @@ def _bitmap(dropped: pd.Series) -> pd.Series:
 
 def keep_bitmaps(docs: DataFrame, **options) -> DataFrame:
     """(doc, rid, n_dropped, keep): for documents that lose lines, a zlib-compressed bitmap, most significant bit
-    first, of the lines up to the last one that goes (bit set: the line stays). Lines after it stay."""
-    gone = dropped_records(docs, **options).groupBy("doc", "rid").agg(F.collect_list("pos").alias("places"))
+    first, of the lines up to the byte of the last one that goes (bit set: the line stays). Lines after it stay."""
+    gone = dropped_records(docs, **options).groupBy("doc", "rid").agg(F.collect_set("pos").alias("places"))
     return gone.select("doc", "rid", F.size("places").cast("bigint").alias("n_dropped"), _bitmap("places").alias("keep"))
 
 
