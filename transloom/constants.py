@@ -9,7 +9,7 @@ order, and imported everywhere else.
 # ---------------------------------------------------------------------------
 # FIXED VALUES: limits and generation budget
 # ---------------------------------------------------------------------------
-MAX_CHARS = 12000                 # trimmed code points per request; > rejects
+MAX_CHARS = 12000                 # trimmed code points per request: interactive limit, reported
 CHUNK_TOKENS = 420                # content token ids per chunk
 MODEL_INPUT_CAP = 512             # encoder truncation length
 OUTPUT_CAP = 512                  # generation cap: min(512, max(32, 4n + 16))
@@ -18,7 +18,6 @@ BEAMS = 4
 REPEAT_MIN = 3                    # repetition collapse: minimum repeats
 REPLY_BODY_CAP = 4 * 1024 * 1024  # JSON reply body, bytes
 SSE_LINE_CAP = 4 * 1024 * 1024    # one event-stream line, bytes
-LOG_LINE_CAP = 1024 * 1024        # one progress-log record, bytes
 ERROR_BYTES = 500                 # HTTP error text cut, bytes
 LLM_TIMEOUT_S = 120
 
@@ -80,6 +79,10 @@ MSG_LLM_NO_URL = "请先配置 LLM Base URL"
 MSG_LLM_NO_MODEL = "请先配置 LLM 模型名称"
 MSG_PAIR_UNSUPPORTED = "Helsinki 英中模型仅支持英语 → 中文；其他语言请选择 NLLB-200 或 LLM"
 MSG_MODEL_NOT_READY = "所选本地模型尚未下载，请先到模型管理中下载"
+MSG_NO_REPLY_STATUS = "LLM 回复没有状态码"
+MSG_BAD_REQUEST = "无法解析请求"
+MSG_SETTINGS_ERROR = "设置文件无法解析"
+MSG_MISSING_TRANSLATION = "模型没有返回这一段的译文"
 MSG_LANG_UNMAPPED = "当前 NLLB 界面语言映射不受支持"
 MSG_NO_TRANSLATION = "LLM 没有返回译文"
 MSG_PARSE_ERROR = "无法解析 LLM 响应"
@@ -125,3 +128,9 @@ TAP_MIN_GAP_MS = 40
 TAP_MAX_GAP_MS = 500
 TAP_MAX_HOLD_MS = 500
 TAP_REFRACTORY_MS = 250
+
+# ---------------------------------------------------------------------------
+# OWN VALUES: segments that begin so make the test double fail
+# ---------------------------------------------------------------------------
+PSEUDO_REFUSES = "[refuse] "
+MSG_PSEUDO_REFUSED = "the test double refuses this segment"

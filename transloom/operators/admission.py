@@ -13,17 +13,18 @@ from pyspark.sql import functions as F
 from transloom import constants as K
 from transloom.functions.text import go_trim, safe_name
 from transloom.operators.settings import DEFAULTS_ROW, normalize_settings
+from transloom.session import stored
 from transloom.sources import dims
 
 # Status codes (ours); the user-facing message for each is a fixed value.
 EMPTY, TOO_LONG, DIRECT, ADMITTED = "EMPTY", "TOO_LONG", "DIRECT", "ADMITTED"
 LLM_NO_URL, LLM_NO_MODEL = "LLM_NO_URL", "LLM_NO_MODEL"
-PAIR_UNSUPPORTED, MODEL_NOT_READY, LANG_UNMAPPED, READY = (
-    "PAIR_UNSUPPORTED", "MODEL_NOT_READY", "LANG_UNMAPPED", "READY")
+PAIR_UNSUPPORTED, MODEL_NOT_READY, LANG_UNMAPPED, READY, SETTINGS_ERROR = (
+    "PAIR_UNSUPPORTED", "MODEL_NOT_READY", "LANG_UNMAPPED", "READY", "SETTINGS_ERROR")
 
 STATUS_MESSAGES = {
     EMPTY: K.MSG_EMPTY, TOO_LONG: K.MSG_TOO_LONG, LLM_NO_URL: K.MSG_LLM_NO_URL,
-    LLM_NO_MODEL: K.MSG_LLM_NO_MODEL, PAIR_UNSUPPORTED: K.MSG_PAIR_UNSUPPORTED,
+    LLM_NO_MODEL: K.MSG_LLM_NO_MODEL, SETTINGS_ERROR: K.MSG_SETTINGS_ERROR, PAIR_UNSUPPORTED: K.MSG_PAIR_UNSUPPORTED,
     MODEL_NOT_READY: K.MSG_MODEL_NOT_READY, LANG_UNMAPPED: K.MSG_LANG_UNMAPPED,
 }
 
@@ -35,15 +36,21 @@ def status_message(status) -> F.Column:
     return out
 
 
-def admit(requests: DataFrame) -> DataFrame:
-    """Ordered checks on the trimmed text and the raw language pair."""
+def admit(requests: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Ordered checks on the trimmed text and the raw language pair.
+
+    A NULL text, source or target counts as empty. ``over_limit`` reports texts above the
+    interactive limit of 12,000 code points; they are translated like any other unless
+    ``max_chars`` is set, which rejects longer ones as TOO_LONG.
+    """
+    requests = requests.withColumns({c: F.coalesce(c, F.lit("")) for c in ("text", "source", "target")})
     trimmed = go_trim("text")
     n = F.length(trimmed)
-    status = (F.when(trimmed == "", F.lit(EMPTY))
-              .when(n > K.MAX_CHARS, F.lit(TOO_LONG))
-              .when(F.col("source") == F.col("target"), F.lit(DIRECT))
-              .otherwise(F.lit(ADMITTED)))
-    return requests.select("*", n.alias("n_chars"), status.alias("status"))
+    status = F.when(trimmed == "", F.lit(EMPTY))
+    if max_chars is not None:
+        status = status.when(n > max_chars, F.lit(TOO_LONG))
+    status = status.when(F.col("source") == F.col("target"), F.lit(DIRECT)).otherwise(F.lit(ADMITTED))
+    return requests.select("*", n.alias("n_chars"), (n > K.MAX_CHARS).alias("over_limit"), status.alias("status"))
 
 
 def direct_results(admitted: DataFrame) -> DataFrame:
@@ -56,15 +63,17 @@ def direct_results(admitted: DataFrame) -> DataFrame:
 def with_settings(admitted: DataFrame, settings_raw: DataFrame) -> DataFrame:
     """Tenant settings (normalised); tenants without settings get the defaults.
 
-    Settings hold one row per tenant. No broadcast hint: the planner (and AQE at
-    run time) broadcasts them only when their measured size is under the
-    broadcast threshold, and shuffles otherwise.
+    Settings hold one row per tenant. They are written once, so the planner knows their size:
+    it broadcasts them under its threshold (the corpus text is then not shuffled) and
+    shuffles, splitting skewed tenants, above it. A tenant whose settings can't be read
+    keeps the reason in ``settings_error``.
     """
-    s = normalize_settings(settings_raw)
+    s = stored(normalize_settings(settings_raw), "settings")
     joined = admitted.join(s, "tenant", "left")
     return joined.select(
         *admitted.columns,
         *[F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in DEFAULTS_ROW.items()],
+        F.coalesce("settings_error", F.lit("")).alias("settings_error"),
     )
 
 
@@ -89,7 +98,8 @@ def route(filled: DataFrame) -> DataFrame:
     codes = [c for c, _, _ in K.LANGUAGES]
     is_llm = F.col("provider") == "llm"
     capability = (
-        F.when(F.col("status") != ADMITTED, F.col("status"))
+        F.when(F.col("settings_error") != "", F.lit(SETTINGS_ERROR))  # nothing starts on refused settings
+        .when(F.col("status") != ADMITTED, F.col("status"))
         .when(is_llm & (go_trim("llm_base_url") == ""), F.lit(LLM_NO_URL))
         .when(is_llm & (go_trim("llm_model") == ""), F.lit(LLM_NO_MODEL))
         .when(is_llm, F.lit(READY))
@@ -102,13 +112,11 @@ def route(filled: DataFrame) -> DataFrame:
     return df.withColumn("status", capability).drop("marker")
 
 
-def resolve(requests: DataFrame, settings_raw: DataFrame) -> DataFrame:
-    """P1 -> J3 -> P3 -> P4/P5 in the reference's order."""
-    return route(fill_languages(with_settings(admit(requests), settings_raw)))
-
-
-RESOLVED_COLUMNS = ["request_id", "tenant", "text", "source", "target", "n_chars", "status",
-                    "provider", "model", "llm_base_url"]
+def resolve(requests: DataFrame, settings_raw: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """P1 -> J3 -> P3 -> P4/P5 in order; ``raw_source`` and ``raw_target`` keep the pair as asked for."""
+    admitted = admit(requests, max_chars)
+    admitted = admitted.withColumns({"raw_source": F.col("source"), "raw_target": F.col("target")})
+    return route(fill_languages(with_settings(admitted, settings_raw)))
 
 
 def language_lookup(requests: DataFrame) -> DataFrame:

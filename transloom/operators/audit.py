@@ -1,8 +1,7 @@
 """Run audit and analytics.
 
 Summaries are plain ``groupBy`` aggregates with partial aggregation before the
-shuffle; no per-group buffering (exact percentiles would buffer a whole group
-in one task, so the profile reports sums, counts and maxima).
+shuffle; the median is a merged sketch (``percentile_approx``), so no group is buffered.
 """
 
 from __future__ import annotations
@@ -28,24 +27,29 @@ def length_profile(documents: DataFrame) -> DataFrame:
         F.count(F.lit(1)).cast("bigint").alias("n_docs"),
         F.sum(F.when(n > K.MAX_CHARS, 1).otherwise(0)).cast("bigint").alias("n_over_limit"),
         F.max(n).cast("bigint").alias("max_chars"),
-        F.sum(n).cast("bigint").alias("total_chars"))
+        F.sum(n).cast("bigint").alias("total_chars"),
+        F.percentile_approx(n, 0.5, 1_000_000).cast("bigint").alias("median_chars"))
+
+
+NOT_STARTED = ("EMPTY", "TOO_LONG", "DIRECT", "SETTINGS_ERROR")
 
 
 def log_lines(audit_rows: DataFrame) -> DataFrame:
-    """The log lines a run writes: a start line for every request that reaches a backend,
-    then a completion or failure line."""
-    translated = audit_rows.where(F.col("provider").isin("local", "llm") & F.col("status").isin(
-        "OK", "FAILED", "HTTP_ERROR", "PARSE_ERROR", "NO_TRANSLATION", "STREAM_ERROR", "REPLY_TOO_LARGE",
-        "NO_REPLY"))
+    """The log lines a run writes: a start line, with the pair as asked for, for every request past
+    the same-language check; then a completion line, or a failure line with the message.
+    An unsupported pair is refused between the two and gets no second line."""
+    started_rows = audit_rows.where(~F.col("status").isin(*NOT_STARTED))
     label = F.when(F.col("provider") == "llm", F.lit("LLM")).otherwise(F.lit("local"))
     started = F.concat(F.lit("translation started; provider="), F.col("provider"), F.lit(" source="),
                        F.col("source"), F.lit(" target="), F.col("target"), F.lit(" characters="),
                        F.col("n_chars").cast("string"))
     done = F.when(F.col("status") == "OK", F.concat(label, F.lit(" translation completed; model="), F.col("model"))) \
         .otherwise(F.concat(label, F.lit(" translation failed; model="), F.col("model"), F.lit(" error="),
-                            F.col("status")))
-    return translated.select("request_id", F.inline(F.array(
-        F.struct(F.lit(0).alias("n"), started.alias("line")), F.struct(F.lit(1).alias("n"), done.alias("line")))))
+                            F.col("error")))
+    second = F.when(~F.col("status").isin("PAIR_UNSUPPORTED", "AWAITING_REPLY"),
+                    F.struct(F.lit(1).alias("n"), done.alias("line")))
+    return started_rows.select("request_id", F.inline(F.array_compact(F.array(
+        F.struct(F.lit(0).alias("n"), started.alias("line")), second))))
 
 
 def parse_log_lines(lines: DataFrame) -> DataFrame:
@@ -59,7 +63,7 @@ def parse_log_lines(lines: DataFrame) -> DataFrame:
         kv_field(line, "target").alias("target"),
         kv_field(line, "characters").try_cast("bigint").alias("characters"),
         kv_field(line, "model").alias("model"),
-        kv_field(line, "error").alias("error"))
+        F.regexp_extract(line, r"(?s)^[^;]*;.*? error=(.*)$", 1).alias("error"))
 
 
 def append_audit(audit_rows: DataFrame, path: str, run_id: str) -> None:

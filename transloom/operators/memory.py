@@ -17,18 +17,28 @@ from transloom.operators.segment import SEGMENT_KEYS
 MEMORY_COLUMNS = [*SEGMENT_KEYS, "translation"]
 
 
-def hits(unique: DataFrame, memory: DataFrame) -> DataFrame:
-    # One row per key even if two runs appended the same segment; the grouping
-    # shares the join's hash partitioning, so it adds no exchange.
+def recall(unique: DataFrame, memory: DataFrame) -> DataFrame:
+    """Every segment with its ``translation`` from the memory, NULL where it has none.
+    One row per key even if two runs stored the same segment; the grouping shares the
+    join's hash partitioning, so it adds no exchange."""
     one = memory.groupBy(*SEGMENT_KEYS).agg(F.min("translation").alias("translation"))
-    return unique.join(one, SEGMENT_KEYS, "inner").withColumn("error", F.lit(""))
+    return unique.join(one, SEGMENT_KEYS, "left")
+
+
+def hits(unique: DataFrame, memory: DataFrame) -> DataFrame:
+    return recall(unique, memory).where(F.col("translation").isNotNull())
 
 
 def misses(unique: DataFrame, memory: DataFrame) -> DataFrame:
     return unique.join(memory.select(*SEGMENT_KEYS), SEGMENT_KEYS, "left_anti")
 
 
-def remember(translated: DataFrame, path: str) -> None:
-    """Append successful translations to the memory table at ``path``."""
+def remember(translated: DataFrame, path: str, run: str | None = None) -> None:
+    """Store successful translations in the memory table at ``path``. Rows of one ``run`` are one
+    partition: storing the same run again (a replayed batch) replaces it."""
     ok = translated.where(F.col("error") == "").select(*MEMORY_COLUMNS)
-    ok.write.mode("append").parquet(path)
+    if run is None:
+        ok.withColumn("run", F.lit("")).write.mode("append").partitionBy("run").parquet(path)
+    else:
+        (ok.withColumn("run", F.lit(run)).write.option("partitionOverwriteMode", "dynamic").mode("overwrite")
+         .partitionBy("run").parquet(path))

@@ -1,8 +1,8 @@
 """Segmentation and reassembly.
 
 Splitting is a narrow ``posexplode`` (no shuffle). Reassembly is one
-``groupBy(request_id)``; a request's parts are bounded because admission
-rejects texts over 12,000 code points, so no group can grow with the data.
+``groupBy(request_id)``: a group holds one request's parts, which were one cell of
+the input before, so no group grows with the table.
 """
 
 from __future__ import annotations
@@ -57,19 +57,21 @@ def unique_segments(parts: DataFrame) -> DataFrame:
 
 
 def fan_out(parts: DataFrame, translated: DataFrame, carry: tuple = ()) -> DataFrame:
-    """Every part gets its translation; separators pass through.
+    """Every part gets its translation by one left join; separators (and parts that carry a
+    ready result in ``out``) pass through. A segment without a translation is an error row.
 
     Hot segments make the part side skewed; AQE's skew-join split handles it
     (the translated side holds one row per key).
     """
-    segs = parts.where(~F.col("is_sep")).withColumnRenamed("part", "segment")
-    joined = segs.join(translated, SEGMENT_KEYS, "left").select(
+    ready = F.col("out") if "out" in parts.columns else F.col("part")
+    segs = parts.withColumn("ready", ready).withColumn("segment", F.when(~F.col("is_sep"), F.col("part")))
+    joined = segs.join(translated, SEGMENT_KEYS, "left")
+    is_seg, found = F.col("segment").isNotNull(), F.col("translation").isNotNull() & (F.col("error") == "")
+    lost = F.when(F.coalesce("error", F.lit("")) != "", F.col("error")).otherwise(F.lit(K.MSG_MISSING_TRANSLATION))
+    return joined.select(
         "request_id", "model", "part_no",
-        F.coalesce("translation", F.lit("")).alias("out"),
-        F.coalesce("error", F.lit("")).alias("error"), *carry)
-    seps = parts.where(F.col("is_sep")).select("request_id", "model", "part_no", F.col("part").alias("out"),
-                                               F.lit("").alias("error"), *carry)
-    return joined.unionByName(seps)
+        F.when(~is_seg, F.col("ready")).when(found, F.col("translation")).otherwise(F.lit("")).alias("out"),
+        F.when(is_seg & ~F.coalesce(found, F.lit(False)), lost).otherwise(F.lit("")).alias("error"), *carry)
 
 
 def reassemble(translated_parts: DataFrame, carry: tuple = ()) -> DataFrame:

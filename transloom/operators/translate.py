@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from transloom.operators import memory as tm
-from transloom.session import materialize, ship_package
+from transloom.operators.admission import READY, resolve, status_message
+from transloom.session import materialize, ship_package, stored
 from transloom.operators.segment import SEGMENT_KEYS, fan_out, paragraphs, reassemble, unique_segments
 
 TRANSLATED_SCHEMA = "source string, target string, model string, segment string, translation string, error string"
@@ -26,17 +27,20 @@ def _translate_batches(kind: str, options: dict | None):
         for pdf in batches:
             if pdf.empty:
                 continue
-            translation = [""] * len(pdf)
-            error = [""] * len(pdf)
-            for (model, source, target), idx in pdf.groupby(["model", "source", "target"], sort=False).indices.items():
-                texts = pdf["segment"].iloc[idx].tolist()
+            pdf = pdf.reset_index(drop=True)
+            translation, error = pdf["translation"].tolist(), [""] * len(pdf)
+            todo = pdf[pdf["translation"].isna()]
+            for (model, source, target), idx in todo.groupby(["model", "source", "target"], sort=False, dropna=False).groups.items():
+                texts = todo["segment"].loc[idx].tolist()
                 try:
                     out = open_backend(kind, model, options).translate(texts, source, target)
+                    if len(out) != len(texts):
+                        raise RuntimeError(f"{len(out)} translations came back for {len(texts)} segments")
                 except Exception as exc:  # backend failed to open or crashed on the batch
                     out = [exc] * len(texts)
                 for i, value in zip(idx, out):
                     if isinstance(value, BaseException):
-                        error[i] = str(value) or type(value).__name__
+                        translation[i], error[i] = "", str(value) or type(value).__name__
                     else:
                         translation[i] = value
             yield pdf.assign(translation=translation, error=error)
@@ -44,33 +48,33 @@ def _translate_batches(kind: str, options: dict | None):
 
 
 def translate_segments(unique: DataFrame, kind: str = "pseudo", options: dict | None = None) -> DataFrame:
-    """Model call per Arrow batch. Sorting inside each partition by pair and length
-    keeps one pair per backend call and similar lengths together (less padding)."""
+    """Model call per Arrow batch; rows that have a ``translation`` already pass through.
+    Sorting inside each partition by pair and length keeps one pair per backend call and
+    similar lengths together (less padding)."""
     ship_package(unique.sparkSession)
+    if "translation" not in unique.columns:
+        unique = unique.withColumn("translation", F.lit(None).cast("string"))
     ordered = unique.sortWithinPartitions("model", "source", "target", F.length("segment"))
-    return ordered.select(*SEGMENT_KEYS).mapInPandas(_translate_batches(kind, options), TRANSLATED_SCHEMA)
+    return ordered.select(*SEGMENT_KEYS, "translation").mapInPandas(_translate_batches(kind, options), TRANSLATED_SCHEMA)
 
 
 def translate_parts(parts: DataFrame, memory: DataFrame | None = None, kind: str = "pseudo",
-                    options: dict | None = None, memory_path: str | None = None, carry: tuple = ()) -> DataFrame:
+                    options: dict | None = None, memory_path: str | None = None, carry: tuple = (),
+                    run: str | None = None) -> DataFrame:
     """B3 + B4 + J6: translated parts ``(request_id, part_no, out, error)``.
 
-    With ``memory_path`` the fresh translations are appended to the memory table
-    first and read back from it, so the paid call is materialised before the join.
+    One left join gives the unique segments their memory entry, one Python pass translates
+    the others. With ``memory_path`` the fresh translations are stored in the memory table
+    under ``run`` first and read back, so the paid call is materialised before the join.
     """
     unique = unique_segments(parts)
-    if memory is not None:
-        found = tm.hits(unique, memory)
-        fresh = translate_segments(tm.misses(unique, memory), kind, options)
-    else:
-        found = None
-        fresh = translate_segments(unique, kind, options)
+    known = tm.recall(unique, memory) if memory is not None else unique
+    translated = translate_segments(known, kind, options)
     if memory_path is not None:
         # Call the model once: the checkpoint in the shared folder is what later
         # stages (and retries) read, then the memory table gets the good rows.
-        fresh = materialize(fresh)
-        tm.remember(fresh, memory_path)
-    translated = fresh if found is None else fresh.unionByName(found)
+        translated = materialize(translated)
+        tm.remember(tm.misses(translated, memory) if memory is not None else translated, memory_path, run)
     return fan_out(parts, translated, carry)
 
 
@@ -81,18 +85,23 @@ def translate_requests(ready_local: DataFrame, memory: DataFrame | None = None,
     return reassemble(translate_parts(parts, memory, kind, options, memory_path))
 
 
-def round_trip(requests: DataFrame, kind: str = "pseudo", options: dict | None = None) -> DataFrame:
-    """Translate, swap the pair, translate the result back; ``(request_id, original, forward, back)``."""
-    forward = translate_requests(requests, kind=kind, options=options)
-    fwd = requests.select("request_id", "source", "target", "model", F.col("text").alias("original")) \
+def round_trip(ready_local: DataFrame, settings_raw: DataFrame, kind: str = "pseudo",
+               options: dict | None = None) -> DataFrame:
+    """Translate, swap the pair, translate the result back; ``(request_id, original, forward, back, error)``.
+    The way back is a request like any other: it passes admission, routing and the capability checks."""
+    forward = translate_requests(ready_local, kind=kind, options=options)
+    fwd = ready_local.select("request_id", "tenant", "source", "target", F.col("text").alias("original")) \
         .join(forward.select("request_id", F.col("text").alias("forward"), F.col("error").alias("fwd_error")),
               "request_id")
+    fwd = stored(fwd, "forward")  # read by both legs below; the model is not asked twice
     swapped = fwd.where(F.col("fwd_error") == "").select(
-        "request_id", F.col("forward").alias("text"), F.col("target").alias("source"),
-        F.col("source").alias("target"), "model")
-    back = translate_requests(swapped, kind=kind, options=options)
-    return fwd.join(back.select("request_id", F.col("text").alias("back"), F.col("error").alias("back_error")),
-                    "request_id", "left").select(
+        "request_id", "tenant", F.col("forward").alias("text"), F.col("target").alias("source"), F.col("source").alias("target"))
+    resolved = resolve(swapped, settings_raw)
+    goes = (F.col("status") == READY) & (F.col("provider") == "local")
+    back = translate_requests(resolved.where(goes), kind=kind, options=options).select(
+        "request_id", F.col("text").alias("back"), F.col("error").alias("back_error"))
+    refused = resolved.where(~goes).select("request_id", F.lit("").alias("back"), status_message(F.col("status")).alias("back_error"))
+    return fwd.join(back.unionByName(refused), "request_id", "left").select(
         "request_id", "original", "forward", F.coalesce("back", F.lit("")).alias("back"),
         F.when(F.col("fwd_error") != "", F.col("fwd_error")).otherwise(F.coalesce("back_error", F.lit("")))
         .alias("error"))

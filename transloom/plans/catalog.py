@@ -25,6 +25,7 @@ from transloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
+GUARD_BYTES = 8_192  # bytes that the reply report is asked for here, so that some replies exceed it
 
 
 def query(fn: Query) -> Query:
@@ -52,19 +53,19 @@ def _resolved(spark, d):
 def _ready_local(spark, d):
     r = _resolved(spark, d)
     return r.where((F.col("status") == adm.READY) & (F.col("provider") == "local")) \
-        .select("request_id", "text", "source", "target", "model")
+        .select("request_id", "tenant", "text", "source", "target", "model")
 
 
 def _memory(spark, d):
-    return fx.memory_seed(table(spark, d, "benchmark"))
+    return fx.memory_seed(table(spark, d, "benchmark"), _docs(spark, d))
 
 
 def _replies(spark, d):
     return fx.llm_replies(_docs(spark, d))
 
 
-def _results(spark, d):
-    return translate_corpus(_requests(spark, d), _settings(spark, d), _memory(spark, d), _replies(spark, d))
+def _results(spark, d, audit=False):
+    return translate_corpus(_requests(spark, d), _settings(spark, d), _memory(spark, d), _replies(spark, d), audit=audit)
 
 
 # --- S: sources and sinks ----------------------------------------------------
@@ -97,7 +98,7 @@ def trim_text(spark, d):
 
 @query
 def admission(spark, d):
-    return adm.admit(_requests(spark, d)).select("request_id", "tenant", "source", "target", "n_chars", "status")
+    return adm.admit(_requests(spark, d)).select("request_id", "tenant", "source", "target", "n_chars", "over_limit", "status")
 
 
 @query
@@ -244,7 +245,7 @@ def reassembled(spark, d):
 
 @query
 def round_trip_query(spark, d):
-    return round_trip(_ready_local(spark, d))
+    return round_trip(_ready_local(spark, d), _settings(spark, d))
 
 
 @query
@@ -270,7 +271,7 @@ def llm_payload(spark, d):
 @query
 def reply_correlation(spark, d):
     r = _resolved(spark, d).where((F.col("status") == adm.READY) & (F.col("provider") == "llm"))
-    return reply.correlate(r, _replies(spark, d)).select("request_id", "model", "http_status", "content_type")
+    return reply.correlate(r, _replies(spark, d)).select("request_id", "model", "attempt", "http_status", "content_type")
 
 
 @query
@@ -295,7 +296,7 @@ def reply_dispatch(spark, d):
 
 @query
 def reply_guard(spark, d):
-    return reply.reply_guard(_replies(spark, d))
+    return reply.reply_guard(_replies(spark, d), GUARD_BYTES, GUARD_BYTES)
 
 
 # --- progress log ------------------------------------------------------------
@@ -348,8 +349,7 @@ def paired_events(spark, d):
 # --- audit -------------------------------------------------------------------
 @query
 def audit_summary(spark, d):
-    rows = audit_rows(_requests(spark, d), _settings(spark, d), _results(spark, d))
-    return audit.summary(rows)
+    return audit.summary(audit_rows(_results(spark, d, audit=True)))
 
 
 @query
@@ -359,8 +359,7 @@ def length_profile(spark, d):
 
 @query
 def audit_log_parse(spark, d):
-    rows = audit_rows(_requests(spark, d), _settings(spark, d), _results(spark, d))
-    return audit.parse_log_lines(audit.log_lines(rows))
+    return audit.parse_log_lines(audit.log_lines(audit_rows(_results(spark, d, audit=True))))
 
 
 # Registered names that differ from the function name (avoid shadowing imports).

@@ -1,16 +1,20 @@
 """The flagship plan: a table of requests in, one result row per request out.
 
     requests -> admission (P1) -> settings (J3) -> defaults (P3) -> routing and
-    checks (P4/P5) -> four branches, unioned by name (U2):
+    checks (P4/P5) -> parts (U2: what needs no translation rides along)
       rejected  status and message, no work
       direct    trimmed text (P2)
       local     paragraphs -> unique segments -> memory -> model -> fan-out -> reassembly
       llm       landed replies correlated by id (J5), decoded (C7)
 
-Shuffles: one for the unique segments (partial aggregation first), one for
-the memory join, one to fan translations back out, one to reassemble by
-request, one to correlate replies. Everything before the first shuffle is a
-single codegen stage over the Parquet scan.
+The requests are read twice: once for the unique segments (the partial aggregation comes
+before the shuffle, so a segment that fills a third of the corpus costs one row per
+task), once for the parts that are joined back (where AQE splits such a segment).
+Sharing one exchange for both would read once but put every copy of a hot segment into
+one partition. Replies are read once, settings and memory once each.
+
+Shuffles: the unique segments, the memory join, the parts to their translations, the
+reassembly by request, the replies. The admission part is one codegen stage.
 """
 
 from __future__ import annotations
@@ -19,75 +23,71 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from transloom import constants as K
-from transloom.functions.text import go_trim
+from transloom.functions.text import go_trim, paragraph_parts
 from transloom.operators import admission as adm
 from transloom.operators import reply
-from transloom.functions.text import paragraph_parts
 from transloom.operators.segment import reassemble
 from transloom.operators.translate import translate_parts
 
 RESULT_COLUMNS = ["request_id", "provider", "model", "status", "text", "error"]
+AUDIT_COLUMNS = ["raw_source", "raw_target", "n_chars"]
 
 
 def translate_corpus(requests: DataFrame, settings_raw: DataFrame, memory: DataFrame | None = None,
                      replies: DataFrame | None = None, kind: str = "pseudo", options: dict | None = None,
-                     memory_path: str | None = None) -> DataFrame:
-    """One pass over the requests: every request becomes parts (local requests their
-    paragraphs, all others one pass-through part carrying their ready result), one
-    reassembly shuffle by request yields every result row, and landed replies are joined
-    to the LLM rows only. The input is scanned and admitted once."""
-    resolved = adm.resolve(requests, settings_raw)
+                     memory_path: str | None = None, max_chars: int | None = None, audit: bool = False,
+                     run: str | None = None) -> DataFrame:
+    """Every request becomes parts: local requests their paragraphs, all others one part that
+    carries their ready result. The unique segments are read off the parts and joined back
+    to them once, one reassembly shuffle by request yields every result row, and the decoded
+    replies are joined to that. ``audit`` adds the columns that the run audit needs."""
+    resolved = adm.resolve(requests, settings_raw, max_chars)
     status, provider = F.col("status"), F.col("provider")
     is_local = (status == adm.READY) & (provider == "local")
-    is_llm = (status == adm.READY) & (provider == "llm")
     base = resolved.select(
-        "request_id", "source", "target", "text",
+        "request_id", "source", "target", "text", *AUDIT_COLUMNS,
         F.when(status == adm.DIRECT, F.lit(K.DIRECT_PROVIDER)).otherwise(provider).alias("provider"),
         F.when(status == adm.DIRECT, F.lit(K.DIRECT_MODEL)).otherwise(F.col("model")).alias("model"),
         status.alias("route_status"),
         is_local.alias("_local"),
         F.when(status == adm.DIRECT, go_trim("text")).otherwise(F.lit("")).alias("pre_text"),
         adm.status_message(status).alias("pre_error"))
-    carry = ("provider", "route_status", "pre_error")
+    carry = ("provider", "route_status", "pre_error", *AUDIT_COLUMNS)
     parts = base.select(
         "request_id", "source", "target", "model", *carry, "pre_text",
         F.posexplode_outer(F.when(F.col("_local"), paragraph_parts("text"))).alias("part_no", "part"))
-    parts = parts.withColumn("is_sep", F.col("part").startswith("\n"))
-    local = translate_parts(parts, memory, kind, options, memory_path, carry)
-    passthrough = parts.where(F.col("part").isNull()).select(
-        "request_id", "model", F.lit(0).alias("part_no"), F.col("pre_text").alias("out"), F.lit("").alias("error"),
-        *carry)
-    assembled = reassemble(local.unionByName(passthrough), carry)
+    # a request without parts has one row: no segment, its ready text as output
+    parts = parts.select(
+        "request_id", "source", "target", "model", *carry, F.coalesce("part_no", F.lit(0)).alias("part_no"), "part",
+        F.coalesce(F.col("part").startswith("\n"), F.lit(True)).alias("is_sep"), F.coalesce("part", "pre_text").alias("out"))
+    assembled = reassemble(translate_parts(parts, memory, kind, options, memory_path, carry, run), carry)
 
     rs = F.col("route_status")
+    llm = (rs == adm.READY) & (F.col("provider") == "llm")
     done = assembled.select(
-        "request_id", "provider", "model",
-        F.when((rs == adm.READY) & (F.col("provider") == "local"),
-               F.when(F.col("error") == "", F.lit("OK")).otherwise(F.lit("FAILED")))
-        .when((rs == adm.READY) & (F.col("provider") == "llm"),
-              F.lit("NO_REPLY" if replies is not None else "AWAITING_REPLY"))
+        "request_id", "provider", "model", *AUDIT_COLUMNS, llm.alias("_llm"),
+        F.when(llm, F.lit("NO_REPLY" if replies is not None else "AWAITING_REPLY"))
+        .when(rs == adm.READY, F.when(F.col("error") == "", F.lit("OK")).otherwise(F.lit("FAILED")))
         .otherwise(rs).alias("status"),
         "text",
         F.when(rs == adm.READY, F.col("error")).otherwise(F.col("pre_error")).alias("error"))
+    columns = [*RESULT_COLUMNS, *AUDIT_COLUMNS] if audit else RESULT_COLUMNS
     if replies is None:
-        return done.select(*RESULT_COLUMNS)
-    # LLM ids come from the resolved requests, not from ``done``: a second use of ``done``
-    # would get its filter pushed below the reassembly and re-run the whole translation.
-    # The result rows are already hash-partitioned by request id, so the join shuffles only replies.
-    llm_ids = resolved.where(is_llm).select("request_id")
-    decoded = reply.decode_replies(llm_ids.join(replies, "request_id", "inner"))
-    out = done.join(decoded.select("request_id", F.col("status").alias("r_status"), F.col("text").alias("r_text"),
-                                   F.col("error").alias("r_error")), "request_id", "left")
-    got = F.col("r_status").isNotNull()
-    return out.select(
-        "request_id", "provider", "model",
-        F.when(got, F.col("r_status")).otherwise(F.col("status")).alias("status"),
-        F.when(got, F.col("r_text")).otherwise(F.col("text")).alias("text"),
-        F.when(got, F.col("r_error")).otherwise(F.col("error")).alias("error"))
+        return done.select(*columns)
+    # The result rows are hash-partitioned by request already: the join moves decoded replies only.
+    decoded = reply.decode_replies(replies).select(
+        "request_id", F.col("status").alias("r_status"), F.col("text").alias("r_text"), F.col("error").alias("r_error"))
+    got = F.col("_llm") & F.col("r_status").isNotNull()
+    out = done.join(decoded, "request_id", "left").withColumns({
+        "status": F.when(got, F.col("r_status")).otherwise(F.col("status")),
+        "text": F.when(got, F.col("r_text")).otherwise(F.col("text")),
+        "error": F.when(got, F.col("r_error")).when(F.col("status") == "NO_REPLY", F.lit(K.MSG_NO_TRANSLATION))
+                  .otherwise(F.col("error"))})
+    return out.select(*columns)
 
 
-def audit_rows(requests: DataFrame, settings_raw: DataFrame, results: DataFrame) -> DataFrame:
-    """A1: one audit row per request: provider, pair, characters, model, outcome."""
-    resolved = adm.resolve(requests, settings_raw).select("request_id", "source", "target", "n_chars")
-    return results.join(resolved, "request_id").select(
-        "request_id", "provider", "model", "source", "target", "n_chars", "status")
+def audit_rows(results: DataFrame) -> DataFrame:
+    """A1: one audit row per request (from ``translate_corpus(..., audit=True)``): provider, pair as
+    asked for, characters, model, outcome."""
+    return results.select("request_id", "provider", "model", F.col("raw_source").alias("source"),
+                          F.col("raw_target").alias("target"), "n_chars", "status", "error")

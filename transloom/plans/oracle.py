@@ -62,6 +62,10 @@ def pseudo(seg: str, target: str) -> str:
             f"lambda c: '[' || {target} || '] ' || array_to_string(c, ' ')), ' ')")
 
 
+def refused(seg: str) -> str:
+    return f"starts_with({seg}, {lit(K.PSEUDO_REFUSES)})"
+
+
 def parts(x: str) -> str:
     return f"regexp_extract_all({x}, '{K.PARAGRAPH_PARTS}', 1)"
 
@@ -92,51 +96,60 @@ REQUESTS = f"""
 requests AS (
   SELECT kind || CAST(doc_id AS VARCHAR) AS request_id, source AS tenant,
     CASE kind WHEN 'p' THEN {lit(fx.PAD_HEAD)} || text || {lit(fx.PAD_TAIL)}
-              WHEN 'w' THEN {lit(fx.BLANK_TEXT)} WHEN 'e' THEN '' ELSE text END AS text,
-    CASE WHEN kind IN ('s', 'x') THEN '' ELSE lang END AS source,
+              WHEN 'w' THEN {lit(fx.BLANK_TEXT)} WHEN 'e' THEN '' WHEN 'f' THEN {lit(K.PSEUDO_REFUSES)} || text
+              WHEN 'n' THEN NULL ELSE text END AS text,
+    CASE WHEN kind IN ('s', 'x') THEN '' WHEN kind = 'u' THEN 'pt' WHEN kind = 'l' THEN NULL ELSE lang END AS source,
     CASE WHEN kind IN ('t', 'x') THEN '' WHEN kind = 'd' THEN (CASE WHEN doc_id % 2 = 0 THEN 'zh' ELSE 'en' END)
          ELSE 'zh' END AS target
   FROM (SELECT *, unnest(list_filter(['d',
           CASE WHEN doc_id % 10 = 3 THEN 'p' END, CASE WHEN doc_id % 20 = 7 THEN 'w' END,
           CASE WHEN doc_id % 20 = 11 THEN 'e' END, CASE WHEN doc_id % 20 = 13 THEN 's' END,
-          CASE WHEN doc_id % 20 = 17 THEN 't' END, CASE WHEN doc_id % 20 = 19 THEN 'x' END],
+          CASE WHEN doc_id % 20 = 17 THEN 't' END, CASE WHEN doc_id % 20 = 19 THEN 'x' END,
+          CASE WHEN doc_id % 20 = 1 THEN 'n' END, CASE WHEN doc_id % 20 = 2 THEN 'l' END,
+          CASE WHEN doc_id % 10 = 5 THEN 'u' END, CASE WHEN doc_id % 20 = 10 THEN 'f' END],
           lambda k: k IS NOT NULL)) AS kind FROM documents) d
 )"""
 
 _I = "coalesce(try_cast(regexp_extract(tenant, '[0-9]+', 0) AS INTEGER), 0)"
 SETTINGS = f"""
 settings AS (
-  SELECT tenant, '{{' || concat_ws(',', {pick(_I, fx.SETTINGS_PROVIDER)}, {pick(_I, fx.SETTINGS_LOCAL_MODEL)},
+  SELECT tenant, CASE WHEN {_I} % 20 = 7 THEN {lit(fx.SETTINGS_BROKEN)} WHEN {_I} % 20 = 9 THEN {lit(fx.SETTINGS_TYPED)}
+      WHEN {_I} % 20 = 11 THEN {lit(fx.SETTINGS_CASE)} ELSE '{{' || concat_ws(',', {pick(_I, fx.SETTINGS_PROVIDER)}, {pick(_I, fx.SETTINGS_LOCAL_MODEL)},
       {pick(_I, fx.SETTINGS_BASE_URL)}, {pick(_I, fx.SETTINGS_LLM_MODEL)}, {pick(_I, fx.SETTINGS_CLIPBOARD)},
-      {pick(_I, fx.SETTINGS_SOURCE)}, {pick(_I, fx.SETTINGS_TARGET)}) || '}}' AS raw
+      {pick(_I, fx.SETTINGS_SOURCE)}, {pick(_I, fx.SETTINGS_TARGET)}) || '}}' END AS raw
   FROM (SELECT DISTINCT source AS tenant FROM documents) t
 )"""
 
 _LM = f"coalesce(json_extract_string(raw, '$.localModel'), {lit(K.DEFAULT_LOCAL_MODEL)})"
+_READABLE = ("json_valid(raw) AND coalesce(json_type(CASE WHEN json_valid(raw) THEN raw END, '$.provider'), 'VARCHAR') "
+             "IN ('VARCHAR', 'NULL')")
 NORMALIZED = f"""
 ns AS (
   SELECT tenant,
-    CASE WHEN json_extract_string(raw, '$.provider') = 'llm' THEN 'llm' ELSE 'local' END AS provider,
+    CASE WHEN coalesce(json_extract_string(raw, '$.provider'), json_extract_string(raw, '$.Provider')) = 'llm' THEN 'llm'
+         ELSE 'local' END AS provider,
     CASE WHEN {trim(_LM)} = '' THEN {lit(K.DEFAULT_LOCAL_MODEL)} ELSE {_LM} END AS local_model,
     regexp_replace({trim("coalesce(json_extract_string(raw, '$.llmBaseUrl'), '')")}, '/+\\z', '', 'g')
       AS llm_base_url,
-    {trim("coalesce(json_extract_string(raw, '$.llmModel'), '')")} AS llm_model,
+    {trim("coalesce(json_extract_string(raw, '$.llmModel'), json_extract_string(raw, '$.LLMModel'), '')")} AS llm_model,
     coalesce(CAST(json_extract(raw, '$.clipboardEnabled') AS BOOLEAN),
              CAST(json_extract(raw, '$.shortcutEnabled') AS BOOLEAN), true) AS clipboard_enabled,
     coalesce(CAST(json_extract(raw, '$.quickOpenEnabled') AS BOOLEAN), true) AS quick_open_enabled,
     CASE WHEN coalesce(json_extract_string(raw, '$.sourceLanguage'), '') = '' THEN 'en'
          ELSE json_extract_string(raw, '$.sourceLanguage') END AS source_language,
     CASE WHEN coalesce(json_extract_string(raw, '$.targetLanguage'), '') = '' THEN 'zh'
-         ELSE json_extract_string(raw, '$.targetLanguage') END AS target_language
-  FROM settings
+         ELSE json_extract_string(raw, '$.targetLanguage') END AS target_language,
+    settings_error
+  FROM (SELECT tenant, CASE WHEN {_READABLE} THEN raw ELSE '{{}}' END AS raw,
+               CASE WHEN {_READABLE} THEN '' ELSE {lit(K.MSG_SETTINGS_ERROR)} END AS settings_error FROM settings) s
 )"""
 
 ADMITTED = f"""
 adm AS (
-  SELECT request_id, tenant, text, source, target, length(t) AS n_chars,
-    CASE WHEN t = '' THEN 'EMPTY' WHEN length(t) > {K.MAX_CHARS} THEN 'TOO_LONG'
-         WHEN source = target THEN 'DIRECT' ELSE 'ADMITTED' END AS status
-  FROM (SELECT *, {trim("text")} AS t FROM requests) r
+  SELECT request_id, tenant, text, source, target, length(t) AS n_chars, length(t) > {K.MAX_CHARS} AS over_limit,
+    CASE WHEN t = '' THEN 'EMPTY' WHEN source = target THEN 'DIRECT' ELSE 'ADMITTED' END AS status
+  FROM (SELECT request_id, tenant, coalesce(text, '') AS text, coalesce(source, '') AS source, coalesce(target, '') AS target,
+               {trim("coalesce(text, '')")} AS t FROM requests) r
 )"""
 
 RESOLVED = f"""
@@ -144,7 +157,8 @@ ws AS (
   SELECT a.*, coalesce(s.provider, 'local') AS provider,
     coalesce(s.local_model, {lit(K.DEFAULT_LOCAL_MODEL)}) AS local_model,
     coalesce(s.llm_base_url, '') AS llm_base_url, coalesce(s.llm_model, '') AS llm_model,
-    coalesce(s.source_language, 'en') AS source_language, coalesce(s.target_language, 'zh') AS target_language
+    coalesce(s.source_language, 'en') AS source_language, coalesce(s.target_language, 'zh') AS target_language,
+    coalesce(s.settings_error, '') AS settings_error, a.source AS raw_source, a.target AS raw_target
   FROM adm a LEFT JOIN ns s USING (tenant)
 ),
 filled AS (
@@ -154,9 +168,9 @@ filled AS (
   FROM ws
 ),
 resolved AS (
-  SELECT request_id, tenant, text, source, target, n_chars, provider, llm_base_url,
+  SELECT request_id, tenant, text, source, target, n_chars, provider, llm_base_url, raw_source, raw_target,
     CASE WHEN provider = 'llm' THEN llm_model ELSE local_model END AS model,
-    CASE WHEN status <> 'ADMITTED' THEN status
+    CASE WHEN settings_error <> '' THEN 'SETTINGS_ERROR' WHEN status <> 'ADMITTED' THEN status
          WHEN provider = 'llm' AND {trim("llm_base_url")} = '' THEN 'LLM_NO_URL'
          WHEN provider = 'llm' AND {trim("llm_model")} = '' THEN 'LLM_NO_MODEL'
          WHEN provider = 'llm' THEN 'READY'
@@ -172,14 +186,15 @@ BASE = f"WITH {REQUESTS},{SETTINGS},{NORMALIZED},{ADMITTED},{RESOLVED}"
 
 MEMORY = f"""
 mem AS (
-  SELECT 'en' AS source, 'zh' AS target, m.model, p.segment, {pseudo("p.segment", "'zh'")} AS translation
-  FROM (SELECT DISTINCT unnest({parts("text")}) AS segment FROM benchmark) p
+  SELECT p.source, 'zh' AS target, m.model, p.segment, {lit(fx.MEMORY_MARK)} || p.segment AS translation
+  FROM (SELECT DISTINCT source, unnest({parts("text")}) AS segment FROM (
+          SELECT 'en' AS source, text FROM benchmark UNION ALL SELECT lang, text FROM documents WHERE doc_id % 3 = 0) t) p
   CROSS JOIN (VALUES {", ".join(f"({lit(m)})" for m in MODEL_IDS)}) m(model)
   WHERE NOT starts_with(p.segment, chr(10))
 )"""
 
 LOCAL_PARTS = f"""
-rl AS (SELECT request_id, text, source, target, model FROM resolved WHERE status = 'READY' AND provider = 'local'),
+rl AS (SELECT request_id, tenant, text, source, target, model FROM resolved WHERE status = 'READY' AND provider = 'local'),
 lp AS (
   SELECT request_id, source, target, model, unnest({parts("text")}) AS part,
          generate_subscripts({parts("text")}, 1) - 1 AS part_no
@@ -188,11 +203,15 @@ lp AS (
 uniq AS (SELECT DISTINCT source, target, model, part AS segment FROM lp WHERE NOT starts_with(part, chr(10)))"""
 
 REASSEMBLED = f"""
-tr AS (SELECT source, target, model, segment, {pseudo("segment", "target")} AS translation FROM uniq),
+tr AS (SELECT u.source, u.target, u.model, u.segment, m.translation IS NULL AND {refused("u.segment")} AS failed,
+              coalesce(m.translation, {pseudo("u.segment", "u.target")}) AS translation
+       FROM uniq u LEFT JOIN mem m USING (source, target, model, segment)),
 reassembled AS (
   SELECT lp.request_id, lp.model,
-    {trim("string_agg(CASE WHEN starts_with(lp.part, chr(10)) THEN lp.part ELSE tr.translation END, '' ORDER BY lp.part_no)")}
-      AS text, '' AS error
+    CASE WHEN coalesce(bool_or(tr.failed), false) THEN '' ELSE
+      {trim("string_agg(CASE WHEN starts_with(lp.part, chr(10)) THEN lp.part ELSE tr.translation END, '' ORDER BY lp.part_no)")}
+      END AS text,
+    CASE WHEN coalesce(bool_or(tr.failed), false) THEN {lit(K.MSG_PSEUDO_REFUSED)} ELSE '' END AS error
   FROM lp LEFT JOIN tr ON lp.source = tr.source AND lp.target = tr.target AND lp.model = tr.model
     AND lp.part = tr.segment
   GROUP BY lp.request_id, lp.model
@@ -208,10 +227,10 @@ SSE_BODY = f"""(CASE doc_id % 7
   WHEN 0 THEN array_to_string(list_transform({_W}, lambda w: {_reply_delta("w")}), '') || {lit("data: [DONE]" + chr(10) * 2)}
   WHEN 1 THEN {lit(": keep-alive" + chr(13) + chr(10))} || array_to_string(list_transform({_W}, lambda w:
       {lit("event: message" + chr(13) + chr(10))} || {_reply_delta("w", nl=chr(13) + chr(10))}), '')
-      || {lit("data: [DONE]" + (chr(13) + chr(10)) * 2)}
+      || {lit('data: {"choices":[]}' + (chr(13) * 2 + chr(10)) * 2 + "data: [DONE]" + (chr(13) + chr(10)) * 2)}
   WHEN 2 THEN array_to_string(list_transform({_W}, lambda w: {_reply_delta("w")}), '')
       || {lit('data: {"error":{"message":" rate limited "}}' + chr(10) * 2)} || {lit("data: [DONE]" + chr(10) * 2)}
-  WHEN 3 THEN array_to_string(list_transform({_W}, lambda w: {_reply_delta("w")}), '') || {lit("data: {bad json" + chr(10) * 2)}
+  WHEN 3 THEN array_to_string(list_transform({_W}, lambda w: {_reply_delta("w")}), '') || {lit('data: {"choices":[]} and more' + chr(10) * 2)}
   WHEN 4 THEN array_to_string(list_transform({_W}, lambda w: {_reply_delta("w")}), '') || {lit("data: [DONE]" + chr(10) * 2)}
       || {lit('data: {"error":{"message":"late"}}' + chr(10) * 2)}
   WHEN 5 THEN array_to_string(list_transform({_W}, lambda w: 'data: {{"choices":[{{"message":{{"content":"' || w || ' "}}}}]}}'),
@@ -224,23 +243,45 @@ END)"""
 REPLIES = f"""
 rw AS (SELECT doc_id, text, regexp_extract_all(text, '{fx.REPLY_WORD}', 0) AS words FROM documents),
 replies AS (
-  SELECT 'd' || CAST(doc_id AS VARCHAR) AS request_id,
-    CAST(CASE WHEN doc_id % 5 = 3 THEN (CASE WHEN doc_id % 2 = 0 THEN 429 ELSE 502 END) ELSE 200 END AS INTEGER)
-      AS http_status,
+  SELECT 'd' || CAST(doc_id AS VARCHAR) AS request_id, CAST(1 AS BIGINT) AS attempt, CAST(200 AS INTEGER) AS http_status,
+    'application/json' AS content_type, '{{"choices":[{{"message":{{"content":"retry ' || CAST(doc_id AS VARCHAR) || '"}}}}]}}' AS body
+  FROM documents WHERE doc_id % 13 = 0
+  UNION ALL
+  SELECT 'd' || CAST(doc_id AS VARCHAR) AS request_id, CAST(0 AS BIGINT) AS attempt,
+    CAST(CASE WHEN doc_id % 17 = 3 THEN NULL WHEN doc_id % 5 = 3 THEN (CASE WHEN doc_id % 2 = 0 THEN 429 ELSE 502 END) ELSE 200 END
+      AS INTEGER) AS http_status,
     CASE doc_id % 5 WHEN 1 THEN 'Text/Event-Stream; charset=utf-8' WHEN 2 THEN 'application/json; charset=utf-8'
          WHEN 4 THEN 'text/html' ELSE 'application/json' END AS content_type,
-    CASE doc_id % 5
+    CASE WHEN doc_id % 19 <> 6 THEN CASE doc_id % 5
       WHEN 0 THEN '{{"id":"r' || CAST(doc_id AS VARCHAR) || '","choices":[{{"index":0,"message":{{"role":"assistant","content":" '
-                  || array_to_string(words, ' ') || ' "}}}}]}}'
+                  || array_to_string(words, ' ') || ' "}}}}]}}' || CASE WHEN doc_id % 4 = 1 THEN ' and more' ELSE '' END
       WHEN 1 THEN {SSE_BODY}
-      WHEN 2 THEN (CASE doc_id % 3 WHEN 0 THEN '{{"choices":[]}}'
+      WHEN 2 THEN (CASE WHEN doc_id % 6 = 0 THEN '{{"choices":[{{"message":{{"content":"x"}}}},{{"message":{{"content":5}}}}]}}'
+                   ELSE CASE doc_id % 3 WHEN 0 THEN '{{"choices":[]}}'
                    WHEN 1 THEN '{{"choices":[{{"message":{{"content":"  "}}}}]}}'
-                   ELSE '{{"choices":[{{"message":{{"content":' || CAST(len(words) AS VARCHAR) || '}}}}]}}' END)
+                   ELSE '{{"choices":[{{"message":{{"content":' || CAST(len(words) AS VARCHAR) || '}}}}]}}' END END)
       WHEN 3 THEN (CASE doc_id % 3 WHEN 0 THEN '{{"error":{{"message":"  quota exceeded: ' || coalesce(words[1], '') || '  "}}}}'
                    WHEN 1 THEN text ELSE '{{"error":{{"message":""}}}}' END)
-      ELSE '<html>' || array_to_string(words, ' ') || '</html>' END AS body
-  FROM rw
+      ELSE '<html>' || array_to_string(words, ' ') || '</html>' END END AS body
+  FROM rw WHERE doc_id % 11 <> 4
 )"""
+# the last attempt of each request, with an empty body for none
+LANDED = """
+landed AS (
+  SELECT request_id, attempt, http_status, content_type, coalesce(body, '') AS body FROM replies
+  QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY attempt DESC) = 1
+)"""
+
+
+def landed(where: str) -> str:
+    """The last attempt among the replies that a query looks at."""
+    return (f"landed AS (SELECT request_id, attempt, http_status, content_type, coalesce(body, '') AS body FROM replies "
+            f"WHERE {where} QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY attempt DESC) = 1)")
+
+
+_STREAM = "http_status BETWEEN 200 AND 299 AND contains(lower(content_type), 'text/event-stream')"
+_JSON = "http_status BETWEEN 200 AND 299 AND NOT contains(lower(content_type), 'text/event-stream')"
+_ERROR = "(http_status < 200 OR http_status >= 300)"
 
 
 def _kind(x: str, path: str) -> str:
@@ -270,20 +311,20 @@ def completion_cols(raw: str = "body") -> str:
     ok = (f"(json_valid({raw}) AND {_obj_or_absent(body, '$')} AND "
           f"({_absent(_kind(body, '$.choices'))} OR {_kind(body, '$.choices')} = 'ARRAY') AND "
           f"{_obj_or_absent(body, '$.choices[0]')} AND {_obj_or_absent(body, '$.choices[0].message')} AND "
-          f"{_str_or_absent(body, '$.choices[0].message.content')})")
+          f"{_str_or_absent(body, '$.choices[0].message.content')} AND {_obj_or_absent(body, '$.choices[1]')} AND "
+          f"{_obj_or_absent(body, '$.choices[1].message')} AND {_str_or_absent(body, '$.choices[1].message.content')})")
     content = trim(f"CASE WHEN {ok} THEN {_s(body, '$.choices[0].message.content')} ELSE '' END")
     status = f"(CASE WHEN NOT {ok} THEN 'PARSE_ERROR' WHEN {content} = '' THEN 'NO_TRANSLATION' ELSE 'OK' END)"
     return status, content
 
 
 def _norm_lines(body: str) -> str:
-    return f"regexp_replace(regexp_replace({body}, '\\r(\\n)', '\\1', 'g'), '\\r\\z', '')"
+    return f"regexp_replace(regexp_replace({body}, '\\r{{1,2}}(\\n)', '\\1', 'g'), '\\r{{1,2}}\\z', '')"
 
 
 SSE_FOLD = f"""
 sse_rows AS (
-  SELECT request_id, string_split({_norm_lines("body")}, chr(10) || chr(10)) AS evs FROM replies
-  WHERE http_status BETWEEN 200 AND 299 AND contains(lower(content_type), 'text/event-stream')
+  SELECT request_id, string_split({_norm_lines("body")}, chr(10) || chr(10)) AS evs FROM landed WHERE {_STREAM}
 ),
 sse_ev AS (
   SELECT request_id, ev, CASE WHEN len(dl) > 0 THEN array_to_string(
@@ -328,7 +369,7 @@ sse_text AS (
   SELECT request_id,
     CASE WHEN fail_kind IS NOT NULL THEN fail_kind WHEN txt = '' THEN 'NO_TRANSLATION' ELSE 'OK' END AS status,
     CASE WHEN fail_kind IS NULL AND txt <> '' THEN txt ELSE '' END AS text,
-    coalesce(fail_text, '') AS error
+    coalesce(fail_text, CASE WHEN txt = '' THEN {lit(K.MSG_NO_TRANSLATION)} END, '') AS error
   FROM sse_fold
 )"""
 
@@ -351,22 +392,25 @@ def _byte_cut(m: str, n: int = K.ERROR_BYTES) -> str:
 
 _CS, _CT = completion_cols("body")
 DECODED = f"""
-{SSE_FOLD},
+{LANDED},{SSE_FOLD},
 decoded AS (
-  SELECT r.request_id,
-    CASE WHEN r.http_status < 200 OR r.http_status >= 300 THEN 'error'
+  SELECT r.request_id, r.attempt, r.http_status,
+    CASE WHEN r.http_status IS NULL THEN 'none' WHEN r.http_status < 200 OR r.http_status >= 300 THEN 'error'
          WHEN contains(lower(r.content_type), 'text/event-stream') THEN 'stream' ELSE 'json' END AS route,
-    CASE WHEN r.http_status < 200 OR r.http_status >= 300 THEN 'HTTP_ERROR'
+    CASE WHEN r.http_status IS NULL THEN 'NO_STATUS' WHEN r.http_status < 200 OR r.http_status >= 300 THEN 'HTTP_ERROR'
          WHEN contains(lower(r.content_type), 'text/event-stream') THEN s.status ELSE {_CS} END AS status,
-    CASE WHEN r.http_status < 200 OR r.http_status >= 300 THEN ''
+    CASE WHEN r.http_status IS NULL OR r.http_status < 200 OR r.http_status >= 300 THEN ''
          WHEN contains(lower(r.content_type), 'text/event-stream') THEN s.text
          WHEN {_CS} = 'OK' THEN {_CT} ELSE '' END AS text,
-    CASE WHEN r.http_status < 200 OR r.http_status >= 300 THEN {lit(K.MSG_HTTP_ERROR_HEAD)} ||
+    CASE WHEN r.http_status IS NULL THEN {lit(K.MSG_NO_REPLY_STATUS)}
+         WHEN r.http_status < 200 OR r.http_status >= 300 THEN {lit(K.MSG_HTTP_ERROR_HEAD)} ||
            CAST(r.http_status AS VARCHAR) || {lit(K.MSG_HTTP_ERROR_MID)} || r.cut
          WHEN contains(lower(r.content_type), 'text/event-stream') THEN s.error
          WHEN {_CS} = 'PARSE_ERROR' THEN {lit(K.MSG_PARSE_ERROR)}
-         WHEN {_CS} = 'NO_TRANSLATION' THEN {lit(K.MSG_NO_TRANSLATION)} ELSE '' END AS error
-  FROM (SELECT *, {_byte_cut("hm")} AS cut FROM (SELECT *, {_http_message("body")} AS hm FROM replies) r0) r
+         WHEN {_CS} = 'NO_TRANSLATION' THEN {lit(K.MSG_NO_TRANSLATION)} ELSE '' END AS error,
+    CASE WHEN r.http_status < 200 OR r.http_status >= 300 THEN {lit(K.MSG_HTTP_ERROR_HEAD)} ||
+           CAST(r.http_status AS VARCHAR) || {lit(K.MSG_HTTP_ERROR_MID)} || r.hm END AS whole
+  FROM (SELECT *, {_byte_cut("hm")} AS cut FROM (SELECT *, {_http_message("body")} AS hm FROM landed) r0) r
   LEFT JOIN sse_text s USING (request_id)
 )"""
 
@@ -378,9 +422,10 @@ all_results AS (
   UNION ALL
   SELECT request_id, 'direct', {lit(K.DIRECT_MODEL)}, status, {trim("text")}, '' FROM resolved WHERE status = 'DIRECT'
   UNION ALL
-  SELECT request_id, 'local', model, 'OK', text, error FROM reassembled
+  SELECT request_id, 'local', model, CASE WHEN error = '' THEN 'OK' ELSE 'FAILED' END, text, error FROM reassembled
   UNION ALL
-  SELECT r.request_id, 'llm', r.model, coalesce(d.status, 'NO_REPLY'), coalesce(d.text, ''), coalesce(d.error, '')
+  SELECT r.request_id, 'llm', r.model, coalesce(d.status, 'NO_REPLY'), coalesce(d.text, ''),
+         CASE WHEN d.status IS NULL THEN {lit(K.MSG_NO_TRANSLATION)} ELSE d.error END
     FROM resolved r LEFT JOIN decoded d USING (request_id) WHERE r.status = 'READY' AND r.provider = 'llm'
 )"""
 
@@ -464,7 +509,7 @@ def _audit_rows() -> str:
     return f"""
 {ALL_RESULTS},
 audit_rows AS (
-  SELECT a.request_id, a.provider, a.model, r.source, r.target, r.n_chars, a.status
+  SELECT a.request_id, a.provider, a.model, r.raw_source AS source, r.raw_target AS target, r.n_chars, a.status, a.error
   FROM all_results a JOIN resolved r USING (request_id)
 )"""
 
@@ -499,7 +544,7 @@ s AS (SELECT log_id, regexp_split_to_array(blob, '\\r\\n|\\r|\\n') AS a FROM b),
 r AS (SELECT log_id, CASE WHEN a[-1] = '' THEN a[1:len(a) - 1] ELSE a END AS recs FROM s)
 SELECT log_id, generate_subscripts(recs, 1) - 1 AS n, unnest(recs) AS record FROM r"""
     q["trim_text"] = f"WITH {REQUESTS} SELECT request_id, {trim('text')} AS trimmed, length({trim('text')}) AS n_chars FROM requests"
-    q["admission"] = f"WITH {REQUESTS},{ADMITTED} SELECT request_id, tenant, source, target, n_chars, status FROM adm"
+    q["admission"] = f"WITH {REQUESTS},{ADMITTED} SELECT request_id, tenant, source, target, n_chars, over_limit, status FROM adm"
     q["direct_results"] = (f"WITH {REQUESTS},{ADMITTED} SELECT request_id, {trim('text')} AS text, 'direct' AS provider, "
                            f"{lit(K.DIRECT_MODEL)} AS model FROM adm WHERE status = 'DIRECT'")
     q["settings_normalise"] = f"WITH {SETTINGS},{NORMALIZED} SELECT * FROM ns"
@@ -566,24 +611,33 @@ SELECT request_id, part_no, chunk_no, n AS n_in, len(out) AS n_out, array_to_str
     q["tm_hits"] = f"{BASE},{MEMORY},{LOCAL_PARTS} SELECT u.*, m.translation FROM uniq u JOIN mem m USING (source, target, model, segment)"
     q["tm_misses"] = f"{BASE},{MEMORY},{LOCAL_PARTS} SELECT u.* FROM uniq u ANTI JOIN mem m USING (source, target, model, segment)"
     q["translate_pseudo"] = f"""{BASE},{MEMORY},{LOCAL_PARTS}
-SELECT source, target, model, segment, {pseudo("segment", "target")} AS translation, '' AS error
+SELECT source, target, model, segment, CASE WHEN {refused("segment")} THEN '' ELSE {pseudo("segment", "target")} END AS translation,
+  CASE WHEN {refused("segment")} THEN {lit(K.MSG_PSEUDO_REFUSED)} ELSE '' END AS error
 FROM (SELECT u.* FROM uniq u ANTI JOIN mem m USING (source, target, model, segment)) x"""
-    q["reassembled"] = f"{BASE},{LOCAL_PARTS},{REASSEMBLED} SELECT * FROM reassembled"
-    q["error_message"] = f"""WITH {REPLIES.lstrip()},
-e AS (SELECT *, {_http_message("body")} AS hm FROM replies WHERE http_status < 200 OR http_status >= 300),
+    q["reassembled"] = f"{BASE},{MEMORY},{LOCAL_PARTS},{REASSEMBLED} SELECT * FROM reassembled"
+    q["error_message"] = f"""WITH {REPLIES.lstrip()},{landed(_ERROR)},
+e AS (SELECT *, {_http_message("body")} AS hm FROM landed),
 c AS (SELECT *, {_byte_cut("hm")} AS cut FROM e)
 SELECT request_id, CAST(http_status AS BIGINT) AS http_status,
   regexp_replace({lit(K.MSG_HTTP_ERROR_HEAD)} || CAST(http_status AS VARCHAR) || {lit(K.MSG_HTTP_ERROR_MID)} || cut,
-                 '(?i)^Error:\s*', '') AS error
+                 '(?i)^Error:\\s*', '') AS error
 FROM c"""
-    q["round_trip"] = f"""{BASE},{LOCAL_PARTS},{REASSEMBLED},
-fw AS (SELECT r.request_id, r.text AS original, r.source, a.text AS forward FROM rl r JOIN reassembled a USING (request_id)),
-bp AS (SELECT request_id, source, unnest({parts("forward")}) AS part, generate_subscripts({parts("forward")}, 1) AS part_no
-       FROM fw),
-bk AS (SELECT request_id, {trim("string_agg(CASE WHEN starts_with(part, chr(10)) THEN part ELSE " + pseudo("part", "source") + " END, '' ORDER BY part_no)")} AS back
-       FROM bp GROUP BY request_id)
-SELECT fw.request_id, fw.original, fw.forward, coalesce(bk.back, '') AS back, '' AS error
-FROM fw LEFT JOIN bk USING (request_id)"""
+    back_text = trim("string_agg(CASE WHEN starts_with(part, chr(10)) THEN part ELSE " + pseudo("part", "target")
+                     + " END, '' ORDER BY part_no)")
+    q["round_trip"] = f"""{BASE},mem AS (SELECT '' AS source, '' AS target, '' AS model, '' AS segment, '' AS translation WHERE false),
+{LOCAL_PARTS},{REASSEMBLED},
+fw AS (SELECT r.request_id, r.tenant, r.text AS original, r.target AS source, r.source AS target, r.model, a.text AS forward,
+              a.error AS fwd_error FROM rl r JOIN reassembled a USING (request_id)),
+judged AS (SELECT fw.*, CASE WHEN fwd_error <> '' THEN fwd_error
+    WHEN forward = '' THEN {lit(K.MSG_EMPTY)} WHEN source = target THEN ''
+    WHEN model = {lit(K.DEFAULT_LOCAL_MODEL)} AND (source <> 'en' OR target <> 'zh') THEN {lit(K.MSG_PAIR_UNSUPPORTED)}
+    WHEN lower(model) LIKE '%nllb%' AND NOT (source IN ({LANG_CODES}) AND target IN ({LANG_CODES})) THEN {lit(K.MSG_LANG_UNMAPPED)}
+    ELSE '' END AS error FROM fw),
+bp AS (SELECT request_id, target, unnest({parts("forward")}) AS part, generate_subscripts({parts("forward")}, 1) AS part_no
+       FROM judged WHERE error = ''),
+bk AS (SELECT request_id, {back_text} AS back FROM bp GROUP BY request_id)
+SELECT j.request_id, j.original, j.forward, coalesce(bk.back, '') AS back, j.error
+FROM judged j LEFT JOIN bk USING (request_id)"""
     q["all_results"] = f"{ALL_RESULTS} SELECT * FROM all_results"
     q["llm_payload"] = f"""{BASE}, langs AS (SELECT * FROM (VALUES {LANG_VALUES}) l(code, name_zh, nllb_code))
 SELECT r.request_id, {endpoint("r.llm_base_url")} AS endpoint, r.model,
@@ -594,21 +648,24 @@ SELECT r.request_id, {endpoint("r.llm_base_url")} AS endpoint, r.model,
 FROM resolved r LEFT JOIN langs s ON r.source = s.code LEFT JOIN langs t ON r.target = t.code
 WHERE r.status = 'READY' AND r.provider = 'llm'"""
     q["reply_correlation"] = f"""{BASE},{REPLIES}
-SELECT r.request_id, r.model, CAST(p.http_status AS BIGINT) AS http_status, p.content_type FROM resolved r JOIN replies p USING (request_id)
+SELECT r.request_id, r.model, CAST(p.http_status AS BIGINT) AS http_status, p.content_type, p.attempt FROM resolved r JOIN replies p USING (request_id)
 WHERE r.status = 'READY' AND r.provider = 'llm'"""
-    q["completion_decode"] = f"""WITH {REPLIES.lstrip().lstrip(",")}
-SELECT request_id, {_CS} AS status, CASE WHEN {_CS} = 'OK' THEN {_CT} ELSE '' END AS text FROM replies
-WHERE http_status BETWEEN 200 AND 299 AND NOT contains(lower(content_type), 'text/event-stream')"""
-    q["sse_events"] = f"""WITH {REPLIES.lstrip()},{SSE_FOLD} SELECT request_id, ev, data FROM sse_ev WHERE data IS NOT NULL"""
-    q["sse_text"] = f"WITH {REPLIES.lstrip()},{SSE_FOLD} SELECT * FROM sse_text"
+    q["completion_decode"] = f"""WITH {REPLIES.lstrip().lstrip(",")},{landed(_JSON)}
+SELECT request_id, {_CS} AS status, CASE WHEN {_CS} = 'OK' THEN {_CT} ELSE '' END AS text FROM landed"""
+    every_stream = SSE_FOLD.replace(f"FROM landed WHERE {_STREAM}", "FROM (SELECT request_id, coalesce(body, '') AS body FROM replies "
+                                    "WHERE contains(lower(content_type), 'text/event-stream')) e")
+    q["sse_events"] = f"""WITH {REPLIES.lstrip()},{every_stream} SELECT request_id, ev, data FROM sse_ev WHERE data IS NOT NULL"""
+    q["sse_text"] = f"WITH {REPLIES.lstrip()},{landed(_STREAM)},{SSE_FOLD} SELECT * FROM sse_text"
     q["reply_dispatch"] = f"""WITH {REPLIES.lstrip()},{DECODED}
-SELECT request_id, route, status, text, error FROM decoded"""
-    q["reply_guard"] = f"""WITH {REPLIES.lstrip()}
+SELECT request_id, attempt, CAST(http_status AS BIGINT) AS http_status, route, status, text, error,
+  coalesce(whole, error) AS error_full FROM decoded"""
+    q["reply_guard"] = f"""WITH {REPLIES.lstrip().replace("replies AS (", "replies0 AS (", 1)},
+replies AS (SELECT request_id, content_type, coalesce(body, '') AS body FROM replies0)
 SELECT request_id, CAST(octet_length(encode(body)) AS BIGINT) AS body_bytes,
   CASE WHEN (CASE WHEN contains(lower(content_type), 'text/event-stream')
                   THEN coalesce(list_max(list_transform(string_split(body, chr(10)), lambda l: octet_length(encode(l)))), 0)
-                       > {K.SSE_LINE_CAP}
-                  ELSE octet_length(encode(body)) > {K.REPLY_BODY_CAP} END) THEN 'REPLY_TOO_LARGE' ELSE 'OK' END AS guard
+                       > 8192
+                  ELSE octet_length(encode(body)) > 8192 END) THEN 'REPLY_TOO_LARGE' ELSE 'OK' END AS guard
 FROM replies"""
     q["progress_parse"] = f"WITH {PARSED.lstrip()} SELECT * FROM parsed"
     q["progress_changes"] = f"WITH {PARSED.lstrip()} SELECT * FROM changed"
@@ -648,17 +705,16 @@ SELECT provider, model, status, count(*) AS n_requests, CAST(sum(n_chars) AS BIG
 FROM audit_rows GROUP BY provider, model, status"""
     q["length_profile"] = f"""
 SELECT lang, count(*) AS n_docs, CAST(sum(CASE WHEN n > {K.MAX_CHARS} THEN 1 ELSE 0 END) AS BIGINT) AS n_over_limit,
-  max(n) AS max_chars, CAST(sum(n) AS BIGINT) AS total_chars
+  max(n) AS max_chars, CAST(sum(n) AS BIGINT) AS total_chars, quantile_disc(n, 0.5) AS median_chars
 FROM (SELECT lang, length({trim("text")}) AS n FROM documents) d GROUP BY lang"""
-    failed_states = "'OK', 'FAILED', 'HTTP_ERROR', 'PARSE_ERROR', 'NO_TRANSLATION', 'STREAM_ERROR', 'REPLY_TOO_LARGE', 'NO_REPLY'"
     q["audit_log_parse"] = f"""{_audit_rows()},
-t AS (SELECT * FROM audit_rows WHERE provider IN ('local', 'llm') AND status IN ({failed_states}))
+t AS (SELECT * FROM audit_rows WHERE status NOT IN ('EMPTY', 'DIRECT', 'SETTINGS_ERROR'))
 SELECT request_id, CAST(0 AS BIGINT) AS n, 'translation started' AS event, provider, source, target, CAST(n_chars AS BIGINT) AS characters,
   '' AS model, '' AS error FROM t
 UNION ALL
 SELECT request_id, CAST(1 AS BIGINT), (CASE WHEN provider = 'llm' THEN 'LLM' ELSE 'local' END) ||
     (CASE WHEN status = 'OK' THEN ' translation completed' ELSE ' translation failed' END),
-  '', '', '', NULL, model, CASE WHEN status = 'OK' THEN '' ELSE status END FROM t"""
+  '', '', '', NULL, regexp_extract(model, '^[^ ;]*'), CASE WHEN status = 'OK' THEN '' ELSE error END FROM t WHERE status <> 'PAIR_UNSUPPORTED'"""
     return q
 
 

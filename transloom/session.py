@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Defaults for a session we build ourselves (tests, bench, local runs). On a
 # cluster the submitting job owns the session; we only read its settings.
@@ -35,62 +35,47 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster names it; we only create a local one when the setting is
-    absent, which happens in tests and local runs.
+    The cluster names it. Where it is unset we create one in local mode only, where driver
+    and executors are one process; on a cluster a machine-local folder would be lost to the
+    other machines, so that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     if not configured:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         configured = tempfile.mkdtemp(prefix="transloom-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", configured)
     spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage by a reliable checkpoint in the shared checkpoint folder.
 
-    Used before filtering on nested-lambda results (the optimizer would copy
-    the whole lambda tree into the filter) and after paid model calls, so a
-    retried stage never calls the model twice for the same rows.
+    Used after paid model calls, so a retried stage never calls the model twice for the
+    same rows.
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows.
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it back.
 
-    The check reads at most ``max_rows + 1`` rows. Above the bound the plain
-    DataFrame is returned and Spark plans a shuffle join instead.
+    Besides cutting the lineage this tells the planner the table's size, so that it
+    broadcasts a small one and shuffles a large one by itself.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that has fewer partitions than the cluster has cores.
-
-    Small inputs (one Parquet file, one row group) would otherwise run every
-    per-row stage in a single task. On a large input the scan already has more
-    partitions than cores and this is a no-op, so no shuffle is added.
-    """
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        few = df.rdd.getNumPartitions() < target
-    except Exception:  # sessions without RDD access (Spark Connect): leave the scan as it is
-        return df
-    return df.repartition(target) if few else df
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _SHIPPED: set = set()

@@ -29,7 +29,7 @@ def tenant_index(tenant) -> Column:
 
 
 # ---------------------------------------------------------------------------
-# requests: every document, plus padded / blank / empty-language variants
+# requests: every document, plus padded / blank / NULL / empty-language / unmapped / refused variants
 # ---------------------------------------------------------------------------
 PAD_HEAD = "\u3000 "
 PAD_TAIL = " \u00a0\n"
@@ -46,6 +46,10 @@ def requests(documents: DataFrame) -> DataFrame:
         F.when(d % 20 == 13, F.lit("s")),
         F.when(d % 20 == 17, F.lit("t")),
         F.when(d % 20 == 19, F.lit("x")),
+        F.when(d % 20 == 1, F.lit("n")),
+        F.when(d % 20 == 2, F.lit("l")),
+        F.when(d % 10 == 5, F.lit("u")),
+        F.when(d % 20 == 10, F.lit("f")),
     ))
     base = requests_from_documents(documents, keep=("doc_id",))
     v = base.select("*", F.explode(kinds).alias("kind"))
@@ -53,8 +57,10 @@ def requests(documents: DataFrame) -> DataFrame:
     text = (F.when(kind == "p", F.concat(F.lit(PAD_HEAD), "text", F.lit(PAD_TAIL)))
             .when(kind == "w", F.lit(BLANK_TEXT))
             .when(kind == "e", F.lit(""))
-            .otherwise(F.col("text")))
-    source = F.when(kind.isin("s", "x"), F.lit("")).otherwise(F.col("source"))
+            .when(kind == "f", F.concat(F.lit(K.PSEUDO_REFUSES), "text"))
+            .when(kind != "n", F.col("text")))
+    source = (F.when(kind.isin("s", "x"), F.lit("")).when(kind == "u", F.lit("pt"))
+              .when(kind != "l", F.col("source")))
     target = (F.when(kind.isin("t", "x"), F.lit(""))
               .when(kind == "d", F.col("target")).otherwise(F.lit("zh")))
     return v.select(
@@ -93,6 +99,11 @@ SETTINGS_SOURCE = ['"sourceLanguage":"fr"', '"sourceLanguage":""', '"sourceLangu
 SETTINGS_TARGET = ['"targetLanguage":"en"', '"targetLanguage":""', '"targetLanguage":"ja"', None, None]
 
 
+SETTINGS_BROKEN = '{"provider":"llm","llmModel":'
+SETTINGS_TYPED = '{"provider":5}'
+SETTINGS_CASE = '{"Provider":"llm","LLMModel":"qwen2.5:7b","llmBaseUrl":"https://x.example.com"}'
+
+
 def settings(documents: DataFrame) -> DataFrame:
     """One settings JSON per tenant (the ``source`` column of documents)."""
     tenants = documents.select(F.col("source").alias("tenant")).distinct()
@@ -101,23 +112,28 @@ def settings(documents: DataFrame) -> DataFrame:
         SETTINGS_PROVIDER, SETTINGS_LOCAL_MODEL, SETTINGS_BASE_URL, SETTINGS_LLM_MODEL,
         SETTINGS_CLIPBOARD, SETTINGS_SOURCE, SETTINGS_TARGET)]
     raw = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    raw = F.when(i % 20 == 7, F.lit(SETTINGS_BROKEN)).when(i % 20 == 9, F.lit(SETTINGS_TYPED)) \
+        .when(i % 20 == 11, F.lit(SETTINGS_CASE)).otherwise(raw)
     return tenants.select("tenant", raw.alias("raw"))
 
 
 # ---------------------------------------------------------------------------
-# translation memory seed: benchmark passages, English to Chinese, both models
+# translation memory seed: benchmark passages and every third document, into Chinese, both
+# models; its translations carry a mark that the test double never returns
 # ---------------------------------------------------------------------------
-def memory_seed(benchmark: DataFrame) -> DataFrame:
+MEMORY_MARK = "(tm) "
+
+
+def memory_seed(benchmark: DataFrame, documents: DataFrame) -> DataFrame:
     from transloom.functions.text import paragraph_parts
-    from transloom.operators.backends import pseudo_translation
-    parts = (benchmark.select(F.explode(paragraph_parts("text")).alias("segment"))
-             .where(~F.col("segment").startswith("\n")).distinct())
+    earlier = documents.where(F.col("doc_id") % 3 == 0).select(F.col("lang").alias("source"), "text")
+    texts = benchmark.select(F.lit("en").alias("source"), "text").unionByName(earlier)
+    parts = texts.select("source", F.explode(paragraph_parts("text")).alias("segment")) \
+        .where(~F.col("segment").startswith("\n")).distinct()
     model_ids = F.array(*[F.lit(m[0]) for m in K.MODELS])
     return parts.select(
-        F.lit("en").alias("source"), F.lit("zh").alias("target"),
-        F.explode(model_ids).alias("model"), "segment",
-        pseudo_translation("segment", F.lit("zh")).alias("translation"),
-    )
+        "source", F.lit("zh").alias("target"), F.explode(model_ids).alias("model"), "segment",
+        F.concat(F.lit(MEMORY_MARK), "segment").alias("translation"))
 
 
 # ---------------------------------------------------------------------------
@@ -131,7 +147,7 @@ def sse_body(words: Column, variant: Column) -> Column:
     plain = F.array_join(F.transform(words, lambda w: _delta(w)), "")
     crlf = F.concat(F.lit(": keep-alive\r\n"), F.array_join(F.transform(
         words, lambda w: F.concat(F.lit("event: message\r\n"), _delta(w, nl="\r\n"))), ""),
-        F.lit("data: [DONE]\r\n\r\n"))
+        F.lit("data: {\"choices\":[]}\r\r\n\r\r\ndata: [DONE]\r\n\r\n"))
     message = F.array_join(F.transform(words, lambda w: F.concat(
         F.lit('data: {"choices":[{"message":{"content":"'), w, F.lit(' "}}]}'))), "\n\n")
     multiline = F.concat(F.lit('data: {"choices":[]}\n\n'), F.array_join(F.transform(words, lambda w: F.concat(
@@ -141,7 +157,7 @@ def sse_body(words: Column, variant: Column) -> Column:
             .when(variant == 1, crlf)
             .when(variant == 2, F.concat(plain, F.lit('data: {"error":{"message":" rate limited "}}\n\n'),
                                          F.lit("data: [DONE]\n\n")))
-            .when(variant == 3, F.concat(plain, F.lit("data: {bad json\n\n")))
+            .when(variant == 3, F.concat(plain, F.lit('data: {"choices":[]} and more\n\n')))
             .when(variant == 4, F.concat(plain, F.lit("data: [DONE]\n\n"),
                                          F.lit('data: {"error":{"message":"late"}}\n\n')))
             .when(variant == 5, message)
@@ -149,6 +165,19 @@ def sse_body(words: Column, variant: Column) -> Column:
 
 
 def llm_replies(documents: DataFrame) -> DataFrame:
+    """Landed replies: none for one document in 11, a second attempt for one in 13, some without
+    a status or a body, JSON with trailing text or a wrong type in a later choice."""
+    first = _first_replies(documents).where(F.col("doc_id") % 11 != 4)
+    d = F.col("doc_id")
+    again = documents.where(d % 13 == 0).select(
+        "doc_id", F.lit(1).cast("bigint").alias("attempt"), F.lit(200).cast("int").alias("http_status"),
+        F.lit("application/json").alias("content_type"),
+        F.concat(F.lit('{"choices":[{"message":{"content":"retry '), _s(d), F.lit('"}}]}')).alias("body"))
+    return first.unionByName(again).select(
+        F.concat(F.lit("d"), _s(d)).alias("request_id"), "attempt", "http_status", "content_type", "body")
+
+
+def _first_replies(documents: DataFrame) -> DataFrame:
     d = F.col("doc_id")
     words = F.regexp_extract_all("text", F.lit(REPLY_WORD), 0)
     joined = F.array_join(words, " ")
@@ -159,7 +188,9 @@ def llm_replies(documents: DataFrame) -> DataFrame:
              .when(k == 4, F.lit("text/html")).otherwise(F.lit("application/json")))
     ok_json = F.concat(F.lit('{"id":"r'), _s(d), F.lit('","choices":[{"index":0,"message":{"role":"assistant",'
                                                        '"content":" '), joined, F.lit(' "}}]}'))
-    odd_json = (F.when(d % 3 == 0, F.lit('{"choices":[]}'))
+    ok_json = F.when(d % 4 == 1, F.concat(ok_json, F.lit(" and more"))).otherwise(ok_json)
+    odd_json = (F.when(d % 6 == 0, F.lit('{"choices":[{"message":{"content":"x"}},{"message":{"content":5}}]}'))
+                .when(d % 3 == 0, F.lit('{"choices":[]}'))
                 .when(d % 3 == 1, F.lit('{"choices":[{"message":{"content":"  "}}]}'))
                 .otherwise(F.concat(F.lit('{"choices":[{"message":{"content":'), _s(F.size(words)),
                                     F.lit("}}]}"))))
@@ -170,10 +201,10 @@ def llm_replies(documents: DataFrame) -> DataFrame:
     body = (F.when(k == 0, ok_json).when(k == 1, sse_body(words, d % 7)).when(k == 2, odd_json)
             .when(k == 3, error_body).otherwise(F.concat(F.lit("<html>"), joined, F.lit("</html>"))))
     return documents.select(
-        F.concat(F.lit("d"), _s(d)).alias("request_id"),
-        status.cast("int").alias("http_status"),
+        "doc_id", F.lit(0).cast("bigint").alias("attempt"),
+        F.when(d % 17 != 3, status).cast("int").alias("http_status"),
         ctype.alias("content_type"),
-        body.alias("body"),
+        F.when(d % 19 != 6, body).alias("body"),
     )
 
 
