@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from transloom.operators import feed
-from transloom.operators.ordering import keyed_lag, keyed_last_non_null
+from transloom.operators.ordering import keyed_lag, runs
 
 
 def test_keyed_lag_equals_window_lag(spark):
@@ -17,12 +17,19 @@ def test_keyed_lag_equals_window_lag(spark):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())), block
 
 
-def test_keyed_last_non_null(spark):
-    rows = [("a", 1, None), ("a", 2, 5), ("a", 3, None), ("a", 9, None), ("a", 10, 7), ("b", 4, None)]
-    df = spark.createDataFrame(rows, "k string, o long, v int")
-    for block in (1, 3, 100):
-        got = {(r.k, r.o): r.last for r in keyed_last_non_null(df, ["k"], "o", "v", "last", block).collect()}
-        assert got == {("a", 1): None, ("a", 2): 5, ("a", 3): 5, ("a", 9): 5, ("a", 10): 7, ("b", 4): None}
+def test_runs_split_at_gaps_only(spark):
+    rng = random.Random(2)
+    rows, want = [], {}
+    for k in "abc":
+        t, prev, run = 0, None, None
+        for _ in range(120):
+            t += rng.choice([1, 2, 5, 30])
+            run = t if prev is None or t - prev > 10 else run
+            want[k, t], prev = run, t
+            rows.append((k, t))
+    df = spark.createDataFrame(rows, "k string, t long")
+    for block in (1, 7, 50, 10_000):
+        assert {(r.k, r.t): r.run for r in runs(df, ["k"], "t", "t", 10, block).collect()} == want, block
 
 
 def brute_batches(ts, interval=35):

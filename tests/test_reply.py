@@ -3,7 +3,6 @@ import json
 import pytest
 
 from transloom.operators import reply as R
-from transloom.operators import reply_py
 
 SSE_OK = ('data: {"choices":[{"delta":{"content":"你好"}}]}\n\n'
           'data: {"choices":[{"delta":{"content":"，世界！"}}]}\n\n'
@@ -50,16 +49,68 @@ def test_http_error_message(spark):
     assert got["err_mid"] == "LLM 流式响应错误: slow down"
 
 
-def test_python_decoder_agrees(spark):
-    for i, s, c, b, (status, text) in REPLIES:
-        try:
-            out = ("OK", reply_py.decode(s, c, b))
-        except Exception:
-            out = None
-        if status == "OK":
-            assert out == ("OK", text), i
-        else:
-            assert out is None, i
+def test_strict_json_and_line_ends(spark):
+    ok = '{"choices":[{"message":{"content":"a"}}]}'
+    cases = [
+        ("trailing", "application/json", ok + " trailing garbage", "PARSE_ERROR", ""),
+        ("closed", "application/json", ok + "]", "PARSE_ERROR", ""),
+        ("two", "application/json", ok + "," + ok, "PARSE_ERROR", ""),
+        ("repeated", "application/json", '{"choices":[],"choices":[{"message":{"content":"last"}}]}', "OK", "last"),
+        ("second", "application/json", '{"choices":[{"message":{"content":"a"}},{"message":{"content":5}}]}', "PARSE_ERROR", ""),
+        ("second_null", "application/json", '{"choices":[{"message":{"content":"a"}},null]}', "OK", "a"),
+        ("delta_ignored", "application/json", '{"choices":[{"delta":5,"message":{"content":"a"}}],"error":7}', "OK", "a"),
+        ("empty", "application/json", "", "PARSE_ERROR", ""),
+        ("stream_trailing", "text/event-stream", 'data: {"choices":[]} x\n\n', "PARSE_ERROR", ""),
+        ("stream_number", "text/event-stream", "data: 5\n\n", "PARSE_ERROR", ""),
+        ("stream_second", "text/event-stream", 'data: {"choices":[{"delta":{"content":"a"}},{"delta":5}]}\n\n', "PARSE_ERROR", ""),
+        ("double_cr", "text/event-stream",
+         'data: {"choices":[{"delta":{"content":"a"}}]}\r\r\n\r\r\ndata: {"choices":[{"delta":{"content":"b"}}]}', "OK", "ab"),
+        ("done_then_long", "text/event-stream", 'data: {"choices":[{"delta":{"content":"a"}}]}\n\ndata: [DONE]\n\ndata: ' + "x" * 100_000,
+         "OK", "a"),
+    ]
+    df = spark.createDataFrame([(i, 200, c, b) for i, c, b, _, _ in cases],
+                               "request_id string, http_status int, content_type string, body string")
+    got = {r.request_id: (r.status, r.text) for r in R.decode_replies(df).collect()}
+    assert got == {i: (s, t) for i, _, _, s, t in cases}
+
+
+def test_no_reply_row_is_lost_and_attempts_are_not_merged(spark):
+    rows = [("null_body", 0, 200, "text/event-stream", None), ("null_json", 0, 200, "application/json", None),
+            ("null_status", 0, None, "text/event-stream", "data: x"), ("null_type", 0, 200, None, '{"choices":[]}'),
+            ("twice", 0, 200, "text/event-stream", 'data: {"choices":[{"delta":{"content":"first"}}]}'),
+            ("twice", 1, 200, "text/event-stream", 'data: {"choices":[{"delta":{"content":"retry"}}]}'),
+            ("worse", 0, 200, "application/json", '{"choices":[{"message":{"content":"good"}}]}'), ("worse", 2, 500, "text/html", "down"),
+            ("same", 0, 200, "application/json", '{"choices":[{"message":{"content":"x"}}]}'),
+            ("same", 0, 200, "application/json", '{"choices":[{"message":{"content":"x"}}]}')]
+    df = spark.createDataFrame(rows, "request_id string, attempt long, http_status int, content_type string, body string")
+    out = R.decode_replies(df).collect()
+    got = {r.request_id: (r.status, r.text) for r in out}
+    assert len(out) == len(got) == 7
+    assert got == {"null_body": ("NO_TRANSLATION", ""), "null_json": ("PARSE_ERROR", ""), "null_status": ("NO_STATUS", ""),
+                   "null_type": ("NO_TRANSLATION", ""), "twice": ("OK", "retry"), "worse": ("HTTP_ERROR", ""), "same": ("OK", "x")}
+
+
+def test_http_error_keeps_the_whole_text(spark):
+    df = spark.createDataFrame([("r", 500, "text/html", "é" * 400)], "request_id string, http_status int, content_type string, body string")
+    r = R.decode_replies(df).collect()[0]
+    assert r.error_full.endswith("é" * 400) and len(r.error.encode()) < len(r.error_full.encode())
+
+
+def test_send_lands_every_reply(spark):
+    from transloom.operators.send import send_requests
+
+    def answer(endpoint, payload, seconds):
+        text = json.loads(payload)["messages"][1]["content"]
+        if "hang" in text:
+            raise TimeoutError(f"no answer in {seconds} s")
+        return 200, "application/json", json.dumps({"choices": [{"message": {"content": text[-5:]}}]})
+
+    df = spark.createDataFrame([("r1", "hello", "en", "zh", "m", "https://h/"), ("r2", "hang", "en", "zh", "m", "https://h/")],
+                               "request_id string, text string, source string, target string, model string, llm_base_url string")
+    landed = send_requests(R.llm_payload(df), answer, timeout_s=3.0)
+    got = {r.request_id: (r.status, r.text) for r in R.decode_replies(landed).collect()}
+    assert got == {"r1": ("OK", "hello"), "r2": ("NO_STATUS", "")}
+    assert {r.request_id: r.body for r in landed.collect()}["r2"] == "no answer in 3.0 s"
 
 
 def test_sse_events_framing(spark):
@@ -83,4 +134,3 @@ def test_payload_reference_case(spark):
     p = json.loads(row.payload)
     assert p["stream"] is True and p["temperature"] == 0 and p["model"] == "m"
     assert p["messages"][1]["content"] == "将以下英语文本翻译为简体中文：\n\nHello, world!"
-    assert json.loads(reply_py.payload("m", "en", "zh", "Hello, world!")) == p

@@ -24,7 +24,9 @@ def test_admission_order_and_limit(spark):
             ("limit", "t", " " + "a" * 12000 + " ", "en", "zh"), ("same", "t", " hi ", "en", "en"),
             ("both_blank", "t", "hi", "", ""), ("src_blank", "t", "hi", "", "zh")]
     req = spark.createDataFrame(rows, "request_id string, tenant string, text string, source string, target string")
-    got = {r.request_id: r.status for r in A.admit(req).collect()}
+    free = {r.request_id: (r.status, r.over_limit) for r in A.admit(req).collect()}
+    assert free["long"] == ("ADMITTED", True) and free["limit"] == ("ADMITTED", False)
+    got = {r.request_id: r.status for r in A.admit(req, max_chars=12000).collect()}
     assert got == {"empty": "EMPTY", "long": "TOO_LONG", "limit": "ADMITTED", "same": "DIRECT",
                    "both_blank": "DIRECT", "src_blank": "ADMITTED"}
     direct = {r.request_id: r.text for r in A.direct_results(A.admit(req)).collect()}
@@ -46,3 +48,24 @@ def test_capability_chain(spark):
         "1": "LLM_NO_URL", "2": "LLM_NO_MODEL", "3": "PAIR_UNSUPPORTED", "4": "READY", "5": "LANG_UNMAPPED",
         "6": "READY", "7": "MODEL_NOT_READY", "8": "READY"}
     assert got["8"][1] == "en"  # missing tenant takes the default source
+
+
+def test_null_language_takes_the_default_and_null_text_is_empty(spark):
+    s = _settings(spark, [("nllb", '{"localModel":"facebook/nllb-200-distilled-600M","sourceLanguage":"fr"}')])
+    rows = [("1", "nllb", "hello there", None, "zh"), ("2", "nllb", None, "en", "zh"), ("3", None, "hello", "en", None)]
+    req = spark.createDataFrame(rows, "request_id string, tenant string, text string, source string, target string")
+    got = {r.request_id: (r.status, r.source, r.target) for r in A.resolve(req, s).collect()}
+    assert got == {"1": ("READY", "fr", "zh"), "2": ("EMPTY", "en", "zh"), "3": ("READY", "en", "zh")}
+
+
+def test_refused_settings_are_a_status(spark):
+    s = _settings(spark, [("cut", '{"provider":5,"llmModel":'), ("typed", '{"provider":5}'), ("list", "[]"), ("none", None),
+                          ("null", '{"provider":null,"localModel":null}'), ("flag", '{"clipboardEnabled":"no"}'),
+                          ("case", '{"Provider":"llm","LLMBASEURL":"https://x/","llmmodel":"m"}'),
+                          ("both", '{"PROVIDER":"local","provider":"llm"}'),
+                          ("legacy", '{"clipboardEnabled":true,"shortcutEnabled":"ignored"}')])
+    got = {r.tenant: (r.settings_error != "", r.provider, r.llm_base_url) for r in normalize_settings(s).collect()}
+    assert {t for t, v in got.items() if v[0]} == {"cut", "typed", "list", "none", "flag"}
+    assert got["case"] == (False, "llm", "https://x") and got["both"][1] == "llm" and got["null"] == (False, "local", "")
+    req = spark.createDataFrame([("1", "cut", "hi", "en", "zh")], "request_id string, tenant string, text string, source string, target string")
+    assert A.resolve(req, s).collect()[0].status == "SETTINGS_ERROR"

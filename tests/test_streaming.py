@@ -116,6 +116,75 @@ def test_continuous_translation_fills_memory(spark):
     assert spark.read.parquet(os.path.join(base, "memory")).count() > 0
 
 
+def test_stable_input_stream_equals_batch_twin(spark):
+    typed = fx.typed_input(table(spark, SF_SMALL, "events")).orderBy("n")
+    root, schema = _files(spark, typed, 3)
+    got = _run(spark, stateful.stable_input(_stream(spark, root, schema, 3)), "t4_consecutive")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch_feed.stable_input(typed).collect()))
+
+
+def test_paired_events_stream_equals_batch_twin(spark):
+    taps = fx.taps(table(spark, SF_SMALL, "events")).orderBy("press_ms")
+    root, schema = _files(spark, taps, 3)
+    got = _run(spark, stateful.paired_events(_stream(spark, root, schema, 3)), "t6_out")
+    want = sorted(map(tuple, batch_feed.paired_events(taps).collect()))
+    assert sorted(map(tuple, got.collect())) == want and want
+
+
+def test_watermark_drops_late_rows_and_expires_state(spark):
+    day = datetime.datetime(2024, 1, 1)
+    at = lambda h: day + datetime.timedelta(hours=h)
+    columns = "device long, poll long, seq long, seq_after long, read_ok boolean, origin string, text string, ts timestamp"
+    rows = [(1, 1, 5, 5, True, "user", "baseline", at(0)), (1, 2, 6, 6, True, "user", "fires", at(1)),
+            (2, 3, 1, 1, True, "user", "moves the watermark", at(90)),
+            (2, 4, 2, 2, True, "user", "fires", at(91)),
+            (2, 5, 9, 9, True, "user", "late", at(3)),  # far behind the watermark
+            (1, 6, 7, 7, True, "user", "a baseline again", at(92))]  # its state was dropped
+    root = tempfile.mkdtemp(prefix="transloom-late-")
+    for i, part in enumerate((rows[:2], rows[2:3], rows[3:4], rows[4:])):
+        spark.createDataFrame(part, columns).coalesce(1).write.parquet(os.path.join(root, f"part{i}"))
+    stream = _stream(spark, root, spark.createDataFrame(rows, columns).schema, 4)
+    out = stateful.change_feed(stream, event_time="ts", watermark="1 hour", idle_ms=3600_000)
+    q = (out.writeStream.format("memory").queryName("t2_late").outputMode("append")
+         .option("checkpointLocation", tempfile.mkdtemp()).trigger(availableNow=True).start())
+    q.processAllAvailable()
+    q.awaitTermination(60)
+    late = batches.late_rows(q)
+    assert sorted(r.poll for r in spark.table("t2_late").collect()) == [2, 4]
+    assert late == 1
+
+
+def test_event_sink_rewrites_a_replayed_batch(spark):
+    rows = spark.createDataFrame([("m1", "downloading", 5, 100), ("m2", "ready", 100, 200)],
+                                 "model string, status string, progress int, at long")
+    root = tempfile.mkdtemp(prefix="transloom-events-")
+    sink = batches.write_events(root, "download", "model", ["status", "progress"], "at")
+    for _ in range(2):
+        sink(rows, 0)
+    got = {(r.topic, r.key, r.payload, r.ts) for r in spark.read.parquet(root).collect()}
+    assert spark.read.parquet(root).count() == 2
+    assert ("download", "m1", '{"status":"downloading","progress":5}', 100) in got
+
+
+def test_status_upsert_fails_without_the_previous_snapshot(spark):
+    import pytest
+    status = spark.createDataFrame([("m1", 1, "downloading", "a", 10)],
+                                   "model string, n long, status string, message string, progress int")
+    with pytest.raises(FileNotFoundError):
+        batches.upsert_latest_status(tempfile.mkdtemp())(status, 3)
+
+
+def test_replayed_translation_batch_keeps_one_memory_row(spark):
+    req = fx.requests(table(spark, SF_SMALL, "documents").limit(20))
+    settings = fx.settings(table(spark, SF_SMALL, "documents"))
+    base = tempfile.mkdtemp(prefix="transloom-replay-")
+    sink = batches.continuous_translation(settings, os.path.join(base, "results"), os.path.join(base, "memory"))
+    sink(req, 0)
+    first = spark.read.parquet(os.path.join(base, "memory")).count()
+    sink(req, 0)
+    assert spark.read.parquet(os.path.join(base, "memory")).count() == first > 0
+
+
 def test_duplicate_suppression_runs(spark):
     rows = spark.createDataFrame(
         [("a", datetime.datetime(2024, 1, 1, 0, 0, 0)), ("a", datetime.datetime(2024, 1, 1, 0, 0, 1)),

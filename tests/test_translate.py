@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from transloom.operators import memory as tm
 from transloom.operators import segment
-from transloom.operators.backends import PseudoBackend
+from transloom import constants as K
+from transloom.operators.backends import HFBackend, PseudoBackend
 from transloom.operators.translate import round_trip, translate_parts, translate_requests
 from transloom.sources import fixtures as fx
 from transloom.sources.tables import table
@@ -15,7 +16,7 @@ from transloom.sources.tables import table
 def _ready(spark):
     docs = table(spark, SF_SMALL, "documents")
     return docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("request_id"), "text",
-                       F.lit("en").alias("source"), F.lit("zh").alias("target"),
+                       F.lit("t").alias("tenant"), F.lit("en").alias("source"), F.lit("zh").alias("target"),
                        F.lit("Helsinki-NLP/opus-mt-en-zh").alias("model"))
 
 
@@ -57,11 +58,13 @@ def test_second_run_sends_nothing_new(spark):
 
 
 def test_memory_seed_hits(spark):
-    mem = fx.memory_seed(table(spark, SF_SMALL, "benchmark"))
+    mem = fx.memory_seed(table(spark, SF_SMALL, "benchmark"), table(spark, SF_SMALL, "documents"))
     unique = segment.unique_segments(segment.paragraphs(_ready(spark)))
     hits = tm.hits(unique, mem).count()
     misses = tm.misses(unique, mem).count()
-    assert hits + misses == unique.count()
+    assert hits + misses == unique.count() and hits
+    marked = [r.text for r in translate_requests(_ready(spark), mem).collect() if fx.MEMORY_MARK.strip() in r.text]
+    assert marked  # the flagship reads the memory's translations, not the double's
 
 
 def test_backend_error_becomes_row(spark):
@@ -72,7 +75,64 @@ def test_backend_error_becomes_row(spark):
 
 
 def test_round_trip(spark):
-    rows = round_trip(_ready(spark).limit(5)).collect()
-    for r in rows:
-        assert r.forward.startswith("[zh]") or r.forward == ""
-        assert r.back.startswith("[en] [zh]") or r.back == ""
+    nllb = "facebook/nllb-200-distilled-600M"
+    settings = spark.createDataFrame([("t", '{"localModel":"%s"}' % nllb)], "tenant string, raw string")
+    for r in round_trip(_ready(spark).withColumn("model", F.lit(nllb)).limit(5), settings).collect():
+        assert r.forward.startswith("[zh]") and r.back.startswith("[en] [zh]") and r.error == ""
+    plain = spark.createDataFrame([("t", "{}")], "tenant string, raw string")
+    for r in round_trip(_ready(spark).limit(5), plain).collect():  # the small model has no way back
+        assert r.forward.startswith("[zh]") and r.back == "" and r.error == K.MSG_PAIR_UNSUPPORTED
+
+
+class _Short:
+    def translate(self, texts, source, target):
+        return ["x"] * (len(texts) - 1)
+
+
+class _Words:
+    """A tokenizer and model double: ids are word numbers, the output repeats the input ids."""
+    all_special_ids = [0]
+
+    def __init__(self):
+        self.words, self.batches = ["<s>"], []
+        self.tokenizer = self
+
+    def __call__(self, text, add_special_tokens=True):
+        ids = [self.words.index(w) if w in self.words else self.words.append(w) or len(self.words) - 1 for w in text.split()]
+        return {"input_ids": [0] * add_special_tokens + ids}
+
+    def decode(self, ids, skip_special_tokens=True):
+        return " ".join(self.words[i] for i in ids if i)
+
+    def generate(self, texts, budget, target_code):
+        self.batches.append((len(texts), budget))
+        if any("boom" in t for t in texts):
+            raise RuntimeError("boom")
+        return [[0, *self(t, False)["input_ids"], 0] for t in texts]
+
+
+def test_hf_adapter_batches_and_keeps_order():
+    made = []
+    be = HFBackend("m", loader=lambda model, cache: made.append(_Words()) or made[-1])
+    texts = ["one two three", "four five six", " ".join(f"w{i}" for i in range(900)), ""]
+    assert be.translate(texts, "en", "zh") == texts
+    assert max(n for n, _ in made[0].batches) > 1 and sum(n for n, _ in made[0].batches) == 5
+    out = be.translate(["boom now", " ".join(f"v{i}" for i in range(100))], "en", "zh")
+    assert isinstance(out[0], RuntimeError) and out[1].startswith("v0 v1")
+
+
+def test_wrong_number_of_translations_is_an_error(spark, monkeypatch):
+    import pandas as pd
+
+    from transloom.operators import backends, translate
+    monkeypatch.setattr(backends, "open_backend", lambda *a: _Short())
+    pdf = pd.DataFrame({"source": ["en"] * 2, "target": ["zh"] * 2, "model": ["m"] * 2, "segment": ["a", "b"], "translation": [None, None]})
+    out = list(translate._translate_batches("x", None)([pdf]))[0]
+    assert list(out["translation"]) == ["", ""] and all("1 translations" in e for e in out["error"])
+
+
+def test_missing_translation_is_an_error_row(spark):
+    parts = segment.paragraphs(_ready(spark).limit(3))
+    none = spark.createDataFrame([], "source string, target string, model string, segment string, translation string, error string")
+    for r in segment.reassemble(segment.fan_out(parts, none)).collect():
+        assert r.text == "" and r.error == K.MSG_MISSING_TRANSLATION

@@ -79,6 +79,7 @@ MSG_LLM_NO_URL = "请先配置 LLM Base URL"
 MSG_LLM_NO_MODEL = "请先配置 LLM 模型名称"
 MSG_PAIR_UNSUPPORTED = "Helsinki 英中模型仅支持英语 → 中文；其他语言请选择 NLLB-200 或 LLM"
 MSG_MODEL_NOT_READY = "所选本地模型尚未下载，请先到模型管理中下载"
+MSG_MODEL_CACHE_BROKEN = "本地模型缓存不完整或已损坏，请在模型管理中重新下载该模型"
 MSG_NO_REPLY_STATUS = "LLM 回复没有状态码"
 MSG_BAD_REQUEST = "无法解析请求"
 MSG_SETTINGS_ERROR = "设置文件无法解析"

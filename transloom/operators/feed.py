@@ -1,19 +1,23 @@
 """Input feeds in batch form (W2, W3, W6, T3, T6); streaming twins live in ``transloom.streaming``.
 
-Consecutive comparisons use ``keyed_lag`` (parallel on a hot key). The two
-folds whose state depends on the previous *emission* (W6, T6) run per
-independent unit: one reply for W6 (bounded by the reply-size guard), one
+Consecutive comparisons are cut into blocks (parallel on a hot key). The two
+folds whose state depends on the previous *emission* (W6, T6) stream each
+independent unit in order with a constant state: one reply for W6, one
 run of taps for T6 (a gap above the pair window always resets the state).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from transloom import constants as K
 from transloom.functions.text import go_trim
-from transloom.operators.ordering import DEFAULT_BLOCK, keyed_lag, keyed_last_non_null
+from transloom.operators.ordering import DEFAULT_BLOCK, keyed_lag, runs
+from transloom.session import ship_package
 
 
 # ---------------------------------------------------------------------------
@@ -40,14 +44,29 @@ def stable_input(typed: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:
 def change_feed(polls: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:
     """Per device, in poll order: the first poll is the baseline; a zero counter, a failed
     or torn read, and an unchanged counter are ignored; a change advances the baseline and
-    fires unless the device wrote it itself or the text is blank."""
-    first = keyed_lag(polls, ["device"], "poll", ["poll"], block).withColumn("_first", F.col("prev_poll").isNull())
+    fires unless the device wrote it itself or the text is blank.
+
+    One aggregate per (device, block) gives both the device's first poll and the counter that
+    each block hands on; the polls are shuffled once.
+    """
     valid = (F.col("seq") != 0) & F.col("read_ok") & (F.col("seq_after") == F.col("seq"))
-    kept = first.where(F.col("_first") | valid).drop("prev_poll")
-    lagged = keyed_lag(kept, ["device"], "poll", ["seq"], block)
-    fires = (~F.col("_first") & (F.col("seq") != F.col("prev_seq")) & (F.col("origin") != "self")
-             & (go_trim("text") != ""))
-    return lagged.where(fires).select("device", "poll", "seq", "text")
+    d = polls.withColumn("_blk", F.floor(F.col("poll") / F.lit(block)).cast("bigint"))
+    ends = d.groupBy("device", "_blk").agg(
+        F.min("poll").alias("_head"), F.min_by("seq", "poll").alias("_seq0"),
+        F.max_by("seq", F.when(valid, F.col("poll"))).alias("_seq1"))
+    wb = Window.partitionBy("device").orderBy("_blk")
+    first_block = F.row_number().over(wb) == 1
+    # what a block leaves behind: its last valid counter, in the first block at least the baseline
+    ends = ends.withColumns({"_left": F.coalesce("_seq1", F.when(first_block, F.col("_seq0"))),
+                             "_base": F.when(first_block, F.col("_head"))})
+    carry = ends.select("device", "_blk", "_base", F.last("_left", ignorenulls=True).over(
+        wb.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    d = d.join(carry, ["device", "_blk"], "left").withColumn("_first", F.coalesce(F.col("poll") == F.col("_base"), F.lit(False)))
+    kept = d.where(F.col("_first") | valid)
+    before = F.coalesce(F.lag("seq").over(Window.partitionBy("device", "_blk").orderBy("poll")), F.col("_carry"))
+    kept = kept.withColumn("_prev", before)
+    fires = (~F.col("_first") & (F.col("seq") != F.col("_prev")) & (F.col("origin") != "self") & (go_trim("text") != ""))
+    return kept.where(fires).select("device", "poll", "seq", "text")
 
 
 # ---------------------------------------------------------------------------
@@ -66,33 +85,45 @@ def latest_wins(polls: DataFrame, batch_polls: int = 100, block: int = DEFAULT_B
 # ---------------------------------------------------------------------------
 # Delta emission batches
 # ---------------------------------------------------------------------------
+_BATCHES = "request_id string, batch_no bigint, first_seq bigint, n_deltas bigint, text string"
+
+
+def _emissions(batches: Iterator[pd.DataFrame], interval_ms: int) -> Iterator[pd.DataFrame]:
+    """Rows sorted by request and sequence. Only the pending deltas of one reply are held."""
+    request, number, last, first, pending = None, 0, None, None, []
+
+    def flush() -> tuple:
+        return request, number, first, len(pending), "".join(pending)
+
+    for pdf in batches:
+        out = []
+        for rid, seq, t, delta in zip(pdf["request_id"], pdf["seq"].tolist(), pdf["t_ms"].tolist(), pdf["delta"]):
+            if rid != request:
+                if pending:
+                    out.append(flush())
+                request, number, last, pending = rid, 0, None, []
+            if not pending:
+                first = seq
+            pending.append(delta)
+            if last is None or t - last >= interval_ms:
+                out.append(flush())
+                number, last, pending = number + 1, t, []
+        yield pd.DataFrame(out, columns=["request_id", "batch_no", "first_seq", "n_deltas", "text"])
+    if pending:
+        yield pd.DataFrame([flush()], columns=["request_id", "batch_no", "first_seq", "n_deltas", "text"])
+
+
 def delta_batches(deltas: DataFrame, interval_ms: int = K.DELTA_INTERVAL_MS) -> DataFrame:
     """The first delta goes out at once; later ones when ``interval_ms`` have passed since
-    the last emission; what is pending at the end is flushed. One row per emission."""
-    g = deltas.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("seq", "t_ms", "delta"))).alias("d"))
-    n = F.size("d")
-    idx = F.sequence(F.lit(1), n)
-
-    def step(acc, i):
-        t = F.element_at(F.col("d"), i)["t_ms"]
-        emit = acc["last"].isNull() | (t - acc["last"] >= interval_ms)
-        return F.struct(F.when(emit, t).otherwise(acc["last"]).alias("last"),
-                        F.when(emit, F.concat(acc["at"], F.array(i))).otherwise(acc["at"]).alias("at"))
-
-    init = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<int>").alias("at"))
-    emitted = g.withColumn("_at", F.aggregate(idx, init, step)["at"])
-    # batch k covers the deltas after emission k-1 up to emission k; a trailing flush covers the rest
-    ends = F.when(F.element_at("_at", -1) < n, F.concat("_at", F.array(n))).otherwise(F.col("_at"))
-    with_ends = emitted.select("request_id", "d", ends.alias("ends"))
-    batches = with_ends.select("request_id", "d", F.posexplode("ends").alias("k", "end"),
-                               F.col("ends"))
-    start = F.when(F.col("k") == 0, F.lit(1)).otherwise(F.element_at("ends", F.col("k").cast("int")) + 1)
-    piece = F.slice("d", start, F.col("end") - start + 1)
-    return batches.select(
-        "request_id", F.col("k").cast("bigint").alias("batch_no"),
-        F.element_at(piece, 1)["seq"].alias("first_seq"),
-        F.size(piece).cast("bigint").alias("n_deltas"),
-        F.array_join(F.transform(piece, lambda x: x["delta"]), "").alias("text"))
+    the last emission; what is pending at the end is flushed. One row per emission.
+
+    When a batch ends depends on when the one before ended, so the deltas of a reply are
+    streamed in order: one shuffle, a sort, and a pass that holds one pending batch.
+    """
+    ship_package(deltas.sparkSession)
+    ordered = deltas.select("request_id", "seq", "t_ms", "delta").repartition("request_id") \
+        .sortWithinPartitions("request_id", "seq")
+    return ordered.mapInPandas(lambda it: _emissions(it, interval_ms), _BATCHES)
 
 
 # ---------------------------------------------------------------------------
@@ -108,6 +139,31 @@ def _tap_events(taps: DataFrame) -> DataFrame:
     return taps.select("user_id", F.inline(F.array_compact(ev)))
 
 
+def _fires(batches: Iterator[pd.DataFrame], limits: tuple[int, int, int, int]) -> Iterator[pd.DataFrame]:
+    """Events sorted by user, run and order; each run starts from nothing. Emits the fires."""
+    min_gap, max_gap, max_hold, refractory = limits
+    run = down = tap = fired = None
+    chord = False
+    for pdf in batches:
+        out = []
+        for user, r, t, kind in zip(pdf["user_id"].tolist(), pdf["run"].tolist(), pdf["t"].tolist(), pdf["kind"].tolist()):
+            if (user, r) != run:
+                run, down, chord, tap, fired = (user, r), None, False, None, None
+            if kind == 0:  # modifier goes down
+                if down is None:
+                    down, chord = t, False
+            elif kind == 2:  # another key
+                tap, chord = None, chord or down is not None
+            elif down is not None:  # modifier goes up
+                clean, pair = not chord and t - down <= max_hold, tap is not None and min_gap <= t - tap <= max_gap
+                if clean and pair and (fired is None or t - fired >= refractory):
+                    out.append((user, t))
+                    fired = t
+                tap = t if clean and not pair else None
+                down, chord = None, False
+        yield pd.DataFrame(out, columns=["user_id", "fire_ms"])
+
+
 def paired_events(taps: DataFrame, min_gap: int = K.TAP_MIN_GAP_MS, max_gap: int = K.TAP_MAX_GAP_MS,
                   max_hold: int = K.TAP_MAX_HOLD_MS, refractory: int = K.TAP_REFRACTORY_MS,
                   block: int = DEFAULT_BLOCK) -> DataFrame:
@@ -120,37 +176,12 @@ def paired_events(taps: DataFrame, min_gap: int = K.TAP_MIN_GAP_MS, max_gap: int
 
     Any gap above ``max_gap`` between consecutive key events resets every piece of state
     (a pending tap expires, the refractory period is shorter, a held key becomes too long a
-    hold), so runs split there are folded independently.
+    hold), so runs split there go to different tasks. A run is streamed in order with a
+    state of four values, whatever its length.
     """
+    ship_package(taps.sparkSession)
     ev = _tap_events(taps).withColumn("_ord", F.col("t") * 4 + F.col("kind"))
-    lagged = keyed_lag(ev, ["user_id"], "_ord", ["t"], block * 4)
-    starts = lagged.withColumn("_start", F.when(F.col("prev_t").isNull() | (F.col("t") - F.col("prev_t") > max_gap),
-                                                F.col("_ord")))
-    runs = keyed_last_non_null(starts, ["user_id"], "_ord", "_start", "run", block * 4)
-    g = runs.groupBy("user_id", "run").agg(F.array_sort(F.collect_list(F.struct("_ord", "t", "kind", "press")))
-                                           .alias("e"))
-
-    def step(acc, e):
-        t, kind = e["t"], e["kind"]
-        down, chord, last_tap, last_fire = acc["down"], acc["chord"], acc["last_tap"], acc["last_fire"]
-        is_up = (kind == 1) & down.isNotNull()
-        hold_ok = (t - down) <= max_hold
-        pair = last_tap.isNotNull() & (t - last_tap >= min_gap) & (t - last_tap <= max_gap)
-        clean_pair = is_up & ~chord & hold_ok & pair
-        fire = clean_pair & (last_fire.isNull() | (t - last_fire >= refractory))
-        new_last_tap = (F.when(kind == 2, F.lit(None))
-                        .when(is_up & (chord | ~hold_ok | pair), F.lit(None))
-                        .when(is_up, t).otherwise(last_tap))
-        return F.struct(
-            F.when((kind == 0) & down.isNull(), t).when(kind == 1, F.lit(None)).otherwise(down).alias("down"),
-            F.when((kind == 0) & down.isNull(), F.lit(False)).when((kind == 2) & down.isNotNull(), F.lit(True))
-            .when(kind == 1, F.lit(False)).otherwise(chord).alias("chord"),
-            new_last_tap.cast("bigint").alias("last_tap"),
-            F.when(fire, t).otherwise(last_fire).cast("bigint").alias("last_fire"),
-            F.when(fire, F.concat(acc["fires"], F.array(t))).otherwise(acc["fires"]).alias("fires"))
-
-    init = F.struct(F.lit(None).cast("bigint").alias("down"), F.lit(False).alias("chord"),
-                    F.lit(None).cast("bigint").alias("last_tap"), F.lit(None).cast("bigint").alias("last_fire"),
-                    F.array().cast("array<bigint>").alias("fires"))
-    fires = F.aggregate("e", init, step)["fires"]
-    return g.select("user_id", F.explode(fires).alias("fire_ms"))
+    split = runs(ev, ["user_id"], "_ord", "t", max_gap, block * 4)
+    ordered = split.select("user_id", "run", "_ord", "t", "kind").repartition("user_id", "run") \
+        .sortWithinPartitions("user_id", "run", "_ord")
+    return ordered.mapInPandas(lambda it: _fires(it, (min_gap, max_gap, max_hold, refractory)), "user_id bigint, fire_ms bigint")

@@ -23,36 +23,35 @@ def keyed_lag(df: DataFrame, keys: list[str], order: str, cols: list[str], block
               prefix: str = "prev_") -> DataFrame:
     """Add ``prev_<c>``: the value of ``c`` on the previous row (by ``order``) of the same key.
 
-    The block summaries are read off the windowed rows (the last row of each block), so
-    both uses of the input share one exchange and the input is evaluated once.
+    The last row of each block is a plain ``max_by`` aggregate of the input (partial before its
+    shuffle); the rows themselves are shuffled once, for the window and the join alike.
     """
     blk = "_blk"
     d = df.withColumn(blk, _block(order, block))
-    w = Window.partitionBy(*keys, blk).orderBy(order)
-    whole = Window.partitionBy(*keys, blk)
-    d = d.select("*", *[F.lag(c).over(w).alias(f"_in_{c}") for c in cols],
-                 F.row_number().over(w).alias("_rn"), F.count(F.lit(1)).over(whole).alias("_cnt"))
-    last = d.where(F.col("_rn") == F.col("_cnt")).select(*keys, blk, F.struct(*cols).alias("_last"))
+    last = d.groupBy(*keys, blk).agg(F.max_by(F.struct(*cols), F.col(order)).alias("_last"))
     wb = Window.partitionBy(*keys).orderBy(blk)
     carry = last.select(*keys, blk, F.lag("_last").over(wb).alias("_carry"))
-    d = d.join(carry, [*keys, blk], "left")
-    return d.select(*df.columns, *[
-        F.when(F.col("_rn") == 1, F.col("_carry")[c]).otherwise(F.col(f"_in_{c}")).alias(prefix + c)
-        for c in cols])
+    w = Window.partitionBy(*keys, blk).orderBy(order)
+    d = d.join(carry, [*keys, blk], "left").withColumn("_in", F.lag(F.struct(*cols)).over(w))
+    before = F.coalesce("_in", "_carry")
+    return d.select(*df.columns, *[before[c].alias(prefix + c) for c in cols])
 
 
-def keyed_last_non_null(df: DataFrame, keys: list[str], order: str, col: str, name: str,
-                        block: int = DEFAULT_BLOCK) -> DataFrame:
-    """Add ``name``: the last non-null ``col`` at or before each row of the same key."""
+def runs(df: DataFrame, keys: list[str], order: str, t: str, max_gap: int, block: int = DEFAULT_BLOCK,
+         name: str = "run") -> DataFrame:
+    """Add ``name``: the order value of the first row of the row's run. A run of a key ends where
+    ``t`` grows by more than ``max_gap``; it may go on over any number of blocks."""
     blk = "_blk"
-    d = df.withColumn(blk, _block(order, block))
-    w = Window.partitionBy(*keys, blk).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*keys, blk)
-    d = d.select("*", F.last(col, ignorenulls=True).over(w).alias("_run"),
-                 F.row_number().over(Window.partitionBy(*keys, blk).orderBy(order)).alias("_rn"),
-                 F.count(F.lit(1)).over(whole).alias("_cnt"))
-    last = d.where(F.col("_rn") == F.col("_cnt")).select(*keys, blk, F.col("_run").alias("_blk_last"))
-    wb = Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
-    carry = last.select(*keys, blk, F.last("_blk_last", ignorenulls=True).over(wb).alias("_carry"))
-    d = d.join(carry, [*keys, blk], "left")
-    return d.select(*df.columns, F.coalesce("_run", "_carry").alias(name))
+    w = Window.partitionBy(*keys, blk).orderBy(order)
+    d = df.withColumn(blk, _block(order, block)).withColumns({"_lag": F.lag(t).over(w)})
+    d = d.withColumn("_start", F.when(F.col(t) - F.col("_lag") > max_gap, F.col(order)))  # unknown for a block's first row
+    edge = d.groupBy(*keys, blk).agg(F.min(order).alias("_head"), F.min_by(t, F.col(order)).alias("_t0"),
+                                     F.max_by(t, F.col(order)).alias("_t1"), F.max("_start").alias("_last"))
+    wb = Window.partitionBy(*keys).orderBy(blk)
+    new = F.lag("_t1").over(wb).isNull() | (F.col("_t0") - F.lag("_t1").over(wb) > max_gap)
+    edge = edge.withColumn("_own", F.when(new, F.col("_head")))  # the block's first row starts a run
+    upto = wb.rowsBetween(Window.unboundedPreceding, -1)
+    edge = edge.withColumn("_open", F.coalesce("_own", F.last(F.coalesce("_last", "_own"), ignorenulls=True).over(upto)))
+    d = d.withColumn("_in", F.last("_start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return d.join(edge.select(*keys, blk, "_open"), [*keys, blk], "left").select(
+        *df.columns, F.coalesce("_in", "_open").alias(name))

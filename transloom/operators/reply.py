@@ -203,7 +203,7 @@ def fold_events(events: DataFrame) -> DataFrame:
     dealt = events.repartition("request_id")
     keep = F.when(F.col("kind") != "SKIP", F.struct("ev", "kind", "text"))
     d = dealt.groupBy("request_id", "attempt", "reply_key", "route", "http_status").agg(
-        F.array_sort(F.collect_list(keep)).alias("_ev"))
+        F.array_sort(F.collect_set(keep)).alias("_ev"))  # a reply landed twice counts once
     d = d.withColumn("_done", F.array_position(F.transform("_ev", lambda e: e["kind"] == "DONE"), True))
     d = d.withColumn("_live", F.when(F.col("_done") > 0, F.slice("_ev", 1, (F.col("_done") - 1).cast("int")))
                      .otherwise(F.col("_ev")))

@@ -2,9 +2,8 @@
 
 Each string is standalone SQL over the pre-registered views (documents,
 events, pages, benchmark, conversations, ...). Derived tables are rebuilt as
-CTEs by the same rules ``transloom.sources.fixtures`` uses in Spark. Queries
-whose semantics SQL cannot state without a sequential fold (``delta_batches``,
-``paired_events``) have no twin; they are checked against sequential loops in tests.
+CTEs by the same rules ``transloom.sources.fixtures`` uses in Spark. The two
+sequential folds (``delta_batches``, ``paired_events``) are list reductions here.
 """
 
 from __future__ import annotations
@@ -700,6 +699,45 @@ UNION ALL SELECT user_id, n, trigger, 'blank' FROM t WHERE tx = ''"""
 SELECT device, CAST(floor(poll / 100) AS BIGINT) AS batch_no, max(poll) AS poll, {trim("arg_max(text, poll)")} AS text,
   count(*) - 1 AS n_superseded
 FROM fired GROUP BY device, CAST(floor(poll / 100) AS BIGINT)"""
+    q["delta_batches"] = f"""
+WITH w AS (SELECT 'd' || CAST(doc_id AS VARCHAR) AS request_id, regexp_extract_all(text, '{fx.REPLY_WORD}', 0) AS ws FROM documents),
+d AS (SELECT request_id, ws, list_transform(range(1, len(ws) + 1), lambda i:
+        {{'last': (i - 1) * 12 + length(ws[i]) % 10, 'pos': [i]}}) AS steps FROM w WHERE len(ws) > 0),
+f AS (SELECT request_id, ws, list_reduce(steps, lambda a, x: CASE WHEN x['last'] - a['last'] >= {K.DELTA_INTERVAL_MS}
+        THEN {{'last': x['last'], 'pos': list_concat(a['pos'], x['pos'])}} ELSE a END)['pos'] AS pos FROM d),
+e AS (SELECT request_id, ws, CASE WHEN pos[-1] < len(ws) THEN list_concat(pos, [len(ws)]) ELSE pos END AS ends FROM f),
+b AS (SELECT request_id, ws, generate_subscripts(ends, 1) - 1 AS batch_no, unnest(ends) AS last_i,
+             unnest(list_concat([0], ends)[1 : len(ends)]) AS before FROM e)
+SELECT request_id, batch_no, CAST(before AS BIGINT) AS first_seq, CAST(last_i - before AS BIGINT) AS n_deltas,
+  array_to_string(ws[before + 1 : last_i], ' ') || ' ' AS text FROM b"""
+    q["paired_events"] = f"""
+WITH p AS (SELECT user_id, event_type, event_id * 3 AS press, (CAST(floor(value) AS BIGINT) % 7) * 90 AS hold,
+                  lead(event_id * 3) OVER (PARTITION BY user_id ORDER BY event_id) AS nxt FROM events),
+taps AS (SELECT user_id, event_type <> 'click' AS modifier, press,
+                press + CASE WHEN nxt IS NULL THEN hold ELSE least(hold, nxt - press - 1) END AS release FROM p),
+ev AS (SELECT user_id, press AS t, CASE WHEN modifier THEN 0 ELSE 2 END AS kind FROM taps
+       UNION ALL SELECT user_id, release, 1 FROM taps WHERE modifier),
+g AS (SELECT user_id, list({{'t': t, 'kind': kind, 'down': NULL::BIGINT, 'chord': false, 'tap': NULL::BIGINT, 'fired': NULL::BIGINT,
+        'fires': []::BIGINT[]}} ORDER BY t * 4 + kind) AS es FROM ev GROUP BY user_id),
+s AS (SELECT user_id, list_concat([{{'t': NULL::BIGINT, 'kind': 2, 'down': NULL::BIGINT, 'chord': false, 'tap': NULL::BIGINT,
+        'fired': NULL::BIGINT, 'fires': []::BIGINT[]}}], es) AS es FROM g),
+step AS (SELECT user_id, list_reduce(es, lambda a, x: CASE
+   WHEN x['kind'] = 0 THEN {{'t': x['t'], 'kind': 0, 'down': coalesce(a['down'], x['t']), 'chord': a['down'] IS NOT NULL AND a['chord'],
+        'tap': a['tap'], 'fired': a['fired'], 'fires': a['fires']}}
+   WHEN x['kind'] = 2 THEN {{'t': x['t'], 'kind': 2, 'down': a['down'], 'chord': a['chord'] OR a['down'] IS NOT NULL,
+        'tap': NULL::BIGINT, 'fired': a['fired'], 'fires': a['fires']}}
+   WHEN a['down'] IS NULL THEN a
+   WHEN a['chord'] OR x['t'] - a['down'] > {K.TAP_MAX_HOLD_MS} THEN {{'t': x['t'], 'kind': 1, 'down': NULL::BIGINT, 'chord': false,
+        'tap': NULL::BIGINT, 'fired': a['fired'], 'fires': a['fires']}}
+   WHEN coalesce(x['t'] - a['tap'] BETWEEN {K.TAP_MIN_GAP_MS} AND {K.TAP_MAX_GAP_MS}, false) THEN
+        (CASE WHEN a['fired'] IS NULL OR x['t'] - a['fired'] >= {K.TAP_REFRACTORY_MS}
+         THEN {{'t': x['t'], 'kind': 1, 'down': NULL::BIGINT, 'chord': false, 'tap': NULL::BIGINT, 'fired': x['t'],
+               'fires': list_append(a['fires'], x['t'])}}
+         ELSE {{'t': x['t'], 'kind': 1, 'down': NULL::BIGINT, 'chord': false, 'tap': NULL::BIGINT, 'fired': a['fired'],
+               'fires': a['fires']}} END)
+   ELSE {{'t': x['t'], 'kind': 1, 'down': NULL::BIGINT, 'chord': false, 'tap': x['t'], 'fired': a['fired'], 'fires': a['fires']}}
+   END)['fires'] AS fires FROM s)
+SELECT user_id, unnest(fires) AS fire_ms FROM step"""
     q["audit_summary"] = f"""{_audit_rows()}
 SELECT provider, model, status, count(*) AS n_requests, CAST(sum(n_chars) AS BIGINT) AS n_chars
 FROM audit_rows GROUP BY provider, model, status"""

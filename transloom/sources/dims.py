@@ -16,21 +16,17 @@ def languages(spark: SparkSession) -> DataFrame:
     return F.broadcast(spark.createDataFrame(K.LANGUAGES, "code string, name_zh string, nllb_code string"))
 
 
-def models(spark: SparkSession) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(
-        K.MODELS, "model string, name string, description string, size string, is_default boolean"))
-
-
 # Readiness markers found on the model store (S5): both shipped models are
 # downloaded; any other model id has no marker and is not ready.
-def ready_markers(spark: SparkSession, model_ids=None) -> DataFrame:
+def ready_markers(spark: SparkSession) -> DataFrame:
     from transloom.functions.text import safe_name
-    ids = model_ids if model_ids is not None else [m[0] for m in K.MODELS]
-    df = spark.createDataFrame([(m,) for m in ids], "model string")
+    df = spark.createDataFrame([(m[0],) for m in K.MODELS], "model string")
     return F.broadcast(df.select(F.concat(safe_name("model"), F.lit(".ready")).alias("marker")))
 
 
 def ready_markers_from_files(spark: SparkSession, path: str) -> DataFrame:
-    """S5 on a real model store: one ``<safe name>.ready`` file per ready model."""
-    return (spark.read.format("binaryFile").option("pathGlobFilter", "*.ready").load(path)
-            .select(F.regexp_extract("path", r"([^/]+)$", 1).alias("marker")))
+    """S5 on a real model store: one ``<safe name>.ready`` file per ready model. The markers may be
+    empty, which file readers skip, so the folder is listed (a row per model)."""
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/*.ready")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    return spark.createDataFrame([(f.getPath().getName(),) for f in found], "marker string")

@@ -44,8 +44,8 @@ def write_latest_wins(out_root: str):
 
 
 def suppress_duplicates(stream: DataFrame, keys: list[str], ts: str, watermark: str = "10 minutes") -> DataFrame:
-    """T4 (set form): drop rows whose keys were seen within the watermark. The reference's
-    rule is consecutive (W2, batch); this is the bounded-state stream form of it."""
+    """T4 (set form): drop rows whose keys were seen within the watermark, for feeds where a repeat
+    is never wanted. The consecutive rule is ``stateful.stable_input``."""
     return stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(keys)
 
 
@@ -64,7 +64,9 @@ def upsert_latest_status(table_root: str):
             F.col("s.message").alias("message"), F.col("s.progress").alias("progress"))
         prev_path = _batch_path(table_root, batch_id - 1)
         merged = fresh
-        if batch_id > 0 and path_exists(spark, prev_path):
+        if batch_id > 0:
+            if not path_exists(spark, prev_path):  # going on without it would lose every older status
+                raise FileNotFoundError(f"snapshot of the previous batch is gone: {prev_path}")
             prev = spark.read.parquet(prev_path)
             both = prev.unionByName(fresh)
             merged = both.groupBy("model").agg(
@@ -75,6 +77,28 @@ def upsert_latest_status(table_root: str):
     return sink
 
 
+def event_rows(rows: DataFrame, topic: str, key: str, payload: list[str], ts: str) -> DataFrame:
+    """``(topic, key, payload, ts)``, the payload columns as one JSON object."""
+    return rows.select(F.lit(topic).alias("topic"), F.col(key).cast("string").alias("key"),
+                       F.to_json(F.struct(*payload)).alias("payload"), F.col(ts).alias("ts"))
+
+
+def write_events(events_root: str, topic: str, key: str, payload: list[str], ts: str):
+    """S9 ``foreachBatch`` sink: each trigger's rows as events of one topic, one folder per batch,
+    rewritten on replay."""
+    def sink(df: DataFrame, batch_id: int) -> None:
+        event_rows(df, topic, key, payload, ts).write.mode("overwrite").parquet(
+            f"{events_root}/topic={topic}/batch_id={batch_id}")
+    return sink
+
+
+def late_rows(query) -> int:
+    """Rows that a streaming query's stateful operators dropped behind the watermark so far (of the
+    progress reports that Spark still keeps)."""
+    return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress
+               for op in p.get("stateOperators", []))
+
+
 def continuous_translation(settings_raw: DataFrame, results_root: str, memory_path: str,
                            kind: str = "pseudo", options: dict | None = None):
     """T7 ``foreachBatch`` sink: each trigger's requests go through the flagship plan with
@@ -83,8 +107,10 @@ def continuous_translation(settings_raw: DataFrame, results_root: str, memory_pa
 
     def sink(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        memory = spark.read.parquet(memory_path) if path_exists(spark, memory_path) else None
+        # a replayed batch must not read the partition that it is about to replace
+        memory = (spark.read.parquet(memory_path).where(F.col("run") != str(batch_id))
+                  if path_exists(spark, memory_path) else None)
         results = translate_corpus(df, settings_raw, memory=memory, kind=kind, options=options,
-                                   memory_path=memory_path)
+                                   memory_path=memory_path, run=str(batch_id))
         results.write.mode("overwrite").parquet(_batch_path(results_root, batch_id))
     return sink

@@ -1,9 +1,15 @@
-"""Keyed-state stream operators (T1, T2) on ``applyInPandasWithState``.
+"""Keyed-state stream operators (T1, T2, T4, T6) on ``applyInPandasWithState``.
 
-State is per key (one reply, one device) and small: a pending string and two
-numbers. Each micro-batch hands a key's new rows to the function in arrival
-order (sorted by their sequence); the state carries what the previous
+State is per key (one reply, one device, one user) and small: a pending string and a few
+numbers. Each micro-batch hands a key's new rows to the function; they are put in order
+there, so a key costs the memory of its rows in one trigger, which the source's limit
+(``maxFilesPerTrigger`` and the like) bounds. The state carries what the previous
 micro-batches left. ``lag`` over a stream is rejected by Spark, hence state.
+
+With ``event_time`` (a timestamp column) the operators take a watermark: later rows are
+dropped and counted (``batches.late_rows``), and a key that stays silent for ``idle``
+behind the watermark loses its state. Without it state lives until an end marker (T1) or
+for good.
 """
 
 from __future__ import annotations
@@ -12,6 +18,7 @@ from typing import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from transloom import constants as K
@@ -85,29 +92,127 @@ FEED_OUT = "device long, poll long, seq long, text string"
 FEED_STATE = "last_seq long"
 
 
-def _feed_fn(key, batches: Iterator[pd.DataFrame], state):
+def _feed_fn(key, rows: pd.DataFrame, last: tuple | None) -> tuple[list, tuple]:
     (device,) = key
-    rows = pd.concat(list(batches)).sort_values("poll")
-    last = state.get[0] if state.exists else None
+    seen = None if last is None else last[0]
     out = []
+    rows = rows.sort_values("poll")
     for poll, seq, after, ok, origin, text in zip(rows["poll"], rows["seq"], rows["seq_after"], rows["read_ok"],
-                                                    rows["origin"], rows["text"]):
-        if last is None:  # first observation is the baseline
-            last = int(seq)
+                                                  rows["origin"], rows["text"]):
+        if seen is None:  # first observation is the baseline
+            seen = int(seq)
             continue
-        if seq == 0 or seq == last or not ok or after != seq:
+        if seq == 0 or seq == seen or not ok or after != seq:
             continue
-        last = int(seq)
+        seen = int(seq)
         if origin == "self" or not (text or "").strip(_GO_SPACE):
             continue
         out.append((int(device), int(poll), int(seq), text))
-    state.update((last,))
-    if out:
-        yield pd.DataFrame(out, columns=["device", "poll", "seq", "text"])
+    return out, (seen,)
 
 
-def change_feed(stream: DataFrame) -> DataFrame:
-    """The stream twin of ``operators.feed.change_feed`` (same rules, state per device)."""
+def _stateful(step, columns: list[str], event_time: str | None, idle_ms: int):
+    """A state function around ``step(key, rows, state) -> (output rows, state)``."""
+    def fn(key, batches: Iterator[pd.DataFrame], state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches))
+        out, left = step(key, rows, state.get if state.exists else None)
+        state.update(left)
+        if event_time is not None:
+            newest = int(rows[event_time].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_ms)
+        if out:
+            yield pd.DataFrame(out, columns=columns)
+    return fn
+
+
+def _keyed(stream: DataFrame, key: str, step, out: str, state: str, event_time: str | None, watermark: str,
+           idle_ms: int) -> DataFrame:
     ship_package(stream.sparkSession)
-    return stream.groupBy("device").applyInPandasWithState(
-        _feed_fn, FEED_OUT, FEED_STATE, "append", GroupStateTimeout.NoTimeout)
+    if event_time is not None:
+        stream = stream.withWatermark(event_time, watermark)
+    columns = [c.split()[0] for c in out.split(", ")]
+    timeout = GroupStateTimeout.NoTimeout if event_time is None else GroupStateTimeout.EventTimeTimeout
+    return stream.groupBy(key).applyInPandasWithState(_stateful(step, columns, event_time, idle_ms), out, state, "append", timeout)
+
+
+IDLE_MS = 24 * 3600 * 1000
+
+
+def change_feed(stream: DataFrame, event_time: str | None = None, watermark: str = "1 hour", idle_ms: int = IDLE_MS) -> DataFrame:
+    """The stream twin of ``operators.feed.change_feed`` (same rules, state per device)."""
+    return _keyed(stream, "device", _feed_fn, FEED_OUT, FEED_STATE, event_time, watermark, idle_ms)
+
+
+# ---------------------------------------------------------------------------
+# T4: consecutive duplicate suppression
+# ---------------------------------------------------------------------------
+STABLE_OUT = "user_id long, n long, trigger string, decision string"
+STABLE_STATE = "source string, target string, text string"
+
+
+def _stable_step(key, rows: pd.DataFrame, last: tuple | None) -> tuple[list, tuple]:
+    (user,) = key
+    signature = None if last is None or last[0] is None else tuple(last)
+    out = []
+    rows = rows.sort_values("n")
+    for n, trigger, source, target, text in zip(rows["n"], rows["trigger"], rows["source"], rows["target"], rows["text"]):
+        text = (text or "").strip(_GO_SPACE)
+        if not text:
+            out.append((int(user), int(n), trigger, "blank"))
+            continue
+        same = signature == (source, target, text)
+        out.append((int(user), int(n), trigger, "skipped" if same and trigger == "auto" else "started"))
+        signature = (source, target, text)
+    return out, signature or (None, None, None)
+
+
+def stable_input(stream: DataFrame, event_time: str | None = None, watermark: str = "1 hour", idle_ms: int = IDLE_MS) -> DataFrame:
+    """T4: the stream twin of ``operators.feed.stable_input``: an automatic request that equals the
+    last started one is skipped, a repeat after another request runs again."""
+    return _keyed(stream, "user_id", _stable_step, STABLE_OUT, STABLE_STATE, event_time, watermark, idle_ms)
+
+
+# ---------------------------------------------------------------------------
+# Double tap
+# ---------------------------------------------------------------------------
+TAP_OUT = "user_id long, fire_ms long"
+TAP_STATE = "down long, chord boolean, tap long, fired long, at long"
+
+
+def _tap_step(key, rows: pd.DataFrame, last: tuple | None) -> tuple[list, tuple]:
+    (user,) = key
+    down, chord, tap, fired, at = last or (None, False, None, None, None)
+    events = []
+    for k, press, release in zip(rows["key"], rows["press_ms"], rows["release_ms"]):
+        events.append((int(press), 0 if k == "ctrl" else 2))
+        if k == "ctrl":
+            events.append((int(release), 1))
+    out = []
+    for t, kind in sorted(events):
+        if at is not None and t - at > K.TAP_MAX_GAP_MS:  # a long pause resets everything
+            down, chord, tap, fired = None, False, None, None
+        at = t
+        if kind == 0:
+            if down is None:
+                down, chord = t, False
+        elif kind == 2:
+            tap, chord = None, chord or down is not None
+        elif down is not None:
+            clean = not chord and t - down <= K.TAP_MAX_HOLD_MS
+            pair = tap is not None and K.TAP_MIN_GAP_MS <= t - tap <= K.TAP_MAX_GAP_MS
+            if clean and pair and (fired is None or t - fired >= K.TAP_REFRACTORY_MS):
+                out.append((int(user), t))
+                fired = t
+            tap = t if clean and not pair else None
+            down, chord = None, False
+    return out, (down, chord, tap, fired, at)
+
+
+def paired_events(stream: DataFrame, event_time: str | None = None, watermark: str = "1 minute",
+                  idle_ms: int = 60_000) -> DataFrame:
+    """The stream twin of ``operators.feed.paired_events``. A tap's row arrives when its key is
+    released; rows of one user must arrive in order of their triggers."""
+    return _keyed(stream, "user_id", _tap_step, TAP_OUT, TAP_STATE, event_time, watermark, idle_ms)
