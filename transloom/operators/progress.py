@@ -42,11 +42,12 @@ def _parse_columns(clean):
 
 
 def parse(log: DataFrame) -> DataFrame:
-    """Strip ANSI codes and blanks, skip blank records, parse percent and message."""
+    """Strip ANSI codes and blanks, skip blank records, parse percent and message. ``record``
+    keeps the whole cleaned line, which ``message`` may shorten."""
     clean = strip_ansi("line")
     df = log.select(*[c for c in log.columns if c != "line"], clean.alias("record")).where(F.col("record") != "")
     percent, message = _parse_columns(F.col("record"))
-    return df.select(*[c for c in df.columns if c != "record"], percent.cast("int").alias("percent"),
+    return df.select(*df.columns, percent.cast("int").alias("percent"),
                      message.alias("message"))
 
 
@@ -75,18 +76,30 @@ def latest_status(status: DataFrame) -> DataFrame:
                        F.col("s.progress").between(0, 100).alias("has_percent"))
 
 
-def download_outcome(log: DataFrame) -> DataFrame:
+def log_tail(log: DataFrame, chars: int, block: int = 1 << 12) -> DataFrame:
+    """``(log_id, tail_text)``: the end of each log's lines, joined by LF. Each block of lines gives its own
+    end first, so no log is gathered whole; ``chars`` and the separators are all that is kept."""
+    def joined(what: str) -> F.Column:
+        rows = F.array_sort(F.collect_list(F.struct("n", what)))
+        return F.right(F.array_join(F.transform(rows, lambda r: r[what]), "\n"), F.lit(2 * chars))
+    ends = log.groupBy("log_id", F.floor(F.col("n") / block).alias("_blk")).agg(joined("line").alias("line"))
+    return ends.withColumnRenamed("_blk", "n").groupBy("log_id").agg(joined("line").alias("tail_text"))
+
+
+def download_outcome(log: DataFrame, chars: int = 1200) -> DataFrame:
     """Per download, 'ready' at 100 unless the last record is an error or warning line,
-    in which case 'error' keeps the progress the status last showed."""
+    in which case 'error' keeps the progress the status last showed, and the message ends with
+    the end of the whole log."""
     parsed = parse(log)
     last = parsed.groupBy("log_id", "model").agg(
         F.max_by(F.struct("percent", "message"), F.col("n")).alias("last"),
         F.count(F.lit(1)).alias("n_records"))
     failed = (F.col("last.percent") == -1) & F.col("last.message").rlike("(?i)error|warning")
+    last = last.join(log_tail(log, chars), "log_id")
     return last.select(
         "log_id", "model",
         F.when(failed, F.lit("error")).otherwise(F.lit("ready")).alias("status"),
-        F.when(failed, F.concat(F.lit(K.MSG_DOWNLOAD_FAILED), tail(F.col("last.message"), 1200)))
+        F.when(failed, F.concat(F.lit(K.MSG_DOWNLOAD_FAILED), tail(F.col("tail_text"), chars)))
         .otherwise(F.lit(K.DOWNLOAD_READY)).alias("message"),
         F.when(failed, F.col("last.percent")).otherwise(F.lit(100)).alias("progress"),
         F.col("n_records").cast("bigint").alias("n_records"))

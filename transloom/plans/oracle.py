@@ -476,11 +476,11 @@ parsed AS (
            THEN {lit(K.PROGRESS_NAMED_HEAD)} || nm || {lit(K.PROGRESS_FILE_MID)} || CAST(np AS VARCHAR) || '%'
          WHEN NOT nh AND bh AND bp BETWEEN 0 AND 100
            THEN {lit(K.PROGRESS_BARE_HEAD + K.PROGRESS_FILE_MID)} || CAST(bp AS VARCHAR) || '%'
-         ELSE {shorten("rec", K.PROGRESS_MESSAGE_CHARS)} END AS message
+         ELSE {shorten("rec", K.PROGRESS_MESSAGE_CHARS)} END AS message, rec AS record
   FROM pm
 ),
 changed AS (
-  SELECT log_id, model, n, percent, message FROM (
+  SELECT log_id, model, n, percent, message, record FROM (
     SELECT *, lag(CAST(percent AS VARCHAR) || ':' || message) OVER (PARTITION BY log_id ORDER BY n) AS pk FROM parsed) q
   WHERE pk IS NULL OR pk <> CAST(percent AS VARCHAR) || ':' || message
 )"""
@@ -675,9 +675,10 @@ FROM changed GROUP BY model"""
     q["download_outcome"] = f"""WITH {PARSED.lstrip()},
 l AS (SELECT log_id, model, arg_max(percent, n) AS lp, arg_max(message, n) AS lm, count(*) AS n_records
       FROM parsed GROUP BY log_id, model),
-f AS (SELECT *, lp = -1 AND regexp_matches(lm, '(?i)error|warning') AS failed FROM l)
+w AS (SELECT log_id, string_agg(line, chr(10) ORDER BY n) AS whole FROM plog GROUP BY log_id),
+f AS (SELECT *, lp = -1 AND regexp_matches(lm, '(?i)error|warning') AS failed FROM l JOIN w USING (log_id))
 SELECT log_id, model, CASE WHEN failed THEN 'error' ELSE 'ready' END AS status,
-  CASE WHEN failed THEN {lit(K.MSG_DOWNLOAD_FAILED)} || {tail("lm", 1200)} ELSE {lit(K.DOWNLOAD_READY)} END AS message,
+  CASE WHEN failed THEN {lit(K.MSG_DOWNLOAD_FAILED)} || {tail("whole", 1200)} ELSE {lit(K.DOWNLOAD_READY)} END AS message,
   CASE WHEN failed THEN lp ELSE 100 END AS progress, n_records
 FROM f"""
     q["stable_input"] = f"""
