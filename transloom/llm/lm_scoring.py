@@ -28,8 +28,10 @@ from collections.abc import Iterable, Iterator
 from itertools import count
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,30 +64,51 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """Tokens of some documents as hashes, and their n-grams of each length."""
+    """The n-grams of some documents: ``asked`` holds the hash of each different one in order, ``places[k]`` where
+    the (k + 1)-gram that ends at each token stands in it."""
 
     def __init__(self, texts: Iterable[str | None], order: int):
         ids: dict[bytes, int] = defaultdict(count().__next__)
-        listed = [tokens(t) for t in texts]
-        self.sizes = np.array([len(t) for t in listed], np.int64)
+        codes = [np.fromiter(map(ids.__getitem__, tokens(t)), np.int32) for t in texts]  # a text's words go after it is read
+        self.sizes = np.array([len(c) for c in codes], np.int64)
         n = int(self.sizes.sum())
-        codes = np.fromiter((ids[w] for t in listed for w in t), np.int64, n)
-        names = np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in ids), np.uint64, len(ids))
-        word = names[codes] if n else np.zeros(0, np.uint64)
-        self.first = np.zeros(n, bool)
-        self.first[(np.cumsum(self.sizes) - self.sizes)] = True
-        self.grams = [word]  # of length 1, 2, ...; a text's start is padded
+        word = np.concatenate(codes).astype(np.int64) if codes else np.zeros(0, np.int64)
+        names = [np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in ids), np.uint64, len(ids))]
+        at = [word]
+        first = (np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]
         for k in range(1, order):
-            before = np.r_[np.uint64(k), self.grams[-1][:-1]] if n else self.grams[-1]
-            before[self.first] = np.uint64(k)
-            self.grams.append(_mixed(before, word + np.uint64(k)))
-        self.asked, place = np.unique(np.concatenate(self.grams), return_inverse=True)
-        self.places = place.reshape(order, n)
+            pad, n_words = len(names[-1]), len(names[0])
+            before = np.r_[pad, at[-1][:-1]] if n else at[-1]
+            before[first] = pad  # a text's start
+            found, pairs = pd.factorize(before * n_words + word)
+            names.append(_mixed(np.r_[names[-1], np.uint64(k)][pairs // n_words], names[0][pairs % n_words] + np.uint64(k)))
+            at.append(found.astype(np.int64))
+        self.n_tokens = len(names[0])
+        every = np.concatenate(names)
+        self.by_hash = np.argsort(every)
+        self.asked = every[self.by_hash]
+        rank = np.empty(len(every), np.int64)
+        rank[self.by_hash] = np.arange(len(every))
+        starts = np.cumsum([0, *map(len, names)])
+        self.places = [rank[starts[k] + at[k]] for k in range(order)]
+
+    def is_token(self) -> np.ndarray:
+        return self.by_hash < self.n_tokens
 
     def tally(self, of: np.ndarray) -> np.ndarray:
         """Occurrences of each different n-gram in documents where ``of`` holds."""
         on = np.repeat(of, self.sizes)
-        return np.bincount(self.places[:, on].ravel(), minlength=len(self.asked)).astype(np.int64)
+        return sum(np.bincount(p[on], minlength=len(self.asked)) for p in self.places).astype(np.int64)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Integers as compressed bytes, all first bytes first, then all second bytes and so on."""
+    return zstandard.compress(np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(np.int64).ravel()
 
 
 def _ranges(keys: np.ndarray, n: int) -> np.ndarray:
@@ -94,25 +117,44 @@ def _ranges(keys: np.ndarray, n: int) -> np.ndarray:
 
 
 def _asker(order: int, n_ranges: int):
-    """A block's documents -> (part, block, grams, counts, deleted, unigrams): its n-grams by range of hashes."""
+    """A block's documents -> its n-grams by range of hashes: the hashes (as differences), how often training documents
+    hold them, how often deleted ones do, and which are single tokens."""
     def run(docs: pa.Table) -> pa.Table:
         held = Block(docs["text"].to_pylist(), order)
-        trains, deleted = docs["trains"].to_numpy(zero_copy_only=False), docs["deleted"].to_numpy(zero_copy_only=False)
-        n_all, n_del = held.tally(trains), held.tally(deleted)
-        is_token = np.zeros(len(held.asked), bool)
-        is_token[held.places[0]] = True
+        n_all = held.tally(docs["trains"].to_numpy())
+        n_del = held.tally(docs["deleted"].to_numpy())
+        token = held.is_token()
         edges = np.searchsorted(_ranges(held.asked, n_ranges), np.arange(n_ranges + 1))
         parts = np.flatnonzero(np.diff(edges))
-        at = [(int(edges[p]), int(edges[p + 1])) for p in parts]
-        cut_up = lambda x, kind: pa.array([x[a:b] for a, b in at], pa.list_(kind))
-        return pa.table({"part": pa.array(parts, pa.int64()), "block": pa.array([docs["block"][0].as_py()] * len(at), pa.int64()),
-                         "grams": cut_up(held.asked.view(np.int64), pa.int64()), "n_all": cut_up(n_all, pa.int64()),
-                         "n_del": cut_up(n_del, pa.int64()), "is_token": cut_up(is_token.astype(np.int8), pa.int8())})
+        cut_up = lambda x: pa.array([packed(x[edges[p]:edges[p + 1]]) for p in parts], pa.binary())
+        steps = np.r_[held.asked[:1], np.diff(held.asked)]
+        steps[edges[:-1][np.diff(edges) > 0]] = held.asked[edges[:-1][np.diff(edges) > 0]]
+        return pa.table({"part": pa.array(parts, pa.int64()), "block": pa.array([docs["block"][0].as_py()] * len(parts), pa.int64()),
+                         "grams": cut_up(steps.view(np.int64)), "n_all": cut_up(n_all), "n_del": cut_up(n_del),
+                         "is_token": cut_up(token)})
     return run
 
 
-_ASKED = "part bigint, block bigint, grams array<bigint>, n_all array<bigint>, n_del array<bigint>, is_token array<tinyint>"
-_TOLD = "block bigint, part bigint, n_all array<bigint>, n_del array<bigint>, tokens bigint, types bigint, kept_tokens bigint"
+_ASKED = "part bigint, block bigint, grams binary, n_all binary, n_del binary, is_token binary"
+_TOLD = "block bigint, part bigint, n_all binary, n_del binary, tokens bigint, types bigint, kept_tokens bigint"
+
+
+def _summed(asked: pa.Table) -> pa.Table:
+    """All requests for one range of hashes -> the same requests with the sums over all blocks, and one row (of a
+    negative block) with the range's training tokens and types."""
+    each = [np.cumsum(unpacked(x).view(np.uint64), dtype=np.uint64) for x in asked["grams"].to_pylist()]
+    edges = np.cumsum([0, *map(len, each)])
+    where, grams = pd.factorize(np.concatenate(each))
+    del each
+    add = lambda c: np.bincount(where, np.concatenate([unpacked(x) for x in asked[c].to_pylist()]), len(grams)).astype(np.int64)
+    n_all, n_del, token = add("n_all"), add("n_del"), add("is_token") > 0
+    part, n = asked["part"][0].as_py(), asked.num_rows
+    own = lambda x: pa.array([0] * n + [int(x)], pa.int64())
+    back = lambda x: pa.array([*(packed(x[where[a:b]]) for a, b in zip(edges[:-1], edges[1:])), None], pa.binary())
+    return pa.table({"block": pa.array([*asked["block"].to_pylist(), -1 - part % 1024], pa.int64()),
+                     "part": pa.array([part] * (n + 1), pa.int64()), "n_all": back(n_all), "n_del": back(n_del),
+                     "tokens": own(n_all[token].sum()), "types": own((n_all[token] > 0).sum()),
+                     "kept_tokens": own((n_all - n_del)[token].sum())})
 
 
 def _flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,22 +169,6 @@ def _lists(values: np.ndarray, edges: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(values, pa.int64()))
 
 
-def _summed(asked: pa.Table) -> pa.Table:
-    """All requests for one range of hashes -> the same requests with the sums over all blocks, and one row (of a
-    negative block) with the range's training tokens and types."""
-    values, edges = _flat(asked["grams"])
-    grams, where = np.unique(values, return_inverse=True)
-    add = lambda c: np.bincount(where, _flat(asked[c])[0], len(grams)).astype(np.int64)
-    n_all, n_del, token = add("n_all"), add("n_del"), add("is_token") > 0
-    edges = np.r_[edges, edges[-1]]
-    part, n = asked["part"][0].as_py(), asked.num_rows
-    own = lambda x: pa.array([0] * n + [int(x)], pa.int64())
-    return pa.table({"block": pa.array([*asked["block"].to_pylist(), -1 - part % 1024], pa.int64()),
-                     "part": pa.array([part] * (n + 1), pa.int64()), "n_all": _lists(n_all[where], edges),
-                     "n_del": _lists(n_del[where], edges), "tokens": own(n_all[token].sum()),
-                     "types": own((n_all[token] > 0).sum()), "kept_tokens": own((n_all - n_del)[token].sum())})
-
-
 def _counted(order: int) -> str:
     return ", ".join(["doc_id bigint, held_out boolean, deleted boolean, tokens bigint, types bigint, kept_tokens bigint",
                       *(f"c{k} array<bigint>" for k in range(order)), *(f"d{k} array<bigint>" for k in range(order))])
@@ -160,7 +186,7 @@ def _answered(order: int):
                              **{c: told[c] for c in ("tokens", "types", "kept_tokens")}, **none})
         held = Block(docs["text"].to_pylist(), order)
         told = told.sort_by("part")
-        sums, less = _flat(told["n_all"])[0], _flat(told["n_del"])[0]
+        sums, less = (np.concatenate([unpacked(x) for x in told[c].to_pylist()]) for c in ("n_all", "n_del"))
         deleted = docs["deleted"].to_numpy()
         edges = np.r_[0, np.cumsum(held.sizes)]
         on = np.repeat(deleted, held.sizes)
