@@ -30,33 +30,47 @@ FEW_WORDS = 5
 
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
-SENTENCE_END = re.compile(r"[.!?…。！？:;][\"'»”’)\]]*(?:\s|$)")
-NAVIGATION = re.compile(r"(?:^|\s)[|›»>•·/](?=\s|$)")
-BOILERPLATE = re.compile(
-    r"\b(?:all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|uses? cookies|"
-    r"accept (?:all )?cookies|enable javascript|javascript is (?:disabled|required)|lorem ipsum|"
-    r"click here|subscribe to our newsletter|skip to (?:main )?content|powered by)\b", re.IGNORECASE)
-DECORATED = re.compile(r"(?:\*\*\*|\$\$\$|###|%%%|&&&|!!)\S*$")
+#: Patterns in the common subset of regular expressions, so that SQL engines can use them too.
+SENTENCE_END = r"[.!?…。！？:;][\"'»”’)\]]*([\x20\x09-\x0D]|$)"
+SEPARATORS = ["|", "›", "»", ">", "•", "·", "/"]
+BOILERPLATE = (r"\b(all rights reserved|terms of (use|service)|privacy policy|cookie policy|uses? cookies|"
+               r"accept (all )?cookies|enable javascript|javascript is (disabled|required)|lorem ipsum|"
+               r"click here|subscribe to our newsletter|skip to (main )?content|powered by)\b")
+DECORATED = r"[*]{3}|[$]{3}|#{3}|%{3}|&{3}|!!"
+
+_SENTENCE_END, _DECORATED = re.compile(SENTENCE_END), re.compile(DECORATED)
+_BOILERPLATE = re.compile(BOILERPLATE, re.IGNORECASE | re.ASCII)
+_LOWER = b"abcdefghijklmnopqrstuvwxyz"
+_SEPARATORS = frozenset(x.encode() for x in SEPARATORS)
+
+
+def _shouts(line: str, raw: bytes) -> bool:
+    """At least 20 letters, more than 7 in 10 of them capitals."""
+    if 10 * (len(raw) - len(raw.translate(None, _LOWER))) >= 3 * len(line):
+        return False  # enough small letters already, whatever the rest is
+    letters = [c for c in line if c.isalpha()]
+    return len(letters) >= 20 and 10 * sum(map(str.isupper, letters)) > 7 * len(letters)
 
 
 def line_fault(line: str) -> str | None:
     """The first rule that a line fails, or None. A line without a word has no fault."""
-    found = line.split()
+    raw = line.encode("utf-8", "surrogatepass")
+    found = raw.split()
     n = len(found)
     if not n:
         return None
-    if 2 <= len(NAVIGATION.findall(line)) and 4 * len(NAVIGATION.findall(line)) >= n:
+    n_separators = sum(map(_SEPARATORS.__contains__, found))
+    if n_separators >= 2 and 4 * n_separators >= n:
         return "navigation"
-    if BOILERPLATE.search(line):
+    if _BOILERPLATE.search(line):
         return "boilerplate"
     if n < FEW_WORDS:
         return None
-    if 2 * sum(1 for w in found if DECORATED.search(w)) > n:
+    if _DECORATED.search(line) and 2 * sum(1 for w in found if _DECORATED.search(w.decode("utf-8", "surrogatepass"))) > n:
         return "symbols"
-    letters = [c for c in line if c.isalpha()]
-    if len(letters) >= 20 and 10 * sum(c.isupper() for c in letters) > 7 * len(letters):
+    if _shouts(line, raw):
         return "shouting"
-    if not SENTENCE_END.search(line):
+    if not _SENTENCE_END.search(line):
         return "punctuation"
     return None
 

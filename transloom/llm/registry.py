@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from transloom.llm import (decontaminate, language_id, line_dedup, lm_scoring, packing, pii, quality, sharding, simhash,
                            url_filters)
 from transloom.llm.common import crc_mod, read_table
+from transloom.llm.oracle import oracle_sql as oracle_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,7 +69,3 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_lm_scoring, op2_pii, op3_packing, op4_decontamination, op5_language_id, op6_url_filters, op7_line_dedup, op8_quality_rules,
                                    op9_simhash, op10_sharding)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
