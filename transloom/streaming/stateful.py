@@ -28,6 +28,40 @@ from transloom.session import ship_package
 _GO_SPACE = ("\t\n\x0b\f\r \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
              + "\u2028\u2029\u202f\u205f\u3000")
 
+def _stateful(step, columns: list[str], event_time: str | None, idle_ms: int, by_clock: bool):
+    """A state function around ``step(key, rows, state) -> (output rows, state or None)``; None ends the key."""
+    def fn(key, batches: Iterator[pd.DataFrame], state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches))
+        out, left = step(key, rows, state.get if state.exists else None)
+        if left is None:
+            state.remove()
+        else:
+            state.update(left)
+        if left is not None and event_time is not None:
+            newest = int(rows[event_time].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_ms)
+        elif left is not None and by_clock:
+            state.setTimeoutDuration(idle_ms)
+        if out:
+            yield pd.DataFrame(out, columns=columns)
+    return fn
+
+
+def _keyed(stream: DataFrame, key: str, step, out: str, state: str, event_time: str | None, watermark: str,
+           idle_ms: int, by_clock: bool = False) -> DataFrame:
+    ship_package(stream.sparkSession)
+    if event_time is not None:
+        stream = stream.withWatermark(event_time, watermark)
+    columns = [c.split()[0] for c in out.split(", ")]
+    timeout = (GroupStateTimeout.EventTimeTimeout if event_time is not None
+               else GroupStateTimeout.ProcessingTimeTimeout if by_clock else GroupStateTimeout.NoTimeout)
+    return stream.groupBy(key).applyInPandasWithState(_stateful(step, columns, event_time, idle_ms, by_clock), out, state,
+                                                      "append", timeout)
+
+
 # ---------------------------------------------------------------------------
 # Delta coalescing
 # ---------------------------------------------------------------------------
@@ -35,16 +69,12 @@ COALESCE_OUT = "request_id string, emit_ms long, text string"
 COALESCE_STATE = "pending string, last_emit long, has_emit boolean"
 
 
-def _coalesce_fn(interval_ms: int, timeout: bool = True):
-    def fn(key, batches: Iterator[pd.DataFrame], state):
+def _coalesce_step(interval_ms: int):
+    def step(key, rows: pd.DataFrame, left: tuple | None) -> tuple[list, tuple | None]:
         (request_id,) = key
-        if state.hasTimedOut:  # no end marker within the timeout: pending text is dropped
-            state.remove()
-            return
-        pending, last, has = state.get if state.exists else ("", 0, False)
+        pending, last, has = left or ("", 0, False)
         out = []
-        rows = pd.concat(list(batches)).sort_values("seq")
-        finished = False
+        rows = rows.sort_values("seq")
         for kind, t, delta in zip(rows["kind"], rows["t_ms"], rows["delta"]):
             if kind == "delta":
                 pending += delta or ""
@@ -52,37 +82,26 @@ def _coalesce_fn(interval_ms: int, timeout: bool = True):
                     if pending:
                         out.append((request_id, int(t), pending))
                     pending, last, has = "", int(t), True
-            elif kind == "end":  # success: flush what is pending
-                if pending:
-                    out.append((request_id, int(t), pending))
-                finished = True
-                break
-            else:  # error: pending is dropped
-                finished = True
-                break
-        if finished:
-            state.remove()
-        else:
-            state.update((pending, last, has))
-            if timeout:
-                state.setTimeoutDuration(10 * 60 * 1000)
-        if out:
-            yield pd.DataFrame(out, columns=["request_id", "emit_ms", "text"])
-    return fn
+                continue
+            if kind == "end" and pending:  # success flushes what is pending, an error drops it
+                out.append((request_id, int(t), pending))
+            return out, None
+        return out, (pending, last, has)
+    return step
 
 
-def coalesce_deltas(stream: DataFrame, interval_ms: int = K.DELTA_INTERVAL_MS, timeout: bool = True) -> DataFrame:
+def coalesce_deltas(stream: DataFrame, interval_ms: int = K.DELTA_INTERVAL_MS, timeout: bool = True,
+                    event_time: str | None = None, watermark: str = "1 minute", idle_ms: int = 10 * 60 * 1000) -> DataFrame:
     """``(request_id, seq, t_ms, kind, delta)`` with kind delta/end/error -> emissions.
 
     The first delta goes out at once, later ones when ``interval_ms`` passed since
     the last emission; an end marker flushes, an error marker drops what is pending.
-    With ``timeout`` a reply that stays silent for ten minutes is dropped with its
-    state (the query then runs empty batches to fire timeouts, so it never idles).
+    A reply that stays silent for ``idle_ms`` loses its state and pending text: behind the
+    watermark of ``event_time``, or without that by the clock (``timeout``; the query then
+    runs empty batches to fire timeouts, so it never idles).
     """
-    ship_package(stream.sparkSession)
-    conf = GroupStateTimeout.ProcessingTimeTimeout if timeout else GroupStateTimeout.NoTimeout
-    return stream.groupBy("request_id").applyInPandasWithState(
-        _coalesce_fn(interval_ms, timeout), COALESCE_OUT, COALESCE_STATE, "append", conf)
+    return _keyed(stream, "request_id", _coalesce_step(interval_ms), COALESCE_OUT, COALESCE_STATE, event_time, watermark,
+                  idle_ms, by_clock=timeout)
 
 
 # ---------------------------------------------------------------------------
@@ -111,33 +130,6 @@ def _feed_fn(key, rows: pd.DataFrame, last: tuple | None) -> tuple[list, tuple]:
     return out, (seen,)
 
 
-def _stateful(step, columns: list[str], event_time: str | None, idle_ms: int):
-    """A state function around ``step(key, rows, state) -> (output rows, state)``."""
-    def fn(key, batches: Iterator[pd.DataFrame], state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches))
-        out, left = step(key, rows, state.get if state.exists else None)
-        state.update(left)
-        if event_time is not None:
-            newest = int(rows[event_time].max().timestamp() * 1000)
-            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_ms)
-        if out:
-            yield pd.DataFrame(out, columns=columns)
-    return fn
-
-
-def _keyed(stream: DataFrame, key: str, step, out: str, state: str, event_time: str | None, watermark: str,
-           idle_ms: int) -> DataFrame:
-    ship_package(stream.sparkSession)
-    if event_time is not None:
-        stream = stream.withWatermark(event_time, watermark)
-    columns = [c.split()[0] for c in out.split(", ")]
-    timeout = GroupStateTimeout.NoTimeout if event_time is None else GroupStateTimeout.EventTimeTimeout
-    return stream.groupBy(key).applyInPandasWithState(_stateful(step, columns, event_time, idle_ms), out, state, "append", timeout)
-
-
 IDLE_MS = 24 * 3600 * 1000
 
 
