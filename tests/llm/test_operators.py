@@ -102,7 +102,7 @@ def test_lm_plain_bigram(spark):
         ws = [None, *train[i][1].split(), ""]
         for v, w in zip(ws, ws[1:]):
             p, ctx = estimates(v, w, *kept, types)
-            cells[0 if not ctx else ctx.bit_length(), tuple(round(8 * math.log2(x / p[0])) if x else -10_000 for x in p[1:])] += 1
+            cells[0 if not ctx else ctx.bit_length(), tuple(round(8 * math.log2(x / p[0])) if x else lm_scoring.NEVER for x in p[1:])] += 1
     weights = lm_scoring.fit_weights(sorted((b, list(s), n) for (b, s), n in cells.items()), 2)
     score = 0.0
     ws = [None, "a", "b", "zz", ""]

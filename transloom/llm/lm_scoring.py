@@ -221,22 +221,39 @@ def _bucket(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(context.astype(float))[1], BUCKETS - 1).astype(np.int64)
 
 
-NEVER = -10_000
+#: Documents whose arrays are worked on at a time.
+SLICE_DOCS = 256
+#: The step of an estimate of zero. Steps lie between it and its negative: estimates within a factor of 2 ** 127 of the uniform one.
+NEVER = -1_024
 
 
-def _cells(batches: Iterable[pa.RecordBatch], texts: int, total: int, types: int) -> Iterator[pa.RecordBatch]:
-    """Tally of (bucket, log2 of each estimate over the uniform one in steps) over deleted documents."""
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        for i in range(0, batch.num_rows, SLICE_DOCS):
+            yield batch.slice(i, SLICE_DOCS)
+
+
+def _cells(batches: Iterable[pa.RecordBatch], texts: int, total: int, types: int, order: int) -> Iterator[pa.RecordBatch]:
+    """Tally of cells over the deleted documents of a partition. A cell is one number: the bucket, then for each
+    estimate log2 of its ratio to the uniform one, in steps, 11 bits each."""
+    tally: dict[int, int] = defaultdict(int)
+    for batch in _slices(batches):
         flat = [_flat(c) for c in batch.columns]
         p, _, context = _estimates([v for v, _ in flat], flat[0][1], texts, total, types)
-        if not len(context):
-            continue
-        steps = np.full((len(p) - 1, len(context)), NEVER)
-        seen = p[1:] > 0
-        steps[seen] = np.round(GRID * np.log2((p[1:] / p[0])[seen]))
-        cell, n = np.unique(np.vstack([_bucket(context), steps]), axis=1, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(cell[0], pa.int64()), pa.array(list(cell[1:].T), pa.list_(pa.int64())),
-                                          pa.array(n, pa.int64())], names=["bucket", "steps", "n"])
+        cell = _bucket(context)
+        for k in range(1, order + 1):
+            step = np.full(len(context), NEVER)
+            seen = p[k] > 0
+            step[seen] = np.clip(np.round(GRID * np.log2(p[k][seen] / p[0][seen])), NEVER + 1, -NEVER - 1)
+            cell = cell << 11 | (step - NEVER).astype(np.int64)
+        for c, n in zip(*(x.tolist() for x in np.unique(cell, return_counts=True))):
+            tally[c] += n
+    yield pa.RecordBatch.from_arrays([pa.array(tally.keys(), pa.int64()), pa.array(tally.values(), pa.int64())], names=["cell", "n"])
+
+
+def cell_of(cell: int, order: int) -> tuple[int, list[int]]:
+    """(bucket, steps) of a cell's number."""
+    return cell >> 11 * order, [(cell >> 11 * (order - k) & 2047) + NEVER for k in range(1, order + 1)]
 
 
 def fit_weights(cells: list[tuple[int, list[int], int]], order: int) -> np.ndarray:
@@ -264,7 +281,7 @@ def fit_weights(cells: list[tuple[int, list[int], int]], order: int) -> np.ndarr
 
 def _scored(batches: Iterable[pa.RecordBatch], weights: np.ndarray, texts: int, total: int,
             types: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         flat = [_flat(c) for c in batch.columns[2:]]
         counts, edges = [v for v, _ in flat], flat[0][1]
         p, usable, context = _estimates(counts, edges, texts, total, types)
@@ -278,12 +295,17 @@ def _scored(batches: Iterable[pa.RecordBatch], weights: np.ndarray, texts: int,
             names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
 
+MAX_ORDER = 5  # a cell's number has 11 bits for each length
+
+
 def score_documents(docs: DataFrame, *, held_out: Column, deleted: Column, id_col: str = "doc_id", text_col: str = "text",
                     order: int = ORDER) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The model learns from documents that aren't ``held_out``; its weights from those of them that are ``deleted``.
     """
+    if not 1 <= order <= MAX_ORDER:
+        raise ValueError(f"order must be 1 to {MAX_ORDER}")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
                        held_out.alias("held_out"), (~held_out).alias("trains"), (~held_out & deleted).alias("deleted"))
@@ -298,9 +320,9 @@ def score_documents(docs: DataFrame, *, held_out: Column, deleted: Column, id_co
     counted = cut(dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_answered(order), _counted(order)), "counts")
     total, types, kept = (int(x or 0) for x in counted.agg(F.sum("tokens"), F.sum("types"), F.sum("kept_tokens")).first())
     cells = counted.where(F.col("deleted")).select(*[f"d{k}" for k in range(order)]).mapInArrow(
-        lambda it: _cells(it, texts - gone, kept, types), "bucket bigint, steps array<bigint>, n bigint")
-    tallied = cells.groupBy("bucket", "steps").agg(F.sum("n").alias("n")).collect()  # bounded by the grid
-    weights = fit_weights(sorted((r["bucket"], list(r["steps"]), r["n"]) for r in tallied), order)
+        lambda it: _cells(it, texts - gone, kept, types, order), "cell bigint, n bigint")
+    tallied = cells.groupBy("cell").agg(F.sum("n").alias("n")).collect()  # bounded by the grid
+    weights = fit_weights(sorted((*cell_of(r["cell"], order), r["n"]) for r in tallied), order)
     scored = counted.where(F.col("deleted").isNotNull()).select("doc_id", "held_out", *[f"c{k}" for k in range(order)]).mapInArrow(
         lambda it: _scored(it, weights, texts, total, types),
         "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
