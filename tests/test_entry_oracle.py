@@ -69,3 +69,14 @@ def test_flagship_plan_is_lean(spark):
     assert len(re.findall(r"Scan parquet", plan)) <= 8
     assert len(re.findall(r"(?<!Broadcast)Exchange \(", plan)) <= 10
     assert "hashpartitioning(tenant" not in buf.getvalue()
+
+
+def test_every_request_has_one_result(spark):
+    from transloom.plans import catalog
+    asked = catalog._requests(spark, SF_SMALL).select("request_id")
+    results = E.entry(spark).select("request_id")
+    assert results.count() == asked.count() == results.distinct().count()
+    assert asked.exceptAll(results).count() == 0
+    statuses = {r.status for r in E.entry(spark).select("status").distinct().collect()}
+    assert {"OK", "DIRECT", "EMPTY", "FAILED", "LANG_UNMAPPED", "PAIR_UNSUPPORTED", "MODEL_NOT_READY", "SETTINGS_ERROR",
+            "LLM_NO_URL", "LLM_NO_MODEL"} <= statuses

@@ -80,10 +80,6 @@ MSG_LLM_NO_MODEL = "请先配置 LLM 模型名称"
 MSG_PAIR_UNSUPPORTED = "Helsinki 英中模型仅支持英语 → 中文；其他语言请选择 NLLB-200 或 LLM"
 MSG_MODEL_NOT_READY = "所选本地模型尚未下载，请先到模型管理中下载"
 MSG_MODEL_CACHE_BROKEN = "本地模型缓存不完整或已损坏，请在模型管理中重新下载该模型"
-MSG_NO_REPLY_STATUS = "LLM 回复没有状态码"
-MSG_BAD_REQUEST = "无法解析请求"
-MSG_SETTINGS_ERROR = "设置文件无法解析"
-MSG_MISSING_TRANSLATION = "模型没有返回这一段的译文"
 MSG_LANG_UNMAPPED = "当前 NLLB 界面语言映射不受支持"
 MSG_NO_TRANSLATION = "LLM 没有返回译文"
 MSG_PARSE_ERROR = "无法解析 LLM 响应"
@@ -131,7 +127,12 @@ TAP_MAX_HOLD_MS = 500
 TAP_REFRACTORY_MS = 250
 
 # ---------------------------------------------------------------------------
-# OWN VALUES: segments that begin so make the test double fail
+# OWN VALUES: messages of rows that the application has no message for; segments that
+# begin so make the test double fail
 # ---------------------------------------------------------------------------
+MSG_NO_REPLY_STATUS = "LLM 回复没有状态码"
+MSG_BAD_REQUEST = "无法解析请求"
+MSG_SETTINGS_ERROR = "设置文件无法解析"
+MSG_MISSING_TRANSLATION = "模型没有返回这一段的译文"
 PSEUDO_REFUSES = "[refuse] "
 MSG_PSEUDO_REFUSED = "the test double refuses this segment"
