@@ -80,11 +80,16 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc
     candidates = probes.join(F.broadcast(signed) if bounded else signed, "h").select("doc_id", "rid", "item_id").distinct()
     asked = cut(candidates, "candidates").join(F.broadcast(items) if bounded else items, "item_id") \
         .withColumnsRenamed({"doc_id": "__doc", "rid": "__rid"})
-    found = worded.join(asked, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("rid") == F.col("__rid"))) \
+    # texts are split again behind the join: a text moves more cheaply than its words
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("rid"), text.alias("t"))
+    found = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("rid") == F.col("__rid"))) \
+        .withColumn("w", words(lower_ascii(F.col("t")))) \
         .withColumn("own", shingle_texts("w", shingle_words)) \
         .select("doc_id", "rid", "item_id", F.size("shingles").cast("bigint").alias("n_shingles"),
                 F.size(F.array_intersect("own", "shingles")).cast("bigint").alias("n_shared"))
-    kept = found.where(F.col("n_shared") >= F.lit(min_containment) * F.col("n_shingles") - 1e-9)
+    # behind an aggregate: a filter on the count itself would be pushed down with the whole shingling copied into it
+    one = found.groupBy("doc_id", "rid", "item_id").agg(F.max("n_shingles").alias("n_shingles"), F.max("n_shared").alias("n_shared"))
+    kept = one.where(F.col("n_shared") >= F.lit(min_containment) * F.col("n_shingles") - 1e-9)
     return kept.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
 
 
