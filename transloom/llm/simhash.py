@@ -35,6 +35,7 @@ from transloom.llm.components import components
 SHINGLE_WORDS = 3
 MAX_BITS = 2
 SEED = 42
+NO_ID = (1 << 63) - 1
 _SLAB = 1 << 16  # shingles whose bits are summed at a time
 
 #: The 28 choices of six byte positions, as 64-bit masks; bit k of a name is position k.
@@ -159,8 +160,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each component, all columns: the one with the smallest id (then the smallest text hash)."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    keep = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("k")) \
-        .select(F.col("k.doc_id").alias("__doc"), F.col("k.rid").alias("__rid"))
-    keyed = docs.withColumn("__r", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    one = keyed.join(keep, F.col(id_col).cast("bigint").eqNullSafe(F.col("__doc")) & (F.col("__r") == F.col("__rid")), "left_semi")
-    return one.dropDuplicates([id_col, "__r"]).select(*docs.columns)
+    # the largest id stands for a null one, so that the join and the removal of repeated rows share one shuffle
+    keep = found.groupBy("component_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), "rid")).alias("k")) \
+        .select(F.col("k.d").alias("__doc"), F.col("k.rid").alias("__rid"))
+    keyed = docs.withColumns({"__d": F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)),
+                              "__r": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    one = keyed.join(keep, (F.col("__d") == F.col("__doc")) & (F.col("__r") == F.col("__rid")), "left_semi")
+    return one.dropDuplicates(["__d", "__r"]).select(*docs.columns)
