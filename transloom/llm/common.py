@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 import string
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,13 @@ def width(spark: SparkSession, wanted: int) -> int:
     return max(wanted, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in small slices, so that a task turns few rows into Python objects at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder of ``spark.checkpoint.dir`` and read it back.
 

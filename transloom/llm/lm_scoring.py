@@ -35,10 +35,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from transloom.llm.common import cut, pieces, text_bytes, width
+from transloom.llm.common import cut, pieces, slices, width
 
 ORDER = 2
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 RANGE_BYTES = 8 << 20
 #: Cells per factor of two in the tally for EM.
 GRID = 8
@@ -157,48 +157,43 @@ def _summed(asked: pa.Table) -> pa.Table:
                      "kept_tokens": own((n_all - n_del)[token].sum())})
 
 
-def _flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """(values, edges) of a list column."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    edges = column.offsets.to_numpy()
-    return column.flatten().to_numpy(zero_copy_only=False), edges - edges[0]
-
-
-def _lists(values: np.ndarray, edges: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(values, pa.int64()))
-
-
 def _counted(order: int) -> str:
     return ", ".join(["doc_id bigint, held_out boolean, deleted boolean, tokens bigint, types bigint, kept_tokens bigint",
-                      *(f"c{k} array<bigint>" for k in range(order)), *(f"d{k} array<bigint>" for k in range(order))])
+                      *(f"c{k} binary" for k in range(order)), *(f"d{k} binary" for k in range(order))])
 
 
 def _answered(order: int):
     """A block's documents and the sums that it asked for -> its documents with the counts of their n-grams of each
-    length (c), and for deleted documents the counts without the deleted fold (d)."""
+    length (c), and for deleted documents the counts without the deleted fold (d), packed."""
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         n = docs.num_rows
         if not n:  # the ranges' own totals
-            none = {f"{x}{k}": pa.nulls(told.num_rows, pa.list_(pa.int64())) for x in "cd" for k in range(order)}
+            none = {f"{x}{k}": pa.nulls(told.num_rows, pa.binary()) for x in "cd" for k in range(order)}
             return pa.table({"doc_id": pa.nulls(told.num_rows, pa.int64()), "held_out": pa.nulls(told.num_rows, pa.bool_()),
                              "deleted": pa.nulls(told.num_rows, pa.bool_()),
                              **{c: told[c] for c in ("tokens", "types", "kept_tokens")}, **none})
         held = Block(docs["text"].to_pylist(), order)
         told = told.sort_by("part")
         sums, less = (np.concatenate([unpacked(x) for x in told[c].to_pylist()]) for c in ("n_all", "n_del"))
-        deleted = docs["deleted"].to_numpy()
         edges = np.r_[0, np.cumsum(held.sizes)]
-        on = np.repeat(deleted, held.sizes)
-        kept_edges = np.r_[0, np.cumsum(held.sizes * deleted)]
+        spans = list(zip(edges[:-1], edges[1:], docs["deleted"].to_pylist()))
+        counts = {f"c{k}": pa.array([packed(sums[held.places[k][a:b]]) for a, b, _ in spans], pa.binary()) for k in range(order)}
+        less = sums - less
+        counts |= {f"d{k}": pa.array([packed(less[held.places[k][a:b]]) if gone else None for a, b, gone in spans], pa.binary())
+                   for k in range(order)}
         zero = pa.array(np.zeros(n, np.int64))
         return pa.table({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "deleted": docs["deleted"],
-                         "tokens": zero, "types": zero, "kept_tokens": zero,
-                         **{f"c{k}": _lists(sums[held.places[k]], edges) for k in range(order)},
-                         **{f"d{k}": _lists((sums - less)[held.places[k][on]], kept_edges) for k in range(order)}})
+                         "tokens": zero, "types": zero, "kept_tokens": zero, **counts})
     return run
 
 
+def _flat(columns: list[pa.Array]) -> tuple[list[np.ndarray], np.ndarray]:
+    """(counts of each length over all rows, edges of the rows) of packed columns."""
+    rows = [[unpacked(x) for x in c.to_pylist()] for c in columns]
+    edges = np.cumsum([0, *map(len, rows[0])])
+    return [np.concatenate(r) if r else np.zeros(0, np.int64) for r in rows], edges
+
+
 def _estimates(counts: list[np.ndarray], edges: np.ndarray, texts: int, total: int,
                types: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(estimates of length 0..order, whether each has a context that was seen, count of the longest context) of each token."""
@@ -221,25 +216,16 @@ def _bucket(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(context.astype(float))[1], BUCKETS - 1).astype(np.int64)
 
 
-#: Documents whose arrays are worked on at a time.
-SLICE_DOCS = 256
 #: The step of an estimate of zero. Steps lie between it and its negative: estimates within a factor of 2 ** 127 of the uniform one.
 NEVER = -1_024
 
 
-def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, SLICE_DOCS):
-            yield batch.slice(i, SLICE_DOCS)
-
-
 def _cells(batches: Iterable[pa.RecordBatch], texts: int, total: int, types: int, order: int) -> Iterator[pa.RecordBatch]:
     """Tally of cells over the deleted documents of a partition. A cell is one number: the bucket, then for each
     estimate log2 of its ratio to the uniform one, in steps, 11 bits each."""
     tally: dict[int, int] = defaultdict(int)
-    for batch in _slices(batches):
-        flat = [_flat(c) for c in batch.columns]
-        p, _, context = _estimates([v for v, _ in flat], flat[0][1], texts, total, types)
+    for batch in slices(batches):
+        p, _, context = _estimates(*_flat(batch.columns), texts, total, types)
         cell = _bucket(context)
         for k in range(1, order + 1):
             step = np.full(len(context), NEVER)
@@ -281,9 +267,8 @@ def fit_weights(cells: list[tuple[int, list[int], int]], order: int) -> np.ndarr
 
 def _scored(batches: Iterable[pa.RecordBatch], weights: np.ndarray, texts: int, total: int,
             types: int) -> Iterator[pa.RecordBatch]:
-    for batch in _slices(batches):
-        flat = [_flat(c) for c in batch.columns[2:]]
-        counts, edges = [v for v, _ in flat], flat[0][1]
+    for batch in slices(batches):
+        counts, edges = _flat(batch.columns[2:])
         p, usable, context = _estimates(counts, edges, texts, total, types)
         w = weights[_bucket(context)].T * usable  # weights of estimates without a context go to the others
         score = np.log10((w * p).sum(axis=0) / w.sum(axis=0))
