@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from transloom.llm.common import WHITE_CHARS, cut, lower_ascii, pieces, text_bytes, width
+from transloom.llm.common import WHITE_CHARS, cut, lower_ascii, pieces, slices, text_bytes, width
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -87,7 +87,8 @@ def dropped_records(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """(doc, rid, pos) of each line that goes."""
     spark = docs.sparkSession
     n = width(spark, pieces(text_bytes(docs, text_col), RANGE_BYTES))
-    records = line_records(docs, id_col, text_col, min_chars)
+    # written first: the range partitioner reads its input twice, and texts should be split once
+    records = cut(line_records(docs, id_col, text_col, min_chars), "records")
     dealt = records.repartitionByRange(n, "h1", "h2", F.desc("doc"))
     ordered = dealt.sortWithinPartitions("h1", "h2", F.desc("doc"), "rid", "pos")
     streamed = cut(ordered.mapInPandas(lambda it: _stream(it, min_docs), _OUT), "lines")
@@ -138,7 +139,7 @@ def _with_bitmaps(docs: DataFrame, id_col: str, text_col: str, options: dict) ->
 def line_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per document: lines before, lines that go, SHA-256 of what stays."""
     def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             kept = [_kept(t, k) for t, k in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([n for _, n in kept], pa.int64()), batch.column(2),
@@ -157,7 +158,7 @@ def drop_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     at = names.index(text_col)
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             cols = list(batch.columns[:-1])
             cols[at] = pa.array([t if k is None else _kept(t, k)[0]
                                  for t, k in zip(cols[at].to_pylist(), batch.column(len(names)).to_pylist())], pa.string())
