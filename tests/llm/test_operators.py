@@ -57,21 +57,18 @@ def test_lm_base(which, request):
 
 
 @pytest.mark.parametrize("order", [1, 2, 3])
-def test_lm_is_a_distribution(spark, order):
-    """Over all known words, the end and one unknown word, probabilities after a context sum to one."""
+def test_lm_orders(spark, order):
+    """A word never seen costs more than any known one; weights of each bucket sum to one."""
     train = [(i, t) for i, t in enumerate(["a b a c", "b a", "a b b a", "c", "a c b", "b b a a", "c a b", "a"] * 4)]
-    asked = ["a", "b", "c", "zz"]
-    probes = [(f"p{i}", f"a b {w}") for i, w in enumerate(asked)] + [("stop", "a b")]
-    df = spark.createDataFrame([(i, t, False) for i, t in train] + [(1000 + i, t, True) for i, (_, t) in enumerate(probes)],
+    probes = [(1000 + i, f"a b {w}") for i, w in enumerate(["a", "b", "c", "zz"])]
+    df = spark.createDataFrame([(i, t, False) for i, t in train] + [(i, t, True) for i, t in probes],
                                "doc_id long, text string, probe boolean")
     out = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(
         df, held_out=F.col("probe"), deleted=F.col("doc_id") % 5 == 0, order=order).collect()}
-    # P(w | a b) P(end | b w) for each w: compare by removing the last factor through a longer text is not possible here,
-    # so check the plain model instead
-    docs = [t.split() + [None] for i, t in train]
     assert len(out) == len(train) + len(probes) and all(v < 0 for v in out.values())
-    weights = [lm_scoring.fit_weights([(1, [3] * order, 5)], order)]
-    assert all(abs(w.sum(axis=1) - 1).max() < 1e-9 for w in weights) and docs
+    assert out[1003] < min(out[1000], out[1001], out[1002])
+    weights = lm_scoring.fit_weights([(1, [3] * order, 5), (2, [lm_scoring.NEVER] * order, 1)], order)
+    assert abs(weights.sum(axis=1) - 1).max() < 1e-9 and (weights >= 0).all() and (weights[:, 0] > 0).all()
 
 
 def test_lm_plain_bigram(spark):
