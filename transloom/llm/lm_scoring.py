@@ -35,10 +35,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from transloom.llm.common import cut, pieces, slices, width
+from transloom.llm.common import cut, pieces, width
 
 ORDER = 2
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 12 << 20
 RANGE_BYTES = 8 << 20
 #: Cells per factor of two in the tally for EM.
 GRID = 8
@@ -157,41 +157,54 @@ def _summed(asked: pa.Table) -> pa.Table:
                      "kept_tokens": own((n_all - n_del)[token].sum())})
 
 
+#: Documents in a row of the table of counts.
+ROW_DOCS = 256
+
+
 def _counted(order: int) -> str:
-    return ", ".join(["doc_id bigint, held_out boolean, deleted boolean, tokens bigint, types bigint, kept_tokens bigint",
-                      *(f"c{k} binary" for k in range(order)), *(f"d{k} binary" for k in range(order))])
+    return ", ".join(["doc_id array<bigint>, held_out array<boolean>, deleted boolean, sizes binary",
+                      *(f"c{k} binary" for k in range(order)), *(f"d{k} binary" for k in range(order)),
+                      "tokens bigint, types bigint, kept_tokens bigint"])
 
 
 def _answered(order: int):
-    """A block's documents and the sums that it asked for -> its documents with the counts of their n-grams of each
-    length (c), and for deleted documents the counts without the deleted fold (d), packed."""
+    """A block's documents and the sums that it asked for -> rows of some documents each: their ids and sizes, the
+    counts of their n-grams of each length (c), and for deleted documents the counts without the deleted fold (d)."""
+    names = ["doc_id", "held_out", "deleted", "sizes", *(f"c{k}" for k in range(order)), *(f"d{k}" for k in range(order))]
+    kinds = [pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.bool_(), *[pa.binary()] * (2 * order + 1)]
+
+    def table(rows: list[tuple], totals: pa.Table | None) -> pa.Table:
+        cols = list(zip(*rows)) or [()] * len(names)
+        out = {n: pa.array(c, k) for n, c, k in zip(names, cols, kinds)}
+        for c in ("tokens", "types", "kept_tokens"):
+            out[c] = totals[c] if totals is not None else pa.array([0] * len(rows), pa.int64())
+        return pa.table(out)
+
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        n = docs.num_rows
-        if not n:  # the ranges' own totals
-            none = {f"{x}{k}": pa.nulls(told.num_rows, pa.binary()) for x in "cd" for k in range(order)}
-            return pa.table({"doc_id": pa.nulls(told.num_rows, pa.int64()), "held_out": pa.nulls(told.num_rows, pa.bool_()),
-                             "deleted": pa.nulls(told.num_rows, pa.bool_()),
-                             **{c: told[c] for c in ("tokens", "types", "kept_tokens")}, **none})
+        if not docs.num_rows:  # the ranges' own totals
+            return table([(None,) * len(names)] * told.num_rows, told)
         held = Block(docs["text"].to_pylist(), order)
         told = told.sort_by("part")
         sums, less = (np.concatenate([unpacked(x) for x in told[c].to_pylist()]) for c in ("n_all", "n_del"))
-        edges = np.r_[0, np.cumsum(held.sizes)]
-        spans = list(zip(edges[:-1], edges[1:], docs["deleted"].to_pylist()))
-        counts = {f"c{k}": pa.array([packed(sums[held.places[k][a:b]]) for a, b, _ in spans], pa.binary()) for k in range(order)}
-        less = sums - less
-        counts |= {f"d{k}": pa.array([packed(less[held.places[k][a:b]]) if gone else None for a, b, gone in spans], pa.binary())
-                   for k in range(order)}
-        zero = pa.array(np.zeros(n, np.int64))
-        return pa.table({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "deleted": docs["deleted"],
-                         "tokens": zero, "types": zero, "kept_tokens": zero, **counts})
+        kept = sums - less
+        ids, held_out, deleted = docs["doc_id"].to_pylist(), docs["held_out"].to_pylist(), docs["deleted"].to_numpy()
+        starts = np.cumsum(held.sizes) - held.sizes
+        rows = []
+        for gone in (False, True):
+            same = np.flatnonzero(deleted == gone)
+            for i in range(0, len(same), ROW_DOCS):
+                part = same[i:i + ROW_DOCS]
+                at = np.concatenate([np.arange(starts[j], starts[j] + held.sizes[j]) for j in part])
+                places = [p[at] for p in held.places]
+                rows.append(([ids[j] for j in part], [held_out[j] for j in part], gone, packed(held.sizes[part]),
+                             *(packed(sums[p]) for p in places), *(packed(kept[p]) if gone else None for p in places)))
+        return table(rows, None)
     return run
 
 
-def _flat(columns: list[pa.Array]) -> tuple[list[np.ndarray], np.ndarray]:
-    """(counts of each length over all rows, edges of the rows) of packed columns."""
-    rows = [[unpacked(x) for x in c.to_pylist()] for c in columns]
-    edges = np.cumsum([0, *map(len, rows[0])])
-    return [np.concatenate(r) if r else np.zeros(0, np.int64) for r in rows], edges
+def _unpacked(row: dict, kind: str, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(counts of each length over a row's documents, edges of the documents)."""
+    return [unpacked(row[f"{kind}{k}"]) for k in range(order)], np.r_[0, np.cumsum(unpacked(row["sizes"]))]
 
 
 def _estimates(counts: list[np.ndarray], edges: np.ndarray, texts: int, total: int,
@@ -224,8 +237,8 @@ def _cells(batches: Iterable[pa.RecordBatch], texts: int, total: int, types: int
     """Tally of cells over the deleted documents of a partition. A cell is one number: the bucket, then for each
     estimate log2 of its ratio to the uniform one, in steps, 11 bits each."""
     tally: dict[int, int] = defaultdict(int)
-    for batch in slices(batches):
-        p, _, context = _estimates(*_flat(batch.columns), texts, total, types)
+    for row in (r for batch in batches for r in batch.to_pylist()):
+        p, _, context = _estimates(*_unpacked(row, "d", order), texts, total, types)
         cell = _bucket(context)
         for k in range(1, order + 1):
             step = np.full(len(context), NEVER)
@@ -265,17 +278,17 @@ def fit_weights(cells: list[tuple[int, list[int], int]], order: int) -> np.ndarr
     return weights
 
 
-def _scored(batches: Iterable[pa.RecordBatch], weights: np.ndarray, texts: int, total: int,
-            types: int) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        counts, edges = _flat(batch.columns[2:])
+def _scored(batches: Iterable[pa.RecordBatch], weights: np.ndarray, texts: int, total: int, types: int,
+            order: int) -> Iterator[pa.RecordBatch]:
+    for row in (r for batch in batches for r in batch.to_pylist()):
+        counts, edges = _unpacked(row, "c", order)
         p, usable, context = _estimates(counts, edges, texts, total, types)
         w = weights[_bucket(context)].T * usable  # weights of estimates without a context go to the others
         score = np.log10((w * p).sum(axis=0) / w.sum(axis=0))
         base = np.log10((counts[0] + 1) / (total + types + 1))
-        per_text = lambda x: np.add.reduceat(x, edges[:-1]) if len(edges) > 1 else x[:0]  # noqa: E731  each text has a token
+        per_text = lambda x: np.add.reduceat(x, edges[:-1])  # noqa: E731  each text has a token
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(np.diff(edges).astype(np.int64)),
+            [pa.array(row["doc_id"], pa.int64()), pa.array(row["held_out"], pa.bool_()), pa.array(np.diff(edges).astype(np.int64)),
              pa.array(per_text((counts[0] > 0).astype(np.int64))), pa.array(per_text(base)), pa.array(per_text(score))],
             names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
@@ -304,12 +317,12 @@ def score_documents(docs: DataFrame, *, held_out: Column, deleted: Column, id_co
     told = asked.repartition(width(spark, n_ranges), "part").groupBy("part").applyInArrow(_summed, _TOLD)
     counted = cut(dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_answered(order), _counted(order)), "counts")
     total, types, kept = (int(x or 0) for x in counted.agg(F.sum("tokens"), F.sum("types"), F.sum("kept_tokens")).first())
-    cells = counted.where(F.col("deleted")).select(*[f"d{k}" for k in range(order)]).mapInArrow(
+    cells = counted.where(F.col("deleted")).select("sizes", *[f"d{k}" for k in range(order)]).mapInArrow(
         lambda it: _cells(it, texts - gone, kept, types, order), "cell bigint, n bigint")
     tallied = cells.groupBy("cell").agg(F.sum("n").alias("n")).collect()  # bounded by the grid
     weights = fit_weights(sorted((*cell_of(r["cell"], order), r["n"]) for r in tallied), order)
-    scored = counted.where(F.col("deleted").isNotNull()).select("doc_id", "held_out", *[f"c{k}" for k in range(order)]).mapInArrow(
-        lambda it: _scored(it, weights, texts, total, types),
+    scored = counted.where(F.col("deleted").isNotNull()).select("doc_id", "held_out", "sizes", *[f"c{k}" for k in range(order)]).mapInArrow(
+        lambda it: _scored(it, weights, texts, total, types, order),
         "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(total).cast("bigint")).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
