@@ -26,6 +26,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from transloom.llm.common import slices
+
 SAMPLE_DOCS = 200
 SAMPLE_CHARS = 6_000
 DICT_BYTES = 128 * 1024
@@ -104,7 +106,7 @@ def predict(docs: DataFrame, content: dict[str, bytes], *, id_col: str = "doc_id
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Identifier(held.value)
-        for batch in batches:
+        for batch in slices(batches):
             found = [known.predict(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             langs, scores = [f[0] for f in found], [f[1] for f in found]
             yield pa.RecordBatch.from_arrays(

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from transloom.llm.common import slices
+
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
@@ -126,7 +128,7 @@ REPORT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 def _report(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
-    for batch in batches:
+    for batch in slices(batches):
         rows = list(zip(*(judge(t)[:8] for t in batch.column(1).to_pylist()))) or [()] * 8
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(r, k) for r, k in zip(rows, kinds))],
                                          ["doc_id", *REPORT])
@@ -144,7 +146,7 @@ def clean_documents(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     at = docs.columns.index(text_col)
 
     def clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             judged = [judge(t) for t in batch.column(at).to_pylist()]
             cols = list(batch.columns)
             cols[at] = pa.array([j[8] for j in judged], pa.string())

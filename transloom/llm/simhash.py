@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from transloom.llm.common import cut
+from transloom.llm.common import cut, slices
 from transloom.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                  shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, rid, fp): rid is a hash of the text, fp the fingerprint as a signed 64-bit number."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = np.array([fingerprint(t, shingle_words) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], names=["doc_id", "rid", "fp"])
 
