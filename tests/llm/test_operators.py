@@ -384,6 +384,49 @@ def test_line_faults():
     assert quality.line_fault("A plain sentence that ends well, as it should.") is None and quality.line_fault(" \t") is None
 
 
+MOBY = ("Call me Ishmael. Some years ago, never mind how long precisely, having little or no money in my purse, and nothing "
+        "particular to interest me on shore, I thought I would sail about a little and see the watery part of the world. It is a way "
+        "I have of driving off the spleen and regulating the circulation. Whenever I find myself growing grim about the mouth; "
+        "whenever it is a damp, drizzly November in my soul; whenever I find myself involuntarily pausing before coffin warehouses, "
+        "and bringing up the rear of every funeral I meet; and especially whenever my hypos get such an upper hand of me, that it "
+        "requires a strong moral principle to prevent me from deliberately stepping into the street, and methodically knocking "
+        "people's hats off, then, I account it high time to get to sea as soon as I can.")
+CLEAN = [  # of other scripts, 20 words or more
+    "यह एक साधारण वाक्य है जो हिंदी में लिखा गया है।\nदूसरा वाक्य भी उतना ही साधारण है और यहीं समाप्त होता है।",
+    "یہ ایک سادہ جملہ ہے جو اردو میں لکھا گیا ہے۔\nدوسرا جملہ بھی اتنا ہی سادہ ہے اور یہیں ختم ہوتا ہے۔",
+    "هل قرأت هذا الكتاب الذي كتبه صديقي في العام الماضي؟\nوهل تعرف أين يمكن أن نجد نسخة منه في هذه المدينة الكبيرة؟",
+    "ይህ በአማርኛ የተጻፈ ቀላል ዓረፍተ ነገር ነው እና እዚህ ያበቃል።\nሁለተኛው ዓረፍተ ነገር ደግሞ እንደዚሁ ቀላል ነው እና በዚህ ቦታ ያበቃል።",
+    "ผมไปตลาดเมื่อวาน กับแม่ของผม เราซื้อผลไม้ แล้วก็กลับบ้าน ตอนเย็น ฝนตกหนัก\n" +
+    "วันนี้อากาศดี เราจึงออกไปเดินเล่น ในสวน เด็กเล่นกัน ใต้ต้นไม้ นกร้องเพลง แมวนอน หมาวิ่ง เรากินข้าว แล้วพักผ่อน ก่อนค่ำ ทุกคน มีความสุข มาก"]
+
+
+@pytest.mark.parametrize("columns", [50, 60, 70, 80, 100])
+def test_quality_keeps_wrapped_prose(columns):
+    import textwrap
+
+    wrapped = textwrap.fill(MOBY, columns)
+    for text in (wrapped, wrapped.replace("\n", "\r\n"), f"Loomings\n\n{wrapped}\n\n{wrapped.upper().lower()}"):
+        lost, kept, clean = quality.judge(text)[6:]
+        assert lost == 0 and clean == text
+    assert quality.judge(wrapped)[7]
+
+
+@pytest.mark.parametrize("text", CLEAN)
+def test_quality_keeps_other_scripts(spark, text):
+    assert quality.judge(text)[6:] == (0.0, True, text)
+    row = quality.quality_report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["kept"] and row["lost_share"] == 0
+
+
+def test_quality_still_drops_lines_without_an_end():
+    heads = ["ten ways to make the most of a weekend", "why nobody goes to the old harbour now", "what the mayor has said about the bridge"]
+    assert quality.line_faults(heads) == ["punctuation"] * 3  # a block without any sentence end
+    assert quality.line_faults([heads[0], "", MOBY]) == ["punctuation", None, None]
+    assert quality.line_faults([heads[0], MOBY]) == ["punctuation", None]  # the next line is no wrapped one
+    title = "a title of more than five words"
+    assert quality.line_faults([title, "so much longer than the title is this line, and it has an end. And more"])[0] == "punctuation"
+
+
 # --- op9 ----------------------------------------------------------------------------------------
 def plain_fingerprint(t):
     w = split_words(lower(t or ""))

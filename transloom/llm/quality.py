@@ -1,9 +1,14 @@
 """Quality rules, line first.
 
-Every line is judged on its own (punctuation, navigation, boilerplate, symbols, shouting); failing lines
+Every line is judged on its own (navigation, boilerplate, symbols, shouting, punctuation); failing lines
 are removed; a document that loses too large a share of its words is rejected, and so is one that fails
 the base rules on its whole text. All work is per document, so nothing is shuffled.
 
+Punctuation alone is judged on the paragraph where lines are hard-wrapped: a line goes on in the next one when it is
+at most ``MAX_WRAP`` characters long and the next line's first word would have taken it past three quarters of the
+width of its block (the longest line between blank, failing or longer lines; at least ``MIN_WRAP``). One sentence end
+in the paragraph is enough for all its lines.
+
 Edge cases: a null text counts as empty; an empty or blank text has no words and fails the base rules; repeated
 rows and ids are judged row by row; other columns of the input are ignored by ``quality_report`` and kept by
 ``clean_documents``; an empty table gives no rows.
@@ -30,17 +35,25 @@ MAX_LOST = 0.3
 #: Lines of fewer words are not asked for a sentence end, nor judged as shouting or symbols.
 FEW_WORDS = 5
 
+#: Width of a block of hard-wrapped lines, in characters.
+MIN_WRAP, MAX_WRAP = 40, 120
+
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
 #: Patterns in the common subset of regular expressions, so that SQL engines can use them too.
 SENTENCE_END = r"[.!?…。！？:;][\"'»”’)\]]*([\x20\x09-\x0D]|$)"
+#: What else ends a sentence: closing marks that SENTENCE_END lacks, wide marks (no space follows them), the marks of
+#: other scripts, and a space or the line's end after Thai or Lao, which are written without marks.
+OTHER_END = (r"[.!?…:;][\"'»”’)\]“‘«‹›」』）】]*(\s|$)|[。！？｡．：；]"
+             r"|[।॥۔؟؛։׃܀-܂߹፡።፤፧፨၊။។៕།༎᠃᠉᙮᱾᱿꓿꘎꘏꯫꧉\u037E\u0387‼⁇⁈⁉‽][\"'»”’)\]“‘«‹›」』）】]*(\s|$)"
+             r"|[\u0E01-\u0EFF][\"'»”’)\]]*(\s|$)")
 SEPARATORS = ["|", "›", "»", ">", "•", "·", "/"]
 BOILERPLATE = (r"\b(all rights reserved|terms of (use|service)|privacy policy|cookie policy|uses? cookies|"
                r"accept (all )?cookies|enable javascript|javascript is (disabled|required)|lorem ipsum|"
                r"click here|subscribe to our newsletter|skip to (main )?content|powered by)\b")
 DECORATED = r"[*]{3}|[$]{3}|#{3}|%{3}|&{3}|!!"
 
-_SENTENCE_END, _DECORATED = re.compile(SENTENCE_END), re.compile(DECORATED)
+_SENTENCE_END, _OTHER_END, _DECORATED = re.compile(SENTENCE_END), re.compile(OTHER_END), re.compile(DECORATED)
 _BOILERPLATE = re.compile(BOILERPLATE, re.IGNORECASE | re.ASCII)
 _LOWER = b"abcdefghijklmnopqrstuvwxyz"
 _SEPARATORS = frozenset(x.encode() for x in SEPARATORS)
@@ -72,11 +85,48 @@ def line_fault(line: str) -> str | None:
         return "symbols"
     if _shouts(line, raw):
         return "shouting"
-    if not _SENTENCE_END.search(line):
+    if not _ends_sentence(line):
         return "punctuation"
     return None
 
 
+def _ends_sentence(line: str) -> bool:
+    return bool(_SENTENCE_END.search(line) or _OTHER_END.search(line))
+
+
+def line_faults(lines: list[str]) -> list[str | None]:
+    """The fault of each line of a text; a hard-wrapped line is asked for the sentence end of its paragraph."""
+    by_line = {line: line_fault(line) for line in set(lines)}
+    faults = [by_line[line] for line in lines]
+    if "punctuation" not in by_line.values():
+        return faults
+    bare = [line.strip(WHITE) for line in lines]
+    wraps = [0 < len(b) <= MAX_WRAP and f in (None, "punctuation") for b, f in zip(bare, faults)]
+    start = 0
+    while start < len(lines):
+        stop = start + 1
+        if wraps[start]:
+            while stop < len(lines) and wraps[stop]:
+                stop += 1
+            _excuse(bare, faults, start, stop)
+        start = stop
+    return faults
+
+
+def _excuse(bare: list[str], faults: list[str | None], start: int, stop: int) -> None:
+    """Takes the fault from the lines ``start`` to ``stop``, a block, whose paragraph has a sentence end."""
+    if "punctuation" not in faults[start:stop]:
+        return
+    wide = max(map(len, bare[start:stop]))
+    first = start
+    for i in range(start, stop):
+        if i + 1 < stop and wide >= MIN_WRAP and 4 * (len(bare[i]) + 1 + len(bare[i + 1].split(None, 1)[0])) > 3 * wide:
+            continue
+        if first < i and any(map(_ends_sentence, bare[first:i + 1])):
+            faults[first:i + 1] = [None] * (i + 1 - first)
+        first = i + 1
+
+
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     """Words inside a window that is found twice or more in the text, the first included."""
     n = len(words) - window + 1
@@ -115,8 +165,7 @@ def judge(text: str | None) -> tuple:
             seen.add(line)
     n_repeat = repeated_words(words)
     base_failed = n_words < MIN_WORDS or 100 * n_repeat > MAX_REPEAT_PERCENT * n_words
-    faults: dict[str, str | None] = {line: line_fault(line) for line in set(lines)}
-    good = [line for line in lines if faults[line] is None]
+    good = [line for line, fault in zip(lines, line_faults(lines)) if fault is None]
     n_good = sum(len(line.encode("utf-8", "surrogatepass").split()) for line in good) if len(good) < len(lines) else n_words
     lost = 1 - n_good / n_words if n_words else 0.0
     return (n_words, word_chars, n_symbols, n_dup, n_repeat, base_failed, lost,
