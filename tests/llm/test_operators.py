@@ -160,6 +160,36 @@ def test_personal_data(spark, docs, awkward, empty):
     assert pii.personal_data(empty).count() == 0
 
 
+IBANS = [  # (text, spans of IBANs)
+    ("ES91 2100 0418 4502 0005 1332 EUR 500", [(0, 29)]), ("BE68 5390 0754 7034 BIC GEBA", [(0, 19)]),
+    ("AT61 1904 3002 3457 3201 USD 5", [(0, 24)]), ("ES9121000418450200051332 2024", [(0, 24)]),
+    ("to ES91 2100 0418 4502 0005 1332 AT61 1904 3002 3457 3201 BE68539007547034 on", [(3, 32), (33, 57), (58, 74)]),
+    ("AB12 DE89 3704 0044 0532 0130 00 EUR", [(5, 32)]), ("SE45 5000 0000 0583 9825 7466 OCR 1234 5678", [(0, 29)]),
+    ("PL61 1090 1014 0000 0712 1981 2874 PLN", [(0, 34)]), ("LU28 0019 4006 4475 0000 A 1", [(0, 24)]),
+    ("NO93 8601 1117 947 NOK", [(0, 18)]), ("MT84MALT011000012345MTLCAST001S BIC", [(0, 31)]),
+    ("ES91 2100 0418 4502 0005 1333 EUR 500", []), ("DE89 3704 0044 0532 0130 EUR", []), ("ES9121000418450200051332EUR", [])]
+
+
+def test_iban_has_its_countrys_length(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(IBANS)], "doc_id long, text string")
+    got = {r["doc_id"]: [x for x in r["spans"].split(",") if x.startswith("iban")] for r in pii.personal_data(df).collect()}
+    assert got == {i: [f"iban:{a}:{b}" for a, b in spans] for i, (_, spans) in enumerate(IBANS)}
+    codes = " ".join(pii.IBAN_LENGTHS.values()).split()
+    assert len(codes) == len(set(codes))
+
+
+def test_context_is_the_text_around(spark):
+    """Other numbers between the word and the match don't end the context; words farther than NEAR don't count."""
+    texts = ["amex 12 of 34: 378282246310005", "378282246310005 exp 12 25, 10 20 30 amex", "amex " + "12, " * 10 + "378282246310005",
+             "amex " + "1x22" * 20 + " 378282246310005", "amex" + " " * 45 + "378282246310005", "isbn 22 x 378282246310005 on card 44",
+             "😀 amex 12, 😀 34, 378282246310005"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    near = [(t[max(0, t.index("3782") - pii.NEAR):t.index("3782")], t[t.index("3782") + 15:][:pii.NEAR]) for t in texts]
+    want = {i: ("amex" in a or "amex" in b) for i, (a, b) in enumerate(near)}
+    assert {r["doc_id"]: "shortcard" in r["spans"] for r in pii.personal_data(df).collect()} == want
+    assert want[0] and want[1] and want[2] and not want[3] and not want[4] and not want[5]
+
+
 # --- op3 ----------------------------------------------------------------------------------------
 @pytest.mark.parametrize("which", ["docs", "awkward"])
 def test_packing(which, request):

@@ -9,7 +9,11 @@ Kinds, in the order of their listing: ``email``, ``ip`` (each part at most 255),
 Luhn) and ``phone`` (8 to 15 digits) are the base and always reported; ``iban`` (mod-97 passing), ``shortcard`` (13
 to 15 digits passing Luhn) and ``ssn`` (no checksum exists) are the method's own and are reported when their score
 reaches ``MIN_SCORE``. The score is a prior for the kind, plus what a passed checksum is worth, plus or minus what
-the words within ``NEAR`` code points say (up to the neighbouring match of the same kind).
+the words within ``NEAR`` code points of the match say, up to a neighbouring match of the same pattern that is confirmed too;
+other numbers between do not end the context.
+
+An ``iban`` has its country's length (``IBAN_LENGTHS``), so it never takes the word or number behind it. Two letters
+that name no country of the table keep an open length, which stops before an IBAN of the table.
 
 Edge cases: null counts as empty; an empty text has no spans; repeated rows are reported row by row; equal spans of
 different kinds are both reported; a failing match is dropped and its characters are not tried again; an empty
@@ -26,6 +30,28 @@ KINDS = (*BASE, "iban", "shortcard", "ssn")
 MIN_SCORE = 0.7
 NEAR = 48
 
+#: Rows on either side that hold a match's context: a match with the gap before it is three characters or longer.
+NEAR_ROWS = NEAR // 3
+#: Stands for a confirmed match in the text around another; no text keeps it.
+STOP = "\x00"
+#: Characters of an IBAN: the countries of the ISO 13616 registry and those that use the form without being in it.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+    32: "LC", 33: "RU"}
+
+
+def _iban() -> str:
+    group, end = r"(?:\x20?[A-Z0-9]{4})", r"(?![A-Za-z0-9])"
+    rest = lambda n: (f"{group}{{{n // 4 - 1}}}" + (rf"\x20?[A-Z0-9]{{{n % 4}}}" if n % 4 else ""))
+    known = "(?:" + "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}{rest(n)}" for n, c in IBAN_LENGTHS.items()) + f"){end}"
+    codes = "|".join(" ".join(IBAN_LENGTHS.values()).split())
+    other = rf"(?!{codes})[A-Z]{{2}}[0-9]{{2}}(?:(?:\x20(?!{known}))?[A-Z0-9]{{4}}){{2,7}}(?:\x20?[A-Z0-9]{{1,3}})?{end}"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{known}|{other})"
+
+
 _MAIL = r"A-Za-z0-9._%+-"
 PATTERNS = {
     # A match starts at the head of a run or where the last match ended (\G); no other start can succeed.
@@ -33,7 +59,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": _iban(),
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: A plain substring or pattern without which the costly pattern can't match.
@@ -105,10 +131,7 @@ def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     none = F.array().cast(rows.schema["email"].dataType)
     dealt = rows.select("row", "doc_id", F.explode_outer(F.concat(*[F.coalesce(F.col(k), none) for k in PATTERNS])).alias("x")) \
         .select("row", "doc_id", "x.*")
-    order = Window.partitionBy("row", "kind").orderBy("k")
-    placed = dealt.withColumns({
-        "end": F.sum(F.col("skip") + F.coalesce(F.length("m"), F.lit(0))).over(order),
-        "near": F.concat_ws(" ", "before", F.coalesce(F.lead("head").over(order), F.lit("")))})
+    order = Window.partitionBy("row", "pattern").orderBy("k")
     n_digits = F.length(_digits(F.col("m")))
     kind = F.when((F.col("kind") == "card") & n_digits.between(13, 15), "shortcard").otherwise(F.col("kind"))
     fits = (F.when(F.col("kind") == "email", True)
@@ -118,6 +141,17 @@ def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             .when(F.col("kind") == "phone", n_digits.between(8, 15))
             .when(F.col("kind") == "iban", _mod97(F.col("m")))
             .when(F.col("kind") == "ssn", ~F.col("m").rlike("^(?:000|666|9)|-00-|-0000$")))
+    # the text on either side is put together again from the gaps and matches around; a confirmed match becomes STOP
+    checked = dealt.withColumns({"pattern": F.col("kind"), "kind": kind}) \
+        .withColumn("fits", F.coalesce(F.col("m").isNotNull() & fits, F.lit(False)))
+    text_of = lambda c: F.translate(F.coalesce(c, F.lit("")), STOP, " ")
+    match = lambda part: F.when(F.col("fits"), F.lit(STOP)).otherwise(text_of(part))
+    left = F.collect_list(F.concat(text_of(F.col("before")), match(F.right("m", F.lit(NEAR))))).over(order.rowsBetween(-NEAR_ROWS, -1))
+    right = F.collect_list(F.concat(text_of(F.col("head")), match(F.substring("m", 1, NEAR)))).over(order.rowsBetween(1, NEAR_ROWS))
+    placed = checked.withColumns({
+        "end": F.sum(F.col("skip") + F.coalesce(F.length("m"), F.lit(0))).over(order),
+        "near": F.concat_ws(" ", F.right(F.substring_index(F.concat_ws("", left, text_of(F.col("before"))), STOP, -1), F.lit(NEAR)),
+                            F.substring(F.substring_index(F.concat_ws("", right), STOP, 1), 1, NEAR))})
     by_kind = lambda values, other: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]),
                                                             F.col("kind")), F.lit(other))
     helps = F.lit(False)
@@ -127,8 +161,7 @@ def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                                            + F.when(helps, WORTH).otherwise(0.0)
                                            - F.when(F.col("near").rlike(HARMS), WORTH).otherwise(0.0)))
     base = F.col("kind").isin(*BASE)
-    judged = placed.withColumn("kind", kind).withColumn("fits", F.col("m").isNotNull() & fits).withColumn("score", score) \
-        .withColumn("start", F.col("end") - F.length("m"))
+    judged = placed.withColumn("score", score).withColumn("start", F.col("end") - F.length("m"))
     taken = F.col("fits") & (base | (F.col("score") >= min_score))
     span = F.when(taken, F.struct(F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("place"), "start", "end",
                                   "kind", F.round("score", 2).alias("score")))
