@@ -357,6 +357,16 @@ def test_line_dedup(spark, docs, awkward, empty):
     assert line_dedup.line_report(empty).count() == 0
 
 
+def test_line_hash_has_128_bits(spark):
+    """h2 is a hash of the key itself under a seed of its own, not a hash of h1."""
+    text = "a line of forty characters or more, as it is asked for"
+    r = line_dedup.line_records(spark.createDataFrame([(1, text)], "doc_id long, text string"), "doc_id", "text", 40).first()
+    one = (1).to_bytes(4, "little")
+    assert r["h1"] % 2**64 == xxhash.xxh64_intdigest(text, 42)
+    assert r["h2"] % 2**64 != xxhash.xxh64_intdigest(one, r["h1"] % 2**64)
+    assert r["h2"] % 2**64 == xxhash.xxh64_intdigest(text, xxhash.xxh64_intdigest(one, 42))
+
+
 @pytest.mark.parametrize("cuts", [(), (3,), (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11), (5, 9), (8,)])
 def test_line_stream_over_partition_edges(cuts):
     """Any cut of the sorted records gives the same decisions."""

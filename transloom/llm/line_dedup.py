@@ -50,7 +50,8 @@ def line_records(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
     lines = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("rid"),
                         F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
     keyed = lines.select("doc", "rid", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
-    return keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(1)).alias("h2"), "doc", "rid", "pos")
+    # xxhash64 seeds each column's hash with the one before: the constant comes first, so that h2 is the key's under another seed
+    return keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc", "rid", "pos")
 
 
 def _stream(batches: Iterable[pd.DataFrame], min_docs: int) -> Iterator[pd.DataFrame]:
