@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transloom.llm import (decontaminate, language_id, line_dedup, lm_scoring, packing, pii, quality, sharding, simhash,
-                           url_filters)
+from transloom.llm import (decontaminate, language_id, line_dedup, lm_scoring, merkle, packing, pair_bpe, periodic_runs, pii,
+                           quality, sharding, simhash, url_filters)
 from transloom.llm.common import crc_mod, read_table
 from transloom.llm.oracle import oracle_sql as oracle_sql
 
@@ -66,6 +67,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_report(read_table(spark, sf_dir, "documents"), tail=periodic_runs.planted_tail)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows are shown without line ends where 2 divides the crc32 of the id."""
+    return merkle.manifest(read_table(spark, sf_dir, "documents"), shown=lambda text: F.when(
+        crc_mod(F.col("doc_id"), 2) == 0, F.replace(text, F.lit("\n"), F.lit(""))).otherwise(text))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return pair_bpe.encode_report(read_table(spark, sf_dir, "documents"), f.read())
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_lm_scoring, op2_pii, op3_packing, op4_decontamination, op5_language_id, op6_url_filters, op7_line_dedup, op8_quality_rules,
-                                   op9_simhash, op10_sharding)}
+                                   op9_simhash, op10_sharding, op11_periodic_runs, op12_merkle_manifest, op13_bpe)}
