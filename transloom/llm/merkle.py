@@ -10,7 +10,7 @@ range-partitioned sort (sums per partition and group give the offsets, so no gro
 aligned blocks of 3^6 rows (``levels``). A block is a subtree of its own: its rows get their partial witnesses, its root
 is appended as a node of the next round, whose witnesses extend those of all rows below. The rounds grow with the
 logarithm of the largest group (four for 10^10 rows). A row's witness is written once and extended by a join on
-(group, block), which holds at most ``BLOCK`` rows a key.
+(group, block), which holds at most 729 rows a key.
 
 Edge cases: a null group comes first and is a group of its own, a null id comes first in its group, rows of one id are
 ordered by their hash, so repeated rows are equal neighbours; null and empty text differ ('-' and '0:'); other columns
