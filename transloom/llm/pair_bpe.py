@@ -21,6 +21,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -143,11 +144,11 @@ class Tokens:
         self.merges = {}
         for rank, (a, b) in enumerate(model["merges"]):
             self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
-        self.latin: dict[str, tuple[int, bytes, bytes]] = {}  # text up to U+00FF -> number of ids, ids, tokens
-        self.other: dict[str, tuple[int, bytes, bytes]] = {}  # byte letters -> the same
+        self.latin: dict[str, tuple[bytes, bytes]] = {}  # text up to U+00FF -> ids, tokens
+        self.other: dict[str, tuple[bytes, bytes]] = {}  # byte letters -> the same
 
-    def _entry(self, ids: list[int]) -> tuple[int, bytes, bytes]:
-        return len(ids), " ".join(map(str, ids)).encode(), " ".join(map(self.names.__getitem__, ids)).encode()
+    def _entry(self, ids: list[int]) -> tuple[bytes, bytes]:
+        return " ".join(map(str, ids)).encode(), " ".join(map(self.names.__getitem__, ids)).encode()
 
     def _learn(self, cache: dict, new: set[str], letters) -> None:
         new = sorted(new)
@@ -178,12 +179,19 @@ class Tokens:
         for cache, letters in ((self.latin, self._spell), (self.other, str)):
             if len(cache) > CACHE:
                 cache.clear()
-            new = {w for parts in cut for of, ws in parts if of is cache for w in ws if w not in cache}
+            new = set().union(*(set(ws).difference(cache) for parts in cut for of, ws in parts if of is cache))
             if new:
                 self._learn(cache, new, letters)
         for parts in cut:
             entries = [of[w] for of, ws in parts for w in ws]
-            yield sum(e[0] for e in entries), b" ".join([e[1] for e in entries]), b" ".join([e[2] for e in entries])
+            ids, decoded = map(b" ".join, zip(*entries)) if entries else (b"", b"")
+            yield ids.count(b" ") + bool(entries), ids, decoded
+
+
+@lru_cache(maxsize=1)
+def _worker_tokens(file: str) -> Tokens:
+    """One tokeniser a Python worker: what a task has encoded serves the tasks after it."""
+    return Tokens(file)
 
 
 def encode_report(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,7 +201,7 @@ def encode_report(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", t
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(held.value)
+        tokens = _worker_tokens(held.value)
         for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             sums = [(n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest())
