@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from transloom.operators import feed as batch_feed
+from transloom.plans.corpus import RESULT_COLUMNS, translate_corpus
 from transloom.sources import fixtures as fx
 from transloom.sources.tables import table
 from transloom.streaming import batches, stateful
@@ -112,7 +113,8 @@ def test_continuous_translation_fills_memory(spark):
     _finish(q)
     results = spark.read.parquet(os.path.join(base, "results"))
     sent = spark.read.option("recursiveFileLookup", "true").parquet(root)
-    assert results.select("request_id").distinct().count() == sent.count()
+    want = translate_corpus(sent, settings)
+    assert sorted(map(str, results.select(*RESULT_COLUMNS).collect())) == sorted(map(str, want.collect()))
     assert spark.read.parquet(os.path.join(base, "memory")).count() > 0
 
 

@@ -109,6 +109,7 @@ WHITE_SPACE_CLASS = (
     r"[\t\n\x{0B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 )
+NOT_WHITE_SPACE = "[^" + WHITE_SPACE_CLASS[1:]
 ANSI_ESCAPE = r"\x1b\[[0-?]*[ -/]*[@-~]"
 # (?d): Java '.' then excludes only '\n', like Go's '.'.
 PROGRESS_NAMED = r"(?d)^(.+?):\s*(\d{1,3})%\|"
@@ -133,6 +134,7 @@ TAP_REFRACTORY_MS = 250
 MSG_NO_REPLY_STATUS = "LLM 回复没有状态码"
 MSG_BAD_REQUEST = "无法解析请求"
 MSG_SETTINGS_ERROR = "设置文件无法解析"
+MSG_SETTINGS_CONFLICT = "同一租户有不同的设置文件"
 MSG_MISSING_TRANSLATION = "模型没有返回这一段的译文"
 PSEUDO_REFUSES = "[refuse] "
 MSG_PSEUDO_REFUSED = "the test double refuses this segment"

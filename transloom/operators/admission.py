@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from transloom import constants as K
 from transloom.functions.text import go_trim, safe_name
-from transloom.operators.settings import DEFAULTS_ROW, normalize_settings
+from transloom.operators.settings import DEFAULTS_ROW, tenant_settings
 from transloom.session import stored
 from transloom.sources import dims
 
 # Status codes (ours); the user-facing message for each is a fixed value.
-EMPTY, TOO_LONG, DIRECT, ADMITTED = "EMPTY", "TOO_LONG", "DIRECT", "ADMITTED"
+REFUSED, EMPTY, TOO_LONG, DIRECT, ADMITTED = "REFUSED", "EMPTY", "TOO_LONG", "DIRECT", "ADMITTED"
 LLM_NO_URL, LLM_NO_MODEL = "LLM_NO_URL", "LLM_NO_MODEL"
 PAIR_UNSUPPORTED, MODEL_NOT_READY, LANG_UNMAPPED, READY, SETTINGS_ERROR = (
     "PAIR_UNSUPPORTED", "MODEL_NOT_READY", "LANG_UNMAPPED", "READY", "SETTINGS_ERROR")
@@ -36,21 +36,31 @@ def status_message(status) -> F.Column:
     return out
 
 
+def row_message() -> F.Column:
+    """The message of a row that ``resolve`` stopped: why its line or its tenant's settings were refused, else its status's."""
+    status = F.col("status")
+    return F.when(status == REFUSED, F.col("refused")).when(status == SETTINGS_ERROR, F.col("settings_error")) \
+        .otherwise(status_message(status))
+
+
 def admit(requests: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Ordered checks on the trimmed text and the raw language pair.
 
     A NULL text, source or target counts as empty. ``over_limit`` reports texts above the
     interactive limit of 12,000 code points; they are translated like any other unless
-    ``max_chars`` is set, which rejects longer ones as TOO_LONG.
+    ``max_chars`` is set, which rejects longer ones as TOO_LONG. A line that its source refused (``error``) is REFUSED
+    and keeps its reason.
+
+    Blank text is told by its first character that is not white space, so a plan that needs no length trims nothing.
     """
     requests = requests.withColumns({c: F.coalesce(c, F.lit("")) for c in ("text", "source", "target")})
-    trimmed = go_trim("text")
-    n = F.length(trimmed)
-    status = F.when(trimmed == "", F.lit(EMPTY))
+    refused = F.coalesce("error", F.lit("")) if "error" in requests.columns else F.lit("")
+    n = F.length(go_trim("text"))
+    status = F.when(refused != "", F.lit(REFUSED)).when(~F.col("text").rlike(K.NOT_WHITE_SPACE), F.lit(EMPTY))
     if max_chars is not None:
         status = status.when(n > max_chars, F.lit(TOO_LONG))
     status = status.when(F.col("source") == F.col("target"), F.lit(DIRECT)).otherwise(F.lit(ADMITTED))
-    return requests.select("*", n.alias("n_chars"), (n > K.MAX_CHARS).alias("over_limit"), status.alias("status"))
+    return requests.select("*", n.alias("n_chars"), (n > K.MAX_CHARS).alias("over_limit"), refused.alias("refused"), status.alias("status"))
 
 
 def direct_results(admitted: DataFrame) -> DataFrame:
@@ -63,12 +73,12 @@ def direct_results(admitted: DataFrame) -> DataFrame:
 def with_settings(admitted: DataFrame, settings_raw: DataFrame) -> DataFrame:
     """Tenant settings (normalised); tenants without settings get the defaults.
 
-    Settings hold one row per tenant. They are written once, so the planner knows their size:
+    Settings hold one row per tenant (``tenant_settings`` sees to it). They are written once, so the planner knows their size:
     it broadcasts them under its threshold (the corpus text is then not shuffled) and
     shuffles, splitting skewed tenants, above it. A tenant whose settings can't be read
     keeps the reason in ``settings_error``.
     """
-    s = stored(normalize_settings(settings_raw), "settings")
+    s = stored(tenant_settings(settings_raw), "settings")
     joined = admitted.join(s, "tenant", "left")
     return joined.select(
         *admitted.columns,
@@ -98,7 +108,8 @@ def route(filled: DataFrame) -> DataFrame:
     codes = [c for c, _, _ in K.LANGUAGES]
     is_llm = F.col("provider") == "llm"
     capability = (
-        F.when(F.col("settings_error") != "", F.lit(SETTINGS_ERROR))  # nothing starts on refused settings
+        F.when(F.col("status") == REFUSED, F.lit(REFUSED))
+        .when(F.col("settings_error") != "", F.lit(SETTINGS_ERROR))  # nothing starts on refused settings
         .when(F.col("status") != ADMITTED, F.col("status"))
         .when(is_llm & (go_trim("llm_base_url") == ""), F.lit(LLM_NO_URL))
         .when(is_llm & (go_trim("llm_model") == ""), F.lit(LLM_NO_MODEL))

@@ -31,7 +31,7 @@ def length_profile(documents: DataFrame) -> DataFrame:
         F.percentile_approx(n, 0.5, 1_000_000).cast("bigint").alias("median_chars"))
 
 
-NOT_STARTED = ("EMPTY", "TOO_LONG", "DIRECT", "SETTINGS_ERROR")
+NOT_STARTED = ("REFUSED", "EMPTY", "TOO_LONG", "DIRECT", "SETTINGS_ERROR")
 
 
 def log_lines(audit_rows: DataFrame) -> DataFrame:

@@ -1,8 +1,14 @@
 """Segmentation and reassembly.
 
-Splitting is a narrow ``posexplode`` (no shuffle). Reassembly is one
-``groupBy(request_id)``: a group holds one request's parts, which were one cell of
-the input before, so no group grows with the table.
+Splitting is a narrow ``posexplode`` (no shuffle). Reassembly is one grouping by the row
+key: a group holds one request's parts, which were one cell of the input before, so no
+group grows with the table.
+
+The row key (``with_row_key``) is a 128-bit hash of all columns of a request. Requests without
+an id, or with one id, stay apart by it; it is the same on every read of the row, so a retried
+task groups as the first one did. Rows that are equal in every column share the key: their parts
+are told once (``collect_set``, combined before the shuffle) and counted, and the one result
+row is repeated as often as the request was asked.
 """
 
 from __future__ import annotations
@@ -15,6 +21,16 @@ from transloom.functions.text import go_trim, paragraph_parts
 from transloom.functions.tokens import chunk_array, generation_budget, words
 
 SEGMENT_KEYS = ["source", "target", "model", "segment"]
+ROW_KEY = ["_h1", "_h2"]
+
+
+def with_row_key(requests: DataFrame) -> DataFrame:
+    """Add the row key: two 64-bit hashes of all columns, NULL told from empty. The constant comes first, so that the
+    two differ in their seed."""
+    if set(ROW_KEY) <= set(requests.columns):
+        return requests
+    cells = [v for c in requests.columns for v in (F.col(c), F.col(c).isNull())]
+    return requests.withColumns({"_h1": F.xxhash64(F.lit(1), *cells), "_h2": F.xxhash64(F.lit(2), *cells)})
 
 
 def paragraphs(requests: DataFrame, keep=("source", "target", "model")) -> DataFrame:
@@ -22,8 +38,8 @@ def paragraphs(requests: DataFrame, keep=("source", "target", "model")) -> DataF
 
     The untrimmed text is split: only the final result is trimmed.
     """
-    cols = ["request_id", *[c for c in keep if c in requests.columns]]
-    parts = requests.select(*cols, F.posexplode(paragraph_parts("text")).alias("part_no", "part"))
+    cols = ["request_id", *ROW_KEY, *[c for c in keep if c in requests.columns]]
+    parts = with_row_key(requests).select(*cols, F.posexplode(paragraph_parts("text")).alias("part_no", "part"))
     return parts.withColumn("is_sep", F.col("part").startswith("\n"))
 
 
@@ -56,33 +72,49 @@ def unique_segments(parts: DataFrame) -> DataFrame:
                                                 F.col("part").alias("segment")).distinct()
 
 
+def join_keys(parts: DataFrame) -> DataFrame:
+    """Parts with the ``segment`` by which they are joined to their translation. A separator's key is its row's own: no
+    segment holds a line end, so it matches nothing, and the separators spread over all partitions instead of
+    meeting at one NULL key."""
+    own = F.concat(F.lit("\n"), F.hex("_h1"), F.lit(":"), F.col("part_no"))
+    return parts.withColumn("segment", F.when(F.col("is_sep"), own).otherwise(F.col("part")))
+
+
 def fan_out(parts: DataFrame, translated: DataFrame, carry: tuple = ()) -> DataFrame:
-    """Every part gets its translation by one left join; separators (and parts that carry a
-    ready result in ``out``) pass through. A segment without a translation is an error row.
+    """Every part gets its translation by one left join; separators pass through. A segment without a
+    translation is an error row.
 
-    Hot segments make the part side skewed; AQE's skew-join split handles it
-    (the translated side holds one row per key).
+    Hot segments make the part side skewed; AQE's skew-join split handles it (the translated side holds one row per key).
     """
-    ready = F.col("out") if "out" in parts.columns else F.col("part")
-    segs = parts.withColumn("ready", ready).withColumn("segment", F.when(~F.col("is_sep"), F.col("part")))
+    segs = join_keys(parts).select("request_id", *ROW_KEY, "source", "target", "model", "part_no", "is_sep", *carry,
+                                   F.when(F.col("is_sep"), F.col("part")).alias("ready"), "segment")
     joined = segs.join(translated, SEGMENT_KEYS, "left")
-    is_seg, found = F.col("segment").isNotNull(), F.col("translation").isNotNull() & (F.col("error") == "")
+    found = F.coalesce(F.col("translation").isNotNull() & (F.col("error") == ""), F.lit(False))
     lost = F.when(F.coalesce("error", F.lit("")) != "", F.col("error")).otherwise(F.lit(K.MSG_MISSING_TRANSLATION))
     return joined.select(
-        "request_id", "model", "part_no",
-        F.when(~is_seg, F.col("ready")).when(found, F.col("translation")).otherwise(F.lit("")).alias("out"),
-        F.when(is_seg & ~F.coalesce(found, F.lit(False)), lost).otherwise(F.lit("")).alias("error"), *carry)
+        "request_id", *ROW_KEY, "model", "part_no",
+        F.when(F.col("is_sep"), F.col("ready")).when(found, F.col("translation")).otherwise(F.lit("")).alias("out"),
+        F.when(~F.col("is_sep") & ~found, lost).otherwise(F.lit("")).alias("error"), *carry)
 
 
 def reassemble(translated_parts: DataFrame, carry: tuple = ()) -> DataFrame:
-    """Parts concatenated in order, then trimmed; any failed part fails the request.
-    ``carry`` names per-request columns that ride along (constant within a request)."""
-    ordered = F.array_sort(F.collect_list(F.struct("part_no", "out", "error")))
-    g = translated_parts.groupBy("request_id", "model", *carry).agg(ordered.alias("parts"))
+    """Parts concatenated in order, then trimmed; any failed part fails the request. One row per row key;
+    ``copies`` says how many equal requests it answers (``repeated`` gives each its row). ``carry`` names per-request
+    columns that ride along."""
+    rides = ("request_id", "model", *carry)
+    g = translated_parts.groupBy(*ROW_KEY).agg(
+        F.array_sort(F.collect_set(F.struct("part_no", "out", "error"))).alias("parts"),
+        F.count_if(F.col("part_no") == 0).alias("copies"), *[F.any_value(c).alias(c) for c in rides])
     errors = F.filter("parts", lambda p: p["error"] != "")
     return g.select(
-        "request_id", "model", *carry,
+        *rides, *ROW_KEY, "copies",
         F.when(F.size(errors) > 0, F.lit("")).otherwise(
             go_trim(F.array_join(F.transform("parts", lambda p: p["out"]), ""))).alias("text"),
         F.coalesce(F.try_element_at(errors, F.lit(1))["error"], F.lit("")).alias("error"),
     )
+
+
+def repeated(results: DataFrame) -> DataFrame:
+    """One row for each of the equal requests that a result answers."""
+    columns = [c for c in results.columns if c not in ("copies", *ROW_KEY)]
+    return results.select(*columns, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("_copy")).drop("_copy")

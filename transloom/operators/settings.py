@@ -35,7 +35,7 @@ def _value(entries: Column, key: str) -> Column:
     return F.coalesce(F.try_element_at(exact, F.lit(-1)), F.try_element_at(alike, F.lit(-1)))["value"]
 
 
-def normalize_settings(settings_raw: DataFrame) -> DataFrame:
+def normalize_settings(settings_raw: DataFrame, keep: tuple = ()) -> DataFrame:
     """Defaults for missing keys, legacy clipboard key, provider/model/URL clean-up.
 
     A document that is no JSON object, or holds a value of the wrong type, is refused:
@@ -43,11 +43,11 @@ def normalize_settings(settings_raw: DataFrame) -> DataFrame:
     the default. Keys match in any case, the exact spelling first.
     """
     allow_repeated_keys(settings_raw.sparkSession)
-    s = settings_raw.select("tenant", boxed(F.coalesce("raw", F.lit(""))).alias("_box")).withColumn("_v", unboxed(F.col("_box")))
+    s = settings_raw.select("tenant", *keep, boxed(F.coalesce("raw", F.lit(""))).alias("_box")).withColumn("_v", unboxed(F.col("_box")))
     s = s.withColumn("_e", F.map_entries(F.when(kind(F.col("_v")).startswith("OBJECT"),
                                                 F.variant_get("_v", "$", "map<string,variant>"))))
     keys = (*TEXT_KEYS, *FLAG_KEYS, LEGACY_FLAG)
-    s = s.select("tenant", F.col("_e").isNotNull().alias("_ok"), *[_value(F.col("_e"), k).alias(k) for k in keys])
+    s = s.select("tenant", *keep, F.col("_e").isNotNull().alias("_ok"), *[_value(F.col("_e"), k).alias(k) for k in keys])
     no_flag = F.col("clipboardEnabled").isNull()  # only then is the legacy key read
     typed = F.col("_ok")
     for k in TEXT_KEYS:
@@ -61,7 +61,7 @@ def normalize_settings(settings_raw: DataFrame) -> DataFrame:
     model = F.coalesce(text("localModel"), F.lit(K.DEFAULT_LOCAL_MODEL))
     source, target = F.coalesce(text("sourceLanguage"), F.lit("")), F.coalesce(text("targetLanguage"), F.lit(""))
     return s.select(
-        "tenant",
+        "tenant", *keep,
         F.when(text("provider") == "llm", F.lit("llm")).otherwise(F.lit("local")).alias("provider"),
         F.when(go_trim(model) == "", F.lit(K.DEFAULT_LOCAL_MODEL)).otherwise(model).alias("local_model"),
         trim_right_slashes(go_trim(F.coalesce(text("llmBaseUrl"), F.lit("")))).alias("llm_base_url"),
@@ -74,10 +74,25 @@ def normalize_settings(settings_raw: DataFrame) -> DataFrame:
     )
 
 
+def one_per_tenant(settings_raw: DataFrame) -> DataFrame:
+    """S3: one row per tenant, ``(tenant, raw, conflict)``. Equal documents of a tenant count once; if they differ,
+    none of them is followed: ``conflict`` is true and ``raw`` the smallest in byte order."""
+    raw = F.coalesce("raw", F.lit(""))
+    return settings_raw.groupBy("tenant").agg(F.min(raw).alias("raw"), (F.min(raw) != F.max(raw)).alias("conflict"))
+
+
+def tenant_settings(settings_raw: DataFrame) -> DataFrame:
+    """Normalised settings, one row per tenant; different documents of one tenant are a ``settings_error``."""
+    one = one_per_tenant(settings_raw)
+    usable = one.select("tenant", F.when(F.col("conflict"), F.lit("{}")).otherwise(F.col("raw")).alias("raw"), "conflict")
+    return normalize_settings(usable, keep=("conflict",)).withColumn(
+        "settings_error", F.when(F.col("conflict"), F.lit(K.MSG_SETTINGS_CONFLICT)).otherwise(F.col("settings_error"))).drop("conflict")
+
+
 def model_catalog(settings_raw: DataFrame) -> DataFrame:
     """Per tenant, both models with downloaded / selected / default flags."""
     spark = settings_raw.sparkSession
-    s = normalize_settings(settings_raw).select("tenant", "local_model")
+    s = tenant_settings(settings_raw).select("tenant", "local_model")
     # The catalog is a fixed list: expand it per tenant by a narrow explode, no join.
     fixed = F.array(*[F.struct(F.lit(mid).alias("model"), F.lit(name).alias("name"), F.lit(size).alias("size"),
                                F.lit(default).alias("is_default"))

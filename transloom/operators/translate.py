@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from transloom.operators import memory as tm
-from transloom.operators.admission import READY, resolve, status_message
+from transloom.operators.admission import READY, resolve, row_message
 from transloom.session import materialize, ship_package, stored
-from transloom.operators.segment import SEGMENT_KEYS, fan_out, paragraphs, reassemble, unique_segments
+from transloom.operators.segment import (ROW_KEY, SEGMENT_KEYS, fan_out, paragraphs, reassemble, repeated, unique_segments,
+                                         with_row_key)
 
 TRANSLATED_SCHEMA = "source string, target string, model string, segment string, translation string, error string"
 
@@ -61,7 +62,7 @@ def translate_segments(unique: DataFrame, kind: str = "pseudo", options: dict |
 def translate_parts(parts: DataFrame, memory: DataFrame | None = None, kind: str = "pseudo",
                     options: dict | None = None, memory_path: str | None = None, carry: tuple = (),
                     run: str | None = None) -> DataFrame:
-    """B3 + B4 + J6: translated parts ``(request_id, part_no, out, error)``.
+    """B3 + B4 + J6: translated parts ``(request_id, row key, part_no, out, error)``.
 
     One left join gives the unique segments their memory entry, one Python pass translates
     the others. With ``memory_path`` the fresh translations are stored in the memory table
@@ -78,30 +79,40 @@ def translate_parts(parts: DataFrame, memory: DataFrame | None = None, kind: str
     return fan_out(parts, translated, carry)
 
 
+def translated_rows(ready_local: DataFrame, memory: DataFrame | None = None, kind: str = "pseudo", options: dict | None = None,
+                    memory_path: str | None = None, carry: tuple = (), run: str | None = None) -> DataFrame:
+    """B1-B6, one row per row key: ``(request_id, model, carry, row key, copies, text, error)``."""
+    parts = paragraphs(ready_local, keep=("source", "target", "model", *carry))
+    return reassemble(translate_parts(parts, memory, kind, options, memory_path, carry, run), carry)
+
+
 def translate_requests(ready_local: DataFrame, memory: DataFrame | None = None, kind: str = "pseudo",
                        options: dict | None = None, memory_path: str | None = None) -> DataFrame:
-    """B1-B6 for requests routed to the local model: ``(request_id, text, error)``."""
-    parts = paragraphs(ready_local)
-    return reassemble(translate_parts(parts, memory, kind, options, memory_path))
+    """B1-B6 for requests routed to the local model: ``(request_id, model, text, error)``, a row for each request."""
+    return repeated(translated_rows(ready_local, memory, kind, options, memory_path))
 
 
 def round_trip(ready_local: DataFrame, settings_raw: DataFrame, kind: str = "pseudo",
                options: dict | None = None) -> DataFrame:
     """Translate, swap the pair, translate the result back; ``(request_id, original, forward, back, error)``.
-    The way back is a request like any other: it passes admission, routing and the capability checks."""
-    forward = translate_requests(ready_local, kind=kind, options=options)
-    fwd = ready_local.select("request_id", "tenant", "source", "target", F.col("text").alias("original")) \
-        .join(forward.select("request_id", F.col("text").alias("forward"), F.col("error").alias("fwd_error")),
-              "request_id")
+    The way back is a request like any other: it passes admission, routing and the capability checks. Both legs meet by
+    the row key of the first one, so requests that share an id stay apart."""
+    asked = with_row_key(ready_local)
+    forward = translated_rows(asked, kind=kind, options=options).select(
+        *ROW_KEY, "copies", F.col("text").alias("forward"), F.col("error").alias("fwd_error"))
+    fwd = asked.select(*ROW_KEY, "request_id", "tenant", "source", "target", F.col("text").alias("original")) \
+        .dropDuplicates(ROW_KEY).join(forward, ROW_KEY)
     fwd = stored(fwd, "forward")  # read by both legs below; the model is not asked twice
     swapped = fwd.where(F.col("fwd_error") == "").select(
-        "request_id", "tenant", F.col("forward").alias("text"), F.col("target").alias("source"), F.col("source").alias("target"))
-    resolved = resolve(swapped, settings_raw)
+        F.col("_h1").alias("of1"), F.col("_h2").alias("of2"), "request_id", "tenant", F.col("forward").alias("text"),
+        F.col("target").alias("source"), F.col("source").alias("target"))
+    resolved = resolve(with_row_key(swapped), settings_raw)
     goes = (F.col("status") == READY) & (F.col("provider") == "local")
-    back = translate_requests(resolved.where(goes), kind=kind, options=options).select(
-        "request_id", F.col("text").alias("back"), F.col("error").alias("back_error"))
-    refused = resolved.where(~goes).select("request_id", F.lit("").alias("back"), status_message(F.col("status")).alias("back_error"))
-    return fwd.join(back.unionByName(refused), "request_id", "left").select(
-        "request_id", "original", "forward", F.coalesce("back", F.lit("")).alias("back"),
+    back = translated_rows(resolved.where(goes), kind=kind, options=options, carry=("of1", "of2")).select(
+        "of1", "of2", F.col("text").alias("back"), F.col("error").alias("back_error"))
+    refused = resolved.where(~goes).select("of1", "of2", F.lit("").alias("back"), row_message().alias("back_error"))
+    legs = back.unionByName(refused).withColumnsRenamed({"of1": "_h1", "of2": "_h2"})
+    return repeated(fwd.join(legs, ROW_KEY, "left").select(
+        "request_id", "copies", "original", "forward", F.coalesce("back", F.lit("")).alias("back"),
         F.when(F.col("fwd_error") != "", F.col("fwd_error")).otherwise(F.coalesce("back_error", F.lit("")))
-        .alias("error"))
+        .alias("error")))

@@ -53,7 +53,7 @@ def _resolved(spark, d):
 def _ready_local(spark, d):
     r = _resolved(spark, d)
     return r.where((F.col("status") == adm.READY) & (F.col("provider") == "local")) \
-        .select("request_id", "tenant", "text", "source", "target", "model")
+        .select("request_id", "tenant", "text", "source", "target", "model")  # the row key of these six
 
 
 def _memory(spark, d):
@@ -125,7 +125,7 @@ def routing(spark, d):
 @query
 def capability(spark, d):
     return _resolved(spark, d).select("request_id", "provider", "model", "source", "target", "status",
-                                      adm.status_message(F.col("status")).alias("message"))
+                                      adm.row_message().alias("message"))
 
 
 @query

@@ -1,20 +1,20 @@
-"""The flagship plan: a table of requests in, one result row per request out.
+"""The flagship plan: a table of requests in, one result row per request out.
 
     requests -> admission (P1) -> settings (J3) -> defaults (P3) -> routing and
-    checks (P4/P5) -> parts (U2: what needs no translation rides along)
-      rejected  status and message, no work
-      direct    trimmed text (P2)
+    checks (P4/P5) -> one branch for each kind, all of one schema
+      rejected  status and message        narrow: no shuffle
+      direct    trimmed text (P2)         narrow: no shuffle
+      llm       landed replies correlated by id (J5), decoded (C7); the requests' text stays behind
       local     paragraphs -> unique segments -> memory -> model -> fan-out -> reassembly
-      llm       landed replies correlated by id (J5), decoded (C7)
 
-The requests are read twice: once for the unique segments (the partial aggregation comes
-before the shuffle, so a segment that fills a third of the corpus costs one row per
-task), once for the parts that are joined back (where AQE splits such a segment).
-Sharing one exchange for both would read once but put every copy of a hot segment into
-one partition. Replies are read once, settings and memory once each.
+A branch filters the same narrow admission stage and reads only the columns that it needs, so the
+text of a request is shuffled where it is translated and nowhere else. The local requests are read twice:
+once for the unique segments (the partial aggregation comes before the shuffle, so a segment
+that fills a third of the corpus costs one row per task), once for the parts that are joined
+back (where AQE splits such a segment). Sharing one exchange for both would read once but put
+every copy of a hot segment into one partition. Replies, settings and memory are read once each.
 
-Shuffles: the unique segments, the memory join, the parts to their translations, the
-reassembly by request, the replies. The admission part is one codegen stage.
+Requests are told apart by their row key (``operators.segment``), never by their id alone.
 """
 
 from __future__ import annotations
@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from transloom import constants as K
-from transloom.functions.text import go_trim, paragraph_parts
+from transloom.functions.text import go_trim
 from transloom.operators import admission as adm
 from transloom.operators import reply
-from transloom.operators.segment import reassemble
-from transloom.operators.translate import translate_parts
+from transloom.operators.segment import ROW_KEY, repeated, with_row_key
+from transloom.operators.translate import translated_rows
 
 RESULT_COLUMNS = ["request_id", "provider", "model", "status", "text", "error"]
 AUDIT_COLUMNS = ["raw_source", "raw_target", "n_chars"]
@@ -37,53 +37,38 @@ def translate_corpus(requests: DataFrame, settings_raw: DataFrame, memory: DataF
                      replies: DataFrame | None = None, kind: str = "pseudo", options: dict | None = None,
                      memory_path: str | None = None, max_chars: int | None = None, audit: bool = False,
                      run: str | None = None) -> DataFrame:
-    """Every request becomes parts: local requests their paragraphs, all others one part that
-    carries their ready result. The unique segments are read off the parts and joined back
-    to them once, one reassembly shuffle by request yields every result row, and the decoded
-    replies are joined to that. ``audit`` adds the columns that the run audit needs."""
-    resolved = adm.resolve(requests, settings_raw, max_chars)
+    """One result row for every request row. ``audit`` adds the columns that the run audit needs; a column ``error`` of the
+    requests marks lines that their source refused."""
+    resolved = adm.resolve(with_row_key(requests), settings_raw, max_chars)
+    columns = [*RESULT_COLUMNS, *AUDIT_COLUMNS] if audit else RESULT_COLUMNS
+    extra = AUDIT_COLUMNS if audit else []
     status, provider = F.col("status"), F.col("provider")
-    is_local = (status == adm.READY) & (provider == "local")
-    base = resolved.select(
-        "request_id", "source", "target", "text", *AUDIT_COLUMNS,
-        F.when(status == adm.DIRECT, F.lit(K.DIRECT_PROVIDER)).otherwise(provider).alias("provider"),
-        F.when(status == adm.DIRECT, F.lit(K.DIRECT_MODEL)).otherwise(F.col("model")).alias("model"),
-        status.alias("route_status"),
-        is_local.alias("_local"),
-        F.when(status == adm.DIRECT, go_trim("text")).otherwise(F.lit("")).alias("pre_text"),
-        adm.status_message(status).alias("pre_error"))
-    carry = ("provider", "route_status", "pre_error", *AUDIT_COLUMNS)
-    parts = base.select(
-        "request_id", "source", "target", "model", *carry, "pre_text",
-        F.posexplode_outer(F.when(F.col("_local"), paragraph_parts("text"))).alias("part_no", "part"))
-    # a request without parts has one row: no segment, its ready text as output
-    parts = parts.select(
-        "request_id", "source", "target", "model", *carry, F.coalesce("part_no", F.lit(0)).alias("part_no"), "part",
-        F.coalesce(F.col("part").startswith("\n"), F.lit(True)).alias("is_sep"), F.coalesce("part", "pre_text").alias("out"))
-    assembled = reassemble(translate_parts(parts, memory, kind, options, memory_path, carry, run), carry)
+    ready, direct = status == adm.READY, status == adm.DIRECT
 
-    rs = F.col("route_status")
-    llm = (rs == adm.READY) & (F.col("provider") == "llm")
-    done = assembled.select(
-        "request_id", "provider", "model", *AUDIT_COLUMNS, llm.alias("_llm"),
-        F.when(llm, F.lit("NO_REPLY" if replies is not None else "AWAITING_REPLY"))
-        .when(rs == adm.READY, F.when(F.col("error") == "", F.lit("OK")).otherwise(F.lit("FAILED")))
-        .otherwise(rs).alias("status"),
-        "text",
-        F.when(rs == adm.READY, F.col("error")).otherwise(F.col("pre_error")).alias("error"))
-    columns = [*RESULT_COLUMNS, *AUDIT_COLUMNS] if audit else RESULT_COLUMNS
+    settled = resolved.where(~ready).select(
+        "request_id", F.when(direct, F.lit(K.DIRECT_PROVIDER)).otherwise(provider).alias("provider"),
+        F.when(direct, F.lit(K.DIRECT_MODEL)).otherwise(F.col("model")).alias("model"), "status",
+        F.when(direct, go_trim("text")).otherwise(F.lit("")).alias("text"), adm.row_message().alias("error"), *extra)
+
+    local = resolved.where(ready & (provider == "local")).select(
+        "request_id", *ROW_KEY, "text", "source", "target", "model", *extra)
+    local = repeated(translated_rows(local, memory, kind, options, memory_path, tuple(extra), run)).select(
+        "request_id", F.lit("local").alias("provider"), "model",
+        F.when(F.col("error") == "", F.lit("OK")).otherwise(F.lit("FAILED")).alias("status"), "text", "error", *extra)
+
+    llm = resolved.where(ready & (provider == "llm")).select("request_id", "provider", "model", *extra)
     if replies is None:
-        return done.select(*columns)
-    # The result rows are hash-partitioned by request already: the join moves decoded replies only.
-    decoded = reply.decode_replies(replies).select(
-        "request_id", F.col("status").alias("r_status"), F.col("text").alias("r_text"), F.col("error").alias("r_error"))
-    got = F.col("_llm") & F.col("r_status").isNotNull()
-    out = done.join(decoded, "request_id", "left").withColumns({
-        "status": F.when(got, F.col("r_status")).otherwise(F.col("status")),
-        "text": F.when(got, F.col("r_text")).otherwise(F.col("text")),
-        "error": F.when(got, F.col("r_error")).when(F.col("status") == "NO_REPLY", F.lit(K.MSG_NO_TRANSLATION))
-                  .otherwise(F.col("error"))})
-    return out.select(*columns)
+        llm = llm.select("request_id", "provider", "model", F.lit("AWAITING_REPLY").alias("status"), F.lit("").alias("text"),
+                         F.lit("").alias("error"), *extra)
+    else:
+        decoded = reply.decode_replies(replies).select(
+            "request_id", F.col("status").alias("r_status"), F.col("text").alias("r_text"), F.col("error").alias("r_error"))
+        got = F.col("r_status").isNotNull()
+        llm = llm.join(decoded, "request_id", "left").select(
+            "request_id", "provider", "model", F.coalesce("r_status", F.lit("NO_REPLY")).alias("status"),
+            F.coalesce("r_text", F.lit("")).alias("text"),
+            F.when(got, F.col("r_error")).otherwise(F.lit(K.MSG_NO_TRANSLATION)).alias("error"), *extra)
+    return settled.unionByName(local).unionByName(llm).select(*columns)
 
 
 def audit_rows(results: DataFrame) -> DataFrame:

@@ -88,42 +88,54 @@ def _status_message(x: str) -> str:
     return f"(CASE {whens} ELSE '' END)"
 
 
+def _row_message() -> str:
+    return (f"(CASE status WHEN 'REFUSED' THEN refused WHEN 'SETTINGS_ERROR' THEN settings_error "
+            f"ELSE {_status_message('status')} END)")
+
+
 # ---------------------------------------------------------------------------
 # derived tables (twins of transloom.sources.fixtures)
 # ---------------------------------------------------------------------------
 REQUESTS = f"""
 requests AS (
-  SELECT kind || CAST(doc_id AS VARCHAR) AS request_id, source AS tenant,
+  SELECT CASE kind WHEN 'i' THEN '' WHEN 'j' THEN NULL WHEN 'k' THEN 'same' WHEN 'r' THEN 'd' || CAST(doc_id AS VARCHAR)
+              ELSE kind || CAST(doc_id AS VARCHAR) END AS request_id, source AS tenant,
     CASE kind WHEN 'p' THEN {lit(fx.PAD_HEAD)} || text || {lit(fx.PAD_TAIL)}
-              WHEN 'w' THEN {lit(fx.BLANK_TEXT)} WHEN 'e' THEN '' WHEN 'f' THEN {lit(K.PSEUDO_REFUSES)} || text
+              WHEN 'w' THEN {lit(fx.BLANK_TEXT)} WHEN 'e' THEN '' WHEN 'b' THEN '' WHEN 'f' THEN {lit(K.PSEUDO_REFUSES)} || text
               WHEN 'n' THEN NULL ELSE text END AS text,
     CASE WHEN kind IN ('s', 'x') THEN '' WHEN kind = 'u' THEN 'pt' WHEN kind = 'l' THEN NULL ELSE lang END AS source,
-    CASE WHEN kind IN ('t', 'x') THEN '' WHEN kind = 'd' THEN (CASE WHEN doc_id % 2 = 0 THEN 'zh' ELSE 'en' END)
-         ELSE 'zh' END AS target
+    CASE WHEN kind IN ('t', 'x') THEN '' WHEN kind IN ('d', 'r') THEN (CASE WHEN doc_id % 2 = 0 THEN 'zh' ELSE 'en' END)
+         ELSE 'zh' END AS target,
+    CASE WHEN kind = 'b' THEN {lit(K.MSG_BAD_REQUEST)} END AS error
   FROM (SELECT *, unnest(list_filter(['d',
           CASE WHEN doc_id % 10 = 3 THEN 'p' END, CASE WHEN doc_id % 20 = 7 THEN 'w' END,
           CASE WHEN doc_id % 20 = 11 THEN 'e' END, CASE WHEN doc_id % 20 = 13 THEN 's' END,
           CASE WHEN doc_id % 20 = 17 THEN 't' END, CASE WHEN doc_id % 20 = 19 THEN 'x' END,
           CASE WHEN doc_id % 20 = 1 THEN 'n' END, CASE WHEN doc_id % 20 = 2 THEN 'l' END,
-          CASE WHEN doc_id % 10 = 5 THEN 'u' END, CASE WHEN doc_id % 20 = 10 THEN 'f' END],
+          CASE WHEN doc_id % 10 = 5 THEN 'u' END, CASE WHEN doc_id % 20 = 10 THEN 'f' END,
+          CASE WHEN doc_id % 20 = 4 THEN 'i' END, CASE WHEN doc_id % 20 = 6 THEN 'j' END,
+          CASE WHEN doc_id % 20 = 8 THEN 'k' END, CASE WHEN doc_id % 20 = 12 THEN 'r' END,
+          CASE WHEN doc_id % 20 = 14 THEN 'b' END],
           lambda k: k IS NOT NULL)) AS kind FROM documents) d
 )"""
 
 _I = "coalesce(try_cast(regexp_extract(tenant, '[0-9]+', 0) AS INTEGER), 0)"
 SETTINGS = f"""
 settings AS (
-  SELECT tenant, CASE WHEN {_I} % 20 = 7 THEN {lit(fx.SETTINGS_BROKEN)} WHEN {_I} % 20 = 9 THEN {lit(fx.SETTINGS_TYPED)}
+  SELECT tenant, unnest(CASE WHEN {_I} % 20 = 3 THEN [raw, {lit(fx.SETTINGS_OTHER)}] WHEN {_I} % 20 = 5 THEN [raw, raw] ELSE [raw] END) AS raw
+  FROM (SELECT tenant, CASE WHEN {_I} % 20 = 7 THEN {lit(fx.SETTINGS_BROKEN)} WHEN {_I} % 20 = 9 THEN {lit(fx.SETTINGS_TYPED)}
       WHEN {_I} % 20 = 11 THEN {lit(fx.SETTINGS_CASE)} ELSE '{{' || concat_ws(',', {pick(_I, fx.SETTINGS_PROVIDER)}, {pick(_I, fx.SETTINGS_LOCAL_MODEL)},
       {pick(_I, fx.SETTINGS_BASE_URL)}, {pick(_I, fx.SETTINGS_LLM_MODEL)}, {pick(_I, fx.SETTINGS_CLIPBOARD)},
       {pick(_I, fx.SETTINGS_SOURCE)}, {pick(_I, fx.SETTINGS_TARGET)}) || '}}' END AS raw
-  FROM (SELECT DISTINCT source AS tenant FROM documents) t
+  FROM (SELECT DISTINCT source AS tenant FROM documents) t) f
 )"""
 
 _LM = f"coalesce(json_extract_string(raw, '$.localModel'), {lit(K.DEFAULT_LOCAL_MODEL)})"
 _READABLE = ("json_valid(raw) AND coalesce(json_type(CASE WHEN json_valid(raw) THEN raw END, '$.provider'), 'VARCHAR') "
              "IN ('VARCHAR', 'NULL')")
-NORMALIZED = f"""
-ns AS (
+def normalized(name: str, rows: str) -> str:
+    return f"""
+{name} AS (
   SELECT tenant,
     CASE WHEN coalesce(json_extract_string(raw, '$.provider'), json_extract_string(raw, '$.Provider')) = 'llm' THEN 'llm'
          ELSE 'local' END AS provider,
@@ -140,15 +152,24 @@ ns AS (
          ELSE json_extract_string(raw, '$.targetLanguage') END AS target_language,
     settings_error
   FROM (SELECT tenant, CASE WHEN {_READABLE} THEN raw ELSE '{{}}' END AS raw,
-               CASE WHEN {_READABLE} THEN '' ELSE {lit(K.MSG_SETTINGS_ERROR)} END AS settings_error FROM settings) s
+               CASE WHEN {_READABLE} THEN '' ELSE {lit(K.MSG_SETTINGS_ERROR)} END AS settings_error FROM {rows}) s
 )"""
 
+
+NORMALIZED = normalized("ns", "settings")
+# one row per tenant; different documents of a tenant are an error
+PER_TENANT = f"""
+one AS (SELECT tenant, min(raw) <> max(raw) AS conflict, CASE WHEN min(raw) <> max(raw) THEN '{{}}' ELSE min(raw) END AS raw
+        FROM settings GROUP BY tenant),{normalized("tn", "one")},
+ts AS (SELECT tn.* REPLACE (CASE WHEN one.conflict THEN {lit(K.MSG_SETTINGS_CONFLICT)} ELSE tn.settings_error END AS settings_error)
+       FROM tn JOIN one USING (tenant))"""
+
 ADMITTED = f"""
 adm AS (
-  SELECT request_id, tenant, text, source, target, length(t) AS n_chars, length(t) > {K.MAX_CHARS} AS over_limit,
-    CASE WHEN t = '' THEN 'EMPTY' WHEN source = target THEN 'DIRECT' ELSE 'ADMITTED' END AS status
+  SELECT request_id, tenant, text, source, target, length(t) AS n_chars, length(t) > {K.MAX_CHARS} AS over_limit, refused,
+    CASE WHEN refused <> '' THEN 'REFUSED' WHEN t = '' THEN 'EMPTY' WHEN source = target THEN 'DIRECT' ELSE 'ADMITTED' END AS status
   FROM (SELECT request_id, tenant, coalesce(text, '') AS text, coalesce(source, '') AS source, coalesce(target, '') AS target,
-               {trim("coalesce(text, '')")} AS t FROM requests) r
+               {trim("coalesce(text, '')")} AS t, coalesce(error, '') AS refused FROM requests) r
 )"""
 
 RESOLVED = f"""
@@ -158,7 +179,7 @@ ws AS (
     coalesce(s.llm_base_url, '') AS llm_base_url, coalesce(s.llm_model, '') AS llm_model,
     coalesce(s.source_language, 'en') AS source_language, coalesce(s.target_language, 'zh') AS target_language,
     coalesce(s.settings_error, '') AS settings_error, a.source AS raw_source, a.target AS raw_target
-  FROM adm a LEFT JOIN ns s USING (tenant)
+  FROM adm a LEFT JOIN ts s USING (tenant)
 ),
 filled AS (
   SELECT * REPLACE (
@@ -167,9 +188,9 @@ filled AS (
   FROM ws
 ),
 resolved AS (
-  SELECT request_id, tenant, text, source, target, n_chars, provider, llm_base_url, raw_source, raw_target,
+  SELECT request_id, tenant, text, source, target, n_chars, provider, llm_base_url, raw_source, raw_target, refused, settings_error,
     CASE WHEN provider = 'llm' THEN llm_model ELSE local_model END AS model,
-    CASE WHEN settings_error <> '' THEN 'SETTINGS_ERROR' WHEN status <> 'ADMITTED' THEN status
+    CASE WHEN status = 'REFUSED' THEN status WHEN settings_error <> '' THEN 'SETTINGS_ERROR' WHEN status <> 'ADMITTED' THEN status
          WHEN provider = 'llm' AND {trim("llm_base_url")} = '' THEN 'LLM_NO_URL'
          WHEN provider = 'llm' AND {trim("llm_model")} = '' THEN 'LLM_NO_MODEL'
          WHEN provider = 'llm' THEN 'READY'
@@ -181,7 +202,7 @@ resolved AS (
   FROM filled
 )"""
 
-BASE = f"WITH {REQUESTS},{SETTINGS},{NORMALIZED},{ADMITTED},{RESOLVED}"
+BASE = f"WITH {REQUESTS},{SETTINGS},{PER_TENANT},{ADMITTED},{RESOLVED}"
 
 MEMORY = f"""
 mem AS (
@@ -193,9 +214,10 @@ mem AS (
 )"""
 
 LOCAL_PARTS = f"""
-rl AS (SELECT request_id, tenant, text, source, target, model FROM resolved WHERE status = 'READY' AND provider = 'local'),
+rl AS MATERIALIZED (SELECT row_number() OVER () AS rid, request_id, tenant, text, source, target, model, raw_source, raw_target, n_chars
+  FROM resolved WHERE status = 'READY' AND provider = 'local'),
 lp AS (
-  SELECT request_id, source, target, model, unnest({parts("text")}) AS part,
+  SELECT rid, source, target, model, unnest({parts("text")}) AS part,
          generate_subscripts({parts("text")}, 1) - 1 AS part_no
   FROM rl
 ),
@@ -205,16 +227,17 @@ REASSEMBLED = f"""
 tr AS (SELECT u.source, u.target, u.model, u.segment, m.translation IS NULL AND {refused("u.segment")} AS failed,
               coalesce(m.translation, {pseudo("u.segment", "u.target")}) AS translation
        FROM uniq u LEFT JOIN mem m USING (source, target, model, segment)),
-reassembled AS (
-  SELECT lp.request_id, lp.model,
+joined AS (
+  SELECT lp.rid,
     CASE WHEN coalesce(bool_or(tr.failed), false) THEN '' ELSE
       {trim("string_agg(CASE WHEN starts_with(lp.part, chr(10)) THEN lp.part ELSE tr.translation END, '' ORDER BY lp.part_no)")}
       END AS text,
     CASE WHEN coalesce(bool_or(tr.failed), false) THEN {lit(K.MSG_PSEUDO_REFUSED)} ELSE '' END AS error
   FROM lp LEFT JOIN tr ON lp.source = tr.source AND lp.target = tr.target AND lp.model = tr.model
     AND lp.part = tr.segment
-  GROUP BY lp.request_id, lp.model
-)"""
+  GROUP BY lp.rid
+),
+reassembled AS (SELECT rl.*, joined.text AS done, joined.error FROM rl JOIN joined USING (rid))"""
 
 
 def _reply_delta(w: str, field: str = "delta", nl: str = "\n") -> str:
@@ -416,15 +439,17 @@ decoded AS (
 ALL_RESULTS = f"""
 {BASE},{MEMORY},{LOCAL_PARTS},{REASSEMBLED},{REPLIES},{DECODED},
 all_results AS (
-  SELECT request_id, provider, model, status, '' AS text, {_status_message("status")} AS error
+  SELECT request_id, provider, model, status, '' AS text, {_row_message()} AS error, raw_source, raw_target, n_chars
     FROM resolved WHERE status NOT IN ('DIRECT', 'READY')
   UNION ALL
-  SELECT request_id, 'direct', {lit(K.DIRECT_MODEL)}, status, {trim("text")}, '' FROM resolved WHERE status = 'DIRECT'
+  SELECT request_id, 'direct', {lit(K.DIRECT_MODEL)}, status, {trim("text")}, '', raw_source, raw_target, n_chars
+    FROM resolved WHERE status = 'DIRECT'
   UNION ALL
-  SELECT request_id, 'local', model, CASE WHEN error = '' THEN 'OK' ELSE 'FAILED' END, text, error FROM reassembled
+  SELECT request_id, 'local', model, CASE WHEN error = '' THEN 'OK' ELSE 'FAILED' END, done, error, raw_source, raw_target, n_chars FROM reassembled
   UNION ALL
   SELECT r.request_id, 'llm', r.model, coalesce(d.status, 'NO_REPLY'), coalesce(d.text, ''),
-         CASE WHEN d.status IS NULL THEN {lit(K.MSG_NO_TRANSLATION)} ELSE d.error END
+         CASE WHEN d.status IS NULL THEN {lit(K.MSG_NO_TRANSLATION)} ELSE d.error END,
+         raw_source, raw_target, n_chars
     FROM resolved r LEFT JOIN decoded d USING (request_id) WHERE r.status = 'READY' AND r.provider = 'llm'
 )"""
 
@@ -508,8 +533,7 @@ def _audit_rows() -> str:
     return f"""
 {ALL_RESULTS},
 audit_rows AS (
-  SELECT a.request_id, a.provider, a.model, r.raw_source AS source, r.raw_target AS target, r.n_chars, a.status, a.error
-  FROM all_results a JOIN resolved r USING (request_id)
+  SELECT request_id, provider, model, raw_source AS source, raw_target AS target, n_chars, status, error FROM all_results
 )"""
 
 
@@ -550,16 +574,16 @@ SELECT log_id, generate_subscripts(recs, 1) - 1 AS n, unnest(recs) AS record FRO
     q["fill_languages"] = f"{BASE} SELECT request_id, tenant, status, source, target FROM filled"
     q["routing"] = f"{BASE} SELECT request_id, provider, model FROM resolved"
     q["capability"] = (f"{BASE} SELECT request_id, provider, model, source, target, status, "
-                       f"{_status_message('status')} AS message FROM resolved")
+                       f"{_row_message()} AS message FROM resolved")
     q["language_lookup"] = f"""{BASE}, langs AS (SELECT * FROM (VALUES {LANG_VALUES}) l(code, name_zh, nllb_code))
 SELECT r.request_id, r.source, r.target, coalesce(s.name_zh, r.source) AS source_name,
   coalesce(t.name_zh, r.target) AS target_name, s.nllb_code AS source_nllb, t.nllb_code AS target_nllb
 FROM resolved r LEFT JOIN langs s ON r.source = s.code LEFT JOIN langs t ON r.target = t.code"""
     models = ", ".join(f"({lit(m)}, {lit(n)}, {lit(sz)}, {str(d).lower()})" for m, n, _, sz, d in K.MODELS)
-    q["model_catalog"] = f"""WITH {SETTINGS},{NORMALIZED}
+    q["model_catalog"] = f"""WITH {SETTINGS},{PER_TENANT}
 SELECT ns.tenant, m.model, m.name, m.size, {safe("m.model")} || '.ready' IN ({READY_MARKERS}) AS downloaded,
   ns.local_model = m.model AS selected, m.is_default
-FROM ns CROSS JOIN (VALUES {models}) m(model, name, size, is_default)"""
+FROM ts AS ns CROSS JOIN (VALUES {models}) m(model, name, size, is_default)"""
     q["result_meta"] = f"""{ALL_RESULTS},
 dw AS (SELECT 'd' || CAST(doc_id AS VARCHAR) AS request_id, generate_subscripts(w, 1) - 1 AS seq, unnest(w) AS word
        FROM (SELECT doc_id, regexp_extract_all(text, '{fx.REPLY_WORD}', 0) AS w FROM documents) x),
@@ -613,7 +637,7 @@ SELECT request_id, part_no, chunk_no, n AS n_in, len(out) AS n_out, array_to_str
 SELECT source, target, model, segment, CASE WHEN {refused("segment")} THEN '' ELSE {pseudo("segment", "target")} END AS translation,
   CASE WHEN {refused("segment")} THEN {lit(K.MSG_PSEUDO_REFUSED)} ELSE '' END AS error
 FROM (SELECT u.* FROM uniq u ANTI JOIN mem m USING (source, target, model, segment)) x"""
-    q["reassembled"] = f"{BASE},{MEMORY},{LOCAL_PARTS},{REASSEMBLED} SELECT * FROM reassembled"
+    q["reassembled"] = f"{BASE},{MEMORY},{LOCAL_PARTS},{REASSEMBLED} SELECT request_id, model, done AS text, error FROM reassembled"
     q["error_message"] = f"""WITH {REPLIES.lstrip()},{landed(_ERROR)},
 e AS (SELECT *, {_http_message("body")} AS hm FROM landed),
 c AS (SELECT *, {_byte_cut("hm")} AS cut FROM e)
@@ -625,19 +649,19 @@ FROM c"""
                      + " END, '' ORDER BY part_no)")
     q["round_trip"] = f"""{BASE},mem AS (SELECT '' AS source, '' AS target, '' AS model, '' AS segment, '' AS translation WHERE false),
 {LOCAL_PARTS},{REASSEMBLED},
-fw AS (SELECT r.request_id, r.tenant, r.text AS original, r.target AS source, r.source AS target, r.model, a.text AS forward,
-              a.error AS fwd_error FROM rl r JOIN reassembled a USING (request_id)),
+fw AS (SELECT rid, request_id, tenant, text AS original, target AS source, source AS target, model, done AS forward,
+              error AS fwd_error FROM reassembled),
 judged AS (SELECT fw.*, CASE WHEN fwd_error <> '' THEN fwd_error
     WHEN forward = '' THEN {lit(K.MSG_EMPTY)} WHEN source = target THEN ''
     WHEN model = {lit(K.DEFAULT_LOCAL_MODEL)} AND (source <> 'en' OR target <> 'zh') THEN {lit(K.MSG_PAIR_UNSUPPORTED)}
     WHEN lower(model) LIKE '%nllb%' AND NOT (source IN ({LANG_CODES}) AND target IN ({LANG_CODES})) THEN {lit(K.MSG_LANG_UNMAPPED)}
     ELSE '' END AS error FROM fw),
-bp AS (SELECT request_id, target, unnest({parts("forward")}) AS part, generate_subscripts({parts("forward")}, 1) AS part_no
+bp AS (SELECT rid, target, unnest({parts("forward")}) AS part, generate_subscripts({parts("forward")}, 1) AS part_no
        FROM judged WHERE error = ''),
-bk AS (SELECT request_id, {back_text} AS back FROM bp GROUP BY request_id)
+bk AS (SELECT rid, {back_text} AS back FROM bp GROUP BY rid)
 SELECT j.request_id, j.original, j.forward, coalesce(bk.back, '') AS back, j.error
-FROM judged j LEFT JOIN bk USING (request_id)"""
-    q["all_results"] = f"{ALL_RESULTS} SELECT * FROM all_results"
+FROM judged j LEFT JOIN bk USING (rid)"""
+    q["all_results"] = f"{ALL_RESULTS} SELECT request_id, provider, model, status, text, error FROM all_results"
     q["llm_payload"] = f"""{BASE}, langs AS (SELECT * FROM (VALUES {LANG_VALUES}) l(code, name_zh, nllb_code))
 SELECT r.request_id, {endpoint("r.llm_base_url")} AS endpoint, r.model,
   {lit(K.SYSTEM_PROMPT)} AS system_prompt,
@@ -747,7 +771,7 @@ SELECT lang, count(*) AS n_docs, CAST(sum(CASE WHEN n > {K.MAX_CHARS} THEN 1 ELS
   max(n) AS max_chars, CAST(sum(n) AS BIGINT) AS total_chars, quantile_disc(n, 0.5) AS median_chars
 FROM (SELECT lang, length({trim("text")}) AS n FROM documents) d GROUP BY lang"""
     q["audit_log_parse"] = f"""{_audit_rows()},
-t AS (SELECT * FROM audit_rows WHERE status NOT IN ('EMPTY', 'DIRECT', 'SETTINGS_ERROR'))
+t AS (SELECT * FROM audit_rows WHERE status NOT IN ('REFUSED', 'EMPTY', 'DIRECT', 'SETTINGS_ERROR'))
 SELECT request_id, CAST(0 AS BIGINT) AS n, 'translation started' AS event, provider, source, target, CAST(n_chars AS BIGINT) AS characters,
   '' AS model, '' AS error FROM t
 UNION ALL

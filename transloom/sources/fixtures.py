@@ -29,7 +29,8 @@ def tenant_index(tenant) -> Column:
 
 
 # ---------------------------------------------------------------------------
-# requests: every document, plus padded / blank / NULL / empty-language / unmapped / refused variants
+# requests: every document, plus padded / blank / NULL / empty-language / unmapped / refused variants,
+# requests without an id, of one id, asked twice, and lines that their source refused
 # ---------------------------------------------------------------------------
 PAD_HEAD = "\u3000 "
 PAD_TAIL = " \u00a0\n"
@@ -50,30 +51,37 @@ def requests(documents: DataFrame) -> DataFrame:
         F.when(d % 20 == 2, F.lit("l")),
         F.when(d % 10 == 5, F.lit("u")),
         F.when(d % 20 == 10, F.lit("f")),
+        F.when(d % 20 == 4, F.lit("i")),
+        F.when(d % 20 == 6, F.lit("j")),
+        F.when(d % 20 == 8, F.lit("k")),
+        F.when(d % 20 == 12, F.lit("r")),
+        F.when(d % 20 == 14, F.lit("b")),
     ))
     base = requests_from_documents(documents, keep=("doc_id",))
     v = base.select("*", F.explode(kinds).alias("kind"))
     kind = F.col("kind")
     text = (F.when(kind == "p", F.concat(F.lit(PAD_HEAD), "text", F.lit(PAD_TAIL)))
             .when(kind == "w", F.lit(BLANK_TEXT))
-            .when(kind == "e", F.lit(""))
+            .when(kind.isin("e", "b"), F.lit(""))
             .when(kind == "f", F.concat(F.lit(K.PSEUDO_REFUSES), "text"))
             .when(kind != "n", F.col("text")))
     source = (F.when(kind.isin("s", "x"), F.lit("")).when(kind == "u", F.lit("pt"))
               .when(kind != "l", F.col("source")))
     target = (F.when(kind.isin("t", "x"), F.lit(""))
-              .when(kind == "d", F.col("target")).otherwise(F.lit("zh")))
+              .when(kind.isin("d", "r"), F.col("target")).otherwise(F.lit("zh")))
     return v.select(
-        F.concat(kind, _s(d)).alias("request_id"),
+        F.when(kind == "i", F.lit("")).when(kind == "k", F.lit("same")).when(kind == "r", F.concat(F.lit("d"), _s(d)))
+        .when(kind != "j", F.concat(kind, _s(d))).alias("request_id"),
         F.col("tenant"),
         text.alias("text"),
         source.alias("source"),
         target.alias("target"),
+        F.when(kind == "b", F.lit(K.MSG_BAD_REQUEST)).alias("error"),
     )
 
 
 # ---------------------------------------------------------------------------
-# settings: one raw JSON document per tenant
+# settings: one raw JSON document per tenant, a second and different one for some, the same one twice for others
 # ---------------------------------------------------------------------------
 def _pick(i: Column, m: int, options: list) -> Column:
     out = None
@@ -104,8 +112,11 @@ SETTINGS_TYPED = '{"provider":5}'
 SETTINGS_CASE = '{"Provider":"llm","LLMModel":"qwen2.5:7b","llmBaseUrl":"https://x.example.com"}'
 
 
+SETTINGS_OTHER = '{"provider":"local","targetLanguage":"fr"}'
+
+
 def settings(documents: DataFrame) -> DataFrame:
-    """One settings JSON per tenant (the ``source`` column of documents)."""
+    """Settings JSON documents of each tenant (the ``source`` column of documents)."""
     tenants = documents.select(F.col("source").alias("tenant")).distinct()
     i = tenant_index("tenant")
     parts = [_pick(i, len(opts), opts) for opts in (
@@ -114,7 +125,8 @@ def settings(documents: DataFrame) -> DataFrame:
     raw = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
     raw = F.when(i % 20 == 7, F.lit(SETTINGS_BROKEN)).when(i % 20 == 9, F.lit(SETTINGS_TYPED)) \
         .when(i % 20 == 11, F.lit(SETTINGS_CASE)).otherwise(raw)
-    return tenants.select("tenant", raw.alias("raw"))
+    files = F.when(i % 20 == 3, F.array(raw, F.lit(SETTINGS_OTHER))).when(i % 20 == 5, F.array(raw, raw)).otherwise(F.array(raw))
+    return tenants.select("tenant", F.explode(files).alias("raw"))
 
 
 # ---------------------------------------------------------------------------
