@@ -1,24 +1,28 @@
 """Input feeds in batch form (W2, W3, W6, T3, T6); streaming twins live in ``transloom.streaming``.
 
-Consecutive comparisons are cut into blocks (parallel on a hot key). The two
-folds whose state depends on the previous *emission* (W6, T6) stream each
-independent unit in order with a constant state: one reply for W6, one
-run of taps for T6 (a gap above the pair window always resets the state).
+Consecutive comparisons are cut into blocks (parallel on a hot key). The two folds
+whose state depends on the previous *emission* (W6, T6) are cut into blocks as well; see
+``operators.spacing``.
 """
 
 from __future__ import annotations
 
-from typing import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from transloom import constants as K
 from transloom.functions.text import go_trim
-from transloom.operators.ordering import DEFAULT_BLOCK, keyed_lag, runs
+from transloom.operators.ordering import DEFAULT_BLOCK, keyed_lag
+from transloom.operators.spacing import FANOUT, _walks, long_keys, spaced, split_keys, with_entries
 from transloom.session import ship_package
 
+DELTA_BLOCK_MS = 1 << 16
+
 
 # ---------------------------------------------------------------------------
 # Stable-input dedup
@@ -88,85 +92,67 @@ def latest_wins(polls: DataFrame, batch_polls: int = 100, block: int = DEFAULT_B
 _BATCHES = "request_id string, batch_no bigint, first_seq bigint, n_deltas bigint, text string"
 
 
-def _emissions(batches: Iterator[pd.DataFrame], interval_ms: int) -> Iterator[pd.DataFrame]:
-    """Rows sorted by request and sequence. Only the pending deltas of one reply are held."""
-    request, number, last, first, pending = None, 0, None, None, []
-
-    def flush() -> tuple:
-        return request, number, first, len(pending), "".join(pending)
-
-    for pdf in batches:
-        out = []
-        for rid, seq, t, delta in zip(pdf["request_id"], pdf["seq"].tolist(), pdf["t_ms"].tolist(), pdf["delta"]):
-            if rid != request:
-                if pending:
-                    out.append(flush())
-                request, number, last, pending = rid, 0, None, []
-            if not pending:
-                first = seq
-            pending.append(delta)
-            if last is None or t - last >= interval_ms:
-                out.append(flush())
-                number, last, pending = number + 1, t, []
-        yield pd.DataFrame(out, columns=["request_id", "batch_no", "first_seq", "n_deltas", "text"])
-    if pending:
-        yield pd.DataFrame([flush()], columns=["request_id", "batch_no", "first_seq", "n_deltas", "text"])
-
-
-def delta_batches(deltas: DataFrame, interval_ms: int = K.DELTA_INTERVAL_MS) -> DataFrame:
-    """The first delta goes out at once; later ones when ``interval_ms`` have passed since
-    the last emission; what is pending at the end is flushed. One row per emission.
-
-    When a batch ends depends on when the one before ended, so the deltas of a reply are
-    streamed in order: one shuffle, a sort, and a pass that holds one pending batch.
+def _pieces(batches: Iterable[pa.RecordBatch], interval_ms: int) -> Iterator[pa.RecordBatch]:
+    """What each block holds of each batch. Deltas lie end to end in Arrow's buffer, so the text of a piece is the same
+    bytes under wider offsets."""
+    for whole, start, out, slot in _walks(batches, ["request_id"], "t_ms", interval_ms):
+        first = np.union1d(start, np.flatnonzero(out) + 1)
+        first = first[first < whole.num_rows]
+        at = pa.array(first)
+        delta = pc.fill_null(whole.column("delta").combine_chunks(), "").cast(pa.large_string())
+        offsets = np.frombuffer(delta.buffers()[1], np.int64)[delta.offset:delta.offset + len(delta) + 1]
+        ends = np.r_[first, whole.num_rows]
+        text = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets[ends].tobytes()), delta.buffers()[2])
+        yield pa.RecordBatch.from_arrays(
+            [whole.column("request_id").combine_chunks().take(at), pa.array(slot[first], pa.int64()),
+             whole.column("seq").combine_chunks().take(at), pa.array(np.diff(ends), pa.int64()), text.cast(pa.string())],
+            names=["request_id", "batch_no", "first_seq", "n_deltas", "text"])
+
+
+def delta_batches(deltas: DataFrame, interval_ms: int = K.DELTA_INTERVAL_MS, block: int = DELTA_BLOCK_MS,
+                  fanout: int = FANOUT) -> DataFrame:
+    """The first delta goes out at once; later ones when ``interval_ms`` have passed since the last emission; what is
+    pending at the end is flushed. One row per emission. Deltas arrive in order of time, those of one time in order of
+    ``seq``.
+
+    Which deltas end a batch is found by ``operators.spacing``: a reply of any length takes as many tasks as it has
+    blocks of time. A batch that lies across blocks is put together from its pieces; replies of one block need no
+    second shuffle.
     """
     ship_package(deltas.sparkSession)
-    ordered = deltas.select("request_id", "seq", "t_ms", "delta").repartition("request_id") \
-        .sortWithinPartitions("request_id", "seq")
-    return ordered.mapInPandas(lambda it: _emissions(it, interval_ms), _BATCHES)
+    rows = deltas.select("request_id", "seq", "t_ms", "delta")
+    keys = ["request_id"]
+    long = long_keys(rows, keys, "t_ms", block)
+    short_rows, long_rows = split_keys(rows, long, keys)
+    batches = with_entries(short_rows, keys, "t_ms", "seq", interval_ms, block, False).mapInArrow(
+        lambda it: _pieces(it, interval_ms), _BATCHES)
+    if long.isEmpty():
+        return batches
+    pieces = with_entries(long_rows, keys, "t_ms", "seq", interval_ms, block, True, fanout) \
+        .mapInArrow(lambda it: _pieces(it, interval_ms), _BATCHES)
+    in_order = F.array_sort(F.collect_list(F.struct("first_seq", "n_deltas", "text")))
+    whole = pieces.groupBy("request_id", "batch_no").agg(in_order.alias("p")).select(
+        "request_id", "batch_no", F.col("p")[0]["first_seq"].alias("first_seq"),
+        F.aggregate("p", F.lit(0).cast("bigint"), lambda a, x: a + x["n_deltas"]).alias("n_deltas"),
+        F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"))
+    return batches.unionByName(whole)
 
 
 # ---------------------------------------------------------------------------
 # Paired events (double tap) with a refractory period
 # ---------------------------------------------------------------------------
-def _tap_events(taps: DataFrame) -> DataFrame:
+def tap_items(taps: DataFrame, max_hold: int) -> DataFrame:
+    """``(user_id, ord, t, press, short)``: a release of the modifier (``press`` is when it went down, ``short`` whether it was
+    held no longer than ``max_hold``) or the press of another key (``press`` NULL)."""
     mod = F.col("key") == "ctrl"
-    ev = F.array(
-        F.struct(F.col("press_ms").alias("t"), F.when(mod, F.lit(0)).otherwise(F.lit(2)).alias("kind"),
-                 F.col("press_ms").alias("press")),
-        F.when(mod, F.struct(F.col("release_ms").alias("t"), F.lit(1).alias("kind"),
-                             F.col("press_ms").alias("press"))))
-    return taps.select("user_id", F.inline(F.array_compact(ev)))
-
-
-def _fires(batches: Iterator[pd.DataFrame], limits: tuple[int, int, int, int]) -> Iterator[pd.DataFrame]:
-    """Events sorted by user, run and order; each run starts from nothing. Emits the fires."""
-    min_gap, max_gap, max_hold, refractory = limits
-    run = down = tap = fired = None
-    chord = False
-    for pdf in batches:
-        out = []
-        for user, r, t, kind in zip(pdf["user_id"].tolist(), pdf["run"].tolist(), pdf["t"].tolist(), pdf["kind"].tolist()):
-            if (user, r) != run:
-                run, down, chord, tap, fired = (user, r), None, False, None, None
-            if kind == 0:  # modifier goes down
-                if down is None:
-                    down, chord = t, False
-            elif kind == 2:  # another key
-                tap, chord = None, chord or down is not None
-            elif down is not None:  # modifier goes up
-                clean, pair = not chord and t - down <= max_hold, tap is not None and min_gap <= t - tap <= max_gap
-                if clean and pair and (fired is None or t - fired >= refractory):
-                    out.append((user, t))
-                    fired = t
-                tap = t if clean and not pair else None
-                down, chord = None, False
-        yield pd.DataFrame(out, columns=["user_id", "fire_ms"])
+    t = F.when(mod, F.col("release_ms")).otherwise(F.col("press_ms"))
+    return taps.select("user_id", (t * 4 + F.when(mod, F.lit(1)).otherwise(F.lit(2))).alias("ord"), t.alias("t"),
+                       F.when(mod, F.col("press_ms")).alias("press"), (mod & (t - F.col("press_ms") <= max_hold)).alias("short"))
 
 
 def paired_events(taps: DataFrame, min_gap: int = K.TAP_MIN_GAP_MS, max_gap: int = K.TAP_MAX_GAP_MS,
                   max_hold: int = K.TAP_MAX_HOLD_MS, refractory: int = K.TAP_REFRACTORY_MS,
-                  block: int = DEFAULT_BLOCK) -> DataFrame:
+                  block: int = DEFAULT_BLOCK, fanout: int = FANOUT) -> DataFrame:
     """Fire on two clean modifier taps whose releases are ``min_gap..max_gap`` ms apart.
     A clean tap is held at most ``max_hold`` ms with no other key pressed meanwhile; another
     key clears a pending tap; fires are at least ``refractory`` ms apart.
@@ -174,14 +160,41 @@ def paired_events(taps: DataFrame, min_gap: int = K.TAP_MIN_GAP_MS, max_gap: int
     Input contract: taps of one key of one user do not overlap (a key cannot go down again
     while it is held).
 
-    Any gap above ``max_gap`` between consecutive key events resets every piece of state
-    (a pending tap expires, the refractory period is shorter, a held key becomes too long a
-    hold), so runs split there go to different tasks. A run is streamed in order with a
-    state of four values, whatever its length.
+    The state machine is three questions, none of which walks a run of taps:
+
+    * Is a tap clean? The last press of another key before its release must lie before its own press.
+    * Does it close a pair? A pending tap is the item just before, if that was clean and closed no pair itself. So
+      among taps that follow each other closely enough, every second one closes a pair: the parity of the distance to
+      the last tap that couldn't.
+    * Does the pair fire? Pairs keep the refractory period like emissions (``operators.spacing``).
+
+    Each block of a user hands on its last press, its last item and the length of its closing stretch, one row a
+    block, so a run of any length takes as many tasks as it has blocks.
     """
-    ship_package(taps.sparkSession)
-    ev = _tap_events(taps).withColumn("_ord", F.col("t") * 4 + F.col("kind"))
-    split = runs(ev, ["user_id"], "_ord", "t", max_gap, block * 4)
-    ordered = split.select("user_id", "run", "_ord", "t", "kind").repartition("user_id", "run") \
-        .sortWithinPartitions("user_id", "run", "_ord")
-    return ordered.mapInPandas(lambda it: _fires(it, (min_gap, max_gap, max_hold, refractory)), "user_id bigint, fire_ms bigint")
+    items = tap_items(taps, max_hold).withColumn("_blk", F.floor(F.col("t") / F.lit(block)).cast("bigint"))
+    keys = ["user_id", "_blk"]
+    rows, over = Window.partitionBy(*keys).orderBy("ord"), Window.partitionBy("user_id").orderBy("_blk")
+    earlier = over.rowsBetween(Window.unboundedPreceding, -1)
+    other = F.when(F.col("press").isNull(), F.col("t"))
+    presses = items.groupBy(*keys).agg(F.max(other).alias("_o")).select(*keys, F.max("_o").over(earlier).alias("_o"))
+    last_other = F.coalesce(F.max(other).over(rows.rowsBetween(Window.unboundedPreceding, -1)), F.col("_o"))
+    clean = items.join(presses, keys, "left").select(
+        "user_id", "_blk", "ord", "t", (F.col("short") & F.coalesce(last_other < F.col("press"), F.lit(True))).alias("clean"))
+
+    item = F.struct("t", "clean")
+    ends = clean.groupBy(*keys).agg(F.max_by(item, F.col("ord")).alias("_end")).select(*keys, F.lag("_end").over(over).alias("_end"))
+    before = F.coalesce(F.lag(item).over(rows), F.col("_end"))
+    close = F.col("clean") & before["clean"] & (F.col("t") - before["t"]).between(min_gap, max_gap)
+    close = clean.join(ends, keys, "left").select("user_id", "_blk", "ord", "t", F.coalesce(close, F.lit(False)).alias("close"),
+                                                  F.row_number().over(rows).alias("_n"))
+
+    apart = F.when(~F.col("close"), F.col("_n"))  # an item that closes no pair, whatever came before
+    stretch = close.groupBy(*keys).agg(F.max("_n").alias("_rows"), F.max(apart).alias("_apart"))
+    stretch = stretch.withColumn("_to", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    stretch = stretch.select(*keys, "_to", F.max(F.col("_to") + F.col("_apart")).over(earlier).alias("_since"))
+    at = F.col("_to") + F.col("_n")
+    since = F.coalesce(F.col("_to") + F.max(apart).over(rows.rowsBetween(Window.unboundedPreceding, 0)), F.col("_since"))
+    pairs = close.join(stretch, keys, "left").select("user_id", "t", "ord", "close", ((at - since) % 2 == 1).alias("odd")) \
+        .where(F.col("close") & F.col("odd")).select("user_id", "t", "ord")
+    fires = spaced(pairs, ["user_id"], "t", "ord", refractory, block, extent=items.select("user_id", "t"), fanout=fanout)
+    return fires.select("user_id", F.col("t").alias("fire_ms"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from transloom.functions import text as T
 from transloom.functions import tokens as TK
 from transloom.operators import admission as adm
-from transloom.operators import audit, feed, progress, reply, segment
+from transloom.operators import audit, feed, progress, reply, segment, turns
 from transloom.operators import memory as tm
 from transloom.operators.settings import model_catalog, normalize_settings
 from transloom.operators.translate import round_trip, translate_requests, translate_segments
@@ -336,6 +336,11 @@ def latest_wins(spark, d):
     return feed.latest_wins(fx.feed(table(spark, d, "events")))
 
 
+@query
+def turn_starts(spark, d):
+    return turns.turns(fx.turn_rows(table(spark, d, "events")))
+
+
 @query
 def delta_batches(spark, d):
     return feed.delta_batches(fx.deltas(_docs(spark, d)))

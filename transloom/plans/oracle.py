@@ -724,6 +724,45 @@ UNION ALL SELECT user_id, n, trigger, 'blank' FROM t WHERE tx = ''"""
 SELECT device, CAST(floor(poll / 100) AS BIGINT) AS batch_no, max(poll) AS poll, {trim("arg_max(text, poll)")} AS text,
   count(*) - 1 AS n_superseded
 FROM fired GROUP BY device, CAST(floor(poll / 100) AS BIGINT)"""
+    same = lambda s, t, x: f"coalesce(ls = {s} AND lt = {t} AND lx = {x}, false)"
+    q["turn_starts"] = f"""
+WITH RECURSIVE r AS (
+  SELECT user_id, event_id AS n, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn,
+    CASE WHEN event_id % 3 = 0 THEN 'done' WHEN event_type IN ('signup', 'view') THEN 'feed' ELSE 'typed' END AS kind,
+    'en' AS s, CASE WHEN event_id % 13 = 0 THEN 'ja' ELSE 'zh' END AS t,
+    CASE WHEN event_id % 11 = 5 THEN '' ELSE 'note ' || CAST(CAST(floor(value) AS BIGINT) % 3 AS VARCHAR) END AS x
+  FROM events WHERE user_id IS NOT NULL),
+st AS (
+  SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS rn, false AS busy, NULL::VARCHAR AS ls, NULL::VARCHAR AS lt, NULL::VARCHAR AS lx,
+    NULL::BIGINT AS qn, NULL::VARCHAR AS qx, NULL::BIGINT AS pn, NULL::VARCHAR AS ps, NULL::VARCHAR AS pt, NULL::VARCHAR AS px,
+    '' AS box, '' AS cs, '' AS ct, NULL::BIGINT AS asked, NULL::BIGINT AS started, NULL::VARCHAR AS origin FROM r
+  UNION ALL
+  SELECT user_id, rn,
+    CASE WHEN act = 'idle' THEN false WHEN act IN ('feed now', 'typed now', 'feed next', 'typed next') THEN true ELSE busy END,
+    CASE act WHEN 'feed now' THEN s WHEN 'typed now' THEN s WHEN 'feed next' THEN cs WHEN 'typed next' THEN ps ELSE ls END,
+    CASE act WHEN 'feed now' THEN t WHEN 'typed now' THEN t WHEN 'feed next' THEN ct WHEN 'typed next' THEN pt ELSE lt END,
+    CASE act WHEN 'feed now' THEN x WHEN 'typed now' THEN x WHEN 'feed next' THEN qx WHEN 'typed next' THEN px ELSE lx END,
+    CASE WHEN act = 'queue' THEN n WHEN act IN ('feed now', 'feed next') THEN NULL ELSE qn END,
+    CASE WHEN act = 'queue' THEN x WHEN act IN ('feed now', 'feed next') THEN NULL ELSE qx END,
+    CASE WHEN act = 'pend' THEN n WHEN act IN ('typed now', 'typed next', 'idle') THEN NULL ELSE pn END,
+    CASE WHEN act = 'pend' THEN s WHEN act IN ('typed now', 'typed next', 'idle') THEN NULL ELSE ps END,
+    CASE WHEN act = 'pend' THEN t WHEN act IN ('typed now', 'typed next', 'idle') THEN NULL ELSE pt END,
+    CASE WHEN act = 'pend' THEN x WHEN act IN ('typed now', 'typed next', 'idle') THEN NULL ELSE px END,
+    CASE WHEN kind = 'typed' OR act = 'feed now' THEN x WHEN act = 'feed next' THEN qx ELSE box END,
+    CASE WHEN kind = 'typed' OR (kind = 'feed' AND x <> '') THEN s ELSE cs END,
+    CASE WHEN kind = 'typed' OR (kind = 'feed' AND x <> '') THEN t ELSE ct END,
+    CASE act WHEN 'feed now' THEN n WHEN 'typed now' THEN n WHEN 'feed next' THEN qn WHEN 'typed next' THEN pn END,
+    CASE WHEN act IN ('feed now', 'typed now', 'feed next', 'typed next') THEN n END,
+    CASE WHEN act IN ('feed now', 'feed next') THEN 'feed' WHEN act IN ('typed now', 'typed next') THEN 'typed' END
+  FROM (SELECT st.*  EXCLUDE (rn, asked, started, origin), r.rn, r.n, r.kind, r.s, r.t, r.x, CASE
+      WHEN kind = 'feed' AND x <> '' THEN (CASE WHEN busy THEN 'queue' ELSE 'feed now' END)
+      WHEN kind = 'typed' AND x <> '' AND NOT {same("s", "t", "x")} THEN (CASE WHEN busy THEN 'pend' ELSE 'typed now' END)
+      WHEN kind = 'done' AND busy THEN (CASE WHEN qx IS NOT NULL THEN 'feed next'
+        WHEN coalesce(px = box AND ps = cs AND pt = ct, false) AND NOT {same("ps", "pt", "px")} THEN 'typed next' ELSE 'idle' END)
+      ELSE 'none' END AS act
+    FROM st JOIN r ON r.user_id = st.user_id AND r.rn = st.rn + 1) z
+)
+SELECT user_id, asked AS n, started, origin, ls AS source, lt AS target, lx AS text FROM st WHERE started IS NOT NULL"""
     q["delta_batches"] = f"""
 WITH w AS (SELECT 'd' || CAST(doc_id AS VARCHAR) AS request_id, regexp_extract_all(text, '{fx.REPLY_WORD}', 0) AS ws FROM documents),
 d AS (SELECT request_id, ws, list_transform(range(1, len(ws) + 1), lambda i:

@@ -313,6 +313,15 @@ def typed_input(events: DataFrame) -> DataFrame:
     )
 
 
+def turn_rows(events: DataFrame) -> DataFrame:
+    """Feed texts, typed text and ends of translations of each user, in order of the event id."""
+    e = F.col("event_id")
+    kind = F.when(e % 3 == 0, F.lit("done")).when(F.col("event_type").isin("signup", "view"), F.lit("feed")).otherwise(F.lit("typed"))
+    text = F.when(e % 11 == 5, F.lit(" \t")).otherwise(F.concat(F.lit(" note "), _s(F.floor(F.col("value")).cast("bigint") % 3)))
+    return events.select("user_id", e.alias("n"), kind.alias("kind"), F.lit("en").alias("source"),
+                         F.when(e % 13 == 0, F.lit("ja")).otherwise(F.lit("zh")).alias("target"), text.alias("text"))
+
+
 def taps(events: DataFrame) -> DataFrame:
     """Key taps: clicks are another key, everything else the modifier; 3 ms per event id.
     A key cannot go down again while it is held, so each hold ends before the user's next press."""

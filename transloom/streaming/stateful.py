@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from transloom import constants as K
+from transloom.operators.turns import STARTS, STATE, Turn, cleaned, step
 from transloom.session import ship_package
 
 # The Unicode White_Space set of the trim rule (transloom.constants.WHITE_SPACE_CLASS).
@@ -167,6 +168,25 @@ def stable_input(stream: DataFrame, event_time: str | None = None, watermark: st
     return _keyed(stream, "user_id", _stable_step, STABLE_OUT, STABLE_STATE, event_time, watermark, idle_ms)
 
 
+# ---------------------------------------------------------------------------
+# One translation at a time
+# ---------------------------------------------------------------------------
+def _turn_step(key, rows: pd.DataFrame, last: tuple | None) -> tuple[list, tuple]:
+    state, out = Turn() if last is None else Turn(*last), []
+    rows = rows.sort_values("n")
+    for row in zip(rows["n"].tolist(), rows["kind"], rows["source"], rows["target"], rows["text"]):
+        state, started = step(state, *row)
+        if started:
+            out.append((*key, *started))
+    return out, tuple(state)
+
+
+def turns(stream: DataFrame, event_time: str | None = None, watermark: str = "1 hour", idle_ms: int = IDLE_MS) -> DataFrame:
+    """The stream twin of ``operators.turns.turns``: feed, typed and done rows of all users in one stream."""
+    rows = cleaned(stream) if event_time is None else cleaned(stream, event_time)
+    return _keyed(rows, "user_id", _turn_step, STARTS, STATE, event_time, watermark, idle_ms)
+
+
 # ---------------------------------------------------------------------------
 # Double tap
 # ---------------------------------------------------------------------------
