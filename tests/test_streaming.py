@@ -10,7 +10,7 @@ from transloom.operators import feed as batch_feed
 from transloom.plans.corpus import RESULT_COLUMNS, translate_corpus
 from transloom.sources import fixtures as fx
 from transloom.sources.tables import table
-from transloom.streaming import batches, stateful
+from transloom.streaming import batches, stateful, timers
 
 
 def _files(spark, df, n_files):
@@ -49,7 +49,7 @@ def test_coalesce_stream_equals_batch_twin(spark):
     rows = deltas.select("request_id", "seq", "t_ms", F.lit("delta").alias("kind"), "delta").unionByName(ends)
     rows = rows.orderBy("seq")  # arrival order: early sequence numbers land in earlier files
     root, schema = _files(spark, rows, 3)
-    got = _run(spark, stateful.coalesce_deltas(_stream(spark, root, schema, 3), timeout=False), "t1_out")
+    got = _run(spark, timers.coalesce_deltas(_stream(spark, root, schema, 3), flush=False, clock=None), "t1_out")
     stream_texts = {}
     for r in got.orderBy("request_id", "emit_ms").collect():
         stream_texts.setdefault(r.request_id, []).append(r.text)
@@ -60,19 +60,10 @@ def test_coalesce_stream_equals_batch_twin(spark):
     assert stream_texts == batch_texts
 
 
-def test_coalesce_error_drops_pending(spark):
-    rows = spark.createDataFrame(
-        [("r", 0, 0, "delta", "a"), ("r", 1, 10, "delta", "b"), ("r", 2, 20, "error", None)],
-        "request_id string, seq long, t_ms long, kind string, delta string")
-    root, schema = _files(spark, rows, 1)
-    got = _run(spark, stateful.coalesce_deltas(_stream(spark, root, schema, 1), timeout=False), "t1_err")
-    assert [r.text for r in got.collect()] == ["a"]
-
-
 def test_change_feed_stream_equals_batch_twin(spark):
     polls = fx.feed(table(spark, SF_SMALL, "events")).drop("ts").orderBy("poll")
     root, schema = _files(spark, polls, 3)
-    got = _run(spark, stateful.change_feed(_stream(spark, root, schema, 3)), "t2_out")
+    got = _run(spark, timers.change_feed(_stream(spark, root, schema, 3), clock=None), "t2_out")
     want = batch_feed.change_feed(polls)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
@@ -133,29 +124,6 @@ def test_paired_events_stream_equals_batch_twin(spark):
     assert sorted(map(tuple, got.collect())) == want and want
 
 
-def test_watermark_drops_late_rows_and_expires_state(spark):
-    day = datetime.datetime(2024, 1, 1)
-    at = lambda h: day + datetime.timedelta(hours=h)
-    columns = "device long, poll long, seq long, seq_after long, read_ok boolean, origin string, text string, ts timestamp"
-    rows = [(1, 1, 5, 5, True, "user", "baseline", at(0)), (1, 2, 6, 6, True, "user", "fires", at(1)),
-            (2, 3, 1, 1, True, "user", "moves the watermark", at(90)),
-            (2, 4, 2, 2, True, "user", "fires", at(91)),
-            (2, 5, 9, 9, True, "user", "late", at(3)),  # far behind the watermark
-            (1, 6, 7, 7, True, "user", "a baseline again", at(92))]  # its state was dropped
-    root = tempfile.mkdtemp(prefix="transloom-late-")
-    for i, part in enumerate((rows[:2], rows[2:3], rows[3:4], rows[4:])):
-        spark.createDataFrame(part, columns).coalesce(1).write.parquet(os.path.join(root, f"part{i}"))
-    stream = _stream(spark, root, spark.createDataFrame(rows, columns).schema, 4)
-    out = stateful.change_feed(stream, event_time="ts", watermark="1 hour", idle_ms=3600_000)
-    q = (out.writeStream.format("memory").queryName("t2_late").outputMode("append")
-         .option("checkpointLocation", tempfile.mkdtemp()).trigger(availableNow=True).start())
-    q.processAllAvailable()
-    q.awaitTermination(60)
-    late = batches.late_rows(q)
-    assert sorted(r.poll for r in spark.table("t2_late").collect()) == [2, 4]
-    assert late == 1
-
-
 def test_event_sink_rewrites_a_replayed_batch(spark):
     rows = spark.createDataFrame([("m1", "downloading", 5, 100), ("m2", "ready", 100, 200)],
                                  "model string, status string, progress int, at long")

@@ -14,6 +14,11 @@ from transloom import constants as K
 _TRIM_PATTERN = rf"\A{K.WHITE_SPACE_CLASS}+|{K.WHITE_SPACE_CLASS}+\z"
 
 
+# The Unicode White_Space set of the trim rule (transloom.constants.WHITE_SPACE_CLASS), for Python code.
+GO_SPACE = ("\t\n\x0b\f\r \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+            + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

@@ -6,7 +6,7 @@ shuffle; the median is a merged sketch (``percentile_approx``), so no group is b
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from transloom import constants as K
@@ -66,8 +66,25 @@ def parse_log_lines(lines: DataFrame) -> DataFrame:
         F.regexp_extract(line, r"(?s)^[^;]*;.*? error=(.*)$", 1).alias("error"))
 
 
-def append_audit(audit_rows: DataFrame, path: str, run_id: str) -> None:
-    """Durable audit table, one partition per run. Re-running a run id replaces only
-    that run's partition (dynamic overwrite), so a retried job does not duplicate rows."""
-    (audit_rows.withColumn("run_id", F.lit(run_id)).write
+#: Outcomes that a run counts while it is written; any other one counts as ``OTHER``.
+OUTCOMES = ("OK", "FAILED", "DIRECT", "AWAITING_REPLY", "NO_REPLY", "NO_STATUS", "HTTP_ERROR", "STREAM_ERROR", "PARSE_ERROR", "NO_TRANSLATION",
+            "REFUSED", "EMPTY", "TOO_LONG", "LLM_NO_URL", "LLM_NO_MODEL", "SETTINGS_ERROR", "PAIR_UNSUPPORTED", "MODEL_NOT_READY",
+            "LANG_UNMAPPED")
+
+
+def run_counts() -> list[F.Column]:
+    """Aggregates for ``observe``: requests, characters, and requests per outcome."""
+    status = F.col("status")
+    return [F.count(F.lit(1)).alias("n_requests"), F.sum("n_chars").alias("n_chars"),
+            *[F.count_if(status == s).alias(s) for s in OUTCOMES],
+            F.count_if(~F.coalesce(status.isin(*OUTCOMES), F.lit(False))).alias("OTHER")]
+
+
+def append_audit(audit_rows: DataFrame, path: str, run_id: str) -> dict[str, int]:
+    """Durable audit table, one partition per run. Re-running a run id replaces only that run's partition (dynamic
+    overwrite), so a retried job does not duplicate rows. The run's counts (``run_counts``) are observed while the rows are
+    written and returned."""
+    seen = Observation()
+    (audit_rows.observe(seen, *run_counts()).withColumn("run_id", F.lit(run_id)).write
      .option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("run_id").parquet(path))
+    return {name: count or 0 for name, count in seen.get.items()}

@@ -20,6 +20,8 @@ SESSION_DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # One Arrow batch is one inference batch in the translate stage.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    # keyed streams with timers hold their state in RocksDB, outside the JVM's heap
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
 }
 

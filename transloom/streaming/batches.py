@@ -22,7 +22,7 @@ def path_exists(spark, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def _batch_path(root: str, batch_id: int) -> str:
+def batch_path(root: str, batch_id: int) -> str:
     return os.path.join(root, f"batch_id={batch_id}")
 
 
@@ -39,7 +39,7 @@ def latest_wins_batch(df: DataFrame) -> DataFrame:
 def write_latest_wins(out_root: str):
     """``foreachBatch`` sink for T3: one Parquet folder per batch id, overwritten on replay."""
     def sink(df: DataFrame, batch_id: int) -> None:
-        latest_wins_batch(df).write.mode("overwrite").parquet(_batch_path(out_root, batch_id))
+        latest_wins_batch(df).write.mode("overwrite").parquet(batch_path(out_root, batch_id))
     return sink
 
 
@@ -62,7 +62,7 @@ def upsert_latest_status(table_root: str):
             F.max_by(F.struct("n", "status", "message", "progress"), F.col("n")).alias("s")).select(
             "model", F.col("s.n").alias("n"), F.col("s.status").alias("status"),
             F.col("s.message").alias("message"), F.col("s.progress").alias("progress"))
-        prev_path = _batch_path(table_root, batch_id - 1)
+        prev_path = batch_path(table_root, batch_id - 1)
         merged = fresh
         if batch_id > 0:
             if not path_exists(spark, prev_path):  # going on without it would lose every older status
@@ -73,7 +73,7 @@ def upsert_latest_status(table_root: str):
                 F.max_by(F.struct("n", "status", "message", "progress"), F.col("n")).alias("s")).select(
                 "model", F.col("s.n").alias("n"), F.col("s.status").alias("status"),
                 F.col("s.message").alias("message"), F.col("s.progress").alias("progress"))
-        merged.write.mode("overwrite").parquet(_batch_path(table_root, batch_id))
+        merged.write.mode("overwrite").parquet(batch_path(table_root, batch_id))
     return sink
 
 
@@ -92,13 +92,6 @@ def write_events(events_root: str, topic: str, key: str, payload: list[str], ts:
     return sink
 
 
-def late_rows(query) -> int:
-    """Rows that a streaming query's stateful operators dropped behind the watermark so far (of the
-    progress reports that Spark still keeps)."""
-    return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress
-               for op in p.get("stateOperators", []))
-
-
 def continuous_translation(settings_raw: DataFrame, results_root: str, memory_path: str,
                            kind: str = "pseudo", options: dict | None = None):
     """T7 ``foreachBatch`` sink: each trigger's requests go through the flagship plan with
@@ -112,5 +105,5 @@ def continuous_translation(settings_raw: DataFrame, results_root: str, memory_pa
                   if path_exists(spark, memory_path) else None)
         results = translate_corpus(df, settings_raw, memory=memory, kind=kind, options=options,
                                    memory_path=memory_path, run=str(batch_id))
-        results.write.mode("overwrite").parquet(_batch_path(results_root, batch_id))
+        results.write.mode("overwrite").parquet(batch_path(results_root, batch_id))
     return sink

@@ -1,15 +1,13 @@
-"""Keyed-state stream operators (T1, T2, T4, T6) on ``applyInPandasWithState``.
+"""Keyed-state stream operators (T3, T4, T6) on ``applyInPandasWithState``; those with timers are in ``streaming.timers``.
 
-State is per key (one reply, one device, one user) and small: a pending string and a few
-numbers. Each micro-batch hands a key's new rows to the function; they are put in order
+State is per user and small: a few strings and numbers. Each micro-batch hands a key's new rows to the function; they are put in order
 there, so a key costs the memory of its rows in one trigger, which the source's limit
 (``maxFilesPerTrigger`` and the like) bounds. The state carries what the previous
 micro-batches left. ``lag`` over a stream is rejected by Spark, hence state.
 
 With ``event_time`` (a timestamp column) the operators take a watermark: later rows are
-dropped and counted (``batches.late_rows``), and a key that stays silent for ``idle``
-behind the watermark loses its state. Without it state lives until an end marker (T1) or
-for good.
+dropped and counted (``metrics.StreamCounts``), and a key that stays silent for ``idle``
+behind the watermark loses its state. Without it state lives for good.
 """
 
 from __future__ import annotations
@@ -22,14 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from transloom import constants as K
+from transloom.functions.text import GO_SPACE
 from transloom.operators.turns import STARTS, STATE, Turn, cleaned, step
 from transloom.session import ship_package
 
-# The Unicode White_Space set of the trim rule (transloom.constants.WHITE_SPACE_CLASS).
-_GO_SPACE = ("\t\n\x0b\f\r \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
-             + "\u2028\u2029\u202f\u205f\u3000")
 
-def _stateful(step, columns: list[str], event_time: str | None, idle_ms: int, by_clock: bool):
+def _stateful(step, columns: list[str], event_time: str | None, idle_ms: int):
     """A state function around ``step(key, rows, state) -> (output rows, state or None)``; None ends the key."""
     def fn(key, batches: Iterator[pd.DataFrame], state):
         if state.hasTimedOut:
@@ -44,101 +40,25 @@ def _stateful(step, columns: list[str], event_time: str | None, idle_ms: int, by
         if left is not None and event_time is not None:
             newest = int(rows[event_time].max().timestamp() * 1000)
             state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_ms)
-        elif left is not None and by_clock:
-            state.setTimeoutDuration(idle_ms)
         if out:
             yield pd.DataFrame(out, columns=columns)
     return fn
 
 
 def _keyed(stream: DataFrame, key: str, step, out: str, state: str, event_time: str | None, watermark: str,
-           idle_ms: int, by_clock: bool = False) -> DataFrame:
+           idle_ms: int) -> DataFrame:
     ship_package(stream.sparkSession)
     if event_time is not None:
         stream = stream.withWatermark(event_time, watermark)
     columns = [c.split()[0] for c in out.split(", ")]
-    timeout = (GroupStateTimeout.EventTimeTimeout if event_time is not None
-               else GroupStateTimeout.ProcessingTimeTimeout if by_clock else GroupStateTimeout.NoTimeout)
-    return stream.groupBy(key).applyInPandasWithState(_stateful(step, columns, event_time, idle_ms, by_clock), out, state,
+    timeout = GroupStateTimeout.EventTimeTimeout if event_time is not None else GroupStateTimeout.NoTimeout
+    return stream.groupBy(key).applyInPandasWithState(_stateful(step, columns, event_time, idle_ms), out, state,
                                                       "append", timeout)
 
 
-# ---------------------------------------------------------------------------
-# Delta coalescing
-# ---------------------------------------------------------------------------
-COALESCE_OUT = "request_id string, emit_ms long, text string"
-COALESCE_STATE = "pending string, last_emit long, has_emit boolean"
-
-
-def _coalesce_step(interval_ms: int):
-    def step(key, rows: pd.DataFrame, left: tuple | None) -> tuple[list, tuple | None]:
-        (request_id,) = key
-        pending, last, has = left or ("", 0, False)
-        out = []
-        rows = rows.sort_values("seq")
-        for kind, t, delta in zip(rows["kind"], rows["t_ms"], rows["delta"]):
-            if kind == "delta":
-                pending += delta or ""
-                if not has or t - last >= interval_ms:
-                    if pending:
-                        out.append((request_id, int(t), pending))
-                    pending, last, has = "", int(t), True
-                continue
-            if kind == "end" and pending:  # success flushes what is pending, an error drops it
-                out.append((request_id, int(t), pending))
-            return out, None
-        return out, (pending, last, has)
-    return step
-
-
-def coalesce_deltas(stream: DataFrame, interval_ms: int = K.DELTA_INTERVAL_MS, timeout: bool = True,
-                    event_time: str | None = None, watermark: str = "1 minute", idle_ms: int = 10 * 60 * 1000) -> DataFrame:
-    """``(request_id, seq, t_ms, kind, delta)`` with kind delta/end/error -> emissions.
-
-    The first delta goes out at once, later ones when ``interval_ms`` passed since
-    the last emission; an end marker flushes, an error marker drops what is pending.
-    A reply that stays silent for ``idle_ms`` loses its state and pending text: behind the
-    watermark of ``event_time``, or without that by the clock (``timeout``; the query then
-    runs empty batches to fire timeouts, so it never idles).
-    """
-    return _keyed(stream, "request_id", _coalesce_step(interval_ms), COALESCE_OUT, COALESCE_STATE, event_time, watermark,
-                  idle_ms, by_clock=timeout)
-
-
-# ---------------------------------------------------------------------------
-# Change feed
-# ---------------------------------------------------------------------------
-FEED_OUT = "device long, poll long, seq long, text string"
-FEED_STATE = "last_seq long"
-
-
-def _feed_fn(key, rows: pd.DataFrame, last: tuple | None) -> tuple[list, tuple]:
-    (device,) = key
-    seen = None if last is None else last[0]
-    out = []
-    rows = rows.sort_values("poll")
-    for poll, seq, after, ok, origin, text in zip(rows["poll"], rows["seq"], rows["seq_after"], rows["read_ok"],
-                                                  rows["origin"], rows["text"]):
-        if seen is None:  # first observation is the baseline
-            seen = int(seq)
-            continue
-        if seq == 0 or seq == seen or not ok or after != seq:
-            continue
-        seen = int(seq)
-        if origin == "self" or not (text or "").strip(_GO_SPACE):
-            continue
-        out.append((int(device), int(poll), int(seq), text))
-    return out, (seen,)
-
-
 IDLE_MS = 24 * 3600 * 1000
 
 
-def change_feed(stream: DataFrame, event_time: str | None = None, watermark: str = "1 hour", idle_ms: int = IDLE_MS) -> DataFrame:
-    """The stream twin of ``operators.feed.change_feed`` (same rules, state per device)."""
-    return _keyed(stream, "device", _feed_fn, FEED_OUT, FEED_STATE, event_time, watermark, idle_ms)
-
-
 # ---------------------------------------------------------------------------
 # T4: consecutive duplicate suppression
 # ---------------------------------------------------------------------------
@@ -152,7 +72,7 @@ def _stable_step(key, rows: pd.DataFrame, last: tuple | None) -> tuple[list, tup
     out = []
     rows = rows.sort_values("n")
     for n, trigger, source, target, text in zip(rows["n"], rows["trigger"], rows["source"], rows["target"], rows["text"]):
-        text = (text or "").strip(_GO_SPACE)
+        text = (text or "").strip(GO_SPACE)
         if not text:
             out.append((int(user), int(n), trigger, "blank"))
             continue
