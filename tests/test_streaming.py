@@ -10,7 +10,8 @@ from transloom.operators import feed as batch_feed
 from transloom.plans.corpus import RESULT_COLUMNS, translate_corpus
 from transloom.sources import fixtures as fx
 from transloom.sources.tables import table
-from transloom.streaming import batches, stateful, timers
+from transloom.operators.memory import MemoryTable
+from transloom.streaming import batches, snapshots, stateful, timers
 
 
 def _files(spark, df, n_files):
@@ -84,11 +85,10 @@ def test_latest_wins_and_status_upsert_sinks(spark):
          ("m1", 9, "ready", "d", 100)], "model string, n long, status string, message string, progress int")
     sroot, sschema = _files(spark, status, 2)
     table_root = tempfile.mkdtemp(prefix="transloom-t5-")
-    q = (_stream(spark, sroot, sschema, 2).writeStream.foreachBatch(batches.upsert_latest_status(table_root))
+    q = (_stream(spark, sroot, sschema, 2).writeStream.foreachBatch(snapshots.upsert_latest_status(table_root))
          .option("checkpointLocation", tempfile.mkdtemp()).trigger(availableNow=True).start())
     _finish(q)
-    last = sorted(os.listdir(table_root))[-1]
-    snap = {r.model: (r.status, r.progress) for r in spark.read.parquet(os.path.join(table_root, last)).collect()}
+    snap = {r.model: (r.status, r.progress) for r in snapshots.status_table(spark, table_root).read().collect()}
     assert snap == {"m1": ("ready", 100), "m2": ("downloading", -1)}
 
 
@@ -106,7 +106,7 @@ def test_continuous_translation_fills_memory(spark):
     sent = spark.read.option("recursiveFileLookup", "true").parquet(root)
     want = translate_corpus(sent, settings)
     assert sorted(map(str, results.select(*RESULT_COLUMNS).collect())) == sorted(map(str, want.collect()))
-    assert spark.read.parquet(os.path.join(base, "memory")).count() > 0
+    assert MemoryTable(spark, os.path.join(base, "memory")).rows().count() > 0
 
 
 def test_stable_input_stream_equals_batch_twin(spark):
@@ -124,35 +124,15 @@ def test_paired_events_stream_equals_batch_twin(spark):
     assert sorted(map(tuple, got.collect())) == want and want
 
 
-def test_event_sink_rewrites_a_replayed_batch(spark):
-    rows = spark.createDataFrame([("m1", "downloading", 5, 100), ("m2", "ready", 100, 200)],
-                                 "model string, status string, progress int, at long")
-    root = tempfile.mkdtemp(prefix="transloom-events-")
-    sink = batches.write_events(root, "download", "model", ["status", "progress"], "at")
-    for _ in range(2):
-        sink(rows, 0)
-    got = {(r.topic, r.key, r.payload, r.ts) for r in spark.read.parquet(root).collect()}
-    assert spark.read.parquet(root).count() == 2
-    assert ("download", "m1", '{"status":"downloading","progress":5}', 100) in got
-
-
-def test_status_upsert_fails_without_the_previous_snapshot(spark):
-    import pytest
-    status = spark.createDataFrame([("m1", 1, "downloading", "a", 10)],
-                                   "model string, n long, status string, message string, progress int")
-    with pytest.raises(FileNotFoundError):
-        batches.upsert_latest_status(tempfile.mkdtemp())(status, 3)
-
-
 def test_replayed_translation_batch_keeps_one_memory_row(spark):
     req = fx.requests(table(spark, SF_SMALL, "documents").limit(20))
     settings = fx.settings(table(spark, SF_SMALL, "documents"))
     base = tempfile.mkdtemp(prefix="transloom-replay-")
     sink = batches.continuous_translation(settings, os.path.join(base, "results"), os.path.join(base, "memory"))
     sink(req, 0)
-    first = spark.read.parquet(os.path.join(base, "memory")).count()
+    first = MemoryTable(spark, os.path.join(base, "memory")).rows().count()
     sink(req, 0)
-    assert spark.read.parquet(os.path.join(base, "memory")).count() == first > 0
+    assert MemoryTable(spark, os.path.join(base, "memory")).rows().count() == first > 0
 
 
 def test_duplicate_suppression_runs(spark):

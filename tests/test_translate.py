@@ -49,9 +49,10 @@ def test_result_independent_of_partitioning(spark):
 def test_second_run_sends_nothing_new(spark):
     path = os.path.join(tempfile.mkdtemp(prefix="transloom-mem-"), "memory")
     parts = segment.paragraphs(_ready(spark))
-    first = translate_parts(parts, memory=None, memory_path=path)
+    table = tm.MemoryTable(spark, path)
+    first = translate_parts(parts, table)
     assert first.count() == parts.count()
-    memory = spark.read.parquet(path)
+    memory = table.rows()
     unique = segment.unique_segments(parts)
     assert tm.misses(unique, memory).count() == 0
     assert tm.hits(unique, memory).count() == unique.count()

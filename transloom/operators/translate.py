@@ -59,37 +59,37 @@ def translate_segments(unique: DataFrame, kind: str = "pseudo", options: dict |
     return ordered.select(*SEGMENT_KEYS, "translation").mapInPandas(_translate_batches(kind, options), TRANSLATED_SCHEMA)
 
 
-def translate_parts(parts: DataFrame, memory: DataFrame | None = None, kind: str = "pseudo",
-                    options: dict | None = None, memory_path: str | None = None, carry: tuple = (),
-                    run: str | None = None) -> DataFrame:
+def translate_parts(parts: DataFrame, memory: DataFrame | tm.MemoryTable | None = None, kind: str = "pseudo",
+                    options: dict | None = None, carry: tuple = (), run: str | None = None) -> DataFrame:
     """B3 + B4 + J6: translated parts ``(request_id, row key, part_no, out, error)``.
 
     One left join gives the unique segments their memory entry, one Python pass translates
-    the others. With ``memory_path`` the fresh translations are stored in the memory table
-    under ``run`` first and read back, so the paid call is materialised before the join.
+    the others. With a ``MemoryTable`` only the buckets that may hold one of the segments are read, and the fresh
+    translations are stored in it under ``run`` before they are joined back: the paid call is materialised first.
     """
     unique = unique_segments(parts)
-    known = tm.recall(unique, memory) if memory is not None else unique
-    translated = translate_segments(known, kind, options)
-    if memory_path is not None:
-        # Call the model once: the checkpoint in the shared folder is what later
-        # stages (and retries) read, then the memory table gets the good rows.
-        translated = materialize(translated)
-        tm.remember(tm.misses(translated, memory) if memory is not None else translated, memory_path, run)
+    if not isinstance(memory, tm.MemoryTable):
+        known = tm.recall(unique, memory) if memory is not None else unique
+        return fan_out(parts, translate_segments(known, kind, options), carry)
+    known = materialize(memory.recall(stored(unique, "unique"), but=run))
+    # Call the model once: the checkpoint in the shared folder is what later stages (and retries) read
+    translated = materialize(translate_segments(known, kind, options))
+    fresh = translated.join(known.where(F.col("translation").isNull()).select(*SEGMENT_KEYS), SEGMENT_KEYS, "left_semi")
+    memory.remember(fresh, run)
     return fan_out(parts, translated, carry)
 
 
-def translated_rows(ready_local: DataFrame, memory: DataFrame | None = None, kind: str = "pseudo", options: dict | None = None,
-                    memory_path: str | None = None, carry: tuple = (), run: str | None = None) -> DataFrame:
+def translated_rows(ready_local: DataFrame, memory: DataFrame | tm.MemoryTable | None = None, kind: str = "pseudo",
+                    options: dict | None = None, carry: tuple = (), run: str | None = None) -> DataFrame:
     """B1-B6, one row per row key: ``(request_id, model, carry, row key, copies, text, error)``."""
     parts = paragraphs(ready_local, keep=("source", "target", "model", *carry))
-    return reassemble(translate_parts(parts, memory, kind, options, memory_path, carry, run), carry)
+    return reassemble(translate_parts(parts, memory, kind, options, carry, run), carry)
 
 
-def translate_requests(ready_local: DataFrame, memory: DataFrame | None = None, kind: str = "pseudo",
-                       options: dict | None = None, memory_path: str | None = None) -> DataFrame:
+def translate_requests(ready_local: DataFrame, memory: DataFrame | tm.MemoryTable | None = None, kind: str = "pseudo",
+                       options: dict | None = None) -> DataFrame:
     """B1-B6 for requests routed to the local model: ``(request_id, model, text, error)``, a row for each request."""
-    return repeated(translated_rows(ready_local, memory, kind, options, memory_path))
+    return repeated(translated_rows(ready_local, memory, kind, options))
 
 
 def round_trip(ready_local: DataFrame, settings_raw: DataFrame, kind: str = "pseudo",

@@ -26,6 +26,7 @@ from transloom import constants as K
 from transloom.functions.text import go_trim
 from transloom.operators import admission as adm
 from transloom.operators import reply
+from transloom.operators.memory import MemoryTable
 from transloom.operators.segment import ROW_KEY, repeated, with_row_key
 from transloom.operators.translate import translated_rows
 
@@ -33,9 +34,9 @@ RESULT_COLUMNS = ["request_id", "provider", "model", "status", "text", "error"]
 AUDIT_COLUMNS = ["raw_source", "raw_target", "n_chars"]
 
 
-def translate_corpus(requests: DataFrame, settings_raw: DataFrame, memory: DataFrame | None = None,
+def translate_corpus(requests: DataFrame, settings_raw: DataFrame, memory: DataFrame | MemoryTable | None = None,
                      replies: DataFrame | None = None, kind: str = "pseudo", options: dict | None = None,
-                     memory_path: str | None = None, max_chars: int | None = None, audit: bool = False,
+                     max_chars: int | None = None, audit: bool = False,
                      run: str | None = None) -> DataFrame:
     """One result row for every request row. ``audit`` adds the columns that the run audit needs; a column ``error`` of the
     requests marks lines that their source refused."""
@@ -52,7 +53,7 @@ def translate_corpus(requests: DataFrame, settings_raw: DataFrame, memory: DataF
 
     local = resolved.where(ready & (provider == "local")).select(
         "request_id", *ROW_KEY, "text", "source", "target", "model", *extra)
-    local = repeated(translated_rows(local, memory, kind, options, memory_path, tuple(extra), run)).select(
+    local = repeated(translated_rows(local, memory, kind, options, tuple(extra), run)).select(
         "request_id", F.lit("local").alias("provider"), "model",
         F.when(F.col("error") == "", F.lit("OK")).otherwise(F.lit("FAILED")).alias("status"), "text", "error", *extra)
 

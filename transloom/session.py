@@ -80,7 +80,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_SHIPPED: set = set()
+def path_exists(spark, path: str) -> bool:
+    """Existence check through the cluster's file system (works for any Hadoop URI)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -92,10 +96,9 @@ def ship_package(spark: SparkSession) -> None:
     driver-local path). Done once per SparkContext.
     """
     sc = spark.sparkContext
-    key = id(sc)
-    if key in _SHIPPED:
+    if getattr(sc, "_transloom_shipped", False):
         return
-    _SHIPPED.add(key)
+    sc._transloom_shipped = True
     import zipfile
 
     import transloom

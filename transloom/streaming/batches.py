@@ -1,4 +1,4 @@
-"""Micro-batch stream operators.
+"""Micro-batch stream operators (T3, T4, T7); the status table (T5) is ``streaming.snapshots``.
 
 ``foreachBatch`` turns each trigger into a batch job; writes are keyed by the
 batch id so a replayed batch (after a failure) leaves the same result. The
@@ -15,13 +15,6 @@ from pyspark.sql import functions as F
 from transloom.functions.text import go_trim
 
 
-def path_exists(spark, path: str) -> bool:
-    """Existence check through the cluster's file system (works for any Hadoop URI)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def batch_path(root: str, batch_id: int) -> str:
     return os.path.join(root, f"batch_id={batch_id}")
 
@@ -49,61 +42,18 @@ def suppress_duplicates(stream: DataFrame, keys: list[str], ts: str, watermark:
     return stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(keys)
 
 
-def upsert_latest_status(table_root: str):
-    """T5 ``foreachBatch`` sink: merge each batch's last status per model into a snapshot.
-
-    Snapshot ``n`` is written from snapshot ``n - 1`` plus batch ``n``; a replayed batch
-    rewrites the same snapshot, so the result is idempotent. Readers take the newest
-    complete snapshot.
-    """
-    def sink(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
-        fresh = df.groupBy("model").agg(
-            F.max_by(F.struct("n", "status", "message", "progress"), F.col("n")).alias("s")).select(
-            "model", F.col("s.n").alias("n"), F.col("s.status").alias("status"),
-            F.col("s.message").alias("message"), F.col("s.progress").alias("progress"))
-        prev_path = batch_path(table_root, batch_id - 1)
-        merged = fresh
-        if batch_id > 0:
-            if not path_exists(spark, prev_path):  # going on without it would lose every older status
-                raise FileNotFoundError(f"snapshot of the previous batch is gone: {prev_path}")
-            prev = spark.read.parquet(prev_path)
-            both = prev.unionByName(fresh)
-            merged = both.groupBy("model").agg(
-                F.max_by(F.struct("n", "status", "message", "progress"), F.col("n")).alias("s")).select(
-                "model", F.col("s.n").alias("n"), F.col("s.status").alias("status"),
-                F.col("s.message").alias("message"), F.col("s.progress").alias("progress"))
-        merged.write.mode("overwrite").parquet(batch_path(table_root, batch_id))
-    return sink
-
-
-def event_rows(rows: DataFrame, topic: str, key: str, payload: list[str], ts: str) -> DataFrame:
-    """``(topic, key, payload, ts)``, the payload columns as one JSON object."""
-    return rows.select(F.lit(topic).alias("topic"), F.col(key).cast("string").alias("key"),
-                       F.to_json(F.struct(*payload)).alias("payload"), F.col(ts).alias("ts"))
-
-
-def write_events(events_root: str, topic: str, key: str, payload: list[str], ts: str):
-    """S9 ``foreachBatch`` sink: each trigger's rows as events of one topic, one folder per batch,
-    rewritten on replay."""
-    def sink(df: DataFrame, batch_id: int) -> None:
-        event_rows(df, topic, key, payload, ts).write.mode("overwrite").parquet(
-            f"{events_root}/topic={topic}/batch_id={batch_id}")
-    return sink
-
-
 def continuous_translation(settings_raw: DataFrame, results_root: str, memory_path: str,
-                           kind: str = "pseudo", options: dict | None = None):
+                           kind: str = "pseudo", options: dict | None = None, compact_every: int = 100):
     """T7 ``foreachBatch`` sink: each trigger's requests go through the flagship plan with
-    the memory table; results land under their batch id, memory grows as it runs."""
+    the memory table; results land under their batch id, memory grows as it runs, a run per trigger. Every
+    ``compact_every`` triggers the runs are put into one."""
+    from transloom.operators.memory import MemoryTable
     from transloom.plans.corpus import translate_corpus
 
     def sink(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
-        # a replayed batch must not read the partition that it is about to replace
-        memory = (spark.read.parquet(memory_path).where(F.col("run") != str(batch_id))
-                  if path_exists(spark, memory_path) else None)
-        results = translate_corpus(df, settings_raw, memory=memory, kind=kind, options=options,
-                                   memory_path=memory_path, run=str(batch_id))
+        memory = MemoryTable(df.sparkSession, memory_path)
+        results = translate_corpus(df, settings_raw, memory=memory, kind=kind, options=options, run=str(batch_id))
         results.write.mode("overwrite").parquet(batch_path(results_root, batch_id))
+        if batch_id and batch_id % compact_every == 0:
+            memory.compact()
     return sink
