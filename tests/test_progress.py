@@ -28,3 +28,17 @@ def test_changes_drop_consecutive_repeats_across_blocks(spark):
     for block in (1, 2, 3, 1 << 22):
         kept = [r.n for r in P.changes(P.parse(df), block=block).orderBy("n").collect()]
         assert kept == [0, 4, 5, 7], block
+
+
+def test_log_tail_gathers_the_end_only(spark):
+    import random
+
+    from transloom.operators.progress import log_tail
+    rng = random.Random(8)
+    logs = {"long": [f"line {i}" for i in range(3000)] + ["x" * 50_000], "many": ["y" * rng.randint(0, 30) for _ in range(4000)],
+            "blank": [""] * 700, "one": ["only"], "none": ["z" * 10] * 3 + [""] * 5}
+    df = spark.createDataFrame([(k, 3 * i, line) for k, lines in logs.items() for i, line in enumerate(lines)],
+                               "log_id string, n long, line string")
+    for block in (16, 1 << 12):
+        out = log_tail(df, 100, block)
+        assert {r.log_id: r.tail_text for r in out.collect()} == {k: "\n".join(v)[-200:] for k, v in logs.items()}, block

@@ -134,3 +134,18 @@ def test_payload_reference_case(spark):
     p = json.loads(row.payload)
     assert p["stream"] is True and p["temperature"] == 0 and p["model"] == "m"
     assert p["messages"][1]["content"] == "将以下英语文本翻译为简体中文：\n\nHello, world!"
+
+
+def test_names_match_in_any_case(spark):
+    rows = [("a", 200, "application/json", '{"Choices":[{"Message":{"Content":"hi"}}]}'),
+            ("last", 200, "application/json", '{"choices":[{"message":{"content":"x"}}],"CHOICES":[{"message":{"content":"y"}}]}'),
+            ("inside", 200, "application/json", json.dumps({"choices": [{"message": {"content": 'say "Message": and \\"Error": {'}}]})),
+            ("sse", 200, "text/event-stream", 'data: {"Choices":[{"DELTA":{"content":"a"}}]}\n\ndata: {"choices":[{"delta":{"Content" : "b"}}]}\n\n'),
+            ("fails", 200, "text/event-stream", 'data: {"ERROR":{"Message":"no"}}\n\n'),
+            ("http", 500, "", '{"Error":{"MESSAGE":" broken "}}'), ("typed", 200, "", '{"Choices":[{"Message":{"Content":5}}]}')]
+    df = spark.createDataFrame(rows, "request_id string, http_status int, content_type string, body string")
+    got = {r.request_id: (r.status, r.text, r.error) for r in R.decode_replies(df).collect()}
+    assert {k: v[:2] for k, v in got.items()} == {
+        "a": ("OK", "hi"), "last": ("OK", "y"), "inside": ("OK", 'say "Message": and \\"Error": {'), "sse": ("OK", "ab"),
+        "fails": ("STREAM_ERROR", ""), "http": ("HTTP_ERROR", ""), "typed": ("PARSE_ERROR", "")}
+    assert got["http"][2].endswith("broken") and got["fails"][2].endswith("no")

@@ -63,9 +63,3 @@ def test_paragraph_parts_round_trip(spark):
     parts = df.collect()[0].p
     assert parts == ["a", "\n\n", "b\r c", "\n"]
     assert "".join(parts) == text
-
-
-def test_kv_field(spark):
-    line = "translation started; provider=llm source=en target=zh characters=12"
-    df = one_col(spark, [line]).select(T.kv_field("x", "provider").alias("p"), T.kv_field("x", "characters").alias("c"))
-    assert tuple(df.collect()[0]) == ("llm", "12")

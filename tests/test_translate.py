@@ -1,4 +1,5 @@
 import os
+import random
 import tempfile
 
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from conftest import SF_SMALL
 from transloom.operators import memory as tm
 from transloom.operators import segment
 from transloom import constants as K
-from transloom.operators.backends import HFBackend, PseudoBackend
+from transloom.operators.backends import HFBackend, PseudoBackend, batches_of, cut_output
 from transloom.operators.translate import round_trip, translate_parts, translate_requests
 from transloom.sources import fixtures as fx
 from transloom.sources.tables import table
@@ -118,10 +119,40 @@ def test_hf_adapter_batches_and_keeps_order():
     texts = ["one two three", "four five six", " ".join(f"w{i}" for i in range(900)), ""]
     assert be.translate(texts, "en", "zh") == texts
     assert max(n for n, _ in made[0].batches) > 1 and sum(n for n, _ in made[0].batches) == 5
-    out = be.translate(["boom now", " ".join(f"v{i}" for i in range(100))], "en", "zh")
+    failing = HFBackend("m", loader=lambda model, cache: _Words(), tokens=60)
+    out = failing.translate(["boom now", " ".join(f"v{i}" for i in range(100))], "en", "zh")
     assert isinstance(out[0], RuntimeError) and out[1].startswith("v0 v1")
 
 
+def test_batches_are_filled_to_a_token_budget():
+    """Short texts of all lengths: at most a tenth of the calls that batches of one output budget took, little padding."""
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randint(0, 40)}" for _ in range(rng.randint(1, 60))) for _ in range(1000)]
+    made = []
+    be = HFBackend("m", loader=lambda model, cache: made.append(_Words()) or made[-1])
+    assert be.translate(texts, "en", "zh") == texts
+    sizes = [len(t.split()) for t in texts]
+    by_budget = sum(-(-sizes.count(n) // 16) for n in set(sizes))  # as before: batches of 16 of one budget
+    assert be.calls == len(made[0].batches) <= by_budget / 10
+    assert 1 - be.real / be.padded < 0.25
+    assert [j for b in batches_of(sizes, 100) for j in b] == sorted(range(1000), key=lambda j: (sizes[j], j))
+    assert all(len(b) * max(sizes[j] for j in b) <= 100 for b in batches_of(sizes, 100))
+
+
+def test_each_output_is_cut_at_its_own_budget():
+    class Long(_Words):
+        def generate(self, texts, budget, target_code):
+            self.batches.append((len(texts), budget))
+            return [[0, *range(1, budget + 1)] for _ in texts]  # a mark, then as many ids as it may
+
+    made = []
+    be = HFBackend("m", loader=lambda model, cache: made.append(Long()) or made[-1])
+    made[0].words += [f"o{i}" for i in range(600)]
+    out = be.translate(["x", " ".join("y" for _ in range(100))], "en", "zh")
+    assert made[0].batches == [(2, 416)] and [len(t.split()) for t in out] == [32, 416]
+    assert cut_output([0, 5, 6, 7], {0}, 2) == [0, 5, 6] and cut_output([5, 6, 7], {0}, 2) == [5, 6]
+
+
 def test_wrong_number_of_translations_is_an_error(spark, monkeypatch):
     import pandas as pd
 

@@ -115,6 +115,12 @@ ANSI_ESCAPE = r"\x1b\[[0-?]*[ -/]*[@-~]"
 PROGRESS_NAMED = r"(?d)^(.+?):\s*(\d{1,3})%\|"
 PROGRESS_BARE = r"(?:^|\s)(\d{1,3})%"
 PARAGRAPH_PARTS = r"(\n+|[^\n]+)"
+# the program's log: time in front of each record, keys of its lines, keys whose value takes the rest
+LOG_PREFIX = r"^(\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}\.\d{6}) "
+LOG_TIME = "yyyy/MM/dd HH:mm:ss.SSSSSS"
+LOG_KEYS = ("provider", "source", "target", "characters", "model", "local_model", "clipboard", "quick_open", "shortcut",
+            "close_to_tray", "always_on_top", "progress", "base", "python", "log")
+LOG_FREE_KEYS = ("error", "message", "output")
 ERROR_PREFIX = r"(?i)^Error:\s*"
 
 # ---------------------------------------------------------------------------
@@ -136,5 +142,6 @@ MSG_BAD_REQUEST = "无法解析请求"
 MSG_SETTINGS_ERROR = "设置文件无法解析"
 MSG_SETTINGS_CONFLICT = "同一租户有不同的设置文件"
 MSG_MISSING_TRANSLATION = "模型没有返回这一段的译文"
+EPOCH_2026_US = 1_767_225_600_000_000
 PSEUDO_REFUSES = "[refuse] "
 MSG_PSEUDO_REFUSED = "the test double refuses this segment"

@@ -16,6 +16,18 @@ def allow_repeated_keys(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
+def plain_keys(text, *keys: str) -> Column:
+    """JSON text with every spelling of these keys in lower case, as a decoder reads it that matches names in any case.
+    A quoted word before a colon is a key: inside a string its quotes are escaped. Text without such a key is not touched."""
+    text = F.col(text) if isinstance(text, str) else text
+    before, after = r'(?<!\\)"', r'"(?=\s*:)'
+    out = text
+    for key in keys:
+        out = F.regexp_replace(out, f"{before}(?i:{key}){after}", f'"{key}"')
+    odd = rf"{before}(?=[A-Za-z]*[A-Z])(?i:{'|'.join(keys)}){after}"
+    return F.when(text.rlike(odd), out).otherwise(text)
+
+
 def boxed(text) -> Column:
     """Step 1: VARIANT ``[value, mark]``, NULL if the text is no JSON. Make it a column, then ``unboxed``."""
     text = F.col(text) if isinstance(text, str) else text

@@ -99,8 +99,3 @@ def endpoint(base_url) -> Column:
 def paragraph_parts(c) -> Column:
     """paragraphs and the newline runs between them, in order, none empty."""
     return F.regexp_extract_all(_col(c), F.lit(K.PARAGRAPH_PARTS), 1)
-
-
-def kv_field(line, key: str) -> Column:
-    """value of ``key=value`` in a log line (value ends at a blank or ';')."""
-    return F.regexp_extract(_col(line), rf"(?:^|[\s;]){key}=([^\s;]*)", 1)

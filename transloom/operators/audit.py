@@ -6,11 +6,11 @@ shuffle; the median is a merged sketch (``percentile_approx``), so no group is b
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from transloom import constants as K
-from transloom.functions.text import char_count, kv_field
+from transloom.functions.text import char_count
 
 
 def summary(audit_rows: DataFrame) -> DataFrame:
@@ -48,22 +48,69 @@ def log_lines(audit_rows: DataFrame) -> DataFrame:
                             F.col("error")))
     second = F.when(~F.col("status").isin("PAIR_UNSUPPORTED", "AWAITING_REPLY"),
                     F.struct(F.lit(1).alias("n"), done.alias("line")))
-    return started_rows.select("request_id", F.inline(F.array_compact(F.array(
+    return started_rows.select("request_id", "n_chars", F.inline(F.array_compact(F.array(
         F.struct(F.lit(0).alias("n"), started.alias("line")), second))))
 
 
-def parse_log_lines(lines: DataFrame) -> DataFrame:
-    """event name before ';', then ``key=value`` fields."""
-    line = F.col("line")
-    return lines.select(
-        "request_id", "n",
-        F.regexp_extract(line, r"^([^;]*);", 1).alias("event"),
-        kv_field(line, "provider").alias("provider"),
-        kv_field(line, "source").alias("source"),
-        kv_field(line, "target").alias("target"),
-        kv_field(line, "characters").try_cast("bigint").alias("characters"),
-        kv_field(line, "model").alias("model"),
-        F.regexp_extract(line, r"(?s)^[^;]*;.*? error=(.*)$", 1).alias("error"))
+# ---------------------------------------------------------------------------
+# the program's log
+# ---------------------------------------------------------------------------
+def log_text(lines: DataFrame, at) -> DataFrame:
+    """The lines as the program's log holds them: date, time with microseconds, then the message (which may have line ends)."""
+    return lines.select(F.concat(F.date_format(at, K.LOG_TIME), F.lit(" "), F.col("line")).alias("value"))
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """``(log, part, at, line)``: physical lines of log files. Only LF ends a line. A large file is read in parts; ``part`` is
+    where a part begins in its file, ``at`` the order of lines in it."""
+    raw = spark.read.text(path, lineSep="\n")
+    return raw.select(F.col("_metadata.file_path").alias("log"), F.col("_metadata.file_block_start").alias("part"),
+                      F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+
+
+def log_records(lines: DataFrame) -> DataFrame:
+    """``(log, record)``: a line with the time in front begins a record, others continue it. Lines before the first such
+    line of a log are a record without a time.
+
+    Each part of a file finds its records by itself and hands on the last one that it opened, one row a part; so one
+    file of any size takes as many tasks as it has parts."""
+    start = F.when(F.col("line").rlike(K.LOG_PREFIX), F.struct("part", "at"))
+    rows = Window.partitionBy("log", "part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    parts = Window.partitionBy("log").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    opened = lines.groupBy("log", "part").agg(F.max(start).alias("_open")).select(
+        "log", "part", F.last("_open", ignorenulls=True).over(parts).alias("_open"))
+    named = lines.join(opened, ["log", "part"]).withColumn("_of", F.coalesce(F.last(start, ignorenulls=True).over(rows), "_open"))
+    in_order = F.array_sort(F.collect_list(F.struct("part", "at", "line")))
+    return named.groupBy("log", "_of").agg(in_order.alias("_l")).select(
+        "log", F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("record"))
+
+
+def parse_records(records: DataFrame) -> DataFrame:
+    """``at_us`` (microseconds, NULL without a time), ``event``, and its fields.
+
+    The event ends at the first ';' or ':' of its first line. Fields are ``key=value``; a value goes up to the next key that the
+    program writes, so it may have blanks. ``error``, ``message`` and ``output`` come last and take the rest, line ends
+    included; text after ':' is the ``error`` of an event that failed, the ``output`` of any other."""
+    at = F.regexp_extract("record", K.LOG_PREFIX, 1)
+    body = F.when(at != "", F.substr("record", F.length(at) + 2)).otherwise(F.col("record"))
+    split = records.select("*", at.alias("_at"), body.alias("_body")).select(
+        "*", F.regexp_extract("_body", r"(?s)^([^;:\n]*)(?:; |: ?|\z|\n)", 1).alias("event"))
+    after = F.substr("_body", F.length("event") + 1)
+    free = rf"(?s)\A(.*?)\s({'|'.join(K.LOG_FREE_KEYS)})=(.*)\z"
+    split = split.withColumn("_rest", F.when(after.startswith(";"), F.concat(F.lit(" "), F.substr(after, F.lit(2)))).otherwise(F.lit("")))
+    split = split.withColumn("_free", F.regexp_extract("_rest", free, 2))
+    split = split.withColumns({
+        "_head": F.when(F.col("_free") != "", F.regexp_extract("_rest", free, 1)).otherwise(F.col("_rest")),
+        "_text": F.when(F.col("_free") != "", F.regexp_extract("_rest", free, 3))
+                  .when(after.startswith(":"), F.regexp_replace(F.substr(after, F.lit(2)), r"\A[ \n]", "")).otherwise(F.lit(""))})
+    failed = F.col("_free").isin("", "error") & ((F.col("_free") == "error") | F.col("event").endswith("failed"))
+    keys = {k: F.regexp_extract("_head", rf"(?s)\s{k}=(.*?)(?=\s+(?:{'|'.join(K.LOG_KEYS)})=|\s*\z)", 1) for k in K.LOG_KEYS}
+    text = lambda key, cond: F.when(cond, F.col("_text")).otherwise(F.lit("")).alias(key)
+    numbers = ("characters", "progress")
+    columns = [(v.try_cast("bigint") if k in numbers else v).alias(k) for k, v in keys.items()]
+    return split.select(
+        F.unix_micros(F.try_to_timestamp("_at", F.lit(K.LOG_TIME))).alias("at_us"), "event", *columns, text("error", failed),
+        text("message", F.col("_free") == "message"), text("output", ~failed & (F.col("_free") != "message")))
 
 
 #: Outcomes that a run counts while it is written; any other one counts as ``OTHER``.

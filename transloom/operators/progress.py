@@ -8,7 +8,7 @@ which combine partially before their shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from transloom import constants as K
@@ -77,13 +77,22 @@ def latest_status(status: DataFrame) -> DataFrame:
 
 
 def log_tail(log: DataFrame, chars: int, block: int = 1 << 12) -> DataFrame:
-    """``(log_id, tail_text)``: the end of each log's lines, joined by LF. Each block of lines gives its own
-    end first, so no log is gathered whole; ``chars`` and the separators are all that is kept."""
-    def joined(what: str) -> F.Column:
-        rows = F.array_sort(F.collect_list(F.struct("n", what)))
-        return F.right(F.array_join(F.transform(rows, lambda r: r[what]), "\n"), F.lit(2 * chars))
-    ends = log.groupBy("log_id", F.floor(F.col("n") / block).alias("_blk")).agg(joined("line").alias("line"))
-    return ends.withColumnRenamed("_blk", "n").groupBy("log_id").agg(joined("line").alias("tail_text"))
+    """``(log_id, tail_text)``: the last ``2 * chars`` characters of each log's lines, joined by LF.
+
+    The lengths decide first what can contribute: of each log the blocks of lines that the characters after them don't
+    fill, of those the lines. So no more than that is gathered in one row, however long a line or a log is."""
+    enough, at_end = 2 * chars, Window.partitionBy("log_id").rowsBetween(Window.unboundedPreceding, -1)
+    cut = log.select("log_id", F.col("n"), F.floor(F.col("n") / block).alias("_blk"), F.right(F.col("line"), F.lit(enough)).alias("line"))
+    size = F.length("line") + 1
+    sizes = log.groupBy("log_id", F.floor(F.col("n") / block).alias("_blk")).agg(
+        F.sum(F.least(F.length("line"), F.lit(enough)) + 1).alias("_size"))
+    after = F.coalesce(F.sum("_size").over(at_end.orderBy(F.col("_blk").desc())), F.lit(0))
+    wanted = sizes.select("log_id", "_blk", after.alias("_after")).where(F.col("_after") <= enough)
+    within = Window.partitionBy("log_id", "_blk").orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    lines = cut.join(wanted, ["log_id", "_blk"]).withColumn("_after", F.col("_after") + F.coalesce(F.sum(size).over(within), F.lit(0)))
+    rows = F.array_sort(F.collect_list(F.struct("n", "line")))
+    return lines.where(F.col("_after") <= enough).groupBy("log_id").agg(
+        F.right(F.array_join(F.transform(rows, lambda r: r["line"]), "\n"), F.lit(enough)).alias("tail_text"))
 
 
 def download_outcome(log: DataFrame, chars: int = 1200) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from transloom import constants as K
-from transloom.functions.json import absent, allow_repeated_keys, boxed, kind, object_or_absent, string, string_or_absent, unboxed
+from transloom.functions.json import absent, allow_repeated_keys, boxed, kind, object_or_absent, plain_keys, string, string_or_absent, unboxed
 from transloom.functions.text import byte_cut, endpoint, go_trim
 from transloom.sources import dims
 
@@ -21,6 +21,10 @@ OK, PARSE_ERROR, NO_TRANSLATION, STREAM_ERROR, HTTP_ERROR, NO_STATUS, REPLY_TOO_
     "OK", "PARSE_ERROR", "NO_TRANSLATION", "STREAM_ERROR", "HTTP_ERROR", "NO_STATUS", "REPLY_TOO_LARGE")
 
 
+#: Names that replies are read by, in any case.
+REPLY_KEYS = ("choices", "message", "content", "delta", "error")
+
+
 # ---------------------------------------------------------------------------
 # Request rows
 # ---------------------------------------------------------------------------
@@ -159,7 +163,8 @@ def _event_rows(routed: DataFrame) -> DataFrame:
         F.when(stream, sse_events_of(F.col("body"))).otherwise(F.array("body"))).alias("ev", "raw"))
     ev = ev.withColumn("data", F.when(stream, event_data(F.col("raw"))).otherwise(F.col("raw")))
     ev = ev.withColumn("d", F.when(stream, go_trim("data")).otherwise(F.col("data"))).drop("raw")
-    ev = ev.withColumn("_box", boxed("d")).withColumn("v", unboxed(F.col("_box"))).drop("_box")
+    ev = ev.withColumn("_d", plain_keys("d", *REPLY_KEYS)).withColumn("_box", boxed("_d")) \
+        .withColumn("v", unboxed(F.col("_box"))).drop("_box", "_d")
     ev = _checked(ev, "v")
     skip = stream & (F.col("data").isNull() | (F.col("d") == ""))
     message, content = string(F.col("v"), "$.choices[0].message.content"), string(F.col("v"), "$.choices[0].delta.content")

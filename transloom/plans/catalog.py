@@ -6,11 +6,13 @@ Column names match the DuckDB oracle in ``plans.oracle``.
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from transloom import constants as K
 from transloom.functions import text as T
 from transloom.functions import tokens as TK
 from transloom.operators import admission as adm
@@ -19,6 +21,7 @@ from transloom.operators import memory as tm
 from transloom.operators.settings import model_catalog, normalize_settings
 from transloom.operators.translate import round_trip, translate_requests, translate_segments
 from transloom.plans.corpus import audit_rows, translate_corpus
+from transloom.session import ensure_checkpoint_dir
 from transloom.sources import fixtures as fx
 from transloom.sources import requests as rq
 from transloom.sources.tables import table
@@ -364,7 +367,13 @@ def length_profile(spark, d):
 
 @query
 def audit_log_parse(spark, d):
-    return audit.parse_log_lines(audit.log_lines(audit_rows(_results(spark, d, audit=True))))
+    """The run's log and the download's, written as the program writes them, read back."""
+    lines = audit.log_lines(audit_rows(_results(spark, d, audit=True))).select("line", (F.col("n_chars") * 1000 + F.col("n")).alias("us"))
+    downloads = fx.download_lines(table(spark, d, "events"))
+    path = f"{ensure_checkpoint_dir(spark)}/log-{uuid.uuid4().hex}"
+    audit.log_text(lines.unionByName(downloads), F.timestamp_micros(F.lit(K.EPOCH_2026_US) + F.col("us"))).write.text(path)
+    found = audit.parse_records(audit.log_records(audit.read_log(spark, path)))
+    return found.select("at_us", "event", "provider", "source", "target", "characters", "model", "progress", "error", "message", "output")
 
 
 # Registered names that differ from the function name (avoid shadowing imports).

@@ -255,7 +255,7 @@ SSE_BODY = f"""(CASE doc_id % 7
   WHEN 3 THEN array_to_string(list_transform({_W}, lambda w: {_reply_delta("w")}), '') || {lit('data: {"choices":[]} and more' + chr(10) * 2)}
   WHEN 4 THEN array_to_string(list_transform({_W}, lambda w: {_reply_delta("w")}), '') || {lit("data: [DONE]" + chr(10) * 2)}
       || {lit('data: {"error":{"message":"late"}}' + chr(10) * 2)}
-  WHEN 5 THEN array_to_string(list_transform({_W}, lambda w: 'data: {{"choices":[{{"message":{{"content":"' || w || ' "}}}}]}}'),
+  WHEN 5 THEN array_to_string(list_transform({_W}, lambda w: 'data: {{"choices":[{{"message":{{"CONTENT":"' || w || ' "}}}}]}}'),
       {lit(chr(10) * 2)})
   ELSE {lit('data: {"choices":[]}' + chr(10) * 2)} || array_to_string(list_transform({_W}, lambda w:
       {lit('data: {"error":null,"choices":[{"delta":' + chr(10) + 'data: {"content":"')} || w || {lit(' "}}]}' + chr(10) * 2)}), '')
@@ -275,29 +275,39 @@ replies AS (
     CASE doc_id % 5 WHEN 1 THEN 'Text/Event-Stream; charset=utf-8' WHEN 2 THEN 'application/json; charset=utf-8'
          WHEN 4 THEN 'text/html' ELSE 'application/json' END AS content_type,
     CASE WHEN doc_id % 19 <> 6 THEN CASE doc_id % 5
-      WHEN 0 THEN '{{"id":"r' || CAST(doc_id AS VARCHAR) || '","choices":[{{"index":0,"message":{{"role":"assistant","content":" '
-                  || array_to_string(words, ' ') || ' "}}}}]}}' || CASE WHEN doc_id % 4 = 1 THEN ' and more' ELSE '' END
+      WHEN 0 THEN CASE WHEN doc_id % 3 = 2 THEN '{{"Choices": [{{"MESSAGE":{{"Content" :" ' || array_to_string(words, ' ') || ' "}}}}]}}'
+             ELSE '{{"id":"r' || CAST(doc_id AS VARCHAR) || '","choices":[{{"index":0,"message":{{"role":"assistant","content":" '
+                  || array_to_string(words, ' ') || ' "}}}}]}}' || CASE WHEN doc_id % 4 = 1 THEN ' and more' ELSE '' END END
       WHEN 1 THEN {SSE_BODY}
       WHEN 2 THEN (CASE WHEN doc_id % 6 = 0 THEN '{{"choices":[{{"message":{{"content":"x"}}}},{{"message":{{"content":5}}}}]}}'
                    ELSE CASE doc_id % 3 WHEN 0 THEN '{{"choices":[]}}'
                    WHEN 1 THEN '{{"choices":[{{"message":{{"content":"  "}}}}]}}'
                    ELSE '{{"choices":[{{"message":{{"content":' || CAST(len(words) AS VARCHAR) || '}}}}]}}' END END)
-      WHEN 3 THEN (CASE doc_id % 3 WHEN 0 THEN '{{"error":{{"message":"  quota exceeded: ' || coalesce(words[1], '') || '  "}}}}'
-                   WHEN 1 THEN text ELSE '{{"error":{{"message":""}}}}' END)
+      WHEN 3 THEN (CASE WHEN doc_id % 3 <> 0 AND doc_id % 8 = 0 THEN '{{"Error":{{"Message":"case"}}}}'
+                   ELSE CASE doc_id % 3 WHEN 0 THEN '{{"error":{{"message":"  quota exceeded: ' || coalesce(words[1], '') || '  "}}}}'
+                   WHEN 1 THEN text ELSE '{{"error":{{"message":""}}}}' END END)
       ELSE '<html>' || array_to_string(words, ' ') || '</html>' END END AS body
   FROM rw WHERE doc_id % 11 <> 4
 )"""
 # the last attempt of each request, with an empty body for none
-LANDED = """
+def any_case(body: str) -> str:
+    """The names that replies are read by, in lower case."""
+    for key in ("choices", "message", "content", "delta", "error"):
+        body = f"""regexp_replace({body}, '"(?i:{key})"(\\s*:)', '"{key}"\\1', 'g')"""
+    return body
+
+
+LANDED = f"""
 landed AS (
-  SELECT request_id, attempt, http_status, content_type, coalesce(body, '') AS body FROM replies
+  SELECT request_id, attempt, http_status, content_type, {any_case("coalesce(body, '')")} AS body FROM replies
   QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY attempt DESC) = 1
 )"""
 
 
 def landed(where: str) -> str:
     """The last attempt among the replies that a query looks at."""
-    return (f"landed AS (SELECT request_id, attempt, http_status, content_type, coalesce(body, '') AS body FROM replies "
+    body = any_case("coalesce(body, '')")
+    return (f"landed AS (SELECT request_id, attempt, http_status, content_type, {body} AS body FROM replies "
             f"WHERE {where} QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY attempt DESC) = 1)")
 
 
@@ -809,14 +819,25 @@ FROM audit_rows GROUP BY provider, model, status"""
 SELECT lang, count(*) AS n_docs, CAST(sum(CASE WHEN n > {K.MAX_CHARS} THEN 1 ELSE 0 END) AS BIGINT) AS n_over_limit,
   max(n) AS max_chars, CAST(sum(n) AS BIGINT) AS total_chars, quantile_disc(n, 0.5) AS median_chars
 FROM (SELECT lang, length({trim("text")}) AS n FROM documents) d GROUP BY lang"""
+    nothing = "'' AS provider, '' AS source, '' AS target, CAST(NULL AS BIGINT) AS characters"
+    dl_model = f"CASE WHEN user_id % 2 = 0 THEN {lit(K.DEFAULT_LOCAL_MODEL)} ELSE 'my own model' END"
     q["audit_log_parse"] = f"""{_audit_rows()},
-t AS (SELECT * FROM audit_rows WHERE status NOT IN ('REFUSED', 'EMPTY', 'DIRECT', 'SETTINGS_ERROR'))
-SELECT request_id, CAST(0 AS BIGINT) AS n, 'translation started' AS event, provider, source, target, CAST(n_chars AS BIGINT) AS characters,
-  '' AS model, '' AS error FROM t
+t AS (SELECT * FROM audit_rows WHERE status NOT IN ('REFUSED', 'EMPTY', 'DIRECT', 'SETTINGS_ERROR')),
+e AS (SELECT *, CAST((CAST(floor(value) AS BIGINT) % 5) * 25 AS BIGINT) AS p, event_id % 5 AS k FROM events)
+SELECT {K.EPOCH_2026_US} + n_chars * 1000 AS at_us, 'translation started' AS event, provider, source, target, CAST(n_chars AS BIGINT) AS characters,
+  '' AS model, CAST(NULL AS BIGINT) AS progress, '' AS error, '' AS message, '' AS output FROM t
+UNION ALL
+SELECT {K.EPOCH_2026_US} + n_chars * 1000 + 1, (CASE WHEN provider = 'llm' THEN 'LLM' ELSE 'local' END) ||
+    (CASE WHEN status = 'OK' THEN ' translation completed' ELSE ' translation failed' END), {nothing}, model, NULL,
+  CASE WHEN status = 'OK' THEN '' ELSE error END, '', '' FROM t WHERE status <> 'PAIR_UNSUPPORTED'
 UNION ALL
-SELECT request_id, CAST(1 AS BIGINT), (CASE WHEN provider = 'llm' THEN 'LLM' ELSE 'local' END) ||
-    (CASE WHEN status = 'OK' THEN ' translation completed' ELSE ' translation failed' END),
-  '', '', '', NULL, regexp_extract(model, '^[^ ;]*'), CASE WHEN status = 'OK' THEN '' ELSE error END FROM t WHERE status <> 'PAIR_UNSUPPORTED'"""
+SELECT {K.EPOCH_2026_US} + event_id * 7, CASE k WHEN 0 THEN 'model download output' WHEN 1 THEN 'model download stdout' WHEN 2 THEN 'model download failed'
+    WHEN 3 THEN 'runtime installer output' ELSE 'runtime preparation failed' END, {nothing}, CASE WHEN k < 3 THEN {dl_model} ELSE '' END,
+  CASE WHEN k = 0 THEN p END,
+  CASE k WHEN 2 THEN 'exit status 1' || chr(10) || 'last: ' || event_type WHEN 4 THEN event_type || ': no python' ELSE '' END,
+  CASE WHEN k = 0 THEN 'at ' || CAST(p AS VARCHAR) || '; model=x error=none' ELSE '' END,
+  CASE k WHEN 1 THEN 'first' || chr(10) || chr(10) || '  second; error=2 ' || event_type WHEN 3 THEN event_type || chr(13) || chr(10) || 'done' ELSE '' END
+FROM e"""
     return q
 
 

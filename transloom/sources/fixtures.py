@@ -172,7 +172,7 @@ def sse_body(words: Column, variant: Column) -> Column:
             .when(variant == 3, F.concat(plain, F.lit('data: {"choices":[]} and more\n\n')))
             .when(variant == 4, F.concat(plain, F.lit("data: [DONE]\n\n"),
                                          F.lit('data: {"error":{"message":"late"}}\n\n')))
-            .when(variant == 5, message)
+            .when(variant == 5, F.replace(message, F.lit('"content"'), F.lit('"CONTENT"')))
             .otherwise(multiline))
 
 
@@ -201,6 +201,8 @@ def _first_replies(documents: DataFrame) -> DataFrame:
     ok_json = F.concat(F.lit('{"id":"r'), _s(d), F.lit('","choices":[{"index":0,"message":{"role":"assistant",'
                                                        '"content":" '), joined, F.lit(' "}}]}'))
     ok_json = F.when(d % 4 == 1, F.concat(ok_json, F.lit(" and more"))).otherwise(ok_json)
+    cased = F.concat(F.lit('{"Choices": [{"MESSAGE":{"Content" :" '), joined, F.lit(' "}}]}'))  # names in another case
+    ok_json = F.when(d % 3 == 2, cased).otherwise(ok_json)
     odd_json = (F.when(d % 6 == 0, F.lit('{"choices":[{"message":{"content":"x"}},{"message":{"content":5}}]}'))
                 .when(d % 3 == 0, F.lit('{"choices":[]}'))
                 .when(d % 3 == 1, F.lit('{"choices":[{"message":{"content":"  "}}]}'))
@@ -208,6 +210,7 @@ def _first_replies(documents: DataFrame) -> DataFrame:
                                     F.lit("}}]}"))))
     error_body = (F.when(d % 3 == 0, F.concat(F.lit('{"error":{"message":"  quota exceeded: '),
                                               F.coalesce(F.try_element_at(words, F.lit(1)), F.lit("")), F.lit('  "}}')))
+                  .when(d % 8 == 0, F.lit('{"Error":{"Message":"case"}}'))
                   .when(d % 3 == 1, F.col("text"))
                   .otherwise(F.lit('{"error":{"message":""}}')))
     body = (F.when(k == 0, ok_json).when(k == 1, sse_body(words, d % 7)).when(k == 2, odd_json)
@@ -269,6 +272,20 @@ def progress_log(events: DataFrame) -> DataFrame:
     )
 
 
+def download_lines(events: DataFrame) -> DataFrame:
+    """``(line, us)``: what the program logs of downloads: progress with a free message, output of several lines, failures."""
+    e = F.col("event_id")
+    model = F.when(F.col("user_id") % 2 == 0, F.lit(K.DEFAULT_LOCAL_MODEL)).otherwise(F.lit("my own model"))  # names may have blanks
+    p = _progress_p(F.col("value"))
+    line = (F.when(e % 5 == 0, F.concat(F.lit("model download output; model="), model, F.lit(" progress="), _s(p), F.lit(" message=at "), _s(p),
+                                        F.lit("; model=x error=none")))
+            .when(e % 5 == 1, F.concat(F.lit("model download stdout; model="), model, F.lit(" output=first\n\n  second; error=2 "), F.col("event_type")))
+            .when(e % 5 == 2, F.concat(F.lit("model download failed; model="), model, F.lit(" error=exit status 1\nlast: "), F.col("event_type")))
+            .when(e % 5 == 3, F.concat(F.lit("runtime installer output:\n"), F.col("event_type"), F.lit("\r\ndone")))
+            .otherwise(F.concat(F.lit("runtime preparation failed: "), F.col("event_type"), F.lit(": no python"))))
+    return events.select(line.alias("line"), (e * 7).alias("us"))
+
+
 def log_blobs(events: DataFrame) -> DataFrame:
     """One stderr blob per event with CR, LF and CRLF record ends."""
     e = F.col("event_id")
