@@ -6,11 +6,13 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tests.llm.conftest import SF, awkward_rows
+from tests.llm.conftest import SENTENCE, SF, awkward_rows
+from transloom.llm.common import once_each
 from transloom.llm import (decontaminate, language_id, line_dedup, lm_scoring, packing, pii, quality, registry, sharding,
                            simhash, url_filters)
 
@@ -252,6 +254,24 @@ def shingle_set(t, n=5):
     return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
 
 
+def windows(text):
+    """Shingles of a document, and its windows of one to four words, by which shorter items are found."""
+    w = split_words(lower(text or ""))
+    return shingle_set(text) | {" ".join(w[i:i + m]) for m in range(1, 5) for i in range(len(w) - m + 1)}
+
+
+def test_short_items_in_long_documents(spark, docs):
+    """An item of fewer words than a shingle is found wherever its words stand together."""
+    filler = " ".join(f"f{i}" for i in range(3000))
+    rows = [(1, f"{filler} The Answer Is {filler}"), (2, f"{filler} the answer was {filler}"), (3, "the answer is"), (4, "answer"),
+            (5, f"answer is the {filler}"), (6, None), (7, "one two three four"), (8, f"{filler} one two three four five")]
+    items = spark.createDataFrame([(1, "the answer is"), (2, "One two three four"), (3, "five"), (4, f"{filler[:50]} q")], "item_id long, text string")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contamination_report(df, items).collect()}
+    assert got == {(1, 1), (3, 1), (7, 2), (8, 2), (8, 3)} | {(d, 4) for d, t in rows if t and 10 * len(shingle_set(f"{filler[:50]} q") & shingle_set(t))
+                                                             >= 8 * len(shingle_set(f"{filler[:50]} q"))}
+
+
 def test_decontamination(spark, docs, awkward, empty):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     long_item = " ".join(f"w{i % 9973}x{i % 31}" for i in range(500, 560))
@@ -265,7 +285,7 @@ def test_decontamination(spark, docs, awkward, empty):
         for r in sorted(items.collect(), key=lambda r: r["item_id"]):
             if split_words(r["text"]):
                 texts.setdefault(tuple(split_words(lower(r["text"]))), (r["item_id"], shingle_set(r["text"])))
-        want = {(d, i) for d, t in rows_of(df) for i, q in texts.values() if 10 * len(q & shingle_set(t)) >= 8 * len(q)}
+        want = {(d, i) for d, t in rows_of(df) for i, q in texts.values() if 10 * len(q & windows(t)) >= 8 * len(q)}
         got = decontaminate.contamination_report(df, items).collect()
         assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want) and want
         left = decontaminate.drop_contaminated(df, items)
@@ -281,7 +301,7 @@ def test_decontamination(spark, docs, awkward, empty):
 def test_decontamination_without_broadcast(spark, docs, monkeypatch):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     want = sorted(map(tuple, decontaminate.contamination_report(docs, bench).select("doc_id", "item_id").collect()))
-    monkeypatch.setattr(decontaminate, "MAX_BROADCAST", 0)
+    monkeypatch.setattr(decontaminate, "MAX_BYTES", -1)
     assert sorted(map(tuple, decontaminate.contamination_report(docs, bench).select("doc_id", "item_id").collect())) == want
 
 
@@ -300,7 +320,45 @@ def test_language_id(spark, awkward, empty):
     assert language_id.predict(empty, content).count() == 0
 
 
+def test_language_id_by_brute_force(spark, docs):
+    """Each text against zstandard itself, at the same levels whatever its length."""
+    import zstandard
+    content = language_id.learn(docs)
+    assert set(content) == {r[0] for r in docs.select("lang").distinct().collect()} and all(len(c) <= language_id.DICT_BYTES for c in content.values())
+
+    def plain(text):
+        folded = re.sub(rb"[^a-z\x80-\xff]+", b" ", (text or "").lower().encode())
+        if not any(c.isalpha() for c in text or ""):
+            return "und", 0.0
+        sizes = []
+        for lang in sorted(content):
+            made = [zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(content[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT),
+                                             write_content_size=False, write_dict_id=False) for level in (7, 3)]
+            sizes.append(sum(len(c.compress(folded[i:i + 4096])) for c in made for i in range(0, len(folded), 4096)))
+        first, second = sorted(sizes)[:2]
+        return sorted(content)[sizes.index(first)], (second - first) / second
+
+    some = docs.where("doc_id % 4 = 0 or length(text) < 300")
+    got = {r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in language_id.predict(some, content).collect()}
+    assert got == {d: (plain(t)[0], round(plain(t)[1], 9)) for d, t in rows_of(some)}
+
+
+def test_language_dictionaries_take_every_sampled_text():
+    texts = ["a" * 10, "b" * 100_000, "c" * 500, "d" * 90_000]
+    content = language_id.fill(texts, 10_000)
+    assert 9_990 <= len(content) <= 10_000
+    assert [content.count(c) for c in (b"a", b"c")] == [10, 500] and abs(content.count(b"b") - content.count(b"d")) < 10
+    long = "".join(chr(97 + i // 1000) for i in range(20_000))
+    assert {c for c in language_id.spread(long, 4_000)} >= {"a", "t", "g"}  # its beginning, its end, and what lies between
+
+
 # --- op6 ----------------------------------------------------------------------------------------
+def test_url_of_great_length_and_null_id(spark):
+    rows = [(None, "http://example.com/en/" + "a/" * 60_000), (1, "http://" + "x." * 30_000 + "com/q"), (None, None)]
+    got = url_filters.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), registry.URL_RULES).collect()
+    assert Counter(map(tuple, got)) == Counter((i, *plain_verdict(u, registry.URL_RULES)) for i, u in rows)
+
+
 def plain_verdict(url, rules):
     url = url or ""
     rest = url.split("://", 1)[1] if "://" in url else ""
@@ -458,6 +516,44 @@ def test_quality_keeps_other_scripts(spark, text):
     assert row["kept"] and row["lost_share"] == 0
 
 
+ODD_TEXTS = {  # text -> whether it stays
+    "# Groceries\n\n" + "\n".join(f"- {w} from the shop behind the {x} for {y}" for w, x, y in zip(
+        ("bread", "milk", "plums", "cheese", "salt"), ("church", "bridge", "school", "mill", "park"), ("Ann", "Tom", "us", "them", "later"))): True,
+    "\n".join(f"{i}. {w} the {x} before {y} comes home" for i, (w, x, y) in enumerate(zip(
+        ("paint", "mend", "sell", "wash"), ("fence", "roof of the shed", "old car", "dog and the cat"), ("she", "winter", "spring", "father")))): True,
+    "\n".join(f"\t\tif value_{i} is not None and other_{i} != 0 or flag_{i}" for i in range(9)): False,  # code
+    "\n".join(["The curfew tolls the knell of parting day", "The lowing herd wind slowly o'er the lea",
+               "The ploughman homeward plods his weary way", "And leaves the world to darkness and to me"] * 2): False,  # verse
+    "\n".join(f"{i} tablespoons of olive oil and {i} cloves of garlic" for i in range(2, 9)): False,  # a list without markers
+    MOBY: True}
+
+
+@pytest.mark.parametrize("text", ODD_TEXTS)
+def test_quality_of_texts_that_are_no_prose(text):
+    assert quality.judge(text)[7] == ODD_TEXTS[text]
+
+
+def test_quality_twin_on_wrapped_and_odd_texts(spark):
+    """The twin in SQL has the same rules: lines, paragraphs, other scripts, lists."""
+    import textwrap
+
+    import duckdb
+
+    from transloom.llm.oracle import QUALITY
+    texts = [textwrap.fill(MOBY, c) for c in (30, 39, 41, 55, 80, 118, 125)] + CLEAN + list(ODD_TEXTS) + [
+        f"{textwrap.fill(MOBY, 60)}\n\nten ways to make the most of a weekend\nwhy nobody goes to the old harbour now\n\n{textwrap.fill(MOBY, 90)}",
+        "Home | About | Contact\n" + textwrap.fill(MOBY, 70) + "\nClick here for more of the same thing",
+        "a b c d e f\n" * 6, "", None, " \n\t\n", "ONE TWO THREE FOUR FIVE SIX SEVEN\n" + textwrap.fill(MOBY, 64).replace("\n", "\r\n")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    columns = ["doc_id", *quality.REPORT]
+    want = [tuple(r) for r in con.sql(f"SELECT {', '.join(columns)} FROM ({QUALITY}) ORDER BY doc_id").fetchall()]
+    got = [tuple(r) for r in quality.quality_report(docs).select(*columns).orderBy("doc_id").collect()]
+    assert [(*r[:7], round(r[7], 9), r[8]) for r in got] == [(*r[:7], round(r[7], 9), r[8]) for r in want]
+    assert {r[8] for r in got} == {True, False}
+
+
 def test_quality_still_drops_lines_without_an_end():
     heads = ["ten ways to make the most of a weekend", "why nobody goes to the old harbour now", "what the mayor has said about the bridge"]
     assert quality.line_faults(heads) == ["punctuation"] * 3  # a block without any sentence end
@@ -588,3 +684,56 @@ def test_capacity_tree():
             at = bisect.bisect_left(plain, size)
             got = tree.take(size)
             assert (got and got[0]) == (plain.pop(at) if at < len(plain) else None)
+
+
+# --- repeated rows ------------------------------------------------------------------------------
+def repeated_rows(spark):
+    """A row asked for a thousand times, ids shared by different texts, null ids."""
+    own = [(i, f"{SENTENCE}\nthis line number {i} is its own and long enough for a key") for i in range(12)]
+    rows = own + [(3, own[3][1])] * 1500 + [(None, f"{SENTENCE}\nnull text {i}") for i in range(400)] + [(77, f"{SENTENCE} {i}") for i in range(9)] * 4
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+
+
+def test_once_each(spark):
+    df = repeated_rows(spark)
+    one = once_each(df.withColumn("rid", F.xxhash64("text")), ["doc_id", "rid"], "t").collect()
+    want = Counter(map(tuple, df.collect()))
+    assert {(r["doc_id"], r["text"]): r["copies"] for r in one} == want and len(one) == len(want)
+
+
+def test_repeated_rows_in_lm_scoring(spark):
+    df = repeated_rows(spark)
+    fold = registry.crc_mod(F.col("doc_id"), 7)
+    out = lm_scoring.score_documents(df, held_out=fold == 2, deleted=fold == 6).collect()
+    got = sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in out)
+    assert got == plain_base(rows_of(df))
+    assert len({(r["doc_id"], r["n_tokens"], round(r["score"], 9)) for r in out if r["doc_id"] == 3}) == 1
+
+
+@pytest.mark.parametrize("held", [3, 100_000])
+def test_repeated_rows_in_line_dedup(spark, held, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HELD", held)
+    df = repeated_rows(spark)
+    rows = rows_of(df)
+    assert Counter(map(tuple, line_dedup.line_report(df).collect())) == plain_lines(rows)
+
+
+def test_runs_that_are_passed_on_undecided():
+    """A run with more records than may be held: what is dropped in the end is the same."""
+    rows = [(1, 1, doc, rid, pos) for doc in (9, 8, 7, 6, 5) for rid in range(6) for pos in (0, 2)] + [(2, 2, 4, 0, 0), (3, 3, 4, 0, 1)]
+    def decided(held, min_docs):
+        line_dedup.HELD = held
+        try:
+            out = pd.concat(line_dedup._stream([pd.DataFrame([(0, 0, 1, 0, 0)] + rows, columns=line_dedup._RECORD)], min_docs))
+        finally:
+            line_dedup.HELD = 100_000
+        gone = {tuple(r) for r in out[out["kind"] == "drop"][["doc", "rid", "pos"]].itertuples(index=False)}
+        edges = out[out["kind"] != "drop"]
+        for _, run in edges.groupby(["h1", "h2"]):
+            if run["n_docs"].sum() >= min_docs:
+                top = run["doc"].max()
+                gone |= {tuple(r) for r in run[(run["kind"] == "open") & (run["doc"] != top)][["doc", "rid", "pos"]].itertuples(index=False)}
+        return gone
+    want = {r[2:] for r in rows[:-2] if r[2] != 9}
+    assert decided(100_000, 5) == decided(4, 5) == decided(20, 5) == want
+    assert decided(100_000, 6) == decided(4, 6) == set()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import string
 import uuid
@@ -61,6 +62,19 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(i, rows)
 
 
+def once_each(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """``rows`` with each repeated row (equal in ``keys``, which decide all other columns) once, ``copies`` telling how often it
+    was there. Only keys are counted, and only rows that are repeated are grouped, after a partial aggregate where they
+    are read; rows of their own stay where they are."""
+    cond = lambda left, right: functools.reduce(
+        lambda a, k: a & left[k].eqNullSafe(right[f"__{k}"]), keys, F.lit(True))
+    again = cut(rows.groupBy(*keys).count().where("count > 1").select(*[F.col(k).alias(f"__{k}") for k in keys]), label)
+    rest = [F.any_value(c).alias(c) for c in rows.columns if c not in keys]
+    repeated = rows.join(again, cond(rows, again), "left_semi").groupBy(*keys).agg(*rest, F.count("*").alias("copies"))
+    own = rows.join(again, cond(rows, again), "left_anti").withColumn("copies", F.lit(1).cast("bigint"))
+    return own.unionByName(repeated.select(*own.columns))
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder of ``spark.checkpoint.dir`` and read it back.
 

@@ -8,8 +8,11 @@ Texts are folded first (lower case, runs without letters become one space), so t
 shouting do not count as language.
 
 The dictionaries are fitted on a bounded sample of labelled rows: at most ``sample_docs`` documents of each
-language, those with the smallest hash, at most ``sample_chars`` characters of each, ``dict_bytes`` in all.
-Prediction reads whole texts, per document, without a shuffle.
+language, those with the smallest hash; of each an equal share of ``dict_bytes``, taken as ``SLICES`` pieces spread over the
+whole text (a shorter text whole, what it leaves goes to the others). So the bound that acts is ``dict_bytes`` per language, and every sampled
+document is in it. At most ``max_langs`` languages are learned, those with the most labelled rows: prediction costs one
+compression for each. Prediction reads whole texts, per document, without a shuffle; all texts are measured alike, at the
+same levels.
 
 Edge cases: null text, or a text without a letter: ``und``, score 0. Equal sizes go to the language that is
 first in order of name. Without any labelled row every text is ``und``. With one learned language every text
@@ -27,14 +30,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from transloom.llm.common import slices
+from transloom.session import ship_package
 
 SAMPLE_DOCS = 200
-SAMPLE_CHARS = 6_000
+SLICES = 4
+MAX_LANGS = 256
 DICT_BYTES = 128 * 1024
 BLOCK_BYTES = 4_096
-LEVEL = 7
-#: Texts up to this many folded bytes are compressed at a second level too: their sizes often tie.
-SHORT_BYTES, SHORT_LEVEL = 400, 3
+#: Every text is compressed at each of these levels and the sizes are added: short texts often tie at one.
+LEVELS = (7, 3)
 #: Below this relative distance to the runner-up a prediction is flagged as rejected.
 NARROW = 0.02
 
@@ -45,26 +49,48 @@ def fold(text: str) -> bytes:
     return _NO_LETTER.sub(b" ", text.lower().encode("utf-8", "surrogatepass"))
 
 
+def spread(text: str, chars: int, slices: int = SLICES) -> str:
+    """About ``chars`` characters of a text: it whole, or equal pieces from its beginning to its end."""
+    if len(text) <= chars:
+        return text
+    size = max(1, chars // slices)
+    return " ".join(text[i * (len(text) - size) // max(1, slices - 1):][:size] for i in range(slices))
+
+
 def learn(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS,
-          dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
-    """Dictionary content by language. Only ``sample_docs`` short pieces of each language reach the driver."""
+          sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES, max_langs: int = MAX_LANGS) -> dict[str, bytes]:
+    """Dictionary content by language. Of each language ``sample_docs`` texts, cut to ``dict_bytes`` in all, reach the driver."""
     rows = labelled.where(F.col(lang_col).isNotNull() & (F.length(F.col(text_col)) > 0))
-    counts = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).alias("lang")).count().collect()}
+    largest = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    counts = {r[0]: r[1] for r in largest}
     if not counts:
         return {}
     rate = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4 * sample_docs / n))]),
                         F.col(lang_col))
     mark = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).bitwiseAND(0x7FFFFFFF)
-    best = Window.partitionBy("lang").orderBy("mark", "piece")
-    drawn = rows.select(F.col(lang_col).alias("lang"), mark.alias("mark"), rate.alias("rate"),
-                        F.substring(F.col(text_col), 1, sample_chars).alias("piece")) \
+    best = Window.partitionBy("lang").orderBy("mark", "text")
+    drawn = rows.select(F.col(lang_col).alias("lang"), mark.alias("mark"), rate.alias("rate"), F.col(text_col).alias("text")) \
         .where(F.col("mark") < F.col("rate") * float(1 << 31)) \
         .withColumn("place", F.row_number().over(best)).where(F.col("place") <= sample_docs)
-    content: dict[str, list[bytes]] = {}
-    for r in drawn.select("lang", "place", "piece").orderBy("lang", "place").collect():
-        content.setdefault(r["lang"], []).append(fold(r["piece"]))
-    return {k: b" ".join(v)[:dict_bytes] for k, v in content.items()}
+    # no text needs to move more than a whole dictionary
+    size, piece = F.length("text"), max(1, dict_bytes // SLICES)
+    spread_out = F.concat_ws(" ", *[F.substr("text", (F.floor((size - piece) * i / (SLICES - 1)) + 1).cast("int"), F.lit(piece))
+                                    for i in range(SLICES)])
+    drawn = drawn.select("lang", "place", F.when(size <= dict_bytes, F.col("text")).otherwise(spread_out).alias("text"))
+    texts: dict[str, list[str]] = {}
+    for r in drawn.orderBy("lang", "place").toLocalIterator():
+        texts.setdefault(r["lang"], []).append(r["text"])
+    return {k: fill(v, dict_bytes) for k, v in texts.items()}
+
+
+def fill(texts: list[str], dict_bytes: int) -> bytes:
+    """Dictionary content: an equal share of each text, what short ones leave shared among the longer ones."""
+    out, left = {}, dict_bytes
+    for done, i in enumerate(sorted(range(len(texts)), key=lambda i: len(texts[i]))):
+        share = left // (len(texts) - done)
+        out[i] = fold(spread(texts[i], share))[:share]
+        left -= len(out[i])
+    return b" ".join(out[i] for i in range(len(texts)))[:dict_bytes]
 
 
 class Identifier:
@@ -72,8 +98,7 @@ class Identifier:
 
     def __init__(self, content: dict[str, bytes]):
         self.langs = sorted(content)
-        self.by_level = {level: [self._compressor(content[k], level) for k in self.langs]
-                         for level in (LEVEL, SHORT_LEVEL)}
+        self.compressors = [[self._compressor(content[k], level) for level in LEVELS] for k in self.langs]
 
     @staticmethod
     def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
@@ -87,10 +112,8 @@ class Identifier:
         if not text or not self.langs or not any(map(str.isalpha, text)):
             return "und", 0.0
         folded = fold(text)
-        levels = (LEVEL, SHORT_LEVEL) if len(folded) <= SHORT_BYTES else (LEVEL,)
         blocks = [folded[i:i + BLOCK_BYTES] for i in range(0, len(folded), BLOCK_BYTES)]
-        sizes = [sum(len(self.by_level[level][k].compress(b)) for level in levels for b in blocks)
-                 for k in range(len(self.langs))]
+        sizes = [sum(len(c.compress(b)) for c in own for b in blocks) for own in self.compressors]
         order = sorted(range(len(sizes)), key=sizes.__getitem__)
         if len(order) == 1:
             return self.langs[0], 1.0
@@ -101,6 +124,7 @@ class Identifier:
 def predict(docs: DataFrame, content: dict[str, bytes], *, id_col: str = "doc_id", text_col: str = "text",
             narrow: float = NARROW, extra: dict[str, Column] | None = None) -> DataFrame:
     """One row per document: id, the ``extra`` columns, lang_pred, score in [0, 1], rejected."""
+    ship_package(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(content)
     extra = extra or {}
 

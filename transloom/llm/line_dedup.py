@@ -8,10 +8,13 @@ back is a compressed bitmap of kept lines for each document that loses any, not
 Only a partition's first and last hash can go on in a neighbour. Their records are passed on undecided; the
 counts and the largest document of these hashes (two at most for each partition, hence a proven bound) are summed
 and broadcast. A line that a third of all documents share therefore spreads over as many partitions as its records
-need, and no group is held in memory: a run keeps ``min_docs`` documents' records at most.
+need, and no group is held in memory: a run keeps ``HELD`` records at most, and passes them on undecided beyond that.
+
+Rows of one id and text are read once (``once_each``): a row repeated a million times costs one record a line.
 
 Edge cases: a null or empty text is one empty line; a null id counts as smaller than any other and as one document;
-rows that share an id count as one document, and each row with its own text gets its own bitmap; a line repeated in
+rows that share an id count as one document, whose records of a line go to one task, and each row with its own text
+gets its own bitmap; a line repeated in
 one document counts once for it, and all its places go or stay together; an empty table gives no rows; other
 columns are ignored by ``line_report`` and kept by ``drop_lines``.
 """
@@ -29,13 +32,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from transloom.llm.common import WHITE_CHARS, cut, lower_ascii, pieces, slices, text_bytes, width
+from transloom.llm.common import WHITE_CHARS, cut, lower_ascii, once_each, pieces, slices, text_bytes, width
+from transloom.session import ship_package
 
 MIN_CHARS = 40
 MIN_DOCS = 5
 #: Bytes of text for each range of line records.
 RANGE_BYTES = 64 << 20
 NO_ID = -(1 << 63)
+#: Records of a run that wait for its count.
+HELD = 100_000
 
 _RECORD = ["h1", "h2", "doc", "rid", "pos"]
 _OUT = "kind string, h1 bigint, h2 bigint, doc bigint, rid bigint, pos int, n_docs bigint"
@@ -47,29 +53,34 @@ def line_key(line: Column) -> Column:
 
 def line_records(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("rid"),
-                        F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("rid"), text.alias("t"))
+    lines = once_each(rows, ["doc", "rid"], "repeated").select("doc", "rid", F.posexplode(F.split("t", "\n", -1)).alias("pos", "line"))
     keyed = lines.select("doc", "rid", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     # xxhash64 seeds each column's hash with the one before: the constant comes first, so that h2 is the key's under another seed
     return keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc", "rid", "pos")
 
 
 def _stream(batches: Iterable[pd.DataFrame], min_docs: int) -> Iterator[pd.DataFrame]:
-    """Sorted records of one partition; emits dropped records, undecided records, and a note on the last hash."""
-    key, first_run, held = None, True, []
+    """Sorted records of one partition; emits dropped records, undecided records, and a note on the last hash. The largest
+    document's records never go and are not held."""
+    key, open_run, held = None, True, []
     n_docs, top, last_doc = 0, None, None
     for pdf in batches:
         out: list[tuple] = []
         for h1, h2, doc, rid, pos in zip(*(pdf[c].tolist() for c in _RECORD)):
             if (h1, h2) != key:
-                first_run = key is None
+                open_run = key is None
                 key, held, n_docs, top, last_doc = (h1, h2), [], 0, doc, None
             new = doc != last_doc
             n_docs, last_doc = n_docs + new, doc
-            if first_run:
+            if open_run:
                 out.append(("open", h1, h2, doc, rid, pos, int(new)))
             elif n_docs < min_docs:
-                held.append((doc, rid, pos, int(new)))
+                if doc != top or new:  # one record of the largest document tells that it is there
+                    held.append((doc, rid, pos, int(new)))
+                if len(held) > HELD:
+                    out.extend(("open", h1, h2, *x) for x in held)
+                    held, open_run = [], True
             else:
                 out.extend(("drop", h1, h2, d, r, p, 0) for d, r, p, _ in held if d != top)
                 held = []
@@ -77,7 +88,7 @@ def _stream(batches: Iterable[pd.DataFrame], min_docs: int) -> Iterator[pd.DataF
                     out.append(("drop", h1, h2, doc, rid, pos, 0))
         if out:
             yield pd.DataFrame(out, columns=["kind", *_RECORD, "n_docs"])
-    if key is not None and not first_run:
+    if key is not None and not open_run:
         rest = [("open", *key, d, r, p, new) for d, r, p, new in held] if n_docs < min_docs else \
             [("note", *key, top, 0, 0, n_docs)]
         yield pd.DataFrame(rest, columns=["kind", *_RECORD, "n_docs"])
@@ -87,6 +98,7 @@ def dropped_records(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc, rid, pos) of each line that goes."""
     spark = docs.sparkSession
+    ship_package(spark)
     n = width(spark, pieces(text_bytes(docs, text_col), RANGE_BYTES))
     # written first: the range partitioner reads its input twice, and texts should be split once
     records = cut(line_records(docs, id_col, text_col, min_chars), "records")
@@ -95,7 +107,7 @@ def dropped_records(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     streamed = cut(ordered.mapInPandas(lambda it: _stream(it, min_docs), _OUT), "lines")
     at_edges = streamed.where(F.col("kind") != "drop")
     verdict = at_edges.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_all"), F.max("doc").alias("top")) \
-        .where(F.col("n_all") >= min_docs)  # at most two hashes for each partition
+        .where(F.col("n_all") >= min_docs)  # two hashes for each partition, and one for HELD records at most
     resolved = at_edges.where(F.col("kind") == "open").join(F.broadcast(verdict), ["h1", "h2"]) \
         .where(F.col("doc") != F.col("top"))
     return streamed.where(F.col("kind") == "drop").select("doc", "rid", "pos").unionByName(
@@ -147,6 +159,7 @@ def line_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                  pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t, _ in kept], pa.string())],
                 names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
+    ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     joined = _with_bitmaps(rows, "doc_id", "text", options)
     return joined.select("doc_id", "text", F.coalesce("__n_dropped", F.lit(0)).cast("bigint").alias("n"), "__keep") \
@@ -155,6 +168,7 @@ def line_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 def drop_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents, all columns, without the lines that go. Texts that lose nothing stay as they are."""
+    ship_package(docs.sparkSession)
     names = docs.columns
     at = names.index(text_col)
 

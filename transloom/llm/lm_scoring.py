@@ -9,7 +9,9 @@ scores then use the counts of all training documents.
 Documents are dealt by hash into blocks. A block sends each different n-gram once, as a 64-bit hash with its counts,
 to the range of hashes it belongs to; there the blocks' counts are summed and the sums go back, in the same order, to
 the blocks that asked. So a frequent n-gram costs one number per block, not one per occurrence, and no task holds
-more than a block or a range; both have a fixed size and their number follows the input. What EM needs is tallied
+more than a block or a range; both have a fixed size and their number follows the input (a text that is longer than a
+block is a block of its own). Repeated rows are told once, with their number (``once_each``), and counted and scored as
+often. What EM needs is tallied
 into cells (bucket, logarithms of the estimates in steps of 1/8), a table bounded by the grid, not by the corpus; only
 that reaches the driver. The weights are fitted on the cells' centres, the scores are computed from exact counts.
 
@@ -35,7 +37,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from transloom.llm.common import cut, pieces, width
+from transloom.llm.common import cut, once_each, pieces, width
+from transloom.session import ship_package
 
 ORDER = 2
 BLOCK_BYTES = 12 << 20
@@ -95,10 +98,10 @@ class Block:
     def is_token(self) -> np.ndarray:
         return self.by_hash < self.n_tokens
 
-    def tally(self, of: np.ndarray) -> np.ndarray:
-        """Occurrences of each different n-gram in documents where ``of`` holds."""
-        on = np.repeat(of, self.sizes)
-        return sum(np.bincount(p[on], minlength=len(self.asked)) for p in self.places).astype(np.int64)
+    def tally(self, times: np.ndarray) -> np.ndarray:
+        """Occurrences of each different n-gram, each document counted so many times."""
+        on = np.repeat(times, self.sizes)
+        return sum(np.bincount(p, on, len(self.asked)) for p in self.places).astype(np.int64)
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -121,8 +124,9 @@ def _asker(order: int, n_ranges: int):
     hold them, how often deleted ones do, and which are single tokens."""
     def run(docs: pa.Table) -> pa.Table:
         held = Block(docs["text"].to_pylist(), order)
-        n_all = held.tally(docs["trains"].to_numpy())
-        n_del = held.tally(docs["deleted"].to_numpy())
+        copies = docs["copies"].to_numpy()
+        n_all = held.tally(docs["trains"].to_numpy() * copies)
+        n_del = held.tally(docs["deleted"].to_numpy() * copies)
         token = held.is_token()
         edges = np.searchsorted(_ranges(held.asked, n_ranges), np.arange(n_ranges + 1))
         parts = np.flatnonzero(np.diff(edges))
@@ -162,7 +166,7 @@ ROW_DOCS = 256
 
 
 def _counted(order: int) -> str:
-    return ", ".join(["doc_id array<bigint>, held_out array<boolean>, deleted boolean, sizes binary",
+    return ", ".join(["doc_id array<bigint>, held_out array<boolean>, copies array<bigint>, deleted boolean, sizes binary",
                       *(f"c{k} binary" for k in range(order)), *(f"d{k} binary" for k in range(order)),
                       "tokens bigint, types bigint, kept_tokens bigint"])
 
@@ -170,8 +174,8 @@ def _counted(order: int) -> str:
 def _answered(order: int):
     """A block's documents and the sums that it asked for -> rows of some documents each: their ids and sizes, the
     counts of their n-grams of each length (c), and for deleted documents the counts without the deleted fold (d)."""
-    names = ["doc_id", "held_out", "deleted", "sizes", *(f"c{k}" for k in range(order)), *(f"d{k}" for k in range(order))]
-    kinds = [pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.bool_(), *[pa.binary()] * (2 * order + 1)]
+    names = ["doc_id", "held_out", "copies", "deleted", "sizes", *(f"c{k}" for k in range(order)), *(f"d{k}" for k in range(order))]
+    kinds = [pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.bool_(), *[pa.binary()] * (2 * order + 1)]
 
     def table(rows: list[tuple], totals: pa.Table | None) -> pa.Table:
         cols = list(zip(*rows)) or [()] * len(names)
@@ -187,7 +191,8 @@ def _answered(order: int):
         told = told.sort_by("part")
         sums, less = (np.concatenate([unpacked(x) for x in told[c].to_pylist()]) for c in ("n_all", "n_del"))
         kept = sums - less
-        ids, held_out, deleted = docs["doc_id"].to_pylist(), docs["held_out"].to_pylist(), docs["deleted"].to_numpy()
+        ids, held_out, copies = (docs[c].to_pylist() for c in ("doc_id", "held_out", "copies"))
+        deleted = docs["deleted"].to_numpy()
         starts = np.cumsum(held.sizes) - held.sizes
         rows = []
         for gone in (False, True):
@@ -196,7 +201,7 @@ def _answered(order: int):
                 part = same[i:i + ROW_DOCS]
                 at = np.concatenate([np.arange(starts[j], starts[j] + held.sizes[j]) for j in part])
                 places = [p[at] for p in held.places]
-                rows.append(([ids[j] for j in part], [held_out[j] for j in part], gone, packed(held.sizes[part]),
+                rows.append(([ids[j] for j in part], [held_out[j] for j in part], [copies[j] for j in part], gone, packed(held.sizes[part]),
                              *(packed(sums[p]) for p in places), *(packed(kept[p]) if gone else None for p in places)))
         return table(rows, None)
     return run
@@ -238,14 +243,17 @@ def _cells(batches: Iterable[pa.RecordBatch], texts: int, total: int, types: int
     estimate log2 of its ratio to the uniform one, in steps, 11 bits each."""
     tally: dict[int, int] = defaultdict(int)
     for row in (r for batch in batches for r in batch.to_pylist()):
-        p, _, context = _estimates(*_unpacked(row, "d", order), texts, total, types)
+        counts, edges = _unpacked(row, "d", order)
+        p, _, context = _estimates(counts, edges, texts, total, types)
         cell = _bucket(context)
         for k in range(1, order + 1):
             step = np.full(len(context), NEVER)
             seen = p[k] > 0
             step[seen] = np.clip(np.round(GRID * np.log2(p[k][seen] / p[0][seen])), NEVER + 1, -NEVER - 1)
             cell = cell << 11 | (step - NEVER).astype(np.int64)
-        for c, n in zip(*(x.tolist() for x in np.unique(cell, return_counts=True))):
+        found, at = np.unique(cell, return_inverse=True)
+        times = np.bincount(at, np.repeat(np.array(row["copies"], np.int64), np.diff(edges)), len(found)).astype(np.int64)
+        for c, n in zip(found.tolist(), times.tolist()):
             tally[c] += n
     yield pa.RecordBatch.from_arrays([pa.array(tally.keys(), pa.int64()), pa.array(tally.values(), pa.int64())], names=["cell", "n"])
 
@@ -287,10 +295,19 @@ def _scored(batches: Iterable[pa.RecordBatch], weights: np.ndarray, texts: int,
         score = np.log10((w * p).sum(axis=0) / w.sum(axis=0))
         base = np.log10((counts[0] + 1) / (total + types + 1))
         per_text = lambda x: np.add.reduceat(x, edges[:-1])  # noqa: E731  each text has a token
-        yield pa.RecordBatch.from_arrays(
+        one = pa.RecordBatch.from_arrays(
             [pa.array(row["doc_id"], pa.int64()), pa.array(row["held_out"], pa.bool_()), pa.array(np.diff(edges).astype(np.int64)),
              pa.array(per_text((counts[0] > 0).astype(np.int64))), pa.array(per_text(base)), pa.array(per_text(score))],
             names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+        for i, n in enumerate(row["copies"]):
+            if n > 1:
+                yield from _again(one.slice(i, 1), n - 1)
+        yield one
+
+
+def _again(row: pa.RecordBatch, times: int) -> Iterator[pa.RecordBatch]:
+    for at in range(0, times, 10_000):
+        yield row.take(pa.array(np.zeros(min(10_000, times - at), np.int64)))
 
 
 MAX_ORDER = 5  # a cell's number has 11 bits for each length
@@ -305,23 +322,25 @@ def score_documents(docs: DataFrame, *, held_out: Column, deleted: Column, id_co
     if not 1 <= order <= MAX_ORDER:
         raise ValueError(f"order must be 1 to {MAX_ORDER}")
     spark = docs.sparkSession
+    ship_package(spark)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
                        held_out.alias("held_out"), (~held_out).alias("trains"), (~held_out & deleted).alias("deleted"))
     size, texts, gone = rows.agg(F.sum(F.octet_length("text").cast("bigint") + 8), F.count(F.when(F.col("trains"), 1)),
                                  F.count(F.when(F.col("deleted"), 1))).first()
     n_blocks = pieces(size or 0, BLOCK_BYTES)
     n_ranges = 1 << (pieces(size or 0, RANGE_BYTES) - 1).bit_length()
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks))) \
+    once = once_each(rows.withColumn("rid", F.xxhash64("text")), ["doc_id", "rid", "held_out", "deleted"], "repeated")
+    dealt = once.withColumn("block", F.pmod(F.xxhash64("doc_id", "rid"), F.lit(n_blocks))).drop("rid") \
         .repartition(width(spark, n_blocks), "block")
     asked = dealt.groupBy("block").applyInArrow(_asker(order, n_ranges), _ASKED)
     told = asked.repartition(width(spark, n_ranges), "part").groupBy("part").applyInArrow(_summed, _TOLD)
     counted = cut(dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_answered(order), _counted(order)), "counts")
     total, types, kept = (int(x or 0) for x in counted.agg(F.sum("tokens"), F.sum("types"), F.sum("kept_tokens")).first())
-    cells = counted.where(F.col("deleted")).select("sizes", *[f"d{k}" for k in range(order)]).mapInArrow(
+    cells = counted.where(F.col("deleted")).select("sizes", "copies", *[f"d{k}" for k in range(order)]).mapInArrow(
         lambda it: _cells(it, texts - gone, kept, types, order), "cell bigint, n bigint")
     tallied = cells.groupBy("cell").agg(F.sum("n").alias("n")).collect()  # bounded by the grid
     weights = fit_weights(sorted((*cell_of(r["cell"], order), r["n"]) for r in tallied), order)
-    scored = counted.where(F.col("deleted").isNotNull()).select("doc_id", "held_out", "sizes", *[f"c{k}" for k in range(order)]).mapInArrow(
+    scored = counted.where(F.col("deleted").isNotNull()).select("doc_id", "held_out", "sizes", "copies", *[f"c{k}" for k in range(order)]).mapInArrow(
         lambda it: _scored(it, weights, texts, total, types, order),
         "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(total).cast("bigint")).select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import string
 
 from transloom.llm import quality
@@ -27,13 +28,20 @@ def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
+def _re2(pattern: str) -> str:
+    """Code points as DuckDB's patterns spell them."""
+    return re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", pattern)
+
+
 DECONTAMINATION = f"""
 WITH item_words AS (SELECT {_words(_lower("coalesce(text, '')"))} AS w, item_id FROM benchmark),
 items AS (SELECT w, min(item_id) AS item_id FROM item_words WHERE len(w) > 0 GROUP BY w),
 item_shingles AS (SELECT DISTINCT item_id, unnest({_shingles('w', 5)}) AS s FROM items),
 sized AS (SELECT item_id, count(*) AS n_shingles FROM item_shingles GROUP BY item_id),
 doc_words AS (SELECT doc_id, {_words(_lower("coalesce(text, '')"))} AS w FROM documents),
-doc_shingles AS (SELECT DISTINCT doc_id, unnest({_shingles('w', 5)}) AS s FROM doc_words),
+short AS (SELECT DISTINCT len(w) AS m FROM items WHERE len(w) < 5),
+doc_shingles AS (SELECT doc_id, unnest({_shingles('w', 5)}) AS s FROM doc_words
+  UNION SELECT doc_id, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) FROM doc_words, short),
 shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM doc_shingles JOIN item_shingles USING (s) GROUP BY ALL)
 SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containment
 FROM shared JOIN sized USING (item_id) WHERE 10 * n_shared >= 8 * n_shingles"""
@@ -70,13 +78,26 @@ windows AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s
 again AS (SELECT doc_id, s FROM windows GROUP BY doc_id, s HAVING count(*) > 1),
 repeated AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words
              FROM windows JOIN again USING (doc_id, s), range(8) AS r(j) GROUP BY doc_id),
-lines AS (SELECT doc_id, line, {_words('line')} AS w FROM (SELECT doc_id, unnest(ls) AS line FROM worded)),
-counted AS (SELECT *, len(w) AS n, len(list_filter(w, lambda x: x IN ({', '.join(map(_quoted, quality.SEPARATORS))}))) AS n_sep,
+lines AS (SELECT doc_id, i, line, {_words('line')} AS w FROM (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM worded)),
+counted AS (SELECT *, regexp_matches(line, {_quoted(quality.SENTENCE_END)}) OR regexp_matches(line, {_quoted(_re2(quality.OTHER_END))}) AS ends, len(w) AS n, len(list_filter(w, lambda x: x IN ({', '.join(map(_quoted, quality.SEPARATORS))}))) AS n_sep,
                    len(list_filter(w, lambda x: regexp_matches(x, {_quoted(quality.DECORATED)}))) AS n_deco,
                    len(regexp_extract_all(line, '\\p{{L}}')) AS n_letters, len(regexp_extract_all(line, '\\p{{Lu}}')) AS n_upper FROM lines),
-faulty AS (SELECT *, n > 0 AND ((n_sep >= 2 AND 4 * n_sep >= n) OR regexp_matches(line, '(?i)' || {_quoted(quality.BOILERPLATE)})
-                  OR (n >= {quality.FEW_WORDS} AND (2 * n_deco > n OR (n_letters >= 20 AND 10 * n_upper > 7 * n_letters)
-                      OR NOT regexp_matches(line, {_quoted(quality.SENTENCE_END)})))) AS fault FROM counted),
+named AS (SELECT *, CASE WHEN n = 0 THEN '' WHEN n_sep >= 2 AND 4 * n_sep >= n THEN 'navigation'
+      WHEN regexp_matches(line, '(?i)' || {_quoted(quality.BOILERPLATE)}) THEN 'boilerplate' WHEN n < {quality.FEW_WORDS} THEN ''
+      WHEN 2 * n_deco > n THEN 'symbols' WHEN n_letters >= 20 AND 10 * n_upper > 7 * n_letters THEN 'shouting'
+      WHEN NOT ends AND NOT regexp_matches(line, {_quoted(quality.LIST_ITEM)}) THEN 'punctuation' ELSE '' END AS fault0 FROM counted),
+wrapped AS (SELECT *, trim(line, {_TRIM}) AS bare FROM named),
+joined AS (SELECT *, length(bare) BETWEEN 1 AND {quality.MAX_WRAP} AND fault0 IN ('', 'punctuation') AS wraps FROM wrapped),
+blocks AS (SELECT *, count(*) FILTER (WHERE NOT wraps) OVER (PARTITION BY doc_id ORDER BY i) AS block FROM joined),
+wide AS (SELECT *, max(length(bare)) OVER same AS width, lead(bare) OVER (same ORDER BY i) AS following FROM blocks WHERE wraps
+         WINDOW same AS (PARTITION BY doc_id, block)),
+goes_on AS (SELECT *, coalesce(width >= {quality.MIN_WRAP} AND 4 * (length(bare) + 1 + length({_words('following')}[1])) > 3 * width, false) AS on_
+            FROM wide),
+paragraphs AS (SELECT *, count(*) FILTER (WHERE NOT on_) OVER (PARTITION BY doc_id, block ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS para
+               FROM goes_on),
+excused AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER para AS size, bool_or(ends) OVER para AS ended FROM paragraphs
+              WINDOW para AS (PARTITION BY doc_id, block, para)) p WHERE size > 1 AND ended),
+faulty AS (SELECT named.*, fault0 <> '' AND excused.i IS NULL AS fault FROM named LEFT JOIN excused USING (doc_id, i)),
 per_line AS (SELECT doc_id, count(*) FILTER (WHERE n > 0) - count(DISTINCT line) FILTER (WHERE n > 0) AS n_dup_lines,
                     sum(n) FILTER (WHERE NOT fault) AS n_good FROM faulty GROUP BY doc_id),
 report AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from transloom.llm.common import cut, pieces, slices, width
+from transloom.session import ship_package
 
 CAPACITY = 2_048
 END_ID = 0
@@ -86,6 +87,7 @@ class Encoder(dict):
 def token_pieces(docs: DataFrame, vocabulary: tuple[str, bytes], *, id_col: str = "doc_id", text_col: str = "text",
                  capacity: int = CAPACITY) -> DataFrame:
     """(uid, doc_id, piece, start, length, ids_crc32): each document's pieces in order."""
+    ship_package(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,6 +259,7 @@ def evolve_blocks(items: DataFrame, n_blocks: int, *, capacity: int = CAPACITY,
 def pack(items: DataFrame, *, capacity: int = CAPACITY, block_items: int = BLOCK_ITEMS, rounds: int = ROUNDS,
          **options) -> DataFrame:
     """(uid, length) with unique uids and lengths up to ``capacity`` -> (uid, sequence_id, offset)."""
+    ship_package(items.sparkSession)
     done = items.where(F.col("length") >= capacity).select("uid", F.col("uid").alias("sequence_id"),
                                                            F.lit(0).cast("bigint").alias("offset"))
     rest = items.where(F.col("length") < capacity).select("uid", "length")

@@ -7,7 +7,11 @@ the base rules on its whole text. All work is per document, so nothing is shuffl
 Punctuation alone is judged on the paragraph where lines are hard-wrapped: a line goes on in the next one when it is
 at most ``MAX_WRAP`` characters long and the next line's first word would have taken it past three quarters of the
 width of its block (the longest line between blank, failing or longer lines; at least ``MIN_WRAP``). One sentence end
-in the paragraph is enough for all its lines.
+in the paragraph is enough for all its lines. An item of a list (a line that begins with a bullet, or a number and '.' or
+')') is not asked for a sentence end.
+
+What that means for texts that aren't prose: lists with markers stay; verse, source code, and lists of long lines without
+markers and stops (ingredients, say) lose their lines, and a text that is mostly such is rejected.
 
 Edge cases: a null text counts as empty; an empty or blank text has no words and fails the base rules; repeated
 rows and ids are judged row by row; other columns of the input are ignored by ``quality_report`` and kept by
@@ -26,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from transloom.llm.common import slices
+from transloom.session import ship_package
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -51,9 +56,11 @@ SEPARATORS = ["|", "›", "»", ">", "•", "·", "/"]
 BOILERPLATE = (r"\b(all rights reserved|terms of (use|service)|privacy policy|cookie policy|uses? cookies|"
                r"accept (all )?cookies|enable javascript|javascript is (disabled|required)|lorem ipsum|"
                r"click here|subscribe to our newsletter|skip to (main )?content|powered by)\b")
+LIST_ITEM = r"^[\x20\x09]*([-*+•‣–]|[0-9]{1,3}[.)])[\x20\x09]+[^\x20\x09-\x0D]"
 DECORATED = r"[*]{3}|[$]{3}|#{3}|%{3}|&{3}|!!"
 
 _SENTENCE_END, _OTHER_END, _DECORATED = re.compile(SENTENCE_END), re.compile(OTHER_END), re.compile(DECORATED)
+_LIST_ITEM = re.compile(LIST_ITEM)
 _BOILERPLATE = re.compile(BOILERPLATE, re.IGNORECASE | re.ASCII)
 _LOWER = b"abcdefghijklmnopqrstuvwxyz"
 _SEPARATORS = frozenset(x.encode() for x in SEPARATORS)
@@ -85,7 +92,7 @@ def line_fault(line: str) -> str | None:
         return "symbols"
     if _shouts(line, raw):
         return "shouting"
-    if not _ends_sentence(line):
+    if not _ends_sentence(line) and not _LIST_ITEM.match(line):
         return "punctuation"
     return None
 
@@ -185,6 +192,7 @@ def _report(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def quality_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: base counts, ``base_failed``, the share of words lost to line rules, ``kept``."""
+    ship_package(docs.sparkSession)
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         _report, "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
                  "n_repeat_words bigint, base_failed boolean, lost_share double, kept boolean")
@@ -192,6 +200,7 @@ def quality_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 def clean_documents(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """The kept documents, all columns, with their failing lines removed. A null text is never kept."""
+    ship_package(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,8 @@ A corpus has more groups than one task should see, so packing has two levels. He
 even share of the bytes or rows; their number is bounded by that) are packed as they are. Light groups are dealt by
 hash into blocks, sorted, and streamed through the same best fit into pallets of at most 1/1024 of a share; each
 block keeps only its open pallets' remaining capacities in memory. Heavy groups and pallets, at most
-``2 * 1024 * shards`` each plus one pallet for each block, are then packed into shards on the driver.
+``2 * 1024 * shards`` each plus one pallet for each block of 50,000 groups, are then packed into shards on the driver, through
+the same tree.
 
 Slots are numbered in pieces: rows of a shard are dealt by hash, numbered inside a piece, and shifted by the counts of
 the pieces before.
@@ -28,12 +29,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from transloom.llm.common import cut, pieces, width
+from transloom.session import ship_package
 
 SHARDS = 16
 #: Heavy groups and pallets are measured in this part of an even share.
 FINE = 1_024
 BLOCK_GROUPS = 50_000
-MAX_BLOCKS = 4_096
 SLOT_ROWS = 100_000
 
 
@@ -97,19 +98,10 @@ class BestFit:
 
 
 def _fits(sizes: list[int], capacity: int, shards: int) -> list[int] | None:
-    """Best-fit-decreasing into at most ``shards`` bins (few, so a plain list is searched)."""
-    rooms = [capacity] * shards
-    out = []
-    for size in sizes:
-        best = None
-        for i, room in enumerate(rooms):
-            if room >= size and (best is None or room < best[0]):
-                best = (room, i)
-        if best is None:
-            return None
-        rooms[best[1]] -= size
-        out.append(best[1])
-    return out
+    """Best-fit-decreasing into at most ``shards`` bins."""
+    fit = BestFit(capacity)
+    out = [fit.place(size) for size in sizes]
+    return out if fit.n <= shards else None
 
 
 def assign(sizes: list[int], shards: int) -> list[int]:
@@ -156,6 +148,7 @@ def _pallets(batches: Iterable[pd.DataFrame], capacity: int) -> Iterator[pd.Data
 def shard_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, shard, slot."""
     spark = docs.sparkSession
+    ship_package(spark)
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = cut(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), (F.octet_length(raw) + 1).cast("bigint").alias("size"),
                            F.crc32(raw).alias("text_crc32"), F.unhex(F.md5(raw)).alias("digest")), "sized")
@@ -166,9 +159,9 @@ def shard_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     fine = max(1, total // (shards * FINE))
     is_heavy = (F.col("bytes") > fine) | (F.col("n") > max(1, n_rows // (shards * FINE)))
     heavy = [(bytes(r[0]), int(r[1])) for r in groups.where(is_heavy).select("digest", "bytes").collect()]
-    blocks = min(MAX_BLOCKS, pieces(n_groups, BLOCK_GROUPS))
+    blocks = pieces(n_groups, BLOCK_GROUPS)
     light = groups.where(~is_heavy).select("digest", "bytes", F.pmod(F.xxhash64("digest"), F.lit(blocks)).alias("block"))
-    packed = cut(light.repartition(min(blocks, width(spark, 1)), "block").sortWithinPartitions("block", F.desc("bytes"), "digest")
+    packed = cut(light.repartition(width(spark, blocks), "block").sortWithinPartitions("block", F.desc("bytes"), "digest")
                  .mapInPandas(lambda it: _pallets(it, fine), "digest binary, bytes bigint, pallet bigint"), "pallets")
     pallets = [(int(r[0]), int(r[1])) for r in packed.groupBy("pallet").agg(F.sum("bytes")).collect()]
     items = sorted([(size, 0, name) for name, size in heavy] + [(size, 1, name) for name, size in pallets],

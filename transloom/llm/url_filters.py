@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from transloom.llm.common import lower_ascii, pieces, width
+from transloom.session import ship_package
 
 #: Urls in one key range, about.
 RANGE_ROWS = 200_000
@@ -86,6 +87,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule] | DataFrame, *, id_col: str
                 default: str = "allow", range_rows: int = RANGE_ROWS) -> DataFrame:
     """One row per url: id, host, path, the longest fitting rule and its verdict (else ``default``)."""
     spark = pages.sparkSession
+    ship_package(spark)
     if not isinstance(rules, DataFrame):
         rules = spark.createDataFrame(rules, "host string, path string, verdict string")
     host, path = url_parts(F.col(url_col))
