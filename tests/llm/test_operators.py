@@ -737,3 +737,20 @@ def test_runs_that_are_passed_on_undecided():
     want = {r[2:] for r in rows[:-2] if r[2] != 9}
     assert decided(100_000, 5) == decided(4, 5) == decided(20, 5) == want
     assert decided(100_000, 6) == decided(4, 6) == set()
+
+
+# --- op3: where best fit is not optimal -----------------------------------------------------------
+@pytest.mark.parametrize("low,high,gain", [(520, 1000, 5), (600, 1023, 4), (400, 900, 3)])
+def test_genetic_search_improves_on_best_fit(low, high, gain):
+    """Pieces between a quarter and a half of the capacity: two epochs of two islands save sequences that the seed needs."""
+    import random
+    r = random.Random(1)
+    sizes = [r.randint(low, high) for _ in range(4000)]
+    first = packing.Problem(sizes, packing.CAPACITY, 1)
+    seed, found = first.seeded(0), []
+    for epoch in range(packing.EPOCHS):
+        found = [packing.Problem(sizes, packing.CAPACITY, 10 * i + epoch).evolve(found, packing.POPULATION, packing.CROSSOVERS)
+                 for i in range(packing.ISLANDS)]
+    best = min(found, key=len)
+    assert sorted(i for b in best for i in b) == list(range(len(sizes))) and all(first.fill(b) <= packing.CAPACITY for b in best)
+    assert first.bound <= len(best) <= len(seed) - gain
