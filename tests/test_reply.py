@@ -149,3 +149,37 @@ def test_names_match_in_any_case(spark):
         "a": ("OK", "hi"), "last": ("OK", "y"), "inside": ("OK", 'say "Message": and \\"Error": {'), "sse": ("OK", "ab"),
         "fails": ("STREAM_ERROR", ""), "http": ("HTTP_ERROR", ""), "typed": ("PARSE_ERROR", "")}
     assert got["http"][2].endswith("broken") and got["fails"][2].endswith("no")
+
+
+def test_requests_are_sent_in_waves(spark, monkeypatch):
+    """What got no answer, or one that another attempt may better, is sent again; nothing else is."""
+    from transloom.operators.send import headers, send_in_waves
+
+    def answer(endpoint, payload, seconds, head):
+        text = json.loads(payload)["messages"][1]["content"]
+        attempt_file = f"{folder}/{text[-4:]}"
+        with open(attempt_file, "a") as f:
+            f.write("x")
+        with open(attempt_file) as f:
+            n = len(f.read())
+        if "hang" in text and n < 3:
+            raise TimeoutError("no answer")
+        if "busy" in text and n < 2:
+            return 429, "application/json", '{"error":{"message":"slow down"}}'
+        if "deny" in text:
+            return 401, "application/json", '{"error":{"message":"no"}}'
+        if "down" in text:
+            return 503, "text/plain", "down"
+        return 200, "application/json", json.dumps({"choices": [{"message": {"content": f"{text[-4:]} {head.get('Authorization')}"}}]})
+
+    import tempfile
+    folder = tempfile.mkdtemp(prefix="transloom-sent-")
+    monkeypatch.setenv("TRANSLOOM_TEST_KEY", " k1 ")  # the workers inherit it
+    rows = [(w, w, "en", "zh", "m", "https://h/") for w in ("good", "hang", "busy", "deny", "down")]
+    df = spark.createDataFrame(rows, "request_id string, text string, source string, target string, model string, llm_base_url string")
+    landed = send_in_waves(R.llm_payload(df), answer, key_env="TRANSLOOM_TEST_KEY")
+    sent = {r.request_id: r["count"] for r in landed.groupBy("request_id").count().collect()}
+    assert sent == {"good": 1, "hang": 3, "busy": 2, "deny": 1, "down": 3}
+    got = {r.request_id: (r.status, r.attempt) for r in R.decode_replies(landed).collect()}
+    assert got == {"good": ("OK", 0), "hang": ("OK", 2), "busy": ("OK", 1), "deny": ("HTTP_ERROR", 0), "down": ("HTTP_ERROR", 2)}
+    assert headers("k") == {"Content-Type": "application/json", "Authorization": "Bearer k"} and "Authorization" not in headers("  ") | headers(None)

@@ -9,23 +9,34 @@ use a fake.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from transloom import constants as K
-from transloom.session import materialize, ship_package
+from transloom.session import materialize, ship_package, stored
 
 REPLIES = "request_id string, attempt bigint, http_status int, content_type string, body string"
-Send = Callable[[str, str, float], tuple[int, str, str]]  # (endpoint, payload, seconds) -> (status, type, body)
+Send = Callable[..., tuple[int, str, str]]  # (endpoint, payload, seconds[, headers]) -> (status, type, body)
+#: Answers that another attempt may better; no answer is one of them.
+RETRY = (429, 500, 502, 503, 504)
 
 
-def _lander(send: Send, attempt: int, at_once: int, timeout_s: float):
+def headers(key: str | None) -> dict[str, str]:
+    """What a request carries; the key only if there is one."""
+    return {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key.strip()}"} if key and key.strip() else {})
+
+
+def _lander(send: Send, attempt: int, at_once: int, timeout_s: float, key_env: str | None):
     def land(endpoint: str, payload: str) -> tuple:
         try:
-            return send(endpoint, payload, timeout_s)
+            if key_env is None:
+                return send(endpoint, payload, timeout_s)
+            return send(endpoint, payload, timeout_s, headers(os.environ.get(key_env)))
         except Exception as exc:  # the row tells; the others carry on
             return None, type(exc).__name__, str(exc)
 
@@ -40,8 +51,23 @@ def _lander(send: Send, attempt: int, at_once: int, timeout_s: float):
 
 
 def send_requests(payloads: DataFrame, send: Send, attempt: int = 0, at_once: int = 8,
-                  timeout_s: float = K.LLM_TIMEOUT_S) -> DataFrame:
+                  timeout_s: float = K.LLM_TIMEOUT_S, key_env: str | None = None) -> DataFrame:
     """One landed reply per payload row, written once to the checkpoint folder: a retried stage
-    re-reads it and does not send again."""
+    re-reads it and does not send again. ``key_env`` names the executors' environment variable that holds the key; ``send``
+    then gets the headers as well. The key is in no table and no plan."""
     ship_package(payloads.sparkSession)
-    return materialize(payloads.mapInPandas(_lander(send, attempt, at_once, timeout_s), REPLIES))
+    return materialize(payloads.mapInPandas(_lander(send, attempt, at_once, timeout_s, key_env), REPLIES))
+
+
+def send_in_waves(payloads: DataFrame, send: Send, attempts: int = 3, retry: tuple = RETRY, **options) -> DataFrame:
+    """All landed replies of up to ``attempts`` waves. A wave sends the requests without a reply that settles them: those
+    whose id no earlier wave landed with a status outside ``retry``. ``operators.reply`` reads each request's last attempt."""
+    pending, landed = stored(payloads, "payloads"), None
+    for attempt in range(attempts):
+        wave = send_requests(pending, send, attempt, **options)
+        landed = wave if landed is None else landed.unionByName(wave)
+        settled = wave.where(F.col("http_status").isNotNull() & ~F.col("http_status").isin(*retry)).select("request_id").distinct()
+        pending = pending.join(settled, "request_id", "left_anti")
+        if attempt + 1 < attempts and pending.isEmpty():
+            break
+    return landed
