@@ -232,7 +232,8 @@ def with_entries(rows: DataFrame, keys: list[str], t: str, tie: str, interval: i
     if not long:
         d = rows.withColumns({"_entry": F.lit(None).cast("bigint"), "_base": F.lit(0).cast("bigint")})
     else:
-        entries = block_entries(rows, keys, t, tie, interval, block, fanout).withColumnsRenamed({k: f"_{k}" for k in keys} | {"_blk": "_at"})
+        # stored, so that the planner sees how few they are and leaves the rows where they are
+        entries = stored(block_entries(rows, keys, t, tie, interval, block, fanout), "entries").withColumnsRenamed({k: f"_{k}" for k in keys} | {"_blk": "_at"})
         d = rows.withColumn("_blk", F.floor(F.col(t) / F.lit(block)).cast("bigint"))
         cond = d["_blk"] == entries["_at"]
         for k in keys:
