@@ -25,6 +25,7 @@ from transloom.session import ensure_checkpoint_dir
 from transloom.sources import fixtures as fx
 from transloom.sources import requests as rq
 from transloom.sources.tables import table
+from transloom.streaming.polls import parse_polls
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -77,6 +78,17 @@ def requests_from_documents(spark, d):
     return _requests(spark, d)
 
 
+@query
+def request_lines(spark, d):
+    return rq.parse_request_lines(fx.request_lines(_docs(spark, d)))
+
+
+@query
+def poll_lines(spark, d):
+    polls = parse_polls(fx.poll_lines(table(spark, d, "events")))
+    return polls.withColumn("ts_ms", F.unix_millis("ts")).drop("ts")
+
+
 @query
 def requests_from_conversations(spark, d):
     return rq.requests_from_conversations(table(spark, d, "conversations"))

@@ -558,6 +558,21 @@ chunks AS (SELECT request_id, part_no, chunk_no, array_to_string(toks, ' ') AS c
     q: dict[str, str] = {}
 
     q["requests_from_documents"] = f"WITH {REQUESTS} SELECT * FROM requests"
+    q["request_lines"] = f"""
+SELECT CASE WHEN m IN (3, 5, 9, 11) THEN '' WHEN m = 15 THEN CAST(doc_id AS VARCHAR) ELSE 'd' || CAST(doc_id AS VARCHAR) END AS request_id,
+  '' AS tenant, CASE WHEN bad THEN '' ELSE coalesce(text, '') END AS text,
+  CASE WHEN bad OR m = 15 THEN 'en' ELSE coalesce(lang, 'en') END AS source,
+  CASE WHEN bad OR m = 15 OR doc_id % 2 = 0 THEN 'zh' ELSE 'ja' END AS target, CASE WHEN bad THEN {lit(K.MSG_BAD_REQUEST)} END AS error
+FROM (SELECT *, doc_id % 17 AS m, doc_id % 17 IN (3, 7, 9, 11) AS bad FROM documents) d WHERE m <> 13"""
+    q["poll_lines"] = f"""
+WITH {FEED.lstrip().removeprefix("WITH ")},
+p AS (SELECT feed.*, epoch_us(events.ts) // 1000 AS ms, poll % 23 AS m, CASE WHEN poll % 23 = 6 THEN 'device is no number' WHEN poll % 23 IN (1, 4)
+    THEN 'poll is no JSON object' WHEN poll % 23 = 2 THEN 'poll without number or counter' END AS error
+  FROM feed JOIN events ON events.event_id = feed.poll WHERE poll % 23 <> 5)
+SELECT CASE WHEN m <> 6 THEN device END AS device, error, CASE WHEN error IS NULL THEN poll END AS poll, CASE WHEN error IS NULL THEN seq END AS seq,
+  CASE WHEN error IS NULL THEN (CASE WHEN m = 3 THEN seq ELSE seq_after END) END AS seq_after,
+  CASE WHEN error IS NULL THEN m <> 3 AND read_ok END AS read_ok, CASE WHEN error IS NULL THEN origin END AS origin,
+  CASE WHEN error IS NULL THEN text END AS text, CASE WHEN error IS NULL THEN ms END AS ts_ms FROM p"""
     q["requests_from_conversations"] = (
         "SELECT 'c' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS request_id, role AS tenant, text, "
         "'en' AS source, 'zh' AS target FROM conversations")

@@ -316,6 +316,37 @@ def feed(events: DataFrame) -> DataFrame:
     )
 
 
+def poll_lines(events: DataFrame) -> DataFrame:
+    """The polls of ``feed`` as their devices land them, a JSON line each; some lines are cut, no object, or lack fields."""
+    polls = feed(events).withColumn("ts", F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z")))
+    whole = F.to_json(F.struct("poll", "seq", "seq_after", "read_ok", "origin", "text", "ts"))
+    m = F.col("poll") % 23
+    value = (F.when(m == 1, F.substr(whole, F.lit(1), F.length(whole) - 1))
+             .when(m == 2, F.to_json(F.struct("poll", "text")))
+             .when(m == 3, F.to_json(F.struct("poll", "seq", "origin", "text", "ts")))
+             .when(m == 4, F.concat(F.lit("["), whole, F.lit("]")))
+             .when(m == 5, F.lit(" ")).otherwise(whole))
+    device = F.when(m == 6, F.lit("lost")).otherwise(_s(F.col("device")))
+    return polls.select(device.alias("device"), F.lit("0001.jsonl").alias("file"), F.col("poll").alias("line"), value.alias("value"))
+
+
+def request_lines(documents: DataFrame) -> DataFrame:
+    """Requests as JSON lines ``value``; some are cut, no object, followed by something, blank, or have odd fields."""
+    d, m = F.col("doc_id"), F.col("doc_id") % 17
+    name, target = F.concat(F.lit("d"), _s(d)).alias("id"), F.when(d % 2 == 0, F.lit("zh")).otherwise(F.lit("ja")).alias("target")
+    text, source = F.col("text"), F.col("lang").alias("source")
+    whole = F.to_json(F.struct(name, text, source, target))
+    return documents.select(
+        F.when(m == 3, F.substr(whole, F.lit(1), F.length(whole) - 1))
+        .when(m == 5, F.to_json(F.struct(text, source, target)))
+        .when(m == 7, F.to_json(F.struct(name, d.alias("text"), source, target)))
+        .when(m == 9, F.concat(F.lit("["), whole, F.lit("]")))
+        .when(m == 11, F.concat(whole, F.lit(" x")))
+        .when(m == 13, F.lit(" \t"))
+        .when(m == 15, F.to_json(F.struct(d.alias("id"), text)))
+        .otherwise(whole).alias("value"))
+
+
 def typed_input(events: DataFrame) -> DataFrame:
     e = F.col("event_id")
     trigger = (F.when(F.col("event_type") == "click", F.lit("manual"))
