@@ -63,3 +63,12 @@ def test_paragraph_parts_round_trip(spark):
     parts = df.collect()[0].p
     assert parts == ["a", "\n\n", "b\r c", "\n"]
     assert "".join(parts) == text
+
+
+def test_named_columns_are_trimmed_alike(spark):
+    """A column by its name, which is looked at by its edges first, and the same as an expression."""
+    edges = ["", " ", "\t", " ", " ", "　", "\x85", "​", "x", "\U0001f600", "\n"]
+    values = [a + m + b for a in edges for m in ("", "y  z", " ") for b in edges] + [None]
+    df = one_col(spark, values)
+    got = df.select(T.go_trim("x").alias("a"), T.go_trim(F.concat("x", F.lit(""))).alias("b"), "x").collect()
+    assert all(r.a == r.b == (None if r.x is None else r.x.strip(T.GO_SPACE)) for r in got)

@@ -24,8 +24,13 @@ def _col(c) -> Column:
 
 
 def go_trim(c) -> Column:
-    """strip leading/trailing Unicode White_Space (Spark's trim strips only U+0020)."""
-    return F.regexp_replace(_col(c), _TRIM_PATTERN, "")
+    """strip leading/trailing Unicode White_Space (Spark's trim strips only U+0020). The pattern reads the whole text, so
+    a named column whose first and last character are none is left as it is."""
+    trimmed = F.regexp_replace(_col(c), _TRIM_PATTERN, "")
+    if not isinstance(c, str):
+        return trimmed
+    edges = F.concat(F.substring(c, 1, 1), F.substring(c, -1, 1))
+    return F.when(edges.rlike(K.WHITE_SPACE_CLASS), trimmed).otherwise(F.col(c))
 
 
 def is_blank(c) -> Column:
